@@ -59,6 +59,9 @@ SNAPSHOT_MARK = 10800.0   # snapshot = trips with date_numeric <= this
 LOOKBACK_DAYS = 30.0      # refresh re-reads this margin below the high-water mark
 CUTOFF = dt.date(1998, 1, 1)
 DAILY_MIN_DAYS = 400
+# Thresholds that keep some series and drop others at sf0.01 (175..272 days).
+SPARSE_SITE_DAYS = 215
+SPARSE_GEAR_DAYS = 220
 DONOR_REPS = 100
 
 LINEITEM_COLS = T.StructType([
@@ -369,6 +372,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "daily_cpue_site": _daily("site"),
     "daily_cpue_habitat": _daily("habitat"),
     "daily_cpue_gear": _daily("gear"),
+    "daily_cpue_site_sparse": _daily("site", SPARSE_SITE_DAYS),
+    "daily_cpue_gear_sparse": _daily("gear", SPARSE_GEAR_DAYS),
     "log_axis": q_log_axis,
     "mark_selected": q_mark_selected,
     "heat_cells": q_heat_cells,

@@ -121,6 +121,36 @@ def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id"
     return base.join(best.drop(*q_extra), by + [key], "left")
 
 
+def track_signature(pds_trips: DataFrame, out: str = "features") -> DataFrame:
+    """The 20-number track signature (lat1..lat10, then lng1..lng10) as one array."""
+    cols = [f"lat{i}" for i in range(1, 11)] + [f"lng{i}" for i in range(1, 11)]
+    return pds_trips.withColumn(out, F.array(*[F.col(c).cast("double") for c in cols]))
+
+
+def donate_attributes(pds_trips: DataFrame, cap: float = 0.2, block_rows: int = 2048
+                      ) -> DataFrame:
+    """Fill gear and habitat of tracked trips that have no reported trip from
+    the nearest linked tracked trip within ``cap`` (its reported trip id and the
+    distance are kept as ``donor_tripid`` and ``donor_distance``). Linked trips
+    and trips without a donor keep their own values."""
+    sig = track_signature(pds_trips)
+    donors = (sig.filter(F.col("trip_id").isNotNull())
+              .select(F.col("trip_id").alias("_donor"), "features", "gear_code", "habitat_code"))
+    queries = sig.filter(F.col("trip_id").isNull()).select("PDS_trip", "features")
+    nn = nearest_donor(queries, donors.withColumnRenamed("_donor", "PDS_trip"), key="PDS_trip",
+                       cap=cap, block_rows=block_rows, keep_unmatched=False,
+                       donor_key="_dt", distance="_dd")
+    nn = nn.select("PDS_trip", "_dt", "_dd", F.col("gear_code").alias("_g"),
+                   F.col("habitat_code").alias("_h"))
+    j = pds_trips.join(nn, "PDS_trip", "left")
+    return j.withColumns({
+        "gear_code": F.coalesce("_g", "gear_code"),
+        "habitat_code": F.coalesce("_h", "habitat_code"),
+        "donor_tripid": F.col("_dt").cast("long"),
+        "donor_distance": F.col("_dd"),
+    }).drop("_g", "_h", "_dt", "_dd")
+
+
 def train_split(key: str, rep: str, a: int = 7, b: int = 13, m: int = 10, k: int = 8):
     """Deterministic hold-out split: a row is in the training part of repeat
     ``rep`` when (key * a + rep * b) mod m < k (k/m of the residues)."""

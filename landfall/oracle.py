@@ -334,6 +334,8 @@ SQL: dict[str, str] = {
     "daily_cpue_site": w(*BASE, MAIN, daily_sql("municipality_code", SITES, 400)) + "SELECT * FROM daily",
     "daily_cpue_habitat": w(*BASE, MAIN, daily_sql("habitat_code", HAB_LABELS, 400)) + "SELECT * FROM daily",
     "daily_cpue_gear": w(*BASE, MAIN, daily_sql("gear_code", GEAR_LABELS, 400)) + "SELECT * FROM daily",
+    "daily_cpue_site_sparse": w(*BASE, MAIN, daily_sql("municipality_code", SITES, 215)) + "SELECT * FROM daily",
+    "daily_cpue_gear_sparse": w(*BASE, MAIN, daily_sql("gear_code", GEAR_LABELS, 220)) + "SELECT * FROM daily",
     "log_axis": w(*BASE, MAIN, daily_sql("municipality_code", SITES, 5)) +
         "SELECT *, log10(fit + 1) AS y FROM daily",
     "mark_selected": w(*BASE, MAIN) + f"""SELECT id, long, lat, "group",

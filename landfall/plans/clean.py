@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from landfall.config import Params
 from landfall.functions.columns import clamp, parse_date, patch, recode
-from landfall.operators.discards import (cpue_ok, landing_trip_flags, matching_trips,
-                                         valid_date)
-from landfall.operators.joins import drop_with, lookup
+from landfall.functions.dates import month_floor
+from landfall.operators.discards import cpue_ok, landing_trip_flags, valid_date
+from landfall.operators.joins import lookup
+from landfall.session import materialize
 from landfall.tables import Tables
 
 LANDING_REQUIRED = ("species_code", "length", "nfish", "weight_g", "flag_code")
@@ -36,7 +37,8 @@ def prepare_trips(trips: DataFrame, stations: DataFrame, params: Params) -> Data
     return patch(t, "IMEI", cond, params.patch_imei_to)
 
 
-def clean_trips(trips: DataFrame, landings: DataFrame, stations: DataFrame, params: Params
+def clean_trips(trips: DataFrame, landings: DataFrame, stations: DataFrame, params: Params,
+                with_month: bool = False, flags: DataFrame | None = None
                 ) -> tuple[DataFrame, DataFrame]:
     """Clean reported trips and their landings.
 
@@ -45,9 +47,16 @@ def clean_trips(trips: DataFrame, landings: DataFrame, stations: DataFrame, para
     gear or effort; trips dated before ``min_date`` or on/after ``as_of`` (a
     NULL date stays, the date slice removes it); trips whose KG / effort exceeds
     ``cpue_cap``. Surviving trips carry their catch ``KG`` (0 without landings).
+
+    Landings are decided per trip id: one row per trip id of the landings (the
+    flag aggregate) meets the trip decision, and landings join that, so a
+    landing whose trip is unknown survives unless its own trip id is flagged,
+    as in the original. ``with_month`` adds the trip's month to both outputs
+    (for storage partitioned by month). ``flags`` may hold a stored result of
+    :func:`trip_flags` so that landings are aggregated once for both outputs.
     """
     t = prepare_trips(trips, stations, params)
-    flags = landing_trip_flags(landings, LANDING_REQUIRED, params.ok_flags)
+    flags = flags if flags is not None else trip_flags(landings, params)
     j = t.join(flags, "trip_id", "left").withColumns({
         "incomplete": F.coalesce("incomplete", F.lit(False)),
         "bad_flag": F.coalesce("bad_flag", F.lit(False)),
@@ -58,35 +67,81 @@ def clean_trips(trips: DataFrame, landings: DataFrame, stations: DataFrame, para
         complete = F.col(c).isNotNull() if complete is None else complete & F.col(c).isNotNull()
     keep = (~F.col("incomplete") & ~F.col("bad_flag") & complete
             & valid_date("date", params.min_date, params.as_of) & cpue_ok(params.cpue_cap))
-    j = j.withColumn("_keep", keep)
+    j = j.withColumns({"_keep": keep, "month": month_floor("date")})
     kept = j.filter("_keep").drop("_keep", "incomplete", "bad_flag")
-    # Discarded ids: failed trips plus trips named by a bad landing, including
-    # landings whose trip is unknown (those are discarded like the original does).
-    bad = (j.filter(~F.col("_keep")).select("trip_id")
-           .unionByName(flags.filter(F.col("incomplete") | F.col("bad_flag")).select("trip_id")))
-    return kept, drop_with(landings, bad, "trip_id")
+    decision = flags.select("trip_id", (F.col("incomplete") | F.col("bad_flag")).alias("_bad")).join(
+        j.select("trip_id", "_keep", "month"), "trip_id", "left")
+    decision = decision.filter(F.coalesce(F.col("_keep"), ~F.col("_bad"))).select("trip_id", "month")
+    lnd = landings.join(decision, "trip_id", "inner")
+    if not with_month:
+        kept, lnd = kept.drop("month"), lnd.drop("month")
+    return kept, lnd
+
+
+def trip_flags(landings: DataFrame, params: Params) -> DataFrame:
+    """Per trip id of the landings: incomplete, bad_flag and KG."""
+    return landing_trip_flags(landings, LANDING_REQUIRED, params.ok_flags)
+
+
+def band_flags(pds_points: DataFrame, params: Params) -> DataFrame:
+    """Per tracked trip id of the points: whether a point lies in the excluded band."""
+    return pds_points.groupBy("PDS_trip").agg(F.bool_or(F.coalesce(
+        F.col("latlng").rlike(params.point_pattern), F.lit(False))).alias("_band"))
 
 
-def clean_pds(pds_trips: DataFrame, pds_points: DataFrame, params: Params
+def clean_pds(pds_trips: DataFrame, pds_points: DataFrame, params: Params,
+              with_month: bool = False, band: DataFrame | None = None
               ) -> tuple[DataFrame, DataFrame]:
     """Clean tracked trips: parse dates, recode habitats, drop trips without a
     boat type and every trip with a point in the excluded band, each with its
-    points. Points of unknown trips stay (the slice removes them)."""
+    points. Points of unknown trips stay (the slice removes them) unless one of
+    them lies in the band. One aggregation of points by trip finds the band."""
     p = recode(parse_date(pds_trips), "habitat_code", dict(params.habitat_recode))
-    no_boat = p.filter(F.col("boat_code").isNull()).select("PDS_trip")
-    p = p.filter(F.col("boat_code").isNotNull())
-    pts = drop_with(pds_points, no_boat, "PDS_trip")
-    band = matching_trips(pts, params.point_pattern)
-    return drop_with(p, band, "PDS_trip"), drop_with(pts, band, "PDS_trip")
+    band = band if band is not None else band_flags(pds_points, params)
+    p = p.join(band, "PDS_trip", "left").withColumns({
+        "_keep": F.col("boat_code").isNotNull() & ~F.coalesce(F.col("_band"), F.lit(False)),
+        "month": month_floor("date")})
+    kept = p.filter("_keep").drop("_keep", "_band")
+    decision = band.join(p.select("PDS_trip", F.col("_keep").alias("_tk"), "month"),
+                         "PDS_trip", "left")
+    decision = decision.filter(F.coalesce(F.col("_tk"), ~F.col("_band"))).select("PDS_trip", "month")
+    pts = pds_points.join(decision, "PDS_trip", "inner")
+    if not with_month:
+        kept, pts = kept.drop("month"), pts.drop("month")
+    return kept, pts
 
 
-def clean(tables: Tables, params: Params) -> Tables:
+def clean(tables: Tables, params: Params, with_month: bool = False,
+          flags: DataFrame | None = None, band: DataFrame | None = None) -> Tables:
     """Clean every table of a refreshed bundle (dimension tables pass through)."""
     out = tables
     if tables.trips is not None:
-        t, lnd = clean_trips(tables.trips, tables.landings, tables.stations, params)
+        t, lnd = clean_trips(tables.trips, tables.landings, tables.stations, params, with_month,
+                             flags)
         out = out.replace(trips=t, landings=lnd)
     if tables.pds_trips is not None:
-        p, pts = clean_pds(tables.pds_trips, tables.pds_points, params)
+        p, pts = clean_pds(tables.pds_trips, tables.pds_points, params, with_month, band)
         out = out.replace(pds_trips=p, pds_points=pts)
     return out
+
+
+def persist_clean(tables: Tables, params: Params, name: str = "clean") -> Tables:
+    """Clean and write the four fact tables under the checkpoint folder,
+    partitioned by month (landings and points carry their trip's month), and
+    read them back. Later slices prune month folders on every table, and the
+    written tables cut the lineage so a lost executor never re-runs cleaning.
+    The per-trip landing flags and band flags are written first (one row per
+    trip, far smaller than landings or points), so each large table is read
+    once to aggregate and once to filter, however many outputs use them."""
+    flags = band = None
+    if tables.trips is not None:
+        flags = materialize(trip_flags(tables.landings, params), f"{name}-flags")
+    if tables.pds_trips is not None:
+        band = materialize(band_flags(tables.pds_points, params), f"{name}-band")
+    c = clean(tables, params, with_month=True, flags=flags, band=band)
+    out = {}
+    for k in ("trips", "landings", "pds_trips", "pds_points"):
+        df = getattr(c, k)
+        if df is not None:
+            out[k] = materialize(df, f"{name}-{k}", partition_by=["month"])
+    return c.replace(**out)

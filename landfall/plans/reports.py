@@ -49,6 +49,13 @@ def summary_table(summary: DataFrame, sel: Selection, params: Params) -> DataFra
     return t.orderBy("is_total", "month").select(*cols)
 
 
+def with_headings(table: DataFrame) -> DataFrame:
+    """Display headings of the summary table (six or seven columns)."""
+    from landfall.sources.snapshot import HEADINGS
+    names = dict(zip(("Month",) + SUMMARY[1:], HEADINGS))
+    return table.withColumnsRenamed({c: names[c] for c in table.columns if c in names})
+
+
 def monthly_chart(summary: DataFrame) -> DataFrame:
     """Bar-chart table: tonnes, effort and CPUE per month, the tick date
     (month + 3 days), its label and the CPUE axis limit 1.5 x max CPUE."""

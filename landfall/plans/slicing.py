@@ -30,7 +30,15 @@ def slice_tables(clean: Tables, sel: Selection, params: Params) -> tuple[Tables,
     codes = sel.codes(lab)
     spark = clean.trips.sparkSession
     spine = month_spine(spark, sel.start, sel.end)
-    t = slice_dates(clean.trips, sel.start, sel.end)
+    lo, hi = sel.start.replace(day=1), sel.end.replace(day=1)
+
+    def months(df):
+        """Prune month folders when the table is stored partitioned by month."""
+        if df is None or "month" not in df.columns:
+            return df
+        return df.filter(F.col("month").between(F.lit(lo), F.lit(hi)))
+
+    t = slice_dates(months(clean.trips), sel.start, sel.end)
     t = slice_codes(t, "municipality_code", codes["sites"])
     t = slice_codes(t, "habitat_code", codes["habitats"])
     t = slice_codes(t, "gear_code", codes["gears"])
@@ -42,14 +50,15 @@ def slice_tables(clean: Tables, sel: Selection, params: Params) -> tuple[Tables,
         return clean.replace(**blank), empty_like(spine)
     guard = enough_rows(t, params.min_trips)
     t = t.filter(guard)
-    out = out.replace(trips=t, landings=keep_with(clean.landings, t, "trip_id"))
+    out = out.replace(trips=t, landings=keep_with(months(clean.landings), t, "trip_id"))
     if clean.pds_trips is not None:
-        p = slice_dates(clean.pds_trips, sel.start, sel.end)
+        p = slice_dates(months(clean.pds_trips), sel.start, sel.end)
         p = p.join(stations_of(clean.stations, codes["sites"]), "station_code", "left_semi")
         p = slice_codes(p, "habitat_code", codes["habitats"])
         p = slice_codes(p, "gear_code", codes["gears"])
         p = slice_codes(p, "boat_code", codes["boats"]).filter(guard)
-        out = out.replace(pds_trips=p, pds_points=keep_with(clean.pds_points, p, "PDS_trip"))
+        out = out.replace(pds_trips=p,
+                          pds_points=keep_with(months(clean.pds_points), p, "PDS_trip"))
     if clean.municipalities is not None:
         m = slice_codes(clean.municipalities, "municipality_code", codes["sites"])
         if 1 not in codes["boats"]:

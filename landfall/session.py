@@ -57,6 +57,10 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/landfall/{name}-{uuid.uuid4().hex}"
+    if partition_by:
+        # Group rows of one folder into few files; adaptive execution splits a
+        # folder that holds far more than the others instead of making it one task.
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

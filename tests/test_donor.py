@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from landfall.operators.donor import donor_accuracy, nearest_donor, validate_donor
+from landfall.operators.donor import donate_attributes, donor_accuracy, nearest_donor, validate_donor
 
 
 def _frame(spark, ids, feats, gears, habs):
@@ -72,3 +72,18 @@ def test_validation_counts(spark):
         assert r.gear_acc == pytest.approx(acc)
     s = donor_accuracy(validate_donor(sig, reps=5, cap=2.0)).collect()[0]
     assert s.reps == 5 and 0 <= s.gear_mean <= 1
+
+
+def test_donate_attributes_on_track_columns(spark):
+    cols = ", ".join([f"lat{i} double" for i in range(1, 11)] + [f"lng{i} double" for i in range(1, 11)])
+    schema = f"PDS_trip long, trip_id long, gear_code int, habitat_code int, {cols}"
+    base = [-8.5 + 0.01 * i for i in range(10)] + [125.5 + 0.01 * i for i in range(10)]
+    far = [v + 1.0 for v in base]
+    near = [v + 0.001 for v in base]
+    rows = [(1, 100, 3, 2, *base), (2, 200, 5, 1, *far),
+            (3, None, None, None, *near), (4, None, 7, 7, *[v + 5 for v in base])]
+    out = {r.PDS_trip: r for r in donate_attributes(spark.createDataFrame(rows, schema)).collect()}
+    assert (out[3].gear_code, out[3].habitat_code, out[3].donor_tripid) == (3, 2, 100)
+    assert out[3].donor_distance == pytest.approx((20 * 0.001 ** 2) ** 0.5)
+    assert (out[4].gear_code, out[4].donor_tripid) == (7, None)   # no donor within the cap
+    assert out[1].donor_tripid is None and out[1].gear_code == 3   # linked trips unchanged
