@@ -30,14 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _best_in_block(cap: float, q_extra, d_extra, by, chunk: int = 128):
+def _best_in_block(cap: float, q_extra, d_extra, by, dims: int, chunk: int = 128):
+    qcols = [f"_q{i}" for i in range(dims)]
+    dcols = [f"_d{i}" for i in range(dims)]
+
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         cols = by + ["_qid", "_did", "_dist"] + q_extra + d_extra
         if q.empty or d.empty:
             return pd.DataFrame({c: [] for c in cols})
         d = d.sort_values("_did", kind="stable").reset_index(drop=True)
-        dm = np.stack(d["_df"].to_numpy()).astype(float)
-        qm = np.stack(q["_qf"].to_numpy()).astype(float)
+        dm = d[dcols].to_numpy(dtype=float)
+        qm = q[qcols].to_numpy(dtype=float)
         best_i = np.empty(len(q), dtype=np.int64)
         best_d = np.empty(len(q))
         for s in range(0, len(q), chunk):
@@ -55,13 +58,18 @@ def _best_in_block(cap: float, q_extra, d_extra, by, chunk: int = 128):
     return run
 
 
+def by_only(by, keys):
+    return [c for c in by if c not in keys]
+
+
 def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id",
                   features: str = "features", carry=("gear_code", "habitat_code"),
                   query_carry=(), cap: float = 0.2, by=(), block_dims=(0, 1),
                   block_rows: int = 2048, keep_unmatched: bool = True,
-                  donor_key: str = "donor_tripid", distance: str = "donor_distance"
-                  ) -> DataFrame:
-    """Nearest donor within ``cap`` for each query (Euclidean over ``features``).
+                  donor_key: str = "donor_tripid", distance: str = "donor_distance",
+                  dims: int = 20) -> DataFrame:
+    """Nearest donor within ``cap`` for each query (Euclidean over the first
+    ``dims`` elements of ``features``).
 
     Returns ``by``, ``key``, ``donor_key``, ``distance``, the donor's ``carry``
     columns and the query's ``query_carry`` columns prefixed ``query_``. With
@@ -101,6 +109,11 @@ def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id"
          .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_sq") - 1)))
          .drop("_sq", "_sd"))
     gkeys = keys + ["_i", "_j"]
+    # Features as plain double columns: Arrow hands numpy a matrix, no per-row arrays.
+    q = q.select(*gkeys, *by_only(by, gkeys), "_qid", *q_extra,
+                 *[F.col("_qf")[i].alias(f"_q{i}") for i in range(dims)])
+    d = d.select(*gkeys, *by_only(by, gkeys), "_did", *d_extra,
+                 *[F.col("_df")[i].alias(f"_d{i}") for i in range(dims)])
     qs, ds = q.schema, d.schema
     out_schema = T.StructType(
         [qs[c] for c in by] + [T.StructField("_qid", qs["_qid"].dataType),
@@ -108,7 +121,7 @@ def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id"
                                T.StructField("_dist", T.DoubleType())]
         + [qs[c] for c in q_extra] + [ds[c] for c in d_extra])
     res = (q.groupBy(*gkeys).cogroup(d.groupBy(*gkeys))
-           .applyInPandas(_best_in_block(cap, q_extra, d_extra, by), schema=out_schema))
+           .applyInPandas(_best_in_block(cap, q_extra, d_extra, by, dims), schema=out_schema))
     best = (res.groupBy(*by, "_qid")
             .agg(F.min(F.struct("_dist", "_did", *d_extra, *q_extra)).alias("_b")))
     best = best.select(*by, F.col("_qid").alias(key), F.col("_b._did").alias(donor_key),

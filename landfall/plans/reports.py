@@ -90,9 +90,22 @@ def top(sliced: Tables, params: Params) -> DataFrame:
                        params.other_code)
 
 
-def dashboard(sliced: Tables, spine: DataFrame, sel: Selection, params: Params
-              ) -> dict[str, DataFrame]:
-    """Every result of one selection, as lazy frames."""
+def cache_slice(sliced: Tables) -> Tables:
+    """Keep the sliced fact tables in executor memory (spilling to disk) while
+    several reports read them. A lost block is recomputed from its lineage,
+    which after :func:`landfall.plans.clean.persist_clean` is a pruned scan."""
+    from pyspark import StorageLevel
+    keep = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in sliced.items()
+            if k in ("trips", "landings", "pds_trips", "pds_points")}
+    return sliced.replace(**keep)
+
+
+def dashboard(sliced: Tables, spine: DataFrame, sel: Selection, params: Params,
+              cache: bool = False) -> dict[str, DataFrame]:
+    """Every result of one selection, as lazy frames (``cache`` keeps the slice
+    in memory for the reports that share it)."""
+    if cache:
+        sliced = cache_slice(sliced)
     summary = monthly_summary(sliced, spine, sel, params)
     sp = top(sliced, params)
     h = heat(sliced.pds_points) if sliced.pds_points is not None else None
