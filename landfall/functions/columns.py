@@ -91,6 +91,14 @@ def log_axis(col) -> Column:
     return F.log10(_c(col) + F.lit(1.0))
 
 
+def log_axis_breaks() -> list[tuple[str, float]]:
+    """Tick labels and positions of the log-scaled daily charts."""
+    import math
+
+    from landfall.config import LOG_AXIS_TICKS
+    return [(str(v), math.log10(v + 1)) for v in LOG_AXIS_TICKS]
+
+
 def species_label(category="category", tetun="category_tetun") -> Column:
     """``category (category_tetun)``; a missing part prints as ``NA`` like R's paste0."""
     na = F.lit("NA")

@@ -136,10 +136,12 @@ def with_total(summary: DataFrame) -> DataFrame:
     national catch (NULL if a month's is NULL); CPUE of the total is total KG /
     total effort. The input has one row per month, so this is a tiny aggregate."""
     t = summary.agg(
+        F.count(F.lit(1)).alias("_months"),
         F.sum("fishing_days").alias("fishing_days"), F.sum("trips").alias("trips"),
         exact_sum("trip_effort").alias("trip_effort"), exact_sum("KG").alias("KG"),
         F.when(F.count("natcatch") == F.count(F.lit(1)), F.sum("natcatch")).alias("natcatch"))
-    t = t.withColumn("CPUE", F.try_divide(F.col("KG"), F.col("trip_effort")))
+    t = (t.filter(F.col("_months") > 0).drop("_months")   # no months (guarded): no Total
+         .withColumn("CPUE", F.try_divide(F.col("KG"), F.col("trip_effort"))))
     body = summary.withColumn("is_total", F.lit(False))
     tail = t.withColumn("month", F.lit(None).cast("date")).withColumn("is_total", F.lit(True))
     return body.unionByName(tail.select(*body.columns))

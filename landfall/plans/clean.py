@@ -37,26 +37,11 @@ def prepare_trips(trips: DataFrame, stations: DataFrame, params: Params) -> Data
     return patch(t, "IMEI", cond, params.patch_imei_to)
 
 
-def clean_trips(trips: DataFrame, landings: DataFrame, stations: DataFrame, params: Params,
-                with_month: bool = False, flags: DataFrame | None = None
+def judge_trips(trips: DataFrame, flags: DataFrame, stations: DataFrame, params: Params
                 ) -> tuple[DataFrame, DataFrame]:
-    """Clean reported trips and their landings.
-
-    Removed with all their landings: trips with an incomplete landing or a
-    landing flag outside ``ok_flags``; trips without municipality, habitat,
-    gear or effort; trips dated before ``min_date`` or on/after ``as_of`` (a
-    NULL date stays, the date slice removes it); trips whose KG / effort exceeds
-    ``cpue_cap``. Surviving trips carry their catch ``KG`` (0 without landings).
-
-    Landings are decided per trip id: one row per trip id of the landings (the
-    flag aggregate) meets the trip decision, and landings join that, so a
-    landing whose trip is unknown survives unless its own trip id is flagged,
-    as in the original. ``with_month`` adds the trip's month to both outputs
-    (for storage partitioned by month). ``flags`` may hold a stored result of
-    :func:`trip_flags` so that landings are aggregated once for both outputs.
-    """
+    """Kept trips (with ``KG`` and ``month``) and the landing decision: one row
+    (trip_id, month) per trip id whose landings stay."""
     t = prepare_trips(trips, stations, params)
-    flags = flags if flags is not None else trip_flags(landings, params)
     j = t.join(flags, "trip_id", "left").withColumns({
         "incomplete": F.coalesce("incomplete", F.lit(False)),
         "bad_flag": F.coalesce("bad_flag", F.lit(False)),
@@ -72,6 +57,32 @@ def clean_trips(trips: DataFrame, landings: DataFrame, stations: DataFrame, para
     decision = flags.select("trip_id", (F.col("incomplete") | F.col("bad_flag")).alias("_bad")).join(
         j.select("trip_id", "_keep", "month"), "trip_id", "left")
     decision = decision.filter(F.coalesce(F.col("_keep"), ~F.col("_bad"))).select("trip_id", "month")
+    return kept, decision
+
+
+def clean_trips(trips: DataFrame, landings: DataFrame, stations: DataFrame, params: Params,
+                with_month: bool = False, flags: DataFrame | None = None,
+                decision: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clean reported trips and their landings.
+
+    Removed with all their landings: trips with an incomplete landing or a
+    landing flag outside ``ok_flags``; trips without municipality, habitat,
+    gear or effort; trips dated before ``min_date`` or on/after ``as_of`` (a
+    NULL date stays, the date slice removes it); trips whose KG / effort exceeds
+    ``cpue_cap``. Surviving trips carry their catch ``KG`` (0 without landings).
+
+    Landings are decided per trip id: one row per trip id of the landings (the
+    flag aggregate) meets the trip decision, and landings join that, so a
+    landing whose trip is unknown survives unless its own trip id is flagged,
+    as in the original. ``with_month`` adds the trip's month to both outputs
+    (for storage partitioned by month). ``flags`` and ``decision`` may hold
+    stored results of :func:`trip_flags` and :func:`judge_trips` so that
+    landings are aggregated once and their final join reads two plain shuffles
+    (which adaptive execution can split when one trip holds most landings).
+    """
+    flags = flags if flags is not None else trip_flags(landings, params)
+    kept, lazy_decision = judge_trips(trips, flags, stations, params)
+    decision = decision if decision is not None else lazy_decision
     lnd = landings.join(decision, "trip_id", "inner")
     if not with_month:
         kept, lnd = kept.drop("month"), lnd.drop("month")
@@ -89,15 +100,11 @@ def band_flags(pds_points: DataFrame, params: Params) -> DataFrame:
         F.col("latlng").rlike(params.point_pattern), F.lit(False))).alias("_band"))
 
 
-def clean_pds(pds_trips: DataFrame, pds_points: DataFrame, params: Params,
-              with_month: bool = False, band: DataFrame | None = None
+def judge_pds(pds_trips: DataFrame, band: DataFrame, params: Params
               ) -> tuple[DataFrame, DataFrame]:
-    """Clean tracked trips: parse dates, recode habitats, drop trips without a
-    boat type and every trip with a point in the excluded band, each with its
-    points. Points of unknown trips stay (the slice removes them) unless one of
-    them lies in the band. One aggregation of points by trip finds the band."""
+    """Kept tracked trips (with ``month``) and the point decision: one row
+    (PDS_trip, month) per tracked trip id whose points stay."""
     p = recode(parse_date(pds_trips), "habitat_code", dict(params.habitat_recode))
-    band = band if band is not None else band_flags(pds_points, params)
     p = p.join(band, "PDS_trip", "left").withColumns({
         "_keep": F.col("boat_code").isNotNull() & ~F.coalesce(F.col("_band"), F.lit(False)),
         "month": month_floor("date")})
@@ -105,22 +112,38 @@ def clean_pds(pds_trips: DataFrame, pds_points: DataFrame, params: Params,
     decision = band.join(p.select("PDS_trip", F.col("_keep").alias("_tk"), "month"),
                          "PDS_trip", "left")
     decision = decision.filter(F.coalesce(F.col("_tk"), ~F.col("_band"))).select("PDS_trip", "month")
+    return kept, decision
+
+
+def clean_pds(pds_trips: DataFrame, pds_points: DataFrame, params: Params,
+              with_month: bool = False, band: DataFrame | None = None,
+              decision: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clean tracked trips: parse dates, recode habitats, drop trips without a
+    boat type and every trip with a point in the excluded band, each with its
+    points. Points of unknown trips stay (the slice removes them) unless one of
+    them lies in the band. One aggregation of points by trip finds the band."""
+    band = band if band is not None else band_flags(pds_points, params)
+    kept, lazy_decision = judge_pds(pds_trips, band, params)
+    decision = decision if decision is not None else lazy_decision
     pts = pds_points.join(decision, "PDS_trip", "inner")
     if not with_month:
         kept, pts = kept.drop("month"), pts.drop("month")
     return kept, pts
 
 
-def clean(tables: Tables, params: Params, with_month: bool = False,
-          flags: DataFrame | None = None, band: DataFrame | None = None) -> Tables:
-    """Clean every table of a refreshed bundle (dimension tables pass through)."""
+def clean(tables: Tables, params: Params, with_month: bool = False, stored: dict | None = None
+          ) -> Tables:
+    """Clean every table of a refreshed bundle (dimension tables pass through).
+    ``stored`` may hold written flags/decisions (see :func:`persist_clean`)."""
+    st = stored or {}
     out = tables
     if tables.trips is not None:
         t, lnd = clean_trips(tables.trips, tables.landings, tables.stations, params, with_month,
-                             flags)
+                             st.get("flags"), st.get("decision"))
         out = out.replace(trips=t, landings=lnd)
     if tables.pds_trips is not None:
-        p, pts = clean_pds(tables.pds_trips, tables.pds_points, params, with_month, band)
+        p, pts = clean_pds(tables.pds_trips, tables.pds_points, params, with_month,
+                           st.get("band"), st.get("pds_decision"))
         out = out.replace(pds_trips=p, pds_points=pts)
     return out
 
@@ -132,13 +155,20 @@ def persist_clean(tables: Tables, params: Params, name: str = "clean") -> Tables
     written tables cut the lineage so a lost executor never re-runs cleaning.
     The per-trip landing flags and band flags are written first (one row per
     trip, far smaller than landings or points), so each large table is read
-    once to aggregate and once to filter, however many outputs use them."""
-    flags = band = None
+    once to aggregate and once to filter, however many outputs use them. The
+    per-trip decisions are written too, so the final join of landings (and of
+    points) reads two plain shuffles: if one trip holds a third of all landings,
+    adaptive execution splits that partition instead of giving it to one task."""
+    st: dict = {}
     if tables.trips is not None:
-        flags = materialize(trip_flags(tables.landings, params), f"{name}-flags")
+        st["flags"] = materialize(trip_flags(tables.landings, params), f"{name}-flags")
+        st["decision"] = materialize(
+            judge_trips(tables.trips, st["flags"], tables.stations, params)[1], f"{name}-decision")
     if tables.pds_trips is not None:
-        band = materialize(band_flags(tables.pds_points, params), f"{name}-band")
-    c = clean(tables, params, with_month=True, flags=flags, band=band)
+        st["band"] = materialize(band_flags(tables.pds_points, params), f"{name}-band")
+        st["pds_decision"] = materialize(
+            judge_pds(tables.pds_trips, st["band"], params)[1], f"{name}-pds-decision")
+    c = clean(tables, params, with_month=True, stored=st)
     out = {}
     for k in ("trips", "landings", "pds_trips", "pds_points"):
         df = getattr(c, k)
