@@ -27,7 +27,9 @@ LANDINGS = _struct(
 )
 PDS_TRIPS = _struct(
     ("PDS_trip", L), ("date", S), ("boat_code", I), ("station_code", I),
-    ("gear_code", I), ("habitat_code", I),
+    ("gear_code", I), ("habitat_code", I), ("date_numeric", D), ("trip_id", L),
+    ("donor_tripid", L), ("donor_distance", D),
+    *[(f"lat{i}", D) for i in range(1, 11)], *[(f"lng{i}", D) for i in range(1, 11)],
 )
 PDS_POINTS = _struct(("PDS_trip", L), ("latlng", S))
 MUNICIPALITIES = _struct(

@@ -35,12 +35,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator and only read here. Only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    On a cluster this is set by the operator and only read here; if it is unset
+    there, this fails rather than writing to a folder only one machine sees. Only
+    in local mode (tests) an unset folder is replaced by a fresh scratch folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="landfall-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
