@@ -30,31 +30,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _best_in_block(cap: float, q_extra, d_extra, by, dims: int, chunk: int = 128):
+def _best_in_block(cap: float, q_extra, d_extra, by, dims: int, chunk: int = 1024):
     qcols = [f"_q{i}" for i in range(dims)]
     dcols = [f"_d{i}" for i in range(dims)]
+    cols = by + ["_qid", "_did", "_dist"] + q_extra + d_extra
 
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        cols = by + ["_qid", "_did", "_dist"] + q_extra + d_extra
         if q.empty or d.empty:
             return pd.DataFrame({c: [] for c in cols})
-        d = d.sort_values("_did", kind="stable").reset_index(drop=True)
-        dm = d[dcols].to_numpy(dtype=float)
-        qm = q[qcols].to_numpy(dtype=float)
-        best_i = np.empty(len(q), dtype=np.int64)
-        best_d = np.empty(len(q))
-        for s in range(0, len(q), chunk):
-            diff = qm[s:s + chunk, None, :] - dm[None, :, :]
-            d2 = np.einsum("ijk,ijk->ij", diff, diff)
-            i = np.argmin(d2, axis=1)
-            best_i[s:s + chunk] = i
-            best_d[s:s + chunk] = np.sqrt(d2[np.arange(len(i)), i])
+        did = d["_did"].to_numpy()
+        order = np.argsort(did, kind="stable")          # ties go to the smallest id
+        did = did[order]
+        dm = np.column_stack([d[c].to_numpy(dtype=float) for c in dcols])[order]
+        qm = np.column_stack([q[c].to_numpy(dtype=float) for c in qcols])
+        best_i = np.empty(len(qm), dtype=np.int64)
+        best_d = np.empty(len(qm))
+        dn = (dm * dm).sum(axis=1)
+        for s in range(0, len(qm), chunk):
+            qc = qm[s:s + chunk]
+            qn = (qc * qc).sum(axis=1)
+            # Squared distances by one matrix product; rounding error is at most
+            # a few ulps of |q|^2 + |d|^2, so every donor within ``tol`` of the
+            # row minimum is re-measured exactly and the exact minimum wins
+            # (ties to the smallest donor id, as donors are sorted by id).
+            approx = qn[:, None] + dn[None, :] - 2.0 * (qc @ dm.T)
+            lo = approx.min(axis=1)
+            tol = 1e-12 * (qn + dn.max()) + 1e-300
+            ii, jj = np.nonzero(approx <= (lo + tol)[:, None])
+            diff = qc[ii] - dm[jj]
+            exact = np.einsum("ij,ij->i", diff, diff)
+            pick = np.lexsort((jj, exact, ii))
+            first = np.ones(len(pick), dtype=bool)
+            first[1:] = ii[pick][1:] != ii[pick][:-1]
+            pick = pick[first]
+            best_i[s + ii[pick]] = jj[pick]
+            best_d[s + ii[pick]] = np.sqrt(exact[pick])
         ok = best_d <= cap
-        out = q.loc[ok, by + ["_qid"] + q_extra].reset_index(drop=True)
-        picked = d.loc[best_i[ok], ["_did"] + d_extra].reset_index(drop=True)
-        out = pd.concat([out, picked], axis=1)
+        hit = best_i[ok]
+        out = {c: q[c].to_numpy()[ok] for c in by + ["_qid"]}
+        out["_did"] = did[hit]
         out["_dist"] = best_d[ok]
-        return out[cols]
+        for c in q_extra:
+            out[c] = q[c].to_numpy()[ok]
+        for c in d_extra:
+            out[c] = d[c].to_numpy()[order][hit]
+        return pd.DataFrame(out, columns=cols)
     return run
 
 
