@@ -21,6 +21,12 @@ from landfall.session import materialize
 from landfall.tables import Tables
 
 LANDING_REQUIRED = ("species_code", "length", "nfish", "weight_g", "flag_code")
+# Trip attributes copied onto stored children, so that a slice filters landings
+# and points directly (pushed down, month-pruned) instead of joining them.
+TRIP_ATTRS = {"trip_date": "date", "trip_municipality": "municipality_code",
+              "trip_habitat": "habitat_code", "trip_gear": "gear_code", "trip_boat": "boat_code"}
+PDS_ATTRS = {"trip_date": "date", "trip_station": "station_code",
+             "trip_habitat": "habitat_code", "trip_gear": "gear_code", "trip_boat": "boat_code"}
 TRIP_REQUIRED = ("municipality_code", "habitat_code", "gear_code", "trip_effort")
 
 
@@ -40,7 +46,8 @@ def prepare_trips(trips: DataFrame, stations: DataFrame, params: Params) -> Data
 def judge_trips(trips: DataFrame, flags: DataFrame, stations: DataFrame, params: Params
                 ) -> tuple[DataFrame, DataFrame]:
     """Kept trips (with ``KG`` and ``month``) and the landing decision: one row
-    (trip_id, month) per trip id whose landings stay."""
+    per trip id whose landings stay, with the trip's month and slice attributes
+    (NULL for a trip id that is not among the trips)."""
     t = prepare_trips(trips, stations, params)
     j = t.join(flags, "trip_id", "left").withColumns({
         "incomplete": F.coalesce("incomplete", F.lit(False)),
@@ -54,9 +61,11 @@ def judge_trips(trips: DataFrame, flags: DataFrame, stations: DataFrame, params:
             & valid_date("date", params.min_date, params.as_of) & cpue_ok(params.cpue_cap))
     j = j.withColumns({"_keep": keep, "month": month_floor("date")})
     kept = j.filter("_keep").drop("_keep", "incomplete", "bad_flag")
+    attrs = [F.col(c).alias(a) for a, c in TRIP_ATTRS.items()]
     decision = flags.select("trip_id", (F.col("incomplete") | F.col("bad_flag")).alias("_bad")).join(
-        j.select("trip_id", "_keep", "month"), "trip_id", "left")
-    decision = decision.filter(F.coalesce(F.col("_keep"), ~F.col("_bad"))).select("trip_id", "month")
+        j.select("trip_id", "_keep", "month", *attrs), "trip_id", "left")
+    decision = (decision.filter(F.coalesce(F.col("_keep"), ~F.col("_bad")))
+                .select("trip_id", "month", *TRIP_ATTRS))
     return kept, decision
 
 
@@ -85,7 +94,7 @@ def clean_trips(trips: DataFrame, landings: DataFrame, stations: DataFrame, para
     decision = decision if decision is not None else lazy_decision
     lnd = landings.join(decision, "trip_id", "inner")
     if not with_month:
-        kept, lnd = kept.drop("month"), lnd.drop("month")
+        kept, lnd = kept.drop("month"), lnd.drop("month", *TRIP_ATTRS)
     return kept, lnd
 
 
@@ -102,16 +111,19 @@ def band_flags(pds_points: DataFrame, params: Params) -> DataFrame:
 
 def judge_pds(pds_trips: DataFrame, band: DataFrame, params: Params
               ) -> tuple[DataFrame, DataFrame]:
-    """Kept tracked trips (with ``month``) and the point decision: one row
-    (PDS_trip, month) per tracked trip id whose points stay."""
+    """Kept tracked trips (with ``month``) and the point decision: one row per
+    tracked trip id whose points stay, with the trip's month and slice
+    attributes (NULL for an unknown tracked trip)."""
     p = recode(parse_date(pds_trips), "habitat_code", dict(params.habitat_recode))
     p = p.join(band, "PDS_trip", "left").withColumns({
         "_keep": F.col("boat_code").isNotNull() & ~F.coalesce(F.col("_band"), F.lit(False)),
         "month": month_floor("date")})
     kept = p.filter("_keep").drop("_keep", "_band")
-    decision = band.join(p.select("PDS_trip", F.col("_keep").alias("_tk"), "month"),
+    attrs = [F.col(c).alias(a) for a, c in PDS_ATTRS.items()]
+    decision = band.join(p.select("PDS_trip", F.col("_keep").alias("_tk"), "month", *attrs),
                          "PDS_trip", "left")
-    decision = decision.filter(F.coalesce(F.col("_tk"), ~F.col("_band"))).select("PDS_trip", "month")
+    decision = (decision.filter(F.coalesce(F.col("_tk"), ~F.col("_band")))
+                .select("PDS_trip", "month", *PDS_ATTRS))
     return kept, decision
 
 
@@ -127,7 +139,7 @@ def clean_pds(pds_trips: DataFrame, pds_points: DataFrame, params: Params,
     decision = decision if decision is not None else lazy_decision
     pts = pds_points.join(decision, "PDS_trip", "inner")
     if not with_month:
-        kept, pts = kept.drop("month"), pts.drop("month")
+        kept, pts = kept.drop("month"), pts.drop("month", *PDS_ATTRS)
     return kept, pts
 
 

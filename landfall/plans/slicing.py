@@ -18,8 +18,9 @@ def slice_tables(clean: Tables, sel: Selection, params: Params) -> tuple[Tables,
 
     Reported trips: date strictly inside the window, municipality, habitat,
     gear and boat type selected. Tracked trips: the same, by the stations of the
-    selected municipalities. Landings and points follow their trips (semi
-    joins). Municipalities: the selected ones, fleet counts of an unselected
+    selected municipalities. Landings and points follow their trips: stored
+    children carry their trip's attributes and take the same filters (no join,
+    no shuffle); otherwise a semi join on the trip key. Municipalities: the selected ones, fleet counts of an unselected
     boat type set to 0. Shape: selected polygons recoloured.
 
     Guards: a dimension with nothing selected gives empty tables; fewer than
@@ -38,27 +39,40 @@ def slice_tables(clean: Tables, sel: Selection, params: Params) -> tuple[Tables,
             return df
         return df.filter(F.col("month").between(F.lit(lo), F.lit(hi)))
 
-    t = slice_dates(months(clean.trips), sel.start, sel.end)
-    t = slice_codes(t, "municipality_code", codes["sites"])
-    t = slice_codes(t, "habitat_code", codes["habitats"])
-    t = slice_codes(t, "gear_code", codes["gears"])
-    t = slice_codes(t, "boat_code", codes["boats"])
+    def rows(df, date, place, habitat, gear, boat, by_station=False):
+        """The selection's row filters on ``df`` (pushed to the scan)."""
+        df = slice_dates(months(df), sel.start, sel.end, date)
+        if by_station:
+            df = df.join(stations_of(clean.stations, codes["sites"])
+                         .withColumnRenamed("station_code", place), place, "left_semi")
+        else:
+            df = slice_codes(df, place, codes["sites"])
+        df = slice_codes(df, habitat, codes["habitats"])
+        df = slice_codes(df, gear, codes["gears"])
+        return slice_codes(df, boat, codes["boats"])
+
+    def children(child, parent, key, by_station=False):
+        """Children of the sliced parents: a plain filter when the stored child
+        carries its parent's attributes, else a semi join on the key."""
+        if "trip_date" in child.columns:
+            place = "trip_station" if by_station else "trip_municipality"
+            return rows(child, "trip_date", place, "trip_habitat", "trip_gear", "trip_boat",
+                        by_station).filter(guard)
+        return keep_with(months(child), parent, key)
+
+    t = rows(clean.trips, "date", "municipality_code", "habitat_code", "gear_code", "boat_code")
     out = clean
     if sel.is_empty(lab):
-        guard = None
         blank = {k: empty_like(v) for k, v in clean.items()}
         return clean.replace(**blank), empty_like(spine)
     guard = enough_rows(t, params.min_trips)
     t = t.filter(guard)
-    out = out.replace(trips=t, landings=keep_with(months(clean.landings), t, "trip_id"))
+    out = out.replace(trips=t, landings=children(clean.landings, t, "trip_id"))
     if clean.pds_trips is not None:
-        p = slice_dates(months(clean.pds_trips), sel.start, sel.end)
-        p = p.join(stations_of(clean.stations, codes["sites"]), "station_code", "left_semi")
-        p = slice_codes(p, "habitat_code", codes["habitats"])
-        p = slice_codes(p, "gear_code", codes["gears"])
-        p = slice_codes(p, "boat_code", codes["boats"]).filter(guard)
+        p = rows(clean.pds_trips, "date", "station_code", "habitat_code", "gear_code",
+                 "boat_code", by_station=True).filter(guard)
         out = out.replace(pds_trips=p,
-                          pds_points=keep_with(months(clean.pds_points), p, "PDS_trip"))
+                          pds_points=children(clean.pds_points, p, "PDS_trip", by_station=True))
     if clean.municipalities is not None:
         m = slice_codes(clean.municipalities, "municipality_code", codes["sites"])
         if 1 not in codes["boats"]:
