@@ -183,7 +183,7 @@ fleet AS (
 
 def nat_sql(enabled: bool) -> str:
     if not enabled:
-        return "national AS (SELECT month, 0.0 AS natcatch FROM monthly)"
+        return "national AS (SELECT month, CAST(0.0 AS DOUBLE) AS natcatch FROM monthly)"
     return """
 national AS (
   SELECT month,
@@ -385,7 +385,7 @@ VALIDATE = w(FIX) + """, rr AS (SELECT s.*, r.rep FROM f_sig s, range(100) r(rep
     kept AS (SELECT * FROM best b WHERE dist <= 0.5
              AND qh IN (SELECT habitat_code FROM tr WHERE tr.rep = b.rep)
              AND qg IN (SELECT gear_code FROM tr WHERE tr.rep = b.rep)),
-    per AS (SELECT rep, COUNT(*) AS kept, AVG(CASE WHEN qg = dg THEN 1.0 ELSE 0.0 END) AS gear_acc,
+    per AS (SELECT CAST(rep AS INTEGER) AS rep, COUNT(*) AS kept, AVG(CASE WHEN qg = dg THEN 1.0 ELSE 0.0 END) AS gear_acc,
                    AVG(CASE WHEN qh = dh THEN 1.0 ELSE 0.0 END) AS habitat_acc FROM kept GROUP BY rep)
 """
 SQL["validate_donor_reps"] = VALIDATE + "SELECT * FROM per"

@@ -44,9 +44,16 @@ def con():
     return c
 
 
+DUCK_TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+              "StringType()": "VARCHAR", "DateType()": "DATE", "BooleanType()": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF)
+    rel = con.sql(SQL[name])
+    assert {f.name: DUCK_TYPES.get(repr(f.dataType)) for f in df.schema} == \
+        {c: str(t) for c, t in zip(rel.columns, rel.types)}
     cur = con.execute(SQL[name])
     ocols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(ocols)
