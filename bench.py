@@ -72,9 +72,11 @@ def main() -> None:
         fixtures.signatures(spark, sf_dir), 100, PARAMS.donor_cap))))
 
     total = round(sum(v for k, v in times.items() if k != "prepare"), 3)
+    mem_gb = round(os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30, 1)
     print(json.dumps({"metric": "dashboard_total", "value": total, "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")),
-                      "cpus": int(cpus)}))
+                      "cpus": int(cpus), "host_cpus": os.cpu_count(), "host_mem_gb": mem_gb,
+                      "excluded": ["prepare"]}))
     spark.stop()
 
 

@@ -160,8 +160,14 @@ def track_signature(pds_trips: DataFrame, out: str = "features") -> DataFrame:
     return pds_trips.withColumn(out, F.array(*[F.col(c).cast("double") for c in cols]))
 
 
-def donate_attributes(pds_trips: DataFrame, cap: float = 0.2, block_rows: int = 2048
-                      ) -> DataFrame:
+# Grid coordinates for track signatures: the mid-trip position (lat5, lng5).
+# Any pair of coordinates gives the same exact answer; start positions would
+# put every trip of a harbour into one cell, mid-trip positions spread them.
+TRACK_BLOCK_DIMS = (4, 14)
+
+
+def donate_attributes(pds_trips: DataFrame, cap: float = 0.2, block_rows: int = 2048,
+                      block_dims=TRACK_BLOCK_DIMS) -> DataFrame:
     """Fill gear and habitat of tracked trips that have no reported trip from
     the nearest linked tracked trip within ``cap`` (its reported trip id and the
     distance are kept as ``donor_tripid`` and ``donor_distance``). Linked trips
@@ -172,7 +178,7 @@ def donate_attributes(pds_trips: DataFrame, cap: float = 0.2, block_rows: int =
     queries = sig.filter(F.col("trip_id").isNull()).select("PDS_trip", "features")
     nn = nearest_donor(queries, donors.withColumnRenamed("_donor", "PDS_trip"), key="PDS_trip",
                        cap=cap, block_rows=block_rows, keep_unmatched=False,
-                       donor_key="_dt", distance="_dd")
+                       donor_key="_dt", distance="_dd", block_dims=block_dims)
     nn = nn.select("PDS_trip", "_dt", "_dd", F.col("gear_code").alias("_g"),
                    F.col("habitat_code").alias("_h"))
     j = pds_trips.join(nn, "PDS_trip", "left")
