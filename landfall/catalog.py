@@ -21,8 +21,8 @@ from landfall.functions.dates import default_window_cols, month_floor
 from landfall.operators.aggregates import (boat_cpue, fleet_size, monthly_cpue, national_catch,
                                            species_catch, species_share)
 from landfall.operators.discards import cutoff
-from landfall.operators.donor import (donor_accuracy, nearest_donor, train_split,
-                                      validate_donor)
+from landfall.operators.donor import (donate_attributes, donor_accuracy, nearest_donor,
+                                      train_split, validate_donor)
 from landfall.operators.joins import attach_catch, landing_dates
 from landfall.operators.quality import cascade_delete, check_fk, check_pk
 from landfall.operators.spatial import cell_boxes, heat, heat_classes
@@ -309,6 +309,12 @@ def q_nearest_donor(spark, sf):
                          cap=PARAMS.donor_cap)
 
 
+def q_donor_fill(spark, sf):
+    out = donate_attributes(fixtures.tracks(spark, sf), cap=PARAMS.donor_cap)
+    return out.select("PDS_trip", "trip_id", "gear_code", "habitat_code", "donor_tripid",
+                      "donor_distance")
+
+
 def q_validate_donor_reps(spark, sf):
     return validate_donor(fixtures.signatures(spark, sf), DONOR_REPS, PARAMS.donor_cap)
 
@@ -382,6 +388,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "month_floor": q_month_floor,
     "default_window": q_default_window,
     "nearest_donor": q_nearest_donor,
+    "donor_fill": q_donor_fill,
     "validate_donor": q_validate_donor,
     "validate_donor_reps": q_validate_donor_reps,
     "smooth_site": q_smooth_site,

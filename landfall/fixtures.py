@@ -138,6 +138,22 @@ def signatures(spark, sf_dir) -> DataFrame:
                     (F.col("label") % 3).alias("habitat_code"))
 
 
+def tracks(spark, sf_dir) -> DataFrame:
+    """Tracked trips with 20-number track columns: the first 20 elements of an
+    embedding as lat1..lat10, lng1..lng10. One trip in five has no reported
+    trip (no trip id, gear or habitat): those are the ones to fill."""
+    e = _src(spark, sf_dir, "embeddings")
+    linked = F.col("vec_id") % 5 != 0
+    pos = [F.element_at("embedding", i + 1).cast("double") for i in range(20)]
+    return e.select(
+        F.col("vec_id").alias("PDS_trip"),
+        F.when(linked, F.col("vec_id")).alias("trip_id"),
+        F.when(linked, F.col("label")).alias("gear_code"),
+        F.when(linked, F.col("label") % 3).alias("habitat_code"),
+        *[p.alias(f"lat{i + 1}") for i, p in enumerate(pos[:10])],
+        *[p.alias(f"lng{i + 1}") for i, p in enumerate(pos[10:])])
+
+
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(
         trips=trips(spark, sf_dir), landings=landings(spark, sf_dir),

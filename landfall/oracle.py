@@ -364,6 +364,20 @@ SQL: dict[str, str] = {
                                 FROM pairs WHERE dist <= 0.5) WHERE rn = 1)
         SELECT q.trip_id, b.donor_tripid, b.dist AS donor_distance, b.gear_code, b.habitat_code
         FROM qry q LEFT JOIN best b ON b.trip_id = q.trip_id""",
+    "donor_fill": w(FIX) + """, tr AS (
+          SELECT vec_id AS PDS_trip, CASE WHEN vec_id % 5 <> 0 THEN vec_id END AS trip_id,
+                 CASE WHEN vec_id % 5 <> 0 THEN label END AS gear_code,
+                 CASE WHEN vec_id % 5 <> 0 THEN label % 3 END AS habitat_code,
+                 CAST(embedding[1:20] AS DOUBLE[]) AS f FROM embeddings),
+        pairs AS (SELECT q.PDS_trip, d.trip_id AS donor, list_distance(q.f, d.f) AS dist,
+                         d.gear_code AS g, d.habitat_code AS h
+                  FROM tr q, tr d WHERE q.trip_id IS NULL AND d.trip_id IS NOT NULL),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY PDS_trip ORDER BY dist, donor) AS rn
+                                FROM pairs WHERE dist <= 0.5) WHERE rn = 1)
+        SELECT t.PDS_trip, t.trip_id, COALESCE(b.g, t.gear_code) AS gear_code,
+               COALESCE(b.h, t.habitat_code) AS habitat_code, b.donor AS donor_tripid,
+               b.dist AS donor_distance
+        FROM tr t LEFT JOIN best b ON b.PDS_trip = t.PDS_trip""",
     "check_pk": w(FIX, DELTA) + """SELECT trip_id, COUNT(*) AS n FROM (
         SELECT * FROM snap UNION ALL
         SELECT * FROM f_trips WHERE date_numeric > (SELECT m FROM mark) - 30)
