@@ -109,6 +109,9 @@ def dashboard(sliced: Tables, spine: DataFrame, sel: Selection, params: Params,
     summary = monthly_summary(sliced, spine, sel, params)
     sp = top(sliced, params)
     h = heat(sliced.pds_points) if sliced.pds_points is not None else None
+    if cache:   # shared by several results: months, top species, grid cells
+        summary, sp = summary.persist(), sp.persist()
+        h = h.persist() if h is not None else None
     out = {
         "monthly": summary,
         "table": summary_table(summary, sel, params),
