@@ -5,7 +5,6 @@ import datetime as dt
 import glob
 import os
 
-from pyspark.sql import functions as F
 
 from landfall import schema
 from landfall.sources.snapshot import (backup_tables, export_summary_csv, read_snapshot,
