@@ -280,8 +280,13 @@ def q_log_axis(spark, sf):
     return daily_chart(daily(sliced(spark, sf)[0], "site", MAIN, PARAMS, PARAMS.min_days))
 
 
-def q_smooth_site(spark, sf):
-    return daily(sliced(spark, sf, SMOOTH)[0], "site", SMOOTH, PARAMS, PARAMS.min_days)
+def _smooth(dim):
+    def run(spark, sf):
+        return daily(sliced(spark, sf, SMOOTH)[0], dim, SMOOTH, PARAMS, PARAMS.min_days)
+    return run
+
+
+q_smooth_site = _smooth("site")
 
 
 # --- map -------------------------------------------------------------------------------
@@ -392,6 +397,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_donor": q_validate_donor,
     "validate_donor_reps": q_validate_donor_reps,
     "smooth_site": q_smooth_site,
+    "smooth_habitat": _smooth("habitat"),
+    "smooth_gear": _smooth("gear"),
     "check_pk": q_check_pk,
     "check_fk": q_check_fk,
     "cascade_delete": q_cascade_delete,

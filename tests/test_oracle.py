@@ -61,4 +61,4 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_but_the_spline_has_an_oracle():
-    assert set(QUERIES) - set(SQL) == {"smooth_site"}
+    assert set(QUERIES) - set(SQL) == {"smooth_site", "smooth_habitat", "smooth_gear"}

@@ -67,7 +67,8 @@ def test_stored_path_equals_lazy_path(spark):
 
     r = catalog.refreshed(spark, SF)
     stored = persist_clean(r, catalog.PARAMS, "prop-store")
-    a = dashboard(*slice_tables(stored, catalog.MAIN, catalog.PARAMS), catalog.MAIN, catalog.PARAMS)
+    a = dashboard(*slice_tables(stored, catalog.MAIN, catalog.PARAMS), catalog.MAIN, catalog.PARAMS,
+                  cache=True)
     b = dashboard(*catalog.sliced(spark, SF), catalog.MAIN, catalog.PARAMS)
     for name in ("monthly", "table", "site", "habitat", "gear", "species", "heat", "heat_classes"):
         assert _rows(a[name]) == _rows(b[name]), name

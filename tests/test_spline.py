@@ -49,3 +49,15 @@ def test_knot_count_rule():
     assert ks == sorted(ks)                     # never decreases
     assert 99 <= n_knots(200) <= 100 and 139 <= n_knots(800) <= 140
     assert 199 <= n_knots(3200) <= 200
+
+
+def test_weighted_mean_is_preserved():
+    # Constants are not penalised, so weighted residuals sum to zero.
+    rng = np.random.default_rng(9)
+    x = np.sort(rng.choice(np.arange(400.0), 120, replace=False))
+    y = rng.gamma(2.0, 1.5, 120)
+    w = rng.uniform(1, 20, 120)
+    for spar in (0.2, 0.5, 0.9):
+        fit = smooth_fit(x, y, w, spar)
+        assert abs(np.average(fit, weights=w) - np.average(y, weights=w)) < 1e-9
+        assert fit.std() < y.std()
