@@ -115,11 +115,15 @@ def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id"
                                                  for off in offsets])))
     q = q.withColumns({c: F.col(c) + F.col("_off")[j] for j, c in enumerate(cells)}).drop("_off")
     keys = by + cells
-    nq = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
-    nd = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd"))
-    sizes = nq.join(nd, keys, "inner").select(
-        *keys, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_sq"),
-        F.ceil(F.col("_nd") / block_rows).cast("int").alias("_sd"))
+    # Rows per cell on each side, in one aggregation over both sides' keys;
+    # only cells holding queries and donors remain.
+    tagged = (q.select(*keys, F.lit(1).alias("_isq"))
+              .unionByName(d.select(*keys, F.lit(0).alias("_isq"))))
+    sizes = (tagged.groupBy(*keys)
+             .agg(F.sum("_isq").alias("_nq"), F.sum(1 - F.col("_isq")).alias("_nd"))
+             .filter((F.col("_nq") > 0) & (F.col("_nd") > 0))
+             .select(*keys, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_sq"),
+                     F.ceil(F.col("_nd") / block_rows).cast("int").alias("_sd")))
     q = (q.join(sizes, keys, "inner")
          .withColumn("_i", F.pmod(F.xxhash64("_qid"), F.col("_sq")).cast("int"))
          .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1)))
