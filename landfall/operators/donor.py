@@ -216,10 +216,14 @@ def validate_donor(signatures: DataFrame, reps: int = 100, cap: float = 0.2, *,
                        carry=("gear_code", "habitat_code"),
                        query_carry=("gear_code", "habitat_code"), cap=cap, by=["rep"],
                        block_rows=block_rows, keep_unmatched=False)
-    habs = donors.select("rep", F.col("habitat_code").alias("query_habitat_code")).distinct()
-    gears = donors.select("rep", F.col("gear_code").alias("query_gear_code")).distinct()
-    kept = (nn.join(habs, ["rep", "query_habitat_code"], "left_semi")
-            .join(gears, ["rep", "query_gear_code"], "left_semi"))
+    # Codes seen in each repeat's training part: one row per repeat, each set
+    # bounded by the closed gear and habitat code lists.
+    seen = donors.groupBy("rep").agg(F.collect_set("habitat_code").alias("_habs"),
+                                     F.collect_set("gear_code").alias("_gears"))
+    kept = (nn.join(seen, "rep", "inner")
+            .filter(F.array_contains("_habs", F.col("query_habitat_code"))
+                    & F.array_contains("_gears", F.col("query_gear_code")))
+            .drop("_habs", "_gears"))
     hit = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
     return kept.groupBy("rep").agg(
         F.count(F.lit(1)).alias("kept"),
