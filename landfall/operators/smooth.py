@@ -1,9 +1,10 @@
 """Smoothed daily series: one weighted smoothing spline per series.
 
-This is the one step that runs Python on the data path. Each group handed to
-the function is one series of the daily aggregate, which has at most one row
-per day of the report window, so a group is bounded regardless of data size;
-Spark partitions the series and Arrow moves them in batches.
+One of the two steps that run Python on the data path (the other is the donor
+block search). Each group handed to the function is one series of the daily
+aggregate, which has at most one row per day of the report window, so a group
+is bounded regardless of data size; Spark partitions the series and Arrow
+moves them in batches.
 """
 
 from __future__ import annotations

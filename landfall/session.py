@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "landfall", extra: dict | None = None) -> SparkSession:
     """Session with adaptive execution (runtime coalescing, skew-join splitting,
-    size-checked broadcast conversion) and Arrow for the one Python step."""
+    size-checked broadcast conversion) and Arrow for the two Python steps
+    (smoothing spline, donor block search)."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     b = (SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
