@@ -87,13 +87,19 @@ def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id"
                   query_carry=(), cap: float = 0.2, by=(), block_dims=(0, 1),
                   block_rows: int = 2048, keep_unmatched: bool = True,
                   donor_key: str = "donor_tripid", distance: str = "donor_distance",
-                  dims: int = 20) -> DataFrame:
+                  dims: int = 20, refine_dims=(), refine_rows: int = 100_000) -> DataFrame:
     """Nearest donor within ``cap`` for each query (Euclidean over the first
     ``dims`` elements of ``features``).
 
     Returns ``by``, ``key``, ``donor_key``, ``distance``, the donor's ``carry``
     columns and the query's ``query_carry`` columns prefixed ``query_``. With
     ``keep_unmatched`` a query without a donor within ``cap`` is kept with NULLs.
+
+    ``refine_dims``: a cell holding more than ``refine_rows`` donors is blocked
+    again on these coordinates (same cell size, queries visit the 3 x 3 finer
+    neighbours there only), which cuts the pairs compared in dense cells; salts
+    are then counted at the finer level. Exact for the same reason as the first
+    level.
     """
     by, carry, query_carry = list(by), list(carry), list(query_carry)
     q_extra = [f"query_{c}" for c in query_carry]
@@ -115,15 +121,40 @@ def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id"
                                                  for off in offsets])))
     q = q.withColumns({c: F.col(c) + F.col("_off")[j] for j, c in enumerate(cells)}).drop("_off")
     keys = by + cells
-    # Rows per cell on each side, in one aggregation over both sides' keys;
-    # only cells holding queries and donors remain.
-    tagged = (q.select(*keys, F.lit(1).alias("_isq"))
-              .unionByName(d.select(*keys, F.lit(0).alias("_isq"))))
-    sizes = (tagged.groupBy(*keys)
-             .agg(F.sum("_isq").alias("_nq"), F.sum(1 - F.col("_isq")).alias("_nd"))
-             .filter((F.col("_nq") > 0) & (F.col("_nd") > 0))
-             .select(*keys, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_sq"),
-                     F.ceil(F.col("_nd") / block_rows).cast("int").alias("_sd")))
+
+    def counts(q, d, keys):
+        """Rows per cell on each side, in one aggregation over both sides' keys;
+        only cells holding queries and donors remain."""
+        tagged = (q.select(*keys, F.lit(1).alias("_isq"))
+                  .unionByName(d.select(*keys, F.lit(0).alias("_isq"))))
+        return (tagged.groupBy(*keys)
+                .agg(F.sum("_isq").alias("_nq"), F.sum(1 - F.col("_isq")).alias("_nd"))
+                .filter((F.col("_nq") > 0) & (F.col("_nd") > 0)))
+
+    coarse = counts(q, d, keys)
+    if refine_dims:
+        fine = [f"_f{j}" for j in range(len(refine_dims))]
+        dense = coarse.select(*keys, (F.col("_nd") > refine_rows).alias("_dense"))
+        q = q.join(dense, keys, "inner")
+        d = d.join(dense, keys, "inner")
+
+        def fine_of(arr):
+            return {c: F.when(F.col("_dense"), F.floor(F.element_at(F.col(arr), i + 1)
+                                                       / F.lit(cap)).cast("long"))
+                    .otherwise(F.lit(0).cast("long")) for c, i in zip(fine, refine_dims)}
+
+        d = d.withColumns(fine_of("_df")).drop("_dense")
+        q = q.withColumns(fine_of("_qf"))
+        near = list(itertools.product((-1, 0, 1), repeat=len(fine)))
+        q = q.withColumn("_off", F.explode(F.when(
+            F.col("_dense"), F.array(*[F.array(*[F.lit(o) for o in off]) for off in near]))
+            .otherwise(F.array(F.array(*[F.lit(0) for _ in fine])))))
+        q = q.withColumns({c: F.col(c) + F.col("_off")[j] for j, c in enumerate(fine)}
+                          ).drop("_off", "_dense")
+        keys = keys + fine
+        coarse = counts(q, d, keys)
+    sizes = coarse.select(*keys, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_sq"),
+                          F.ceil(F.col("_nd") / block_rows).cast("int").alias("_sd"))
     q = (q.join(sizes, keys, "inner")
          .withColumn("_i", F.pmod(F.xxhash64("_qid"), F.col("_sq")).cast("int"))
          .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1)))
@@ -168,10 +199,13 @@ def track_signature(pds_trips: DataFrame, out: str = "features") -> DataFrame:
 # Any pair of coordinates gives the same exact answer; start positions would
 # put every trip of a harbour into one cell, mid-trip positions spread them.
 TRACK_BLOCK_DIMS = (4, 14)
+# Dense cells are blocked again on the end position (lat10, lng10).
+TRACK_REFINE_DIMS = (9, 19)
 
 
 def donate_attributes(pds_trips: DataFrame, cap: float = 0.2, block_rows: int = 2048,
-                      block_dims=TRACK_BLOCK_DIMS) -> DataFrame:
+                      block_dims=TRACK_BLOCK_DIMS, refine_dims=TRACK_REFINE_DIMS,
+                      refine_rows: int = 100_000) -> DataFrame:
     """Fill gear and habitat of tracked trips that have no reported trip from
     the nearest linked tracked trip within ``cap`` (its reported trip id and the
     distance are kept as ``donor_tripid`` and ``donor_distance``). Linked trips
@@ -182,7 +216,8 @@ def donate_attributes(pds_trips: DataFrame, cap: float = 0.2, block_rows: int =
     queries = sig.filter(F.col("trip_id").isNull()).select("PDS_trip", "features")
     nn = nearest_donor(queries, donors.withColumnRenamed("_donor", "PDS_trip"), key="PDS_trip",
                        cap=cap, block_rows=block_rows, keep_unmatched=False,
-                       donor_key="_dt", distance="_dd", block_dims=block_dims)
+                       donor_key="_dt", distance="_dd", block_dims=block_dims,
+                       refine_dims=refine_dims, refine_rows=refine_rows)
     nn = nn.select("PDS_trip", "_dt", "_dd", F.col("gear_code").alias("_g"),
                    F.col("habitat_code").alias("_h"))
     j = pds_trips.join(nn, "PDS_trip", "left")

@@ -22,8 +22,9 @@ def _brute(qf, df, dids, cap):
     return out
 
 
-@pytest.mark.parametrize("block_rows,spread", [(2048, 0.3), (5, 0.3), (3, 0.02)])
-def test_matches_brute_force(spark, block_rows, spread):
+@pytest.mark.parametrize("block_rows,spread,refine", [(2048, 0.3, 0), (5, 0.3, 0), (3, 0.02, 0),
+                                                      (4, 0.3, 6), (3, 0.02, 2)])
+def test_matches_brute_force(spark, block_rows, spread, refine):
     rng = np.random.default_rng(7)
     nd, nq, k = 60, 25, 20
     df = rng.normal(0, spread, (nd, k))
@@ -32,8 +33,9 @@ def test_matches_brute_force(spark, block_rows, spread):
     donors = _frame(spark, dids, df, rng.integers(1, 9, nd), rng.integers(1, 6, nd))
     queries = _frame(spark, np.arange(nq), qf, np.zeros(nq), np.zeros(nq))
     cap = 0.9 if spread > 0.1 else 0.2
+    extra = {"refine_dims": (2, 3), "refine_rows": refine} if refine else {}
     got = {r.trip_id: (r.donor_tripid, r.donor_distance) for r in
-           nearest_donor(queries, donors, cap=cap, block_rows=block_rows).collect()}
+           nearest_donor(queries, donors, cap=cap, block_rows=block_rows, **extra).collect()}
     want = _brute(qf, df, dids, cap)
     assert set(got) == set(range(nq))
     for i in range(nq):
@@ -82,7 +84,8 @@ def test_donate_attributes_on_track_columns(spark):
     near = [v + 0.001 for v in base]
     rows = [(1, 100, 3, 2, *base), (2, 200, 5, 1, *far),
             (3, None, None, None, *near), (4, None, 7, 7, *[v + 5 for v in base])]
-    out = {r.PDS_trip: r for r in donate_attributes(spark.createDataFrame(rows, schema)).collect()}
+    out = {r.PDS_trip: r for r in donate_attributes(spark.createDataFrame(rows, schema),
+                                                    refine_rows=1).collect()}
     assert (out[3].gear_code, out[3].habitat_code, out[3].donor_tripid) == (3, 2, 100)
     assert out[3].donor_distance == pytest.approx((20 * 0.001 ** 2) ** 0.5)
     assert (out[4].gear_code, out[4].donor_tripid) == (7, None)   # no donor within the cap
