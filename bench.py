@@ -24,8 +24,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from landfall import fixtures  # noqa: E402
 from landfall.catalog import MAIN, PARAMS, SMOOTH, refreshed  # noqa: E402
-from landfall.operators.donor import (donor_accuracy, nearest_donor, train_split,  # noqa: E402
-                                      validate_donor)
+from landfall.operators.donor import (donate_attributes, donor_accuracy,  # noqa: E402
+                                      nearest_donor, train_split, validate_donor)
 from landfall.plans.clean import persist_clean  # noqa: E402
 from landfall.plans.reports import daily, dashboard  # noqa: E402
 from landfall.plans.slicing import slice_tables  # noqa: E402
@@ -68,6 +68,8 @@ def main() -> None:
     train = train_split("trip_id", "rep")
     _, times["nearest_donor"] = timed(lambda: run(nearest_donor(
         sig.filter(~train).drop("rep"), sig.filter(train).drop("rep"), cap=PARAMS.donor_cap)))
+    _, times["donor_fill"] = timed(lambda: run(donate_attributes(
+        fixtures.tracks(spark, sf_dir), cap=PARAMS.donor_cap)))
     _, times["validate_donor"] = timed(lambda: run(donor_accuracy(validate_donor(
         fixtures.signatures(spark, sf_dir), 100, PARAMS.donor_cap))))
 
