@@ -10,10 +10,13 @@ Plan, exact for every pair within ``cap``:
   coordinate, so on a grid of cell size ``cap`` over two coordinates the donor
   lies in the query's cell or one of its 8 neighbours. Each query visits those
   9 cells; nothing farther is ever compared.
-* Hot cells (e.g. every track starting at one harbour): per-cell counts set a
-  salt so that a cell with many queries or donors is split into blocks of at
-  most ``block_rows`` on each side; every query block meets every donor block of
-  its cell. Work per task is bounded, no pair rows are materialised.
+* Dense cells (e.g. every track passing one fishing ground): optionally, a
+  cell with more than ``refine_rows`` donors is blocked again on two more
+  coordinates the same way, which cuts the pairs compared there.
+* Hot cells: per-cell counts set a salt so that a cell with many queries or
+  donors is split into blocks of at most ``block_rows`` on each side; every
+  query block meets every donor block of its cell. Work per task is bounded,
+  no pair rows are materialised.
 * Inside a block numpy computes the distances of a chunk of queries to all
   donors and keeps each query's best; a final ``min`` over (distance, donor id)
   across blocks picks the nearest, ties to the smallest donor id.
