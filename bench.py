@@ -47,7 +47,7 @@ def timed(fn):
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
     times: dict[str, float] = {}
 
     def prepare():
