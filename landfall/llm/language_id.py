@@ -11,7 +11,7 @@ Prediction: the lookups of a document's n-grams are counted per language (popcou
 each language's count is corrected for the share of its bits that are set (its false
 positives), and the largest corrected count decides; the score is its share of the
 n-grams, from 0 to 1. Documents are predicted where they are read; nothing is shuffled.
-The filter has a fixed size (``1 << bits`` slots) and is broadcast.
+The filter has a fixed size (``1 << bits`` slots) and is sent to the tasks.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; so is any
 text if nothing was learned; ties go to the language that sorts first; null languages
@@ -193,12 +193,10 @@ def learn(docs: DataFrame, per_language: int = 2000, bits: int = 20, common: flo
 
 def predict(docs: DataFrame, model: Filter) -> DataFrame:
     """doc_id, lang_pred and score of every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letter, known = letters_table(), shared.value
+        letter = letters_table()
         for b in batches:
-            names, scores = known.decide(b.column(1).to_pylist(), letter)
+            names, scores = model.decide(b.column(1).to_pylist(), letter)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
 
@@ -208,14 +206,13 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Filter, least_score: float = 0.3) -> DataFrame:
     """The rows whose language is known with at least ``least_score``, all columns kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letter, known = letters_table(), shared.value
+        letter = letters_table()
         for b in batches:
             texts = b.column(columns.index("text")).to_pylist()
-            names, scores = known.decide(texts, letter)
+            names, scores = model.decide(texts, letter)
             yield b.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

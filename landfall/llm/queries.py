@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfall.llm import language_id, license_scan, mixing, packing, quality_hosts, secret_scan, simhash
-from landfall.llm.text import documents, id_crc
+from landfall.llm import language_id, license_scan, mixing, neighbours, packing, pitman_yor, quality_hosts, secret_scan, simhash
+from landfall.llm.text import documents, id_crc, table
 
 PACK_TOKENS = 1024
 
@@ -43,6 +43,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of nine tenths of them."""
+    d = documents(spark, sf_dir)
+    held = id_crc(F.col("doc_id")) % 10 == 0
+    return pitman_yor.score(d, held, *pitman_yor.fit(d.where(~held)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and component of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, radius=3).select(
@@ -62,6 +69,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.decompose(documents(spark, sf_dir), tokenizer_path(), PACK_TOKENS, with_ids=False).drop("ids")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every row of embeddings whose id is divisible by 100."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=10)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_quality_hosts, op4_secret_scan, op5_mixing, op7_simhash, op8_language_id, op9_packing)}
+    op1_license_scan, op2_quality_hosts, op4_secret_scan, op5_mixing, op6_pitman_yor, op7_simhash, op8_language_id, op9_packing,
+    op10_neighbours)}
 SQL: dict[str, str] = {}
