@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfall.llm import language_id, license_scan, mixing, neighbours, packing, pitman_yor, quality_hosts, secret_scan, simhash
+from landfall.llm import language_id, license_scan, mixing, neighbours, packing, pitman_yor, quality_hosts, secret_scan, simhash, suffix_dedup
 from landfall.llm.text import documents, id_crc, table
 
 PACK_TOKENS = 1024
@@ -31,6 +31,11 @@ def op2_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "fails", "host_condemned")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that stand elsewhere."""
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts, a digest of the base spans, all spans."""
     return secret_scan.scan(documents(spark, sf_dir)).select(
@@ -75,6 +80,6 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_quality_hosts, op4_secret_scan, op5_mixing, op6_pitman_yor, op7_simhash, op8_language_id, op9_packing,
+    op1_license_scan, op2_quality_hosts, op3_suffix_dedup, op4_secret_scan, op5_mixing, op6_pitman_yor, op7_simhash, op8_language_id, op9_packing,
     op10_neighbours)}
 SQL: dict[str, str] = {}
