@@ -289,13 +289,13 @@ FOUND = "h1 long, h2 int, start long, stop long, w1 long, w2 long, n int"
 
 
 def search_bucket(length: int):
-    """Ranges of repeated windows in a bucket, and rows of windows to be compared across
-    buckets (their hash and number; start and stop only if the bucket has it once)."""
+    """Ranges of repeated windows in a bucket (n = 0), and rows of windows to be compared
+    across buckets: their hash and number; start is -1 unless the bucket has it once."""
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         known = rows["after"].isna().to_numpy()
         for r in rows[known].itertuples():
-            out.append((r.h1, r.h2, r.pos - r.far, r.pos - r.near + length, None, None, 0))
+            out.append((r.h1, r.h2, r.pos - r.far, r.pos - r.near + length, 0, 0, 0))
         rows = rows[~known]
         if len(rows):
             near, far, pos = (rows[c].to_numpy(np.int64) for c in ("near", "far", "pos"))
@@ -305,8 +305,7 @@ def search_bucket(length: int):
             repeats, firsts = repeated_windows(after, before, near, far, n, length)
             edge = np.diff(np.pad(repeats, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             (i, low), (_, high) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-            out += list(zip(h1[i], h2[i], pos[i] - high + 1, pos[i] - low + length, [None] * len(i), [None] * len(i),
-                            [0] * len(i)))
+            out += list(zip(h1[i], h2[i], pos[i] - high + 1, pos[i] - low + length, *[[0] * len(i)] * 3))
             for i in np.flatnonzero(rows["cut"].to_numpy()):
                 text = before[i][::-1] + after[i]
                 for d in np.flatnonzero(firsts[i]):
@@ -314,10 +313,8 @@ def search_bucket(length: int):
                     w = np.frombuffer(hashlib.blake2b(text[at:at + length], digest_size=16).digest(), np.int64)
                     once = not repeats[i, d]
                     start = int(pos[i] - d)
-                    out.append((h1[i], h2[i], start if once else None, start + length if once else None,
-                                int(w[0]), int(w[1]), 1 if once else 2))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")]).astype(
-            {"start": "Int64", "stop": "Int64", "w1": "Int64", "w2": "Int64"})
+                    out.append((h1[i], h2[i], start if once else -1, start + length, w[0], w[1], 1 if once else 2))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")]).astype("int64")
     return run
 
 
@@ -382,10 +379,10 @@ def repeated_ranges(docs: DataFrame, length: int = 400, bucket_rows: int = 32_76
     r = records(texts, split, length).withColumn("bucket", F.when(
         F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
     found = store(r.groupBy("bucket").applyInPandas(search_bucket(length), FOUND), "suffix-windows")
-    across = found.where("w1 is not null")
+    across = found.where("n > 0")
     again = across.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
-    return found.where("w1 is null").select("h1", "h2", "start", "stop").unionByName(
-        across.where("start is not null").join(again, ["w1", "w2"]).select("h1", "h2", "start", "stop"))
+    return found.where("n = 0").select("h1", "h2", "start", "stop").unionByName(
+        across.where("start >= 0").join(again, ["w1", "w2"]).select("h1", "h2", "start", "stop"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, bucket_rows: int = 32_768) -> DataFrame:
