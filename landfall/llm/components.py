@@ -33,9 +33,8 @@ def star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
-    """node and label (the smallest node reachable) for every node of ``links`` (a, b).
-
-    Links may repeat, point either way or from a node to itself."""
+    """node and label (the smallest node reachable) for every node of ``links`` (a, b) that
+    is linked to another. Links may repeat and point either way."""
     now = store(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
                 "links")
     seen = None

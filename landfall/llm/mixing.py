@@ -143,13 +143,13 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """
     at = F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
     ends = mixed.where("taken > 0").groupBy("source").agg(
-        F.max(at).alias("_end1"), F.max(F.when(F.col("taken") > F.col("size"), at)).alias("_end2"))
-    ends = store(ends, "mix-ends").withColumnRenamed("source", "_source")
+        F.max(at).alias("_llm_end1"), F.max(F.when(F.col("taken") > F.col("size"), at)).alias("_llm_end2"))
+    ends = store(ends, "mix-ends").withColumnRenamed("source", "_llm_source")
     here = F.struct(queue_key(F.col("doc_id")).alias("place"),
                     F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
-    turns = (F.coalesce(here <= F.col("_end1"), F.lit(False)).cast("int")
-             + F.coalesce(here <= F.col("_end2"), F.lit(False)).cast("int"))
+    turns = (F.coalesce(here <= F.col("_llm_end1"), F.lit(False)).cast("int")
+             + F.coalesce(here <= F.col("_llm_end2"), F.lit(False)).cast("int"))
     has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    kept = docs.join(ends, F.col("source").cast("string").eqNullSafe(F.col("_source"))).where(has_word)
-    return kept.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.greatest(turns, F.lit(1))))).where(
+    kept = docs.join(ends, F.col("source").cast("string").eqNullSafe(F.col("_llm_source"))).where(has_word)
+    return kept.withColumn("_llm_turn", F.explode(F.sequence(F.lit(1), F.greatest(turns, F.lit(1))))).where(
         turns > 0).select(*[docs[c] for c in docs.columns])

@@ -213,7 +213,8 @@ def nearest(table: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str =
                     out["qid"] += [qid] * len(rows)
                     out["score"] += dist.tolist()
                     out["ids"] += [ids[r] for r in rows]
-            return pd.DataFrame(out)
+            return pd.DataFrame({"qid": pd.Series(out["qid"], dtype="int64"), "score": pd.Series(out["score"], dtype="float64"),
+                                 "ids": pd.Series(out["ids"], dtype=object)})
 
         key = ["cell", "shard", "block"]
         found = v.groupBy(*key).cogroup(w.groupBy(*key)).applyInPandas(one, "qid long, score double, ids array<long>")

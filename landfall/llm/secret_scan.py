@@ -101,10 +101,10 @@ def trigram_query(pattern: str, widest: int = 16) -> list[frozenset[str]]:
 
 def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
     """(key, trigram) rows of the wanted trigrams."""
-    low = keyed.select("_k1", "_k2", lower_ascii(F.col("text")).alias("low"))
+    low = keyed.select("_llm_k1", "_llm_k2", lower_ascii(F.col("text")).alias("low"))
     has = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.contains("low", F.lit(t)).alias("has"))
                              for t in trigrams]), lambda x: x["has"])
-    return low.select("_k1", "_k2", F.explode(has).alias("p")).select("_k1", "_k2", F.col("p.t").alias("trigram"))
+    return low.select("_llm_k1", "_llm_k2", F.explode(has).alias("p")).select("_llm_k1", "_llm_k2", F.col("p.t").alias("trigram"))
 
 
 def candidates(keyed: DataFrame, rules) -> DataFrame:
@@ -116,9 +116,9 @@ def candidates(keyed: DataFrame, rules) -> DataFrame:
     clauses = spark.range(1).select(F.explode(F.array(*[
         F.struct(*[F.lit(v).alias(k) for k, v in zip(("kind", "clause", "trigram", "n"), row)])
         for row in need])).alias("x")).select("x.*")
-    met = postings(keyed, trigrams).join(F.broadcast(clauses), "trigram").groupBy("_k1", "_k2", "kind", "clause", "n").agg(
+    met = postings(keyed, trigrams).join(F.broadcast(clauses), "trigram").groupBy("_llm_k1", "_llm_k2", "kind", "clause", "n").agg(
         F.size(F.collect_set("trigram")).alias("got")).where("got = n")
-    return met.groupBy("_k1", "_k2").agg(F.collect_set("kind").alias("kinds"))
+    return met.groupBy("_llm_k1", "_llm_k2").agg(F.collect_set("kind").alias("kinds"))
 
 
 def matches(text: Column, rule: Rule, number: int, asked: Column) -> Column:
@@ -151,12 +151,12 @@ def fixed_length(pattern: str) -> int:
 def verified(docs: DataFrame, rules=RULES) -> DataFrame:
     """Distinct rows (as ``row``) with their number and the matches of all rules."""
     keyed = row_keys(docs)
-    got = distinct_rows(keyed, docs.columns).join(candidates(keyed, rules), ["_k1", "_k2"], "left")
+    got = distinct_rows(keyed, docs.columns).join(candidates(keyed, rules), ["_llm_k1", "_llm_k2"], "left")
     text = F.coalesce(F.col("row")["text"], F.lit(""))
     every = [matches(text, r, i, F.lit(True) if not trigram_query(r.pattern)
                      else F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)))
              for i, r in enumerate(rules)]
-    return got.select("_k1", "_k2", "row", "copies", F.concat(*every).alias("matches"))
+    return got.select("_llm_k1", "_llm_k2", "row", "copies", F.concat(*every).alias("matches"))
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -165,9 +165,9 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     v = verified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rules)
     nothing = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("nth"), F.lit(0).alias("gap"),
                                F.lit(0).alias("len"), F.lit(False).alias("holds")))
-    m = v.select("_k1", "_k2", F.col("row.doc_id").alias("doc_id"), "copies",
-                 F.explode(F.concat(nothing, "matches")).alias("m")).select("_k1", "_k2", "doc_id", "copies", "m.*")
-    along = Window.partitionBy("_k1", "_k2", "kind").orderBy("nth")
+    m = v.select("_llm_k1", "_llm_k2", F.col("row.doc_id").alias("doc_id"), "copies",
+                 F.explode(F.concat(nothing, "matches")).alias("m")).select("_llm_k1", "_llm_k2", "doc_id", "copies", "m.*")
+    along = Window.partitionBy("_llm_k1", "_llm_k2", "kind").orderBy("nth")
     m = m.withColumn("end", F.sum((F.col("gap") + F.col("len")).cast("long")).over(along))
     name = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind") + 1)
     base = sum(r.base for r in rules)
@@ -175,7 +175,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
         raise ValueError("base rules come first")
     span = F.when(F.col("holds"), F.struct((F.col("end") - F.col("len")).alias("start"), "kind", "end",
                                            F.when(F.col("kind") >= 0, name).alias("name")))
-    per = m.groupBy("_k1", "_k2", "doc_id", "copies").agg(
+    per = m.groupBy("_llm_k1", "_llm_k2", "doc_id", "copies").agg(
         F.array_sort(F.collect_list(span)).alias("spans"),
         *[F.count_if(F.col("holds") & (F.col("kind") == i)).alias(f"n_{r.kind}")
           for i, r in enumerate(rules) if r.base])
@@ -184,7 +184,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     per = per.withColumn("spans_text", said(F.col("spans"))).withColumn(
         "base_text", said(F.filter("spans", lambda x: x["kind"] < base)))
     return per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(
-        "copy", "copies", "_k1", "_k2")
+        "copy", "copies", "_llm_k1", "_llm_k2")
 
 
 def drop_documents(docs: DataFrame, rules=RULES) -> DataFrame:

@@ -37,7 +37,7 @@ from landfall.llm.components import components
 from landfall.llm.text import distinct_rows, lower_ascii, row_keys, store, words
 
 BITS = 64
-GROUPS = (6, 5)                      # runs of hidden bits at the second and third level
+GROUPS = (6, 6)                      # runs of hidden bits at the second and third level
 
 
 def majority(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -114,7 +114,7 @@ def bucketed(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
     spark = rows.sparkSession
     flat = spark.range(1).select(F.posexplode(F.array(*[F.lit(signed(m)) for ms in masks for m in ms])).alias("n", "mask"))
     flat = flat.select(F.floor(F.col("n") / per).cast("int").alias("table"), F.col("n").alias("next"), "mask")
-    keyed = rows.join(F.broadcast(flat), "table").select(     # at most 3,000 fixed rows
+    keyed = rows.join(F.broadcast(flat), "table").select(     # at most 6,000 fixed rows
         F.col("next").alias("table"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct()
     size = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return keyed.join(size, ["table", "key"])
@@ -210,7 +210,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest doc_id
     (null ids last; rows with equal ids by a hash of the row; equal rows once)."""
     keyed = row_keys(docs)
-    n = near_duplicates(keyed, shingle, radius, keep=("_k1", "_k2"))
-    first = n.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("w"))
-    stay = first.select("w._k1", "w._k2")
-    return distinct_rows(keyed, docs.columns).join(stay, ["_k1", "_k2"], "left_semi").select("row.*")
+    n = near_duplicates(keyed, shingle, radius, keep=("_llm_k1", "_llm_k2"))
+    first = n.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_llm_k1", "_llm_k2")).alias("w"))
+    stay = first.select("w._llm_k1", "w._llm_k2")
+    return distinct_rows(keyed, docs.columns).join(stay, ["_llm_k1", "_llm_k2"], "left_semi").select("row.*")

@@ -49,10 +49,10 @@ def row_keys(docs: DataFrame) -> DataFrame:
     """Rows with a 96-bit key of all their columns; equal rows have equal keys."""
     plain = [F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() or f.dataType.typeName() == "variant"
              else docs[f.name] for f in docs.schema.fields]
-    return docs.withColumns({"_k1": F.xxhash64(*plain), "_k2": F.hash(F.lit(7), *plain)})
+    return docs.withColumns({"_llm_k1": F.xxhash64(*plain), "_llm_k2": F.hash(F.lit(7), *plain)})
 
 
 def distinct_rows(keyed: DataFrame, columns: list[str]) -> DataFrame:
     """One row per key: the columns as a struct ``row`` and how often the row stands."""
-    return keyed.groupBy("_k1", "_k2").agg(
+    return keyed.groupBy("_llm_k1", "_llm_k2").agg(
         F.first(F.struct(*[f"`{c}`" for c in columns])).alias("row"), F.count(F.lit(1)).alias("copies"))
