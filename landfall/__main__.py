@@ -7,42 +7,61 @@
 ``--tables`` holds the snapshot tables (trips, landings, pds_trips, pds_points,
 municipalities, stations, species, and optionally shape) as Parquet folders in
 the declared schemas; ``--source`` holds the newer full tables whose rows
-above the snapshot's high-water mark are added. Results are written as Parquet
-folders under ``--out`` plus ``summary_csv``.
+above the snapshot's high-water mark are added: a folder of Parquet tables or a
+``jdbc:`` URL (``--jdbc-option user=... --jdbc-option password=...``). Folders may be
+on any file system that Spark reads. Results are written as Parquet folders under
+``--out`` plus ``summary_csv``; tables written on the way are removed at the end.
+Master, memory and shuffle partitions are set by spark-submit.
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
-import os
+
+from pyspark.errors import AnalysisException
 
 from landfall.config import Params, Selection
 from landfall.plans.clean import persist_clean
 from landfall.plans.reports import dashboard
 from landfall.plans.slicing import slice_tables
-from landfall.session import get_spark
-from landfall.sources.snapshot import export_summary_csv, read_snapshot
-from landfall.streaming.refresh import dedupe, refresh_tables
+from landfall.refresh import dedupe, refresh_tables
+from landfall.schema import SCHEMAS
+from landfall.session import drop_materialized, get_spark, materialize, materialized
+from landfall.sources.snapshot import export_summary_csv, jdbc_source, read_snapshot, read_table
 from landfall.tables import Tables
 
 FACTS = (("trips", "landings", "trip_id"), ("pds_trips", "pds_points", "PDS_trip"))
-DIMS = ("municipalities", "stations", "species", "shape")
+DIMS = ("municipalities", "stations", "species")
+
+
+def read_source(spark, source: str, table: str, options: dict):
+    """A newer table from a folder or a database."""
+    if source.startswith("jdbc:"):
+        return read_table(spark, jdbc_source(source, table, options), SCHEMAS[table])
+    return read_snapshot(spark, source, table)
 
 
-def load(spark, base: str, source: str | None) -> Tables:
+def load(spark, base: str, source: str | None, options: dict | None = None) -> Tables:
+    """Refreshed tables. A snapshot without a newer source is deduplicated as it is first
+    taken; the large tables are stored once, so cleaning does not refresh them again.
+    A missing dimension table is an error, a missing shape is not."""
     t = {}
     for parent, child, key in FACTS:
         p, c = read_snapshot(spark, base, parent), read_snapshot(spark, base, child)
         if source:
-            p, c = refresh_tables(p, c, read_snapshot(spark, source, parent),
-                                  read_snapshot(spark, source, child), key)
+            p, c = refresh_tables(p, c, read_source(spark, source, parent, options or {}),
+                                  read_source(spark, source, child, options or {}), key)
         else:
             p, c = dedupe(p), dedupe(c)
-        t[parent], t[child] = p, c
+        t[parent], t[child] = materialize(p, f"load-{parent}"), materialize(c, f"load-{child}")
     for d in DIMS:
-        if os.path.exists(os.path.join(base, d)):
-            t[d] = read_snapshot(spark, base, d)
+        t[d] = read_snapshot(spark, base, d)
+    try:
+        t["shape"] = read_snapshot(spark, base, "shape")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     return Tables(**t)
 
 
@@ -56,16 +75,21 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
                     sites=tuple(args.sites or lab.sites), habitats=tuple(args.habitats or lab.habitats),
                     gears=tuple(args.gears or lab.gears), boats=tuple(args.boats or lab.boats),
                     spar=args.spar)
-    cleaned = persist_clean(load(spark, args.tables, args.source), params)
+    before = materialized()
+    options = dict(o.split("=", 1) for o in args.jdbc_option or ())
+    cleaned = persist_clean(load(spark, args.tables, args.source, options), params)
     sliced, spine = slice_tables(cleaned, sel, params)
-    out = {}
-    results = dashboard(sliced, spine, sel, params, cache=True)
+    out, held, base = {}, [], args.out.rstrip("/")
+    results = dashboard(sliced, spine, sel, params, held=held)
     for name, df in results.items():
-        path = os.path.join(args.out, name)
-        df.write.mode("overwrite").parquet(path)
-        out[name] = path
-    out["summary_csv"] = export_summary_csv(results["monthly"], os.path.join(args.out, "summary_csv"),
+        out[name] = f"{base}/{name}"
+        # headings hold blanks and brackets, which Parquet columns may
+        df.write.mode("overwrite").parquet(out[name])
+    out["summary_csv"] = export_summary_csv(results["monthly"], f"{base}/summary_csv",
                                             sel.raising_enabled(lab))
+    for df in held:
+        df.unpersist()
+    drop_materialized(spark, before)
     return out
 
 
@@ -74,6 +98,7 @@ def parse(argv=None) -> argparse.Namespace:
     day = dt.date.fromisoformat
     ap.add_argument("--tables", required=True)
     ap.add_argument("--source")
+    ap.add_argument("--jdbc-option", action="append", dest="jdbc_option", metavar="NAME=VALUE")
     ap.add_argument("--start", type=day, required=True)
     ap.add_argument("--end", type=day, required=True)
     ap.add_argument("--as-of", type=day, dest="as_of")

@@ -8,6 +8,7 @@ column names match the SQL of :mod:`landfall.oracle`.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from landfall import fixtures
 from landfall.config import Labels, Params, Selection
-from landfall.functions.columns import log_axis
+from landfall.functions.columns import clip_low, log_axis
 from landfall.functions.dates import default_window_cols, month_floor
 from landfall.operators.aggregates import (boat_cpue, fleet_size, monthly_cpue, national_catch,
                                            species_catch, species_share)
@@ -24,15 +25,17 @@ from landfall.operators.discards import cutoff
 from landfall.operators.donor import (donate_attributes, donor_accuracy, nearest_donor,
                                       train_split, validate_donor)
 from landfall.operators.joins import attach_catch, landing_dates
-from landfall.operators.quality import cascade_delete, check_fk, check_pk
+from landfall.operators.quality import cascade_delete, check_fk, check_fks, check_pk, check_pks
+from landfall.operators.smooth import smooth_series
 from landfall.operators.spatial import cell_boxes, heat, heat_classes
-from landfall.plans.clean import clean, prepare_trips
-from landfall.plans.reports import (daily, daily_chart, monthly_chart, monthly_summary,
-                                    summary_table, top)
+from landfall.plans.clean import clean, persist_clean, prepare_trips
+from landfall.plans.reports import (daily, daily_chart, dashboard, monthly_chart, monthly_summary,
+                                    summary_table, top, with_headings)
 from landfall.plans.slicing import slice_tables
-from landfall.sources.snapshot import read_snapshot, read_table
-from landfall.streaming.refresh import (dedupe, high_water, read_delta, read_delta_child, refresh,
-                                        refresh_tables)
+from landfall.refresh import dedupe, high_water, read_delta, read_delta_child, refresh_tables
+from landfall.session import checkpoint_dir
+from landfall.sources.snapshot import (backup_tables, export_summary_csv, nan_to_null, read_snapshot,
+                                       read_table, write_snapshot)
 from landfall.tables import Tables
 
 # Test parameters (FIXTURES.md): labels follow the test tables' place names.
@@ -58,7 +61,10 @@ SMOOTH = Selection(start=MAIN.start, end=MAIN.end, sites=MAIN.sites, habitats=MA
 SNAPSHOT_MARK = 10800.0   # snapshot = trips with date_numeric <= this
 LOOKBACK_DAYS = 30.0      # refresh re-reads this margin below the high-water mark
 CUTOFF = dt.date(1998, 1, 1)
-DAILY_MIN_DAYS = 400
+CANOES = Selection(start=MAIN.start, end=MAIN.end, sites=MAIN.sites, habitats=MAIN.habitats,
+                   gears=MAIN.gears, boats=("Canoe",))
+MOTORS = Selection(start=MAIN.start, end=MAIN.end, sites=MAIN.sites, habitats=MAIN.habitats,
+                   gears=MAIN.gears, boats=("Motor",))
 # Thresholds that keep some series and drop others at sf0.01 (175..272 days).
 SPARSE_SITE_DAYS = 215
 SPARSE_GEAR_DAYS = 220
@@ -93,8 +99,34 @@ def summary_of(spark, sf, sel: Selection = MAIN) -> DataFrame:
 # --- sources and refresh -------------------------------------------------------------
 def q_scan_snapshot(spark, sf):
     li = read_snapshot(spark, f"{sf}/lineitem.parquet", "lineitem", schema=LINEITEM_COLS)
-    once = fixtures.landings_from_lineitem(li)
-    return once.unionByName(once.filter(F.col("trip_id") % 20 == 0))
+    return nan_to_null(fixtures.twice(fixtures.landings_from_lineitem(li)))
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/landfall/{name}-{uuid.uuid4().hex}"
+
+
+def q_write_snapshot(spark, sf):
+    base = _scratch(spark, "snapshot")
+    df = fixtures.landings(spark, sf)
+    write_snapshot(df, base, "landings", "v1")
+    return read_snapshot(spark, f"{base}/v1", "landings", df.schema)
+
+
+def q_backup(spark, sf):
+    t = fixtures.load(spark, sf)
+    at = backup_tables({"stations": t.stations, "trips": t.trips}, _scratch(spark, "backup"), CUTOFF)
+    return read_table(spark, {"format": "parquet", "path": at["trips"]}).join(
+        read_table(spark, {"format": "parquet", "path": at["stations"]}), "station_code").select(
+        "trip_id", "station_name")
+
+
+def q_export_csv(spark, sf):
+    path = export_summary_csv(summary_of(spark, sf), _scratch(spark, "csv"), True)
+    return spark.read.option("header", True).csv(path).select(
+        "Month", *[F.col(f"`{c}`").cast("double").alias(a) for c, a in (
+            ("Reported trips", "trips"), ("Reported catch (KG)", "KG"),
+            ("Estimated national catch (T)", "natcatch"))])
 
 
 def q_scan_dimension(spark, sf):
@@ -121,11 +153,32 @@ def q_delta_child(spark, sf):
 def q_refresh_union(spark, sf):
     snap, src = _snapshot_source(spark, sf)
     lnd = fixtures.landings(spark, sf)
-    snap_l = lnd.join(snap.select("trip_id"), "trip_id", "left_semi")
-    _, landings = refresh_tables(snap, snap_l, src, lnd, "trip_id", lookback=LOOKBACK_DAYS)
+    snap_l = dedupe(lnd.join(snap.select("trip_id"), "trip_id", "left_semi"))
+    _, landings = refresh_tables(dedupe(snap), snap_l, src, lnd, "trip_id", lookback=LOOKBACK_DAYS)
     return landings
 
 
+def _changed(spark, sf):
+    """Refresh in which one trip in seven of the margin comes in a second version."""
+    snap, src = _snapshot_source(spark, sf)
+    lnd = fixtures.landings(spark, sf)
+    snap_l = dedupe(lnd.join(snap.select("trip_id"), "trip_id", "left_semi"))
+    src = src.withColumn("trip_effort", F.when(F.col("trip_id") % 7 == 0, F.col("trip_effort") + 1)
+                         .otherwise(F.col("trip_effort")))
+    return refresh_tables(dedupe(snap), snap_l, src, lnd, "trip_id", lookback=LOOKBACK_DAYS)
+
+
+def q_refresh_changed_trip(spark, sf):
+    return _changed(spark, sf)[0]
+
+
+def q_clean_changed_landings(spark, sf):
+    """Landings after cleaning a refresh with changed trips: none is lost or multiplied."""
+    trips, lnd = _changed(spark, sf)
+    t = Tables(trips=trips, landings=lnd, stations=fixtures.stations(spark, sf))
+    return clean(t, PARAMS).landings
+
+
 # --- row-level steps -------------------------------------------------------------------
 def _prepared(spark, sf):
     r = refreshed(spark, sf)
@@ -166,6 +219,11 @@ def q_month_floor(spark, sf):
     return _prepared(spark, sf).select("trip_id", month_floor("date").alias("month"))
 
 
+def q_clip_low(spark, sf):
+    c = read_table(spark, {"format": "parquet", "path": f"{sf}/customer.parquet"})
+    return clip_low(c.select("c_custkey", F.col("c_acctbal").alias("fit")), "fit")
+
+
 def q_default_window(spark, sf):
     d = _prepared(spark, sf).select(F.col("date").alias("as_of")).filter(
         F.col("as_of").isNotNull()).distinct()
@@ -178,6 +236,20 @@ def q_clean_trips(spark, sf):
     return cleaned(spark, sf).trips
 
 
+def _stored(spark, sf) -> Tables:
+    return persist_clean(refreshed(spark, sf), PARAMS, "query-clean")
+
+
+def q_clean_stored(spark, sf):
+    return _stored(spark, sf).landings.select("trip_id", "species_code", "weight_g", "food_sale", "note",
+                                              "trip_municipality")
+
+
+def q_monthly_summary_stored(spark, sf):
+    s, spine = slice_tables(_stored(spark, sf), MAIN, PARAMS)
+    return monthly_summary(s, spine, MAIN, PARAMS)
+
+
 def q_pds_clean(spark, sf):
     return cleaned(spark, sf).pds_trips
 
@@ -265,12 +337,38 @@ def q_summary_table_partial(spark, sf):
     return summary_table(summary_of(spark, sf, PARTIAL), PARTIAL, PARAMS)
 
 
+def q_summary_table_headed(spark, sf):
+    return with_headings(summary_table(summary_of(spark, sf), MAIN, PARAMS))
+
+
+def q_summary_one_boat(spark, sf):
+    """Both selections of a single boat type; the other type's fleet counts 0."""
+    a, b = (summary_of(spark, sf, sel).select("month", "trips", "KG", "natcatch", F.lit(name).alias("boat"))
+            for sel, name in ((CANOES, "canoe"), (MOTORS, "motor")))
+    return a.unionByName(b)
+
+
+def q_fleet_one_boat(spark, sf):
+    s, _ = sliced(spark, sf, CANOES)
+    return fleet_size(s.municipalities, CANOES.codes(TEST_LABELS)["boats"])
+
+
+def q_dashboard_bundle(spark, sf):
+    """Rows of each dashboard result of one stored selection, by name."""
+    results = dashboard(*slice_tables(_stored(spark, sf), MAIN, PARAMS), MAIN, PARAMS)
+    out = None
+    for name in ("monthly", "table", "chart", "site", "habitat", "gear", "species", "heat"):
+        one = results[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("result"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def q_monthly_chart(spark, sf):
     return monthly_chart(summary_of(spark, sf))
 
 
 # --- daily series ----------------------------------------------------------------------
-def _daily(dim, min_days=DAILY_MIN_DAYS, sel=MAIN):
+def _daily(dim, min_days=PARAMS.min_days, sel=MAIN):
     def run(spark, sf):
         return daily(sliced(spark, sf, sel)[0], dim, sel, PARAMS, min_days)
     return run
@@ -289,6 +387,16 @@ def _smooth(dim):
 q_smooth_site = _smooth("site")
 
 
+def q_smooth_moments(spark, sf):
+    """Weighted means of each site's fitted series and of fit x day, before clipping: a
+    smoothing spline leaves both as they are in the data."""
+    d = daily(sliced(spark, sf)[0], "site", MAIN, PARAMS).where("CPUE is not null and trip_effort > 0")
+    f = smooth_series(d.drop("fit"), "code", "date", "CPUE", "trip_effort", SMOOTH.spar)
+    w, x = F.col("trip_effort"), F.datediff("date", F.lit(MAIN.start)).cast("double")
+    return f.groupBy("code").agg(F.count(F.lit(1)).alias("days"), (F.sum(w * F.col("fit")) / F.sum(w)).alias("mean_fit"),
+                                 (F.sum(w * x * F.col("fit")) / F.sum(w * x)).alias("slope_fit"))
+
+
 # --- map -------------------------------------------------------------------------------
 def q_mark_selected(spark, sf):
     return sliced(spark, sf)[0].shape
@@ -332,7 +440,7 @@ def q_validate_donor(spark, sf):
 def q_check_pk(spark, sf):
     snap, src = _snapshot_source(spark, sf)
     delta = read_delta(src, high_water(snap), lookback=LOOKBACK_DAYS)
-    return check_pk(refresh(snap, delta, dedupe_rows=False), "trip_id")
+    return check_pk(snap.unionByName(delta), "trip_id")
 
 
 def q_check_fk(spark, sf):
@@ -347,12 +455,49 @@ def q_cascade_delete(spark, sf):
     return out["landings"]
 
 
+def _all_tables(spark, sf) -> dict[str, DataFrame]:
+    return {**fixtures.dimensions(spark, sf), **dict(refreshed(spark, sf).items())}
+
+
+def q_cascade_delete_tracks(spark, sf):
+    """Points left when trips without effort go, with the tracked trips that report them
+    or take their values from them."""
+    t = _all_tables(spark, sf)
+    ids = t["trips"].filter(F.col("trip_effort").isNull()).select("trip_id")
+    return cascade_delete(t, "trips", ids)["pds_points"]
+
+
+def q_check_pk_all(spark, sf):
+    t = _all_tables(spark, sf)
+    return check_pks({**t, "trips": t["trips"].unionByName(t["trips"].filter(F.col("trip_id") % 1000 == 0))})
+
+
+def q_check_fk_all(spark, sf):
+    return check_fks(_all_tables(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_snapshot": q_scan_snapshot,
     "scan_dimension": q_scan_dimension,
     "delta_parent": q_delta_parent,
     "delta_child": q_delta_child,
     "refresh_union": q_refresh_union,
+    "refresh_changed_trip": q_refresh_changed_trip,
+    "clean_changed_landings": q_clean_changed_landings,
+    "write_snapshot": q_write_snapshot,
+    "backup": q_backup,
+    "export_csv": q_export_csv,
+    "clip_low": q_clip_low,
+    "clean_stored": q_clean_stored,
+    "monthly_summary_stored": q_monthly_summary_stored,
+    "summary_table_headed": q_summary_table_headed,
+    "summary_one_boat": q_summary_one_boat,
+    "fleet_one_boat": q_fleet_one_boat,
+    "dashboard_bundle": q_dashboard_bundle,
+    "smooth_moments": q_smooth_moments,
+    "cascade_delete_tracks": q_cascade_delete_tracks,
+    "check_pk_all": q_check_pk_all,
+    "check_fk_all": q_check_fk_all,
     "parse_date": q_parse_date,
     "recode_habitat": q_recode_habitat,
     "clamp_effort": q_clamp_effort,

@@ -1,7 +1,10 @@
 """Stand-in fishery tables built from the supplied test tables.
 
 These only give rows in the schemas the jobs expect (FIXTURES.md part B); they
-compute nothing the jobs compute. Every derived table grows with its source.
+compute nothing the jobs compute. Trips, landings, tracked trips, points, species and
+heat cells grow with their sources; municipalities, stations and shape come from the
+25 nations at every scale. Some measurements are NaN, as a database export writes
+missing numbers.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfall.sources.snapshot import read_table
+from landfall.sources.snapshot import nan_to_null, read_table
 from landfall.tables import Tables
 
 
@@ -22,15 +25,15 @@ def municipalities(spark, sf_dir) -> DataFrame:
 
 
 def municipalities_from_nation(nation: DataFrame) -> DataFrame:
-    n = nation.filter(F.col("n_nationkey") < 12)
     k = F.col("n_nationkey")
-    return n.select((k + 1).cast("int").alias("municipality_code"),
+    return nation.select((k + 1).cast("int").alias("municipality_code"),
                     F.col("n_name").alias("municipality_name"),
                     (100 + 37 * k).cast("int").alias("canoes"),
                     (20 + 11 * k).cast("int").alias("motors"))
 
 
 def stations(spark, sf_dir) -> DataFrame:
+    """All nations but the last, so that the last one's trips have no station."""
     n = _src(spark, sf_dir, "nation").filter(F.col("n_nationkey") < 24)
     k = F.col("n_nationkey")
     return n.select((k + 1).cast("int").alias("station_code"),
@@ -39,13 +42,18 @@ def stations(spark, sf_dir) -> DataFrame:
 
 
 def species(spark, sf_dir) -> DataFrame:
-    p = _src(spark, sf_dir, "part").filter(F.col("p_partkey") < 30)
+    """Every part is a species; part 0 is the code for others."""
+    p = _src(spark, sf_dir, "part").filter(F.col("p_partkey") != 300)
     return p.select(F.when(F.col("p_partkey") == 0, 300).otherwise(F.col("p_partkey"))
                     .cast("int").alias("species_code"),
                     F.col("p_type").alias("category"),
                     F.col("p_name").alias("category_tetun"))
 
 
+def _nan_every(key, m, value):
+    return F.when(key % m == 0, F.lit(float("nan"))).otherwise(value)
+
+
 def _null_every(key, m, value):
     return F.when(key % m == 0, F.lit(None)).otherwise(value)
 
@@ -56,7 +64,7 @@ def trips(spark, sf_dir) -> DataFrame:
     j = o.join(c, o.o_custkey == c.c_custkey)
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     d = F.col("o_orderdate").cast("date")
-    return j.select(
+    return nan_to_null(j.select(
         k.alias("trip_id"),
         _null_every(k, 307, d.cast("string")).alias("date"),
         (F.col("c_nationkey") + 1).cast("int").alias("station_code"),
@@ -64,10 +72,10 @@ def trips(spark, sf_dir) -> DataFrame:
         _null_every(k, 211, 1 + ck % 3).cast("int").alias("boat_code"),
         _null_every(k, 67, 1 + k % 9).cast("int").alias("gear_code"),
         (k % 80).cast("int").alias("trip_hours"),
-        _null_every(k, 101, (k * 13) % 160).cast("double").alias("trip_effort"),
+        _nan_every(k, 109, _null_every(k, 101, (k * 13) % 160).cast("double")).alias("trip_effort"),
         F.when(ck % 10 == 0, F.lit(9376082)).otherwise(ck).cast("string").alias("IMEI"),
-        F.datediff(d, F.lit("1970-01-01").cast("date")).cast("double").alias("date_numeric"),
-    )
+        _nan_every(k, 113, F.datediff(d, F.lit("1970-01-01").cast("date")).cast("double")).alias("date_numeric"),
+    ))
 
 
 def landings_once(spark, sf_dir) -> DataFrame:
@@ -78,20 +86,28 @@ def landings_from_lineitem(li: DataFrame) -> DataFrame:
     ok, pk = F.col("l_orderkey"), F.col("l_partkey")
     return li.select(
         ok.alias("trip_id"),
-        F.when(pk % 30 == 0, 300).otherwise(pk % 30).cast("int").alias("species_code"),
-        F.when((ok + pk) % 97 == 0, F.lit(None)).otherwise(F.col("l_quantity"))
-        .cast("double").alias("length"),
+        F.when(pk == 0, 300).otherwise(pk).cast("int").alias("species_code"),
+        _nan_every(ok + 3 * pk, 107, F.when((ok + pk) % 97 == 0, F.lit(None)).otherwise(F.col("l_quantity"))
+                   .cast("double")).alias("length"),
         F.col("l_linenumber").alias("nfish"),
-        F.col("l_extendedprice").alias("weight_g"),
+        _nan_every(3 * ok + pk, 103, F.col("l_extendedprice")).alias("weight_g"),
+        F.when(pk % 2 == 0, F.lit("food")).otherwise(F.lit("sale")).alias("food_sale"),
         F.when((ok * 7 + pk) % 89 == 0, 1).when(pk % 5 == 0, 4).otherwise(0)
         .cast("int").alias("flag_code"),
+        F.when(pk % 11 == 0, F.lit("seen")).alias("note"),
     )
 
 
+def twice(once: DataFrame) -> DataFrame:
+    """One trip in twenty is reported twice: every other one word for word (repeats to
+    remove), the others with another note (different rows to keep)."""
+    again = once.filter(F.col("trip_id") % 20 == 0)
+    return once.unionByName(again.withColumn("note", F.when(
+        F.col("trip_id") % 40 == 0, F.lit("counted again")).otherwise(F.col("note"))))
+
+
 def landings(spark, sf_dir) -> DataFrame:
-    """Landings with one trip in twenty reported twice (honest repeats, no key)."""
-    once = landings_once(spark, sf_dir)
-    return once.unionByName(once.filter(F.col("trip_id") % 20 == 0))
+    return nan_to_null(twice(landings_once(spark, sf_dir)))
 
 
 def _pds_key():
@@ -102,8 +118,8 @@ def pds_points(spark, sf_dir) -> DataFrame:
     e = _src(spark, sf_dir, "events")
     ev, u = F.col("event_id"), F.col("user_id")
     return e.select(_pds_key(), F.concat(
-        F.lit("-8."), (10 + (u * 7 + ev) % 90).cast("string"),
-        F.lit(",125."), (ev % 10).cast("string")).alias("latlng"))
+        F.lit("-8."), (10 + (u * 7 + ev) % 90).cast("string"), F.lit(",125."),
+        (ev % 10).cast("string"), (u % 100).cast("string")).alias("latlng"))
 
 
 def pds_trips(spark, sf_dir) -> DataFrame:
@@ -119,6 +135,8 @@ def pds_trips(spark, sf_dir) -> DataFrame:
         (1 + t % 24).cast("int").alias("station_code"),
         (1 + t % 9).cast("int").alias("gear_code"),
         (1 + t % 7).cast("int").alias("habitat_code"),
+        F.when(t % 3 == 0, t).alias("trip_id"),
+        F.when(t % 3 == 1, t + 1).alias("donor_tripid"),
     )
 
 
@@ -161,3 +179,13 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         municipalities=municipalities(spark, sf_dir), stations=stations(spark, sf_dir),
         species=species(spark, sf_dir), shape=shape(spark, sf_dir),
     )
+
+
+def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Code tables of the key checks, from the same sources; a few codes are left out."""
+    part = _src(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    codes = lambda name, n: part.filter((F.col("k") > 0) & (F.col("k") <= n)).select(
+        F.col("k").cast("int").alias(name))
+    return {"boat_types": codes("boat_code", 2), "gear_types": codes("gear_code", 9),
+            "habitat_types": codes("habitat_code", 6),
+            "flags": part.filter(F.col("k").isin(0, 4, 5)).select(F.col("k").cast("int").alias("flag_code"))}

@@ -43,37 +43,23 @@ def patch(df: DataFrame, col: str, cond: Column, value) -> DataFrame:
     return df.withColumn(col, F.when(cond, F.lit(value)).otherwise(F.col(col)))
 
 
-# Sums of weights and efforts are taken over exact integers (milligrams and
-# micro-hours) and divided once, so a total does not depend on the order in
-# which partitions are added up: the same data gives bit-identical results
-# whatever the partitioning. Long sums also stay inside whole-stage codegen.
-EXACT_SCALE = 1_000_000.0
-
-
-def exact_sum(col, scale: float = EXACT_SCALE) -> Column:
-    """Sum of ``col`` at a resolution of 1/``scale`` units, order-independent."""
-    return F.sum(F.round(_c(col) * F.lit(scale)).cast("long")) / F.lit(scale)
+def exact_sum(col) -> Column:
+    """Sum of a double column in 38-digit decimals, nine of them after the point: it does
+    not depend on the order in which rows and partitions are added, and holds up to 1e29
+    units. Ratios of such sums often end on a half in the last printed digit, where a
+    double sum's last bit would show."""
+    return F.sum(_c(col).cast("decimal(28,9)")).cast("double")
 
 
 def kg_sum(grams) -> Column:
-    """Sum of gram weights in KG (exact to the milligram)."""
-    return F.sum(F.round(_c(grams) * F.lit(1000.0)).cast("long")) / F.lit(EXACT_SCALE)
-
-
-def to_kg(grams) -> Column:
-    return _c(grams) / F.lit(1000.0)
+    """Sum of gram weights in KG."""
+    return exact_sum(grams) / F.lit(1000.0)
 
 
 def to_tonnes(kg) -> Column:
     return _c(kg) / F.lit(1000.0)
 
 
-def with_cpue(df: DataFrame, kg: str = "KG", effort: str = "trip_effort",
-              out: str = "CPUE") -> DataFrame:
-    """Catch per unit effort, KG per hour; NULL where effort is 0 or NULL."""
-    return df.withColumn(out, F.try_divide(F.col(kg), F.col(effort)))
-
-
 def fill_zero(df: DataFrame, cols) -> DataFrame:
     """Missing (NULL or NaN) to 0 after a spine join."""
     return df.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(0)).cast(
@@ -91,14 +77,6 @@ def log_axis(col) -> Column:
     return F.log10(_c(col) + F.lit(1.0))
 
 
-def log_axis_breaks() -> list[tuple[str, float]]:
-    """Tick labels and positions of the log-scaled daily charts."""
-    import math
-
-    from landfall.config import LOG_AXIS_TICKS
-    return [(str(v), math.log10(v + 1)) for v in LOG_AXIS_TICKS]
-
-
 def species_label(category="category", tetun="category_tetun") -> Column:
     """``category (category_tetun)``; a missing part prints as ``NA`` like R's paste0."""
     na = F.lit("NA")

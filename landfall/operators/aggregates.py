@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landfall.functions.columns import exact_sum, fill_zero, kg_sum, species_label
+from landfall.functions.columns import clip_low, exact_sum, fill_zero, kg_sum, species_label
 from landfall.functions.dates import month_floor
 from landfall.operators.filters import min_points
 
@@ -99,8 +99,7 @@ def daily_cpue(trips: DataFrame, dim_col: str, labels, min_days: int = 5,
     if spar > 0:
         from landfall.operators.smooth import smooth_series
         d = smooth_series(d, "code", "date", "CPUE", "trip_effort", spar)
-    d = d.withColumn("fit", F.when(F.col("fit") < 0, F.lit(0.0)).otherwise(F.col("fit")))
-    return d.select("date", "code", "label", "KG", "trip_effort", "CPUE", "fit")
+    return clip_low(d, "fit").select("date", "code", "label", "KG", "trip_effort", "CPUE", "fit")
 
 
 def top_species(catch: DataFrame, species: DataFrame, n: int = 9, other: int = 300
@@ -119,7 +118,7 @@ def top_species(catch: DataFrame, species: DataFrame, n: int = 9, other: int = 3
     folded = F.when((F.col("n_species") > n) & (F.col("rank") > n), F.lit(other)) \
         .otherwise(F.col("species_code"))
     g = (r.withColumn("species_code", folded.cast("int")).groupBy("species_code")
-         .agg(F.sum("KG").alias("KG"), F.min("rank").alias("rank")))
+         .agg(exact_sum("KG").alias("KG"), F.min("rank").alias("rank")))
     sp = species.groupBy("species_code").agg(
         F.min(species_label()).alias("species"))
     return (g.join(sp, "species_code", "left")

@@ -10,9 +10,13 @@ Plan, exact for every pair within ``cap``:
   coordinate, so on a grid of cell size ``cap`` over two coordinates the donor
   lies in the query's cell or one of its 8 neighbours. Each query visits those
   9 cells; nothing farther is ever compared.
-* Dense cells (e.g. every track passing one fishing ground): optionally, a
-  cell with more than ``refine_rows`` donors is blocked again on two more
-  coordinates the same way, which cuts the pairs compared there.
+* Equal donors count once (the smallest id, with its values).
+* Growing radius: the cell size starts so small that the fullest cell holds about
+  ``block_rows`` donors. A query matched within the present radius is done (nothing
+  nearer can lie outside the cells it visited); only the others go on to the doubled
+  radius, up to ``cap``. Where tracks are dense, queries are answered in small cells, so
+  the work grows about as the rows do, not as their square. One fullest-cell count
+  fixes the number of radii; there is one code path whatever it is.
 * Hot cells: per-cell counts set a salt so that a cell with many queries or
   donors is split into blocks of at most ``block_rows`` on each side; every
   query block meets every donor block of its cell. Work per task is bounded,
@@ -32,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landfall.session import materialize
+
 
 def _best_in_block(cap: float, q_extra, d_extra, by, dims: int, chunk: int = 1024):
     qcols = [f"_q{i}" for i in range(dims)]
@@ -85,79 +91,31 @@ def by_only(by, keys):
     return [c for c in by if c not in keys]
 
 
-def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id",
-                  features: str = "features", carry=("gear_code", "habitat_code"),
-                  query_carry=(), cap: float = 0.2, by=(), block_dims=(0, 1),
-                  block_rows: int = 2048, keep_unmatched: bool = True,
-                  donor_key: str = "donor_tripid", distance: str = "donor_distance",
-                  dims: int = 20, refine_dims=(), refine_rows: int = 100_000) -> DataFrame:
-    """Nearest donor within ``cap`` for each query (Euclidean over the first
-    ``dims`` elements of ``features``).
+def grid(df: DataFrame, features: str, dims, radius: float) -> DataFrame:
+    """Cells of size ``radius`` on the blocking coordinates."""
+    return df.withColumns({f"_c{j}": F.floor(F.element_at(F.col(features), i + 1) / F.lit(radius)).cast("long")
+                           for j, i in enumerate(dims)})
 
-    Returns ``by``, ``key``, ``donor_key``, ``distance``, the donor's ``carry``
-    columns and the query's ``query_carry`` columns prefixed ``query_``. With
-    ``keep_unmatched`` a query without a donor within ``cap`` is kept with NULLs.
 
-    ``refine_dims``: a cell holding more than ``refine_rows`` donors is blocked
-    again on these coordinates (same cell size, queries visit the 3 x 3 finer
-    neighbours there only), which cuts the pairs compared in dense cells; salts
-    are then counted at the finer level. Exact for the same reason as the first
-    level.
-    """
-    by, carry, query_carry = list(by), list(carry), list(query_carry)
-    q_extra = [f"query_{c}" for c in query_carry]
-    d_extra = list(carry)
-    q = queries.select(*by, F.col(key).alias("_qid"), F.col(features).alias("_qf"),
-                       *[F.col(c).alias(f"query_{c}") for c in query_carry])
-    d = donors.select(*by, F.col(key).alias("_did"), F.col(features).alias("_df"),
-                      *[F.col(c) for c in carry])
+def within(q: DataFrame, d: DataFrame, radius: float, by, block_dims, block_rows: int, dims: int,
+           d_extra, q_extra) -> DataFrame:
+    """Per query its nearest donor within ``radius``: by, _qid, _did, _dist, extras."""
     cells = [f"_c{j}" for j in range(len(block_dims))]
-
-    def cell_of(arr):
-        return {c: F.floor(F.element_at(F.col(arr), i + 1) / F.lit(cap)).cast("long")
-                for c, i in zip(cells, block_dims)}
-
-    q = q.withColumns(cell_of("_qf"))
-    d = d.withColumns(cell_of("_df"))
+    keys = by + cells
+    d = grid(d, "_df", block_dims, radius)
     offsets = list(itertools.product((-1, 0, 1), repeat=len(cells)))
-    q = q.withColumn("_off", F.explode(F.array(*[F.array(*[F.lit(o) for o in off])
-                                                 for off in offsets])))
+    q = grid(q, "_qf", block_dims, radius).withColumn(
+        "_off", F.explode(F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets])))
     q = q.withColumns({c: F.col(c) + F.col("_off")[j] for j, c in enumerate(cells)}).drop("_off")
-    keys = by + cells
-
-    def counts(q, d, keys):
-        """Rows per cell on each side, in one aggregation over both sides' keys;
-        only cells holding queries and donors remain."""
-        tagged = (q.select(*keys, F.lit(1).alias("_isq"))
-                  .unionByName(d.select(*keys, F.lit(0).alias("_isq"))))
-        return (tagged.groupBy(*keys)
-                .agg(F.sum("_isq").alias("_nq"), F.sum(1 - F.col("_isq")).alias("_nd"))
-                .filter((F.col("_nq") > 0) & (F.col("_nd") > 0)))
-
-    coarse = counts(q, d, keys)
-    if refine_dims:
-        fine = [f"_f{j}" for j in range(len(refine_dims))]
-        dense = coarse.select(*keys, (F.col("_nd") > refine_rows).alias("_dense"))
-        q = q.join(dense, keys, "inner")
-        d = d.join(dense, keys, "inner")
-
-        def fine_of(arr):
-            return {c: F.when(F.col("_dense"), F.floor(F.element_at(F.col(arr), i + 1)
-                                                       / F.lit(cap)).cast("long"))
-                    .otherwise(F.lit(0).cast("long")) for c, i in zip(fine, refine_dims)}
-
-        d = d.withColumns(fine_of("_df")).drop("_dense")
-        q = q.withColumns(fine_of("_qf"))
-        near = list(itertools.product((-1, 0, 1), repeat=len(fine)))
-        q = q.withColumn("_off", F.explode(F.when(
-            F.col("_dense"), F.array(*[F.array(*[F.lit(o) for o in off]) for off in near]))
-            .otherwise(F.array(F.array(*[F.lit(0) for _ in fine])))))
-        q = q.withColumns({c: F.col(c) + F.col("_off")[j] for j, c in enumerate(fine)}
-                          ).drop("_off", "_dense")
-        keys = keys + fine
-        coarse = counts(q, d, keys)
-    sizes = coarse.select(*keys, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_sq"),
-                          F.ceil(F.col("_nd") / block_rows).cast("int").alias("_sd"))
+    # Rows per cell on each side, in one aggregation over both sides' keys; only
+    # cells holding queries and donors remain.
+    tagged = (q.select(*keys, F.lit(1).alias("_isq"))
+              .unionByName(d.select(*keys, F.lit(0).alias("_isq"))))
+    sizes = (tagged.groupBy(*keys)
+             .agg(F.sum("_isq").alias("_nq"), F.sum(1 - F.col("_isq")).alias("_nd"))
+             .filter((F.col("_nq") > 0) & (F.col("_nd") > 0))
+             .select(*keys, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_sq"),
+                     F.ceil(F.col("_nd") / block_rows).cast("int").alias("_sd")))
     q = (q.join(sizes, keys, "inner")
          .withColumn("_i", F.pmod(F.xxhash64("_qid"), F.col("_sq")).cast("int"))
          .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1)))
@@ -179,13 +137,51 @@ def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id"
                                T.StructField("_dist", T.DoubleType())]
         + [qs[c] for c in q_extra] + [ds[c] for c in d_extra])
     res = (q.groupBy(*gkeys).cogroup(d.groupBy(*gkeys))
-           .applyInPandas(_best_in_block(cap, q_extra, d_extra, by, dims), schema=out_schema))
+           .applyInPandas(_best_in_block(radius, q_extra, d_extra, by, dims), schema=out_schema))
     best = (res.groupBy(*by, "_qid")
             .agg(F.min(F.struct("_dist", "_did", *d_extra, *q_extra)).alias("_b")))
-    best = best.select(*by, F.col("_qid").alias(key), F.col("_b._did").alias(donor_key),
-                       F.col("_b._dist").alias(distance),
-                       *[F.col(f"_b.{c}").alias(c) for c in d_extra],
-                       *[F.col(f"_b.{c}").alias(c) for c in q_extra])
+    return best.select(*by, "_qid", *[F.col(f"_b.{c}").alias(c) for c in ("_did", "_dist", *d_extra, *q_extra)])
+
+
+def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id",
+                  features: str = "features", carry=("gear_code", "habitat_code"),
+                  query_carry=(), cap: float = 0.2, by=(), block_dims=(0, 1),
+                  block_rows: int = 2048, keep_unmatched: bool = True,
+                  donor_key: str = "donor_tripid", distance: str = "donor_distance",
+                  dims: int = 20) -> DataFrame:
+    """Nearest donor within ``cap`` for each query (Euclidean over the first
+    ``dims`` elements of ``features``).
+
+    Returns ``by``, ``key``, ``donor_key``, ``distance``, the donor's ``carry``
+    columns and the query's ``query_carry`` columns prefixed ``query_``. With
+    ``keep_unmatched`` a query without a donor within ``cap`` is kept with NULLs.
+    """
+    by, carry, query_carry = list(by), list(carry), list(query_carry)
+    q_extra = [f"query_{c}" for c in query_carry]
+    d_extra = list(carry)
+    q = queries.select(*by, F.col(key).alias("_qid"), F.col(features).alias("_qf"),
+                       *[F.col(c).alias(f"query_{c}") for c in query_carry])
+    d = (donors.groupBy(*by, F.col(features).alias("_df"))
+         .agg(F.min(F.struct(F.col(key).alias("_did"), *d_extra)).alias("_d"))
+         .select(*by, "_df", "_d.*"))
+    cells = [f"_c{j}" for j in range(len(block_dims))]
+    fullest = grid(d, "_df", block_dims, cap).groupBy(*by, *cells).count().agg(F.max("count")).first()[0] or 0
+    halvings = 0
+    while fullest > block_rows << (halvings * len(block_dims)) and halvings < 16:
+        halvings += 1
+    if halvings:
+        q, d = materialize(q, "donor-queries"), materialize(d, "donors")
+    best = None
+    for step in range(halvings, -1, -1):
+        found = within(q, d, cap / (1 << step), by, block_dims, block_rows, dims, d_extra, q_extra)
+        if step:
+            found = materialize(found, "donor-found")
+            done = found.select(*[F.col(c).alias(f"_m{c}") for c in (*by, "_qid")])
+            same = [F.col(c).eqNullSafe(F.col(f"_m{c}")) for c in (*by, "_qid")]
+            q = materialize(q.join(done, same, "left_anti"), "donor-queries")
+        best = found if best is None else best.unionByName(found)
+    best = best.select(*by, F.col("_qid").alias(key), F.col("_did").alias(donor_key),
+                       F.col("_dist").alias(distance), *d_extra, *q_extra)
     if not keep_unmatched:
         return best
     base = queries.select(*by, key, *[F.col(c).alias(f"query_{c}") for c in query_carry])
@@ -202,13 +198,10 @@ def track_signature(pds_trips: DataFrame, out: str = "features") -> DataFrame:
 # Any pair of coordinates gives the same exact answer; start positions would
 # put every trip of a harbour into one cell, mid-trip positions spread them.
 TRACK_BLOCK_DIMS = (4, 14)
-# Dense cells are blocked again on the end position (lat10, lng10).
-TRACK_REFINE_DIMS = (9, 19)
 
 
 def donate_attributes(pds_trips: DataFrame, cap: float = 0.2, block_rows: int = 2048,
-                      block_dims=TRACK_BLOCK_DIMS, refine_dims=TRACK_REFINE_DIMS,
-                      refine_rows: int = 100_000) -> DataFrame:
+                      block_dims=TRACK_BLOCK_DIMS) -> DataFrame:
     """Fill gear and habitat of tracked trips that have no reported trip from
     the nearest linked tracked trip within ``cap`` (its reported trip id and the
     distance are kept as ``donor_tripid`` and ``donor_distance``). Linked trips
@@ -219,8 +212,7 @@ def donate_attributes(pds_trips: DataFrame, cap: float = 0.2, block_rows: int =
     queries = sig.filter(F.col("trip_id").isNull()).select("PDS_trip", "features")
     nn = nearest_donor(queries, donors.withColumnRenamed("_donor", "PDS_trip"), key="PDS_trip",
                        cap=cap, block_rows=block_rows, keep_unmatched=False,
-                       donor_key="_dt", distance="_dd", block_dims=block_dims,
-                       refine_dims=refine_dims, refine_rows=refine_rows)
+                       donor_key="_dt", distance="_dd", block_dims=block_dims)
     nn = nn.select("PDS_trip", "_dt", "_dd", F.col("gear_code").alias("_g"),
                    F.col("habitat_code").alias("_h"))
     j = pds_trips.join(nn, "PDS_trip", "left")
@@ -232,14 +224,16 @@ def donate_attributes(pds_trips: DataFrame, cap: float = 0.2, block_rows: int =
     }).drop("_g", "_h", "_dt", "_dd")
 
 
-def train_split(key: str, rep: str, a: int = 7, b: int = 13, m: int = 10, k: int = 8):
-    """Deterministic hold-out split: a row is in the training part of repeat
-    ``rep`` when (key * a + rep * b) mod m < k (k/m of the residues)."""
-    return F.pmod(F.col(key) * a + F.col(rep) * b, F.lit(m)) < k
+def train_split(key: str, rep: str, of: int = 10, train: int = 8):
+    """Repeatable hold-out split: a row is in the training part of repeat ``rep`` when a
+    hash of both (the first 8 hex digits of the md5 of ``key-rep``) mod ``of`` is below
+    ``train``. Every repeat draws another part."""
+    h = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.col(rep).cast("string")).cast("binary"))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % of < train
 
 
 def validate_donor(signatures: DataFrame, reps: int = 100, cap: float = 0.2, *,
-                   key: str = "trip_id", features: str = "features", split=(7, 13, 10, 8),
+                   key: str = "trip_id", features: str = "features", split=(10, 8),
                    block_rows: int = 2048) -> DataFrame:
     """Per repeat: split the linked trips into training and query parts, match
     each query to its nearest training trip, drop queries farther than ``cap``

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landfall.operators.joins import drop_with, keep_with
 from landfall.schema import FOREIGN_KEYS, PRIMARY_KEYS
 
 
@@ -27,31 +28,65 @@ def check_fk(child: DataFrame, key: str, parent: DataFrame, parent_key: str | No
             .join(parent.select(F.col(pk).alias(key)), key, "left_anti"))
 
 
+def check_pks(tables: dict[str, DataFrame], pks=PRIMARY_KEYS) -> DataFrame:
+    """Per table with a key: how many key values repeat or are NULL."""
+    out = None
+    for name, key in pks.items():
+        if key and name in tables:
+            one = check_pk(tables[name], key).agg(F.count(F.lit(1)).alias("violations")).select(
+                F.lit(name).alias("table"), "violations")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def check_fks(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
+    """Per foreign key whose two tables are given and hold its columns: its orphans."""
+    out = None
+    for child, ckey, parent, pkey in fks:
+        if child in tables and parent in tables and ckey in tables[child].columns:
+            one = check_fk(tables[child], ckey, tables[parent], pkey).agg(
+                F.count(F.lit(1)).alias("orphans")).select(
+                F.lit(child).alias("child"), F.lit(ckey).alias("column"), F.lit(parent).alias("parent"), "orphans")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def children_first_last(tables, root: str, fks) -> list[str]:
+    """The tables that deletes from ``root`` can reach, every parent before its children."""
+    reach, todo = {root}, [root]
+    while todo:
+        parent = todo.pop()
+        for child, _, p, _ in fks:
+            if p == parent and child in tables and child not in reach:
+                reach.add(child)
+                todo.append(child)
+    order: list[str] = []
+    while len(order) < len(reach):
+        order += [t for t in tables if t in reach and t not in order and all(
+            p in order or p not in reach for c, _, p, _ in fks if c == t)]
+    return order
+
+
 def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame,
                    fks=FOREIGN_KEYS, pks=PRIMARY_KEYS) -> dict[str, DataFrame]:
-    """Remove the ``root`` rows whose key is in ``ids`` and, along every foreign
-    key, the descendants that refer to a removed row. Walks the (small, fixed)
-    key graph on the driver; each step is an anti join for the survivors and a
-    semi join for the removed keys that propagate further."""
-    removed: dict[str, DataFrame] = {}
-    rk = pks[root][0]
-    removed[root] = ids.select(F.col(ids.columns[0]).alias(rk))
+    """Remove the ``root`` rows whose key is in ``ids`` and, along every foreign key, the
+    rows that refer to a removed row. Tables are walked parents first (the key graph is
+    small and fixed); each has one set of removed keys, collected over all its edges
+    before its children are looked at, so a child reached by several edges is done once."""
+    removed: dict[str, DataFrame] = {root: ids.select(F.col(ids.columns[0]).alias(pks[root][0]))}
     out = dict(tables)
-    out[root] = tables[root].join(removed[root], rk, "left_anti")
-    frontier = [root]
-    while frontier:
-        parent = frontier.pop(0)
-        pkey = pks[parent][0] if pks.get(parent) else None
-        for child, ckey, ptable, pcol in fks:
-            if ptable != parent or child not in tables or pkey is None:
+    out[root] = drop_with(tables[root], removed[root], pks[root][0])
+    for table in children_first_last(tables, root, fks)[1:]:
+        gone = None
+        for child, ckey, parent, pcol in fks:
+            if child != table or parent not in removed or ckey not in tables[table].columns:
                 continue
-            gone = removed[parent].select(F.col(pcol).alias(ckey))
-            out[child] = out[child].join(gone, ckey, "left_anti")
-            ck = pks.get(child)
-            if ck:
-                dropped = tables[child].join(gone, ckey, "left_semi").select(ck[0])
-                removed[child] = (removed[child].unionByName(dropped) if child in removed
-                                  else dropped)
-                if child not in frontier:
-                    frontier.append(child)
+            keys = removed[parent].select(F.col(pcol).alias(ckey)).distinct()
+            out[table] = drop_with(out[table], keys, ckey)
+            pk = pks.get(table)
+            if pk:
+                hit = keep_with(tables[table], keys, ckey).select(*pk)
+                gone = hit if gone is None else gone.unionByName(hit)
+        if gone is not None:
+            removed[table] = gone.distinct()
     return out

@@ -14,7 +14,7 @@ FIX = """
 f_municipalities AS (
   SELECT CAST(n_nationkey+1 AS INTEGER) AS municipality_code, n_name AS municipality_name,
          CAST(100+37*n_nationkey AS INTEGER) AS canoes, CAST(20+11*n_nationkey AS INTEGER) AS motors
-  FROM nation WHERE n_nationkey < 12),
+  FROM nation),
 f_stations AS (
   SELECT CAST(n_nationkey+1 AS INTEGER) AS station_code, n_name AS station_name,
          CAST((n_nationkey % 12)+1 AS INTEGER) AS municipality_code
@@ -22,8 +22,8 @@ f_stations AS (
 f_species AS (
   SELECT CAST(CASE WHEN p_partkey = 0 THEN 300 ELSE p_partkey END AS INTEGER) AS species_code,
          p_type AS category, p_name AS category_tetun
-  FROM part WHERE p_partkey < 30),
-f_trips AS (
+  FROM part WHERE p_partkey <> 300),
+f_trips0 AS (
   SELECT o_orderkey AS trip_id,
          CASE WHEN o_orderkey % 307 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date,
          CAST(c_nationkey+1 AS INTEGER) AS station_code,
@@ -31,30 +31,45 @@ f_trips AS (
          CAST(CASE WHEN o_orderkey % 211 = 0 THEN NULL ELSE 1 + o_custkey % 3 END AS INTEGER) AS boat_code,
          CAST(CASE WHEN o_orderkey % 67 = 0 THEN NULL ELSE 1 + o_orderkey % 9 END AS INTEGER) AS gear_code,
          CAST(o_orderkey % 80 AS INTEGER) AS trip_hours,
-         CAST(CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE (o_orderkey*13) % 160 END AS DOUBLE) AS trip_effort,
+         CASE WHEN o_orderkey % 109 = 0 THEN 'NaN'::DOUBLE
+              ELSE CAST(CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE (o_orderkey*13) % 160 END AS DOUBLE) END AS trip_effort,
          CAST(CASE WHEN o_custkey % 10 = 0 THEN 9376082 ELSE o_custkey END AS VARCHAR) AS IMEI,
-         CAST(DATEDIFF('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS date_numeric
+         CASE WHEN o_orderkey % 113 = 0 THEN 'NaN'::DOUBLE
+              ELSE CAST(DATEDIFF('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) END AS date_numeric
   FROM orders JOIN customer ON o_custkey = c_custkey),
-f_landings_once AS (
+f_trips AS (
+  SELECT * REPLACE (CASE WHEN NOT isnan(trip_effort) THEN trip_effort END AS trip_effort,
+                    CASE WHEN NOT isnan(date_numeric) THEN date_numeric END AS date_numeric) FROM f_trips0),
+f_landings0 AS (
   SELECT l_orderkey AS trip_id,
-         CAST(CASE WHEN l_partkey % 30 = 0 THEN 300 ELSE l_partkey % 30 END AS INTEGER) AS species_code,
-         CASE WHEN (l_orderkey+l_partkey) % 97 = 0 THEN NULL ELSE l_quantity END AS length,
-         l_linenumber AS nfish, l_extendedprice AS weight_g,
+         CAST(CASE WHEN l_partkey = 0 THEN 300 ELSE l_partkey END AS INTEGER) AS species_code,
+         CASE WHEN (l_orderkey+3*l_partkey) % 107 = 0 THEN 'NaN'::DOUBLE
+              WHEN (l_orderkey+l_partkey) % 97 = 0 THEN NULL ELSE l_quantity END AS length,
+         l_linenumber AS nfish,
+         CASE WHEN (3*l_orderkey+l_partkey) % 103 = 0 THEN 'NaN'::DOUBLE ELSE l_extendedprice END AS weight_g,
+         CASE WHEN l_partkey % 2 = 0 THEN 'food' ELSE 'sale' END AS food_sale,
          CAST(CASE WHEN (l_orderkey*7+l_partkey) % 89 = 0 THEN 1
-                   WHEN l_partkey % 5 = 0 THEN 4 ELSE 0 END AS INTEGER) AS flag_code
+                   WHEN l_partkey % 5 = 0 THEN 4 ELSE 0 END AS INTEGER) AS flag_code,
+         CASE WHEN l_partkey % 11 = 0 THEN 'seen' END AS note
   FROM lineitem),
+f_landings_once AS (
+  SELECT * REPLACE (CASE WHEN NOT isnan(length) THEN length END AS length,
+                    CASE WHEN NOT isnan(weight_g) THEN weight_g END AS weight_g) FROM f_landings0),
 f_landings AS (
-  SELECT * FROM f_landings_once UNION ALL SELECT * FROM f_landings_once WHERE trip_id % 20 = 0),
+  SELECT * FROM f_landings_once
+  UNION ALL SELECT * REPLACE (CASE WHEN trip_id % 40 = 0 THEN 'counted again' ELSE note END AS note)
+  FROM f_landings_once WHERE trip_id % 20 = 0),
 f_pds_points AS (
   SELECT user_id*31 + CAST(EXTRACT(DAY FROM ts) AS BIGINT) AS PDS_trip,
          CONCAT('-8.', CAST(10 + (user_id*7+event_id) % 90 AS VARCHAR), ',125.',
-                CAST(event_id % 10 AS VARCHAR)) AS latlng
+                CAST(event_id % 10 AS VARCHAR), CAST(user_id % 100 AS VARCHAR)) AS latlng
   FROM events),
 f_pds_trips AS (
   SELECT PDS_trip, CAST(CAST(d - INTERVAL 312 MONTH AS DATE) AS VARCHAR) AS date,
          CAST(CASE WHEN PDS_trip % 41 = 0 THEN NULL ELSE 1 + PDS_trip % 2 END AS INTEGER) AS boat_code,
          CAST(1 + PDS_trip % 24 AS INTEGER) AS station_code,
-         CAST(1 + PDS_trip % 9 AS INTEGER) AS gear_code, CAST(1 + PDS_trip % 7 AS INTEGER) AS habitat_code
+         CAST(1 + PDS_trip % 9 AS INTEGER) AS gear_code, CAST(1 + PDS_trip % 7 AS INTEGER) AS habitat_code,
+         CASE WHEN PDS_trip % 3 = 0 THEN PDS_trip END AS trip_id, CASE WHEN PDS_trip % 3 = 1 THEN PDS_trip + 1 END AS donor_tripid
   FROM (SELECT user_id*31 + CAST(EXTRACT(DAY FROM ts) AS BIGINT) AS PDS_trip, MIN(CAST(ts AS DATE)) AS d
         FROM events GROUP BY 1) x),
 f_shape AS (
@@ -90,7 +105,7 @@ lflags AS (
          bool_or(species_code IS NULL OR length IS NULL OR nfish IS NULL OR weight_g IS NULL
                  OR flag_code IS NULL) AS incomplete,
          bool_or(flag_code IS NULL OR flag_code NOT IN (0, 4, 5)) AS bad_flag,
-         SUM(CAST(round(weight_g * 1000) AS BIGINT)) / 1e6 AS KG
+         CAST(SUM(CAST(weight_g AS DECIMAL(28,9))) AS DOUBLE) / 1000.0 AS KG
   FROM r_landings GROUP BY trip_id),
 c_trips AS (
   SELECT p.*, COALESCE(f.KG, 0.0) AS KG
@@ -107,7 +122,8 @@ c_landings AS (
   SELECT * FROM r_landings l WHERE NOT EXISTS (SELECT 1 FROM c_bad b WHERE b.trip_id = l.trip_id)),
 pt AS (
   SELECT PDS_trip, TRY_CAST(date AS DATE) AS date, boat_code, station_code, gear_code,
-         CAST(CASE habitat_code WHEN 5 THEN 2 WHEN 6 THEN 5 WHEN 7 THEN 6 ELSE habitat_code END AS INTEGER) AS habitat_code
+         CAST(CASE habitat_code WHEN 5 THEN 2 WHEN 6 THEN 5 WHEN 7 THEN 6 ELSE habitat_code END AS INTEGER) AS habitat_code,
+         trip_id, donor_tripid
   FROM r_pds_trips),
 pp1 AS (
   SELECT * FROM r_pds_points
@@ -152,16 +168,17 @@ spine AS (
 
 MAIN = slice_sql()
 PARTIAL = slice_sql(gears=range(1, 5))
+CANOES, MOTORS = slice_sql(boats=(1,)), slice_sql(boats=(2,))
 FEW_DAYS = slice_sql(start="1998-03-01", end="1998-03-05")
 NO_BOATS = slice_sql(boats=())
 
 MONTHLY = """
 mg AS (
-  SELECT CAST(date_trunc('month', date) AS DATE) AS month, XS(KG) AS KG,
-         XS(trip_effort) AS trip_effort, COUNT(*) AS trips, COUNT(DISTINCT date) AS fishing_days,
-         XS(CASE WHEN boat_code = 1 THEN KG END) AS kg_c, XS(CASE WHEN boat_code = 1 THEN trip_effort END) AS ef_c,
+  SELECT CAST(date_trunc('month', date) AS DATE) AS month, CAST(SUM(CAST(KG AS DECIMAL(28,9))) AS DOUBLE) AS KG,
+         CAST(SUM(CAST(trip_effort AS DECIMAL(28,9))) AS DOUBLE) AS trip_effort, COUNT(*) AS trips, COUNT(DISTINCT date) AS fishing_days,
+         CAST(SUM(CAST(CASE WHEN boat_code = 1 THEN KG END AS DECIMAL(28,9))) AS DOUBLE) AS kg_c, CAST(SUM(CAST(CASE WHEN boat_code = 1 THEN trip_effort END AS DECIMAL(28,9))) AS DOUBLE) AS ef_c,
          COUNT(CASE WHEN boat_code = 1 THEN 1 END) AS n_c,
-         XS(CASE WHEN boat_code = 2 THEN KG END) AS kg_m, XS(CASE WHEN boat_code = 2 THEN trip_effort END) AS ef_m,
+         CAST(SUM(CAST(CASE WHEN boat_code = 2 THEN KG END AS DECIMAL(28,9))) AS DOUBLE) AS kg_m, CAST(SUM(CAST(CASE WHEN boat_code = 2 THEN trip_effort END AS DECIMAL(28,9))) AS DOUBLE) AS ef_m,
          COUNT(CASE WHEN boat_code = 2 THEN 1 END) AS n_m
   FROM s_trips GROUP BY 1),
 monthly AS (
@@ -211,15 +228,15 @@ SELECT strftime(month, '%b-%Y') AS Month, CAST(trunc(fishing_days) AS BIGINT) AS
 FROM summary
 UNION ALL
 SELECT 'Total', CAST(trunc(SUM(fishing_days)) AS BIGINT), CAST(trunc(SUM(trips)) AS BIGINT),
-       CAST(trunc(XS(trip_effort)) AS BIGINT), CAST(trunc(XS(KG)) AS BIGINT),
-       round_even(XS(KG) / NULLIF(XS(trip_effort), 0), 2){', CAST(trunc(SUM(natcatch)) AS BIGINT)' if enabled else ''}
+       CAST(trunc(CAST(SUM(CAST(trip_effort AS DECIMAL(28,9))) AS DOUBLE)) AS BIGINT), CAST(trunc(CAST(SUM(CAST(KG AS DECIMAL(28,9))) AS DOUBLE)) AS BIGINT),
+       round_even(CAST(SUM(CAST(KG AS DECIMAL(28,9))) AS DOUBLE) / NULLIF(CAST(SUM(CAST(trip_effort AS DECIMAL(28,9))) AS DOUBLE), 0), 2){', CAST(trunc(SUM(natcatch)) AS BIGINT)' if enabled else ''}
 FROM summary
 """
 
 
 def daily_sql(col: str, labels: str, min_days: int) -> str:
     return f"""
-dd AS (SELECT date, {col} AS code, XS(KG) AS KG, XS(trip_effort) AS trip_effort
+dd AS (SELECT date, {col} AS code, CAST(SUM(CAST(KG AS DECIMAL(28,9))) AS DOUBLE) AS KG, CAST(SUM(CAST(trip_effort AS DECIMAL(28,9))) AS DOUBLE) AS trip_effort
        FROM s_trips GROUP BY 1, 2),
 dk AS (SELECT * FROM dd WHERE code IN (SELECT code FROM dd GROUP BY code HAVING COUNT(*) >= {min_days})),
 daily AS (
@@ -233,11 +250,11 @@ HAB_LABELS = ", ".join(f"'H{i}'" for i in range(1, 7))
 GEAR_LABELS = ", ".join(f"'G{i}'" for i in range(1, 10))
 
 TOP = """
-sc AS (SELECT species_code, SUM(CAST(round(weight_g * 1000) AS BIGINT)) / 1e6 AS KG FROM s_landings GROUP BY 1),
+sc AS (SELECT species_code, CAST(SUM(CAST(weight_g AS DECIMAL(28,9))) AS DOUBLE) / 1000.0 AS KG FROM s_landings GROUP BY 1),
 rk AS (SELECT species_code, KG, row_number() OVER (ORDER BY KG DESC, species_code) AS rnk,
               COUNT(*) OVER () AS n FROM sc),
 head AS (SELECT * FROM rk WHERE rnk <= 9 OR n <= 9),
-tail AS (SELECT SUM(KG) AS KG FROM rk WHERE rnk > 9 AND n > 9),
+tail AS (SELECT CAST(SUM(CAST(KG AS DECIMAL(28,9))) AS DOUBLE) AS KG FROM rk WHERE rnk > 9 AND n > 9),
 top9 AS (
   SELECT species_code, KG + CASE WHEN species_code = 300 THEN COALESCE((SELECT KG FROM tail), 0) ELSE 0 END AS KG, rnk
   FROM head
@@ -268,13 +285,6 @@ def w(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n"
 
 
-def _exact_sums(sql: str) -> str:
-    """XS(x): sum at micro-unit resolution over integers (order-independent)."""
-    import re
-    return re.sub(r"XS\(((?:[^()]|\([^()]*\))*)\)",
-                  r"(SUM(CAST(round((\1) * 1e6) AS BIGINT)) / 1e6)", sql)
-
-
 BASE = (FIX, REFRESHED, CLEAN)
 
 SQL: dict[str, str] = {
@@ -294,7 +304,7 @@ SQL: dict[str, str] = {
     "patch_imei": w(*BASE) + "SELECT trip_id, IMEI FROM prep",
     "station_lookup": w(*BASE) + "SELECT trip_id, municipality_code FROM prep",
     "trip_catch": w(*BASE) + """SELECT t.trip_id, COALESCE(k.KG, 0.0) AS KG FROM r_trips t
-        LEFT JOIN (SELECT trip_id, SUM(CAST(round(weight_g * 1000) AS BIGINT)) / 1e6 AS KG FROM r_landings GROUP BY 1) k
+        LEFT JOIN (SELECT trip_id, CAST(SUM(CAST(weight_g AS DECIMAL(28,9))) AS DOUBLE) / 1000.0 AS KG FROM r_landings GROUP BY 1) k
         ON k.trip_id = t.trip_id""",
     "landing_dates": w(*BASE) + "SELECT l.*, p.date FROM r_landings l JOIN prep p ON p.trip_id = l.trip_id",
     "month_floor": w(*BASE) + "SELECT trip_id, CAST(date_trunc('month', date) AS DATE) AS month FROM prep",
@@ -313,7 +323,7 @@ SQL: dict[str, str] = {
     "cutoff": w(*BASE) + """SELECT * FROM c_landings WHERE trip_id IN
         (SELECT trip_id FROM c_trips WHERE date < DATE '1998-01-01')""",
     "species_catch": w(*BASE, MAIN) +
-        "SELECT species_code, SUM(CAST(round(weight_g * 1000) AS BIGINT)) / 1e6 AS KG FROM s_landings GROUP BY 1",
+        "SELECT species_code, CAST(SUM(CAST(weight_g AS DECIMAL(28,9))) AS DOUBLE) / 1000.0 AS KG FROM s_landings GROUP BY 1",
     "top_species": w(*BASE, MAIN, TOP) + "SELECT * FROM topsp",
     "species_share": w(*BASE, MAIN, TOP) +
         "SELECT *, Tonnes / SUM(Tonnes) OVER () AS share FROM topsp",
@@ -331,9 +341,9 @@ SQL: dict[str, str] = {
         trip_effort, CPUE, CAST(month + INTERVAL 3 DAY AS DATE) AS tick,
         strftime(month, '%b-%Y') AS tick_label, (SELECT MAX(CPUE) FROM summary) * 1.5 AS ylim
         FROM summary""",
-    "daily_cpue_site": w(*BASE, MAIN, daily_sql("municipality_code", SITES, 400)) + "SELECT * FROM daily",
-    "daily_cpue_habitat": w(*BASE, MAIN, daily_sql("habitat_code", HAB_LABELS, 400)) + "SELECT * FROM daily",
-    "daily_cpue_gear": w(*BASE, MAIN, daily_sql("gear_code", GEAR_LABELS, 400)) + "SELECT * FROM daily",
+    "daily_cpue_site": w(*BASE, MAIN, daily_sql("municipality_code", SITES, 5)) + "SELECT * FROM daily",
+    "daily_cpue_habitat": w(*BASE, MAIN, daily_sql("habitat_code", HAB_LABELS, 5)) + "SELECT * FROM daily",
+    "daily_cpue_gear": w(*BASE, MAIN, daily_sql("gear_code", GEAR_LABELS, 5)) + "SELECT * FROM daily",
     "daily_cpue_site_sparse": w(*BASE, MAIN, daily_sql("municipality_code", SITES, 215)) + "SELECT * FROM daily",
     "daily_cpue_gear_sparse": w(*BASE, MAIN, daily_sql("gear_code", GEAR_LABELS, 220)) + "SELECT * FROM daily",
     "log_axis": w(*BASE, MAIN, daily_sql("municipality_code", SITES, 5)) +
@@ -356,8 +366,8 @@ SQL: dict[str, str] = {
                CAST(LEAST(floor(intensity / step) + 1, ceil(top / step - 1e-10)) AS INTEGER) AS class,
                CAST(ceil(top / step - 1e-10) AS INTEGER) AS n_classes, step
         FROM iv, un""",
-    "nearest_donor": w(FIX) + """, don AS (SELECT * FROM f_sig WHERE (trip_id * 7) % 10 < 8),
-        qry AS (SELECT * FROM f_sig WHERE NOT ((trip_id * 7) % 10 < 8)),
+    "nearest_donor": w(FIX) + """, don AS (SELECT * FROM f_sig WHERE (('0x' || substr(md5(CAST(trip_id AS VARCHAR) || '-' || CAST(0 AS VARCHAR)), 1, 8))::BIGINT % 10) < 8),
+        qry AS (SELECT * FROM f_sig WHERE NOT ((('0x' || substr(md5(CAST(trip_id AS VARCHAR) || '-' || CAST(0 AS VARCHAR)), 1, 8))::BIGINT % 10) < 8)),
         pairs AS (SELECT q.trip_id, d.trip_id AS donor_tripid, list_distance(q.features, d.features) AS dist,
                          d.gear_code, d.habitat_code FROM qry q, don d),
         best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY dist, donor_tripid) AS rn
@@ -388,9 +398,81 @@ SQL: dict[str, str] = {
         (SELECT trip_id FROM r_trips WHERE trip_effort IS NULL)""",
 }
 
+SQL["write_snapshot"] = SQL["scan_snapshot"]
+SQL["backup"] = w(FIX) + """SELECT t.trip_id, s.station_name FROM f_trips t
+    JOIN f_stations s ON s.station_code = t.station_code"""
+SQL["export_csv"] = w(*BASE, MAIN, summary_sql(True)) + """SELECT strftime(month, '%b-%Y') AS Month,
+    CAST(trips AS DOUBLE) AS trips, KG, natcatch FROM summary"""
+SQL["clip_low"] = "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS fit FROM customer"
+SQL["clean_stored"] = w(*BASE) + """SELECT l.trip_id, l.species_code, l.weight_g, l.food_sale, l.note,
+    p.municipality_code AS trip_municipality FROM c_landings l LEFT JOIN prep p ON p.trip_id = l.trip_id"""
+SQL["monthly_summary_stored"] = SQL["monthly_summary"]
+SQL["summary_table_headed"] = "SELECT " + ", ".join(f'{a} AS "{b}"' for a, b in (
+    ("Month", "Month"), ("fishing_days", "Reported fishing days"), ("trips", "Reported trips"),
+    ("trip_effort", "Reported effort (hours)"), ("KG", "Reported catch (KG)"), ("CPUE", "CPUE (KG/hour)"),
+    ("natcatch", "Estimated national catch (T)"))) + " FROM (" + SQL["summary_table"] + ") x"
+SQL["summary_one_boat"] = " UNION ALL ".join(
+    "SELECT * FROM (" + w(*BASE, s, summary_sql(True)) + f"SELECT month, trips, KG, natcatch, '{b}' AS boat FROM summary)"
+    for s, b in ((CANOES, "canoe"), (MOTORS, "motor")))
+SQL["fleet_one_boat"] = w(*BASE, CANOES, MONTHLY) + "SELECT canoes, motors FROM fleet"
+DAILIES = [("site", "municipality_code", SITES), ("habitat", "habitat_code", HAB_LABELS), ("gear", "gear_code", GEAR_LABELS)]
+SQL["dashboard_bundle"] = " UNION ALL ".join(
+    [f"SELECT '{n}' AS result, COUNT(*) AS rows FROM ({SQL[q]}) x" for n, q in (
+        ("monthly", "monthly_summary"), ("table", "summary_table"), ("chart", "monthly_chart"),
+        ("site", "daily_cpue_site"), ("habitat", "daily_cpue_habitat"), ("gear", "daily_cpue_gear"),
+        ("species", "top_species"), ("heat", "heat_cells"))])
+SQL["smooth_moments"] = w(*BASE, MAIN, daily_sql("municipality_code", SITES, 5)) + """SELECT code, COUNT(*) AS days,
+    SUM(trip_effort * CPUE) / CAST(SUM(CAST(trip_effort AS DECIMAL(28,9))) AS DOUBLE) AS mean_fit,
+    SUM(trip_effort * DATEDIFF('day', DATE '1996-12-31', date) * CPUE)
+      / SUM(trip_effort * DATEDIFF('day', DATE '1996-12-31', date)) AS slope_fit
+    FROM daily WHERE CPUE IS NOT NULL AND trip_effort > 0 GROUP BY code"""
+
+# A refresh in which trips of the margin come in a second version.
+CHANGED = DELTA + """, src AS (
+  SELECT * REPLACE (CASE WHEN trip_id % 7 = 0 THEN trip_effort + 1 ELSE trip_effort END AS trip_effort) FROM f_trips),
+dlt AS (SELECT DISTINCT * FROM src WHERE date_numeric > (SELECT m FROM mark) - 30),
+x_trips AS (SELECT DISTINCT * FROM snap WHERE trip_id NOT IN (SELECT trip_id FROM dlt) UNION ALL SELECT * FROM dlt),
+x_landings AS (SELECT DISTINCT * FROM f_landings WHERE trip_id IN (SELECT trip_id FROM x_trips))
+"""
+SQL["refresh_changed_trip"] = w(FIX, CHANGED) + "SELECT * FROM x_trips"
+SQL["clean_changed_landings"] = w(FIX, CHANGED, REFRESHED.replace("FROM f_trips", "FROM x_trips").replace(
+    "FROM f_landings", "FROM x_landings"), CLEAN) + "SELECT * FROM c_landings"
+
+DIMENSIONS = """
+f_boat_types AS (SELECT CAST(p_partkey AS INTEGER) AS boat_code FROM part WHERE p_partkey BETWEEN 1 AND 2),
+f_gear_types AS (SELECT CAST(p_partkey AS INTEGER) AS gear_code FROM part WHERE p_partkey BETWEEN 1 AND 9),
+f_habitat_types AS (SELECT CAST(p_partkey AS INTEGER) AS habitat_code FROM part WHERE p_partkey BETWEEN 1 AND 6),
+f_flags AS (SELECT CAST(p_partkey AS INTEGER) AS flag_code FROM part WHERE p_partkey IN (0, 4, 5))
+"""
+SQL["cascade_delete_tracks"] = w(*BASE) + """SELECT * FROM r_pds_points WHERE PDS_trip NOT IN (
+    SELECT PDS_trip FROM r_pds_trips WHERE
+      COALESCE(trip_id IN (SELECT trip_id FROM r_trips WHERE trip_effort IS NULL), FALSE)
+      OR COALESCE(donor_tripid IN (SELECT trip_id FROM r_trips WHERE trip_effort IS NULL), FALSE))"""
+KEYED = (("trips", "trip_id", "(SELECT * FROM r_trips UNION ALL SELECT * FROM r_trips WHERE trip_id % 1000 = 0)"),
+         ("pds_trips", "PDS_trip", "r_pds_trips"), ("municipalities", "municipality_code", "f_municipalities"),
+         ("stations", "station_code", "f_stations"), ("species", "species_code", "f_species"),
+         ("boat_types", "boat_code", "f_boat_types"), ("gear_types", "gear_code", "f_gear_types"),
+         ("habitat_types", "habitat_code", "f_habitat_types"), ("flags", "flag_code", "f_flags"))
+SQL["check_pk_all"] = w(*BASE, DIMENSIONS) + " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", COUNT(*) AS violations FROM (SELECT {k} FROM {f} x GROUP BY {k}
+        HAVING COUNT(*) > 1 OR {k} IS NULL) y""" for t, k, f in KEYED)
+REFERS = (("stations", "municipality_code", "municipalities", "municipality_code"),
+          ("trips", "boat_code", "boat_types", "boat_code"), ("trips", "gear_code", "gear_types", "gear_code"),
+          ("trips", "habitat_code", "habitat_types", "habitat_code"), ("trips", "station_code", "stations", "station_code"),
+          ("pds_trips", "boat_code", "boat_types", "boat_code"), ("pds_trips", "gear_code", "gear_types", "gear_code"),
+          ("pds_trips", "habitat_code", "habitat_types", "habitat_code"), ("pds_trips", "trip_id", "trips", "trip_id"),
+          ("pds_trips", "station_code", "stations", "station_code"), ("pds_trips", "donor_tripid", "trips", "trip_id"),
+          ("pds_points", "PDS_trip", "pds_trips", "PDS_trip"), ("landings", "trip_id", "trips", "trip_id"),
+          ("landings", "species_code", "species", "species_code"), ("landings", "flag_code", "flags", "flag_code"))
+_VIEW = {t: f"r_{t}" if t in ("trips", "landings", "pds_trips", "pds_points") else f"f_{t}"
+         for r in REFERS for t in (r[0], r[2])}
+SQL["check_fk_all"] = w(*BASE, DIMENSIONS) + " UNION ALL ".join(
+    f"""SELECT '{c}' AS child, '{ck}' AS "column", '{p}' AS parent, COUNT(*) AS orphans FROM {_VIEW[c]} x
+        WHERE {ck} IS NOT NULL AND {ck} NOT IN (SELECT {pk} FROM {_VIEW[p]})""" for c, ck, p, pk in REFERS)
+
 VALIDATE = w(FIX) + """, rr AS (SELECT s.*, r.rep FROM f_sig s, range(100) r(rep)),
-    tr AS (SELECT * FROM rr WHERE (trip_id * 7 + rep * 13) % 10 < 8),
-    qu AS (SELECT * FROM rr WHERE NOT ((trip_id * 7 + rep * 13) % 10 < 8)),
+    tr AS (SELECT * FROM rr WHERE (('0x' || substr(md5(CAST(trip_id AS VARCHAR) || '-' || CAST(rep AS VARCHAR)), 1, 8))::BIGINT % 10) < 8),
+    qu AS (SELECT * FROM rr WHERE NOT ((('0x' || substr(md5(CAST(trip_id AS VARCHAR) || '-' || CAST(rep AS VARCHAR)), 1, 8))::BIGINT % 10) < 8)),
     pairs AS (SELECT q.rep, q.trip_id, q.gear_code AS qg, q.habitat_code AS qh, d.trip_id AS did,
                      d.gear_code AS dg, d.habitat_code AS dh, list_distance(q.features, d.features) AS dist
               FROM qu q JOIN tr d ON q.rep = d.rep),
@@ -406,5 +488,3 @@ SQL["validate_donor_reps"] = VALIDATE + "SELECT * FROM per"
 SQL["validate_donor"] = VALIDATE + """SELECT COUNT(*) AS reps, AVG(gear_acc) AS gear_mean,
     stddev_samp(gear_acc) AS gear_sd, AVG(habitat_acc) AS habitat_mean,
     stddev_samp(habitat_acc) AS habitat_sd FROM per"""
-
-SQL = {k: _exact_sums(v) for k, v in SQL.items()}

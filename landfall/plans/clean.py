@@ -16,7 +16,7 @@ from landfall.config import Params
 from landfall.functions.columns import clamp, parse_date, patch, recode
 from landfall.functions.dates import month_floor
 from landfall.operators.discards import cpue_ok, landing_trip_flags, valid_date
-from landfall.operators.joins import lookup
+from landfall.operators.joins import latest, lookup
 from landfall.session import materialize
 from landfall.tables import Tables
 
@@ -47,8 +47,9 @@ def judge_trips(trips: DataFrame, flags: DataFrame, stations: DataFrame, params:
                 ) -> tuple[DataFrame, DataFrame]:
     """Kept trips (with ``KG`` and ``month``) and the landing decision: one row
     per trip id whose landings stay, with the trip's month and slice attributes
-    (NULL for a trip id that is not among the trips)."""
-    t = prepare_trips(trips, stations, params)
+    (NULL for a trip id that is not among the trips). Of a trip id that stands in
+    several versions the newest counts, so landings are never multiplied."""
+    t = latest(prepare_trips(trips, stations, params), "trip_id", "date_numeric")
     j = t.join(flags, "trip_id", "left").withColumns({
         "incomplete": F.coalesce("incomplete", F.lit(False)),
         "bad_flag": F.coalesce("bad_flag", F.lit(False)),
@@ -115,6 +116,7 @@ def judge_pds(pds_trips: DataFrame, band: DataFrame, params: Params
     tracked trip id whose points stay, with the trip's month and slice
     attributes (NULL for an unknown tracked trip)."""
     p = recode(parse_date(pds_trips), "habitat_code", dict(params.habitat_recode))
+    p = latest(p, "PDS_trip", "date_numeric" if "date_numeric" in p.columns else "date")
     p = p.join(band, "PDS_trip", "left").withColumns({
         "_keep": F.col("boat_code").isNotNull() & ~F.coalesce(F.col("_band"), F.lit(False)),
         "month": month_floor("date")})

@@ -90,31 +90,25 @@ def top(sliced: Tables, params: Params) -> DataFrame:
                        params.other_code)
 
 
-def cache_slice(sliced: Tables) -> Tables:
-    """Keep the sliced fact tables in executor memory (spilling to disk) while
-    several reports read them. A lost block is recomputed from its lineage,
-    which after :func:`landfall.plans.clean.persist_clean` is a pruned scan."""
-    from pyspark import StorageLevel
-    keep = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in sliced.items()
-            if k in ("trips", "landings", "pds_trips", "pds_points")}
-    return sliced.replace(**keep)
-
-
 def dashboard(sliced: Tables, spine: DataFrame, sel: Selection, params: Params,
-              cache: bool = False) -> dict[str, DataFrame]:
-    """Every result of one selection, as lazy frames (``cache`` keeps the slice
-    in memory for the reports that share it)."""
-    if cache:
-        sliced = cache_slice(sliced)
-    summary = monthly_summary(sliced, spine, sel, params)
-    sp = top(sliced, params)
-    h = heat(sliced.pds_points) if sliced.pds_points is not None else None
-    if cache:   # shared by several results: months, top species, grid cells
-        summary, sp = summary.persist(), sp.persist()
-        h = h.persist() if h is not None else None
+              held: list | None = None) -> dict[str, DataFrame]:
+    """Every result of one selection, as lazy frames. With a list ``held``, the sliced
+    trips and the small results that several others read (months, top species, grid
+    cells) are kept in executor memory and added to it, for the caller to unpersist; a
+    lost block is recomputed from its lineage, which over stored tables is a scan."""
+    def hold(df: DataFrame) -> DataFrame:
+        if held is None:
+            return df
+        held.append(df.persist())
+        return held[-1]
+
+    sliced = sliced.replace(trips=hold(sliced.trips))
+    summary = hold(monthly_summary(sliced, spine, sel, params))
+    sp = hold(top(sliced, params))
+    h = hold(heat(sliced.pds_points)) if sliced.pds_points is not None else None
     out = {
         "monthly": summary,
-        "table": summary_table(summary, sel, params),
+        "table": with_headings(summary_table(summary, sel, params)),
         "chart": monthly_chart(summary),
         "site": daily(sliced, "site", sel, params),
         "habitat": daily(sliced, "habitat", sel, params),

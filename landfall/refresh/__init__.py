@@ -4,7 +4,7 @@ The original application refreshes once per session from a database; there is
 no unbounded stream, so these are batch operators over a growing table.
 """
 
-from landfall.streaming.refresh import (dedupe, high_water, read_delta, read_delta_child,
-                                        refresh, refresh_tables)
+from landfall.refresh.delta import (dedupe, high_water, read_delta, read_delta_child,
+                                    refresh, refresh_tables)
 
 __all__ = ["dedupe", "high_water", "read_delta", "read_delta_child", "refresh", "refresh_tables"]

@@ -20,7 +20,7 @@ def read_delta(source: DataFrame, mark: float | None, col: str = "date_numeric",
 
     With the default ``lookback=0`` a row that arrives with a value at or below
     the mark is never picked up, as in the original; a lookback re-reads a margin
-    and the dedupe of :func:`refresh` removes what the snapshot already holds.
+    and :func:`refresh` replaces what the snapshot already holds of it.
     """
     if mark is None:
         return source
@@ -33,24 +33,33 @@ def read_delta_child(child: DataFrame, delta_parent: DataFrame, key: str) -> Dat
 
 
 def dedupe(df: DataFrame) -> DataFrame:
-    """Full-row dedupe, NULL equal to NULL. Tables without a key lose honest
-    repeats too; that is the original behaviour and results depend on it."""
+    """Full-row dedupe, NULL equal to NULL, once when a snapshot is first taken.
+    Tables without a key lose honest repeats too; that is the original behaviour and
+    results depend on it. Every column takes part, so rows that differ in a note stay."""
     return df.dropDuplicates()
 
 
-def refresh(snapshot: DataFrame, delta: DataFrame, dedupe_rows: bool = True) -> DataFrame:
-    """Union by column name, then full-row dedupe (partial aggregation first, so a
-    heavily repeated row collapses map-side before the shuffle)."""
-    u = snapshot.unionByName(delta)
-    return dedupe(u) if dedupe_rows else u
+def refresh(snapshot: DataFrame, delta: DataFrame, key: str, dedupe_rows: bool = True,
+            changed: DataFrame | None = None) -> DataFrame:
+    """The snapshot with the rows of ``delta``, which replace those of the same key.
+
+    Only the delta is deduplicated: the snapshot was when it was taken, and no row of
+    a key in the delta stays in it. The snapshot meets only the delta's distinct keys
+    (``changed``, by default those of ``delta``), a side that Spark broadcasts after
+    checking its size, so a refresh costs a scan of the snapshot and a shuffle of the
+    delta. A parent that comes in a second version leaves one version, not two."""
+    keys = (delta if changed is None else changed).select(key).distinct()
+    kept = snapshot.join(keys, key, "left_anti").select(*snapshot.columns)
+    return kept.unionByName(dedupe(delta) if dedupe_rows else delta)
 
 
 def refresh_tables(snap_parent: DataFrame, snap_child: DataFrame, source_parent: DataFrame,
                    source_child: DataFrame, key: str, col: str = "date_numeric",
                    lookback: float = 0.0, dedupe_rows: bool = True) -> tuple[DataFrame, DataFrame]:
     """Refresh a parent table and its child table together (trips + landings or
-    tracked trips + points)."""
+    tracked trips + points); the children of a replaced parent are replaced with it."""
     mark = high_water(snap_parent, col)
     dp = read_delta(source_parent, mark, col, lookback)
     dc = source_child if mark is None else read_delta_child(source_child, dp, key)
-    return refresh(snap_parent, dp, dedupe_rows), refresh(snap_child, dc, dedupe_rows)
+    return (refresh(snap_parent, dp, key, dedupe_rows),
+            refresh(snap_child, dc, key, dedupe_rows, changed=dp))

@@ -12,19 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "landfall", extra: dict | None = None) -> SparkSession:
     """Session with adaptive execution (runtime coalescing, skew-join splitting,
-    size-checked broadcast conversion) and Arrow for the two Python steps
-    (smoothing spline, donor block search)."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    b = (SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+    size-checked broadcast conversion) and Arrow for the Python steps. Master, number
+    of shuffle partitions, memory and checkpoint folder are the submitter's: nothing is
+    set here unless it is asked for."""
+    b = (SparkSession.builder.appName(app)
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.driver.memory", os.environ.get("LANDFALL_DRIVER_MEMORY", "16g")))
+         .config("spark.sql.session.timeZone", "UTC"))
+    if master:
+        b = b.master(master)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -69,4 +69,22 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
+
+
+_written: list[str] = []   # what this process has materialized, oldest first
+
+
+def drop_materialized(spark: SparkSession, since: int = 0) -> None:
+    """Remove what :func:`materialize` has written, from the ``since``-th table on; call
+    it when the results that read those tables are stored."""
+    for path in _written[since:]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _written[since:]
+
+
+def materialized() -> int:
+    """How many tables :func:`materialize` has written so far."""
+    return len(_written)

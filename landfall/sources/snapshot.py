@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from landfall.schema import SCHEMAS
 
-# Display headings of the monthly summary, in column order.
+# Display headings of the monthly summary, in column order (must match).
 HEADINGS = (
     "Month", "Reported fishing days", "Reported trips", "Reported effort (hours)",
     "Reported catch (KG)", "CPUE (KG/hour)", "Estimated national catch (T)",
@@ -19,6 +19,18 @@ HEADINGS = (
 SUMMARY_COLUMNS = ("month", "fishing_days", "trips", "trip_effort", "KG", "CPUE", "natcatch")
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN is a missing value in every double column; done once, where tables are read."""
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles}) if doubles else df
+
+
+def jdbc_source(url: str, table: str, options: dict | None = None) -> dict:
+    """The ``source`` of :func:`read_table` for a database table. Filters on its
+    columns (the high-water mark) are pushed into the database's query."""
+    return {"format": "jdbc", "url": url, "dbtable": table, "pushDownPredicate": "true", **(options or {})}
+
+
 def read_snapshot(spark: SparkSession, base: str, table: str,
                   schema: T.StructType | None = None) -> DataFrame:
     """Scan a snapshot table ``{base}/{table}`` with its declared schema.
@@ -28,7 +40,7 @@ def read_snapshot(spark: SparkSession, base: str, table: str,
     """
     schema = schema or SCHEMAS[table]
     path = base if base.endswith(".parquet") else f"{base.rstrip('/')}/{table}"
-    return spark.read.schema(schema).parquet(path)
+    return nan_to_null(spark.read.schema(schema).parquet(path))
 
 
 def read_table(spark: SparkSession, source: dict, schema: T.StructType | None = None) -> DataFrame:
@@ -43,12 +55,12 @@ def read_table(spark: SparkSession, source: dict, schema: T.StructType | None =
     if fmt == "jdbc":
         reader = spark.read.format("jdbc").options(**src)
         df = reader.load()
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in schema]) if schema else df
+        return nan_to_null(df.select(*[F.col(f.name).cast(f.dataType) for f in schema]) if schema else df)
     path = src.pop("path")
     reader = spark.read.options(**src)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.format(fmt).load(path)
+    return nan_to_null(reader.format(fmt).load(path))
 
 
 def write_snapshot(df: DataFrame, base: str, table: str, version: str | None = None) -> str:

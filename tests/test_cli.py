@@ -3,11 +3,14 @@
 import glob
 import os
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from landfall import fixtures
-from landfall.__main__ import parse, run
+from landfall.__main__ import load, parse, run
 from landfall.config import GEARS, HABITATS, SITES
+from landfall.session import get_spark, materialized
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +23,8 @@ def test_cli_writes_every_result(spark, scratch):
         if name == "trips":
             df = df.filter(F.col("date_numeric") <= 10800)
         df.write.parquet(os.path.join(base, name))
-    args = parse(["--tables", base, "--source", src, "--start", "1996-12-31",
+    before = materialized()
+    args = parse(["--tables", "file://" + base, "--source", src, "--start", "1996-12-31",
                   "--end", "1999-07-01", "--as-of", "2001-07-01", "--min-date", "1996-01-01", "--sites", *SITES[:9],
                   "--habitats", *HABITATS, "--gears", *GEARS, "--spar", "0.5", "--out", out])
     paths = run(args, spark)
@@ -28,3 +32,24 @@ def test_cli_writes_every_result(spark, scratch):
     monthly = spark.read.parquet(paths["monthly"])
     assert monthly.count() == 32 and monthly.agg(F.sum("trips")).first()[0] > 30
     assert glob.glob(os.path.join(paths["summary_csv"], "part-*.csv"))
+    assert {"Reported trips", "CPUE (KG/hour)"} <= set(spark.read.parquet(paths["table"]).columns)
+    assert spark.read.parquet(paths["shape"]).count() > 0        # found through a URI
+    assert materialized() == before                              # nothing is left behind
+
+
+def test_a_missing_dimension_table_is_an_error(spark, scratch):
+    t = fixtures.load(spark, SF)
+    for name, df in t.items():
+        if name != "species":
+            df.limit(5).write.parquet(os.path.join(scratch, name))
+    with pytest.raises(AnalysisException):
+        load(spark, scratch, None)
+
+
+def test_session_keeps_what_the_submitter_set(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "123")
+    s = get_spark()
+    assert s.conf.get("spark.sql.shuffle.partitions") == "123"
+    assert s.sparkContext.master == "local[4]"
+    spark.conf.set("spark.sql.shuffle.partitions", old)

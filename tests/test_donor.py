@@ -1,9 +1,13 @@
 """Nearest-donor matching against a brute-force numpy answer."""
 
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from landfall.operators.donor import donate_attributes, donor_accuracy, nearest_donor, validate_donor
+from landfall.operators.donor import (donate_attributes, donor_accuracy, nearest_donor, train_split,
+                                      validate_donor)
 
 
 def _frame(spark, ids, feats, gears, habs):
@@ -22,9 +26,8 @@ def _brute(qf, df, dids, cap):
     return out
 
 
-@pytest.mark.parametrize("block_rows,spread,refine", [(2048, 0.3, 0), (5, 0.3, 0), (3, 0.02, 0),
-                                                      (4, 0.3, 6), (3, 0.02, 2)])
-def test_matches_brute_force(spark, block_rows, spread, refine):
+@pytest.mark.parametrize("block_rows,spread", [(2048, 0.3), (5, 0.3), (3, 0.02)])
+def test_matches_brute_force(spark, block_rows, spread):
     rng = np.random.default_rng(7)
     nd, nq, k = 60, 25, 20
     df = rng.normal(0, spread, (nd, k))
@@ -33,9 +36,8 @@ def test_matches_brute_force(spark, block_rows, spread, refine):
     donors = _frame(spark, dids, df, rng.integers(1, 9, nd), rng.integers(1, 6, nd))
     queries = _frame(spark, np.arange(nq), qf, np.zeros(nq), np.zeros(nq))
     cap = 0.9 if spread > 0.1 else 0.2
-    extra = {"refine_dims": (2, 3), "refine_rows": refine} if refine else {}
     got = {r.trip_id: (r.donor_tripid, r.donor_distance) for r in
-           nearest_donor(queries, donors, cap=cap, block_rows=block_rows, **extra).collect()}
+           nearest_donor(queries, donors, cap=cap, block_rows=block_rows).collect()}
     want = _brute(qf, df, dids, cap)
     assert set(got) == set(range(nq))
     for i in range(nq):
@@ -52,6 +54,28 @@ def test_ties_go_to_smallest_donor_id(spark):
     assert r.donor_tripid == 3 and r.gear_code == 2
 
 
+def in_training(i, rep):
+    return int(hashlib.md5(f"{i}-{rep}".encode()).hexdigest()[:8], 16) % 10 < 8
+
+
+def test_every_repeat_draws_another_split(spark):
+    r = spark.range(200).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    parts = r.filter(train_split("id", "rep")).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+    assert len({tuple(p.ids) for p in parts}) == 100
+    assert all(list(p.ids) == [i for i in range(200) if in_training(i, p.rep)] for p in parts)
+
+
+def test_equal_donors_count_once_and_dense_cells_are_searched_by_growing_radius(spark):
+    rng = np.random.default_rng(3)
+    feats = np.vstack([rng.normal(0, 0.05, (40, 20)), np.zeros((30, 20))])   # one cell, thirty equal donors
+    donors = _frame(spark, np.arange(70), feats, np.arange(70), np.arange(70))
+    queries = _frame(spark, np.arange(20), rng.normal(0, 0.05, (20, 20)), np.zeros(20), np.zeros(20))
+    got = {r.trip_id: (r.donor_tripid, r.gear_code) for r in nearest_donor(queries, donors, cap=2.0, block_rows=4).collect()}
+    qf = np.array([q.features for q in queries.orderBy("trip_id").collect()])
+    want = _brute(qf, feats, np.arange(70), 2.0)
+    assert got == {i: (w[0], w[0]) for i, w in want.items()}
+
+
 def test_validation_counts(spark):
     rng = np.random.default_rng(11)
     n = 80
@@ -62,7 +86,7 @@ def test_validation_counts(spark):
     assert len(per) == 5
     for r in per:
         ids = np.arange(n)
-        train = (ids * 7 + r.rep * 13) % 10 < 8
+        train = np.array([in_training(i, r.rep) for i in ids])
         q, d = feats[~train], feats[train]
         dist = np.sqrt(((q[:, None, :] - d[None, :, :]) ** 2).sum(-1))
         best = dist.argmin(axis=1)
@@ -85,7 +109,7 @@ def test_donate_attributes_on_track_columns(spark):
     rows = [(1, 100, 3, 2, *base), (2, 200, 5, 1, *far),
             (3, None, None, None, *near), (4, None, 7, 7, *[v + 5 for v in base])]
     out = {r.PDS_trip: r for r in donate_attributes(spark.createDataFrame(rows, schema),
-                                                    refine_rows=1).collect()}
+                                                    block_rows=1).collect()}
     assert (out[3].gear_code, out[3].habitat_code, out[3].donor_tripid) == (3, 2, 100)
     assert out[3].donor_distance == pytest.approx((20 * 0.001 ** 2) ** 0.5)
     assert (out[4].gear_code, out[4].donor_tripid) == (7, None)   # no donor within the cap

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import types as T
 
 from landfall.config import Labels, Params, Selection
-from landfall.functions.columns import clamp, parse_date, recode
+from landfall.functions.columns import clamp, kg_sum, parse_date, recode
 from landfall.functions.dates import default_window, month_spine
 from landfall.operators.aggregates import fleet_size, monthly_cpue, national_catch, top_species
 from landfall.operators.filters import min_points, min_rows, slice_dates
@@ -222,3 +222,17 @@ def test_summary_truncation_and_rounding(spark):
     assert rows[2].natcatch == -2  # -2.7 truncates toward zero
     partial = Selection(start=SEL.start, end=SEL.end, habitats=Labels().habitats[:3])
     assert "natcatch" not in summary_table(s, partial, P).columns
+
+
+def test_landings_of_a_trip_in_two_versions_are_not_multiplied(spark):
+    stations = spark.createDataFrame([(1, "S1", 1)], "station_code int, station_name string, municipality_code int")
+    trips = trips_df(spark, [trip(1, effort=100.0, dnum=1.0), trip(1, effort=120.0, dnum=2.0), trip(2, effort=100.0)])
+    lnd = landings_df(spark, [landing(1), landing(1, species=2), landing(2)])
+    t, kept = clean_trips(trips, lnd, stations, Params(as_of=dt.date(2021, 1, 1)))
+    assert sorted((r.trip_id, r.trip_effort, r.KG) for r in t.collect()) == [(1, 120.0, 2.0), (2, 100.0, 1.0)]
+    assert sorted(r.trip_id for r in kept.collect()) == [1, 1, 2]
+
+
+def test_sums_have_no_ceiling_of_64_bits(spark):
+    lnd = landings_df(spark, [landing(1, weight=4e15), landing(1, weight=7e15)])
+    assert lnd.groupBy().agg(kg_sum("weight_g").alias("KG")).first().KG == pytest.approx(1.1e13)

@@ -7,9 +7,9 @@ import os
 
 
 from landfall import schema
-from landfall.sources.snapshot import (backup_tables, export_summary_csv, read_snapshot,
+from landfall.sources.snapshot import (backup_tables, export_summary_csv, jdbc_source, read_snapshot,
                                        write_snapshot)
-from landfall.streaming.refresh import high_water, read_delta, refresh, refresh_tables
+from landfall.refresh import dedupe, high_water, read_delta, refresh, refresh_tables
 from tests.helpers import landing, landings_df, trip, trips_df
 
 
@@ -36,10 +36,10 @@ def test_refresh_is_strict_and_idempotent(spark):
     assert mark == 20.0
     delta = read_delta(src, mark)
     assert [r.trip_id for r in delta.collect()] == [4]   # a late row at the mark is missed
-    once = refresh(snap, delta)
-    twice = refresh(once, read_delta(src, high_water(once)))
+    once = refresh(snap, delta, "trip_id")
+    twice = refresh(once, read_delta(src, high_water(once)), "trip_id")
     assert sorted(r.trip_id for r in twice.collect()) == [1, 2, 4]
-    look = refresh(snap, read_delta(src, mark, lookback=1.0))
+    look = refresh(snap, read_delta(src, mark, lookback=1.0), "trip_id")
     assert sorted(r.trip_id for r in look.collect()) == [1, 2, 3, 4]
 
 
@@ -48,7 +48,7 @@ def test_refresh_children_and_empty_snapshot(spark):
     src = trips_df(spark, [trip(1, dnum=10.0), trip(2, dnum=11.0)])
     snap_l = landings_df(spark, [landing(1), landing(1)])
     src_l = landings_df(spark, [landing(1), landing(2), landing(2)])
-    t, lnd = refresh_tables(snap, snap_l, src, src_l, "trip_id")
+    t, lnd = refresh_tables(snap, dedupe(snap_l), src, src_l, "trip_id")
     assert sorted(r.trip_id for r in t.collect()) == [1, 2]
     assert sorted(r.trip_id for r in lnd.collect()) == [1, 2]   # full-row dedupe
     assert high_water(snap.limit(0)) is None
@@ -64,3 +64,34 @@ def test_export_csv(spark, scratch):
     p = export_summary_csv(s, os.path.join(scratch, "part"), False)
     rows = list(csv.reader(open(glob.glob(os.path.join(p, "part-*.csv"))[0])))
     assert len(rows[0]) == 6 and len(rows[1]) == 6
+
+
+def test_landings_that_differ_in_a_note_stay(spark, scratch):
+    a, b = dict(landing(1), food_sale="food"), dict(landing(1), food_sale="sale")
+    write_snapshot(landings_df(spark, [a, b, a]), scratch, "landings", version="v")
+    back = dedupe(read_snapshot(spark, os.path.join(scratch, "v"), "landings"))
+    assert sorted(r.food_sale for r in back.collect()) == ["food", "sale"]
+
+
+def test_nan_is_missing_in_every_double_column(spark, scratch):
+    nan = float("nan")
+    t = trips_df(spark, [dict(trip(1, effort=nan, dnum=nan), mesh=nan, catch_value=nan), trip(2, dnum=5.0)])
+    write_snapshot(t, scratch, "trips", version="v")
+    back = read_snapshot(spark, os.path.join(scratch, "v"), "trips")
+    first = back.filter("trip_id = 1").first()
+    assert all(first[c] is None for c in ("trip_effort", "date_numeric", "mesh", "catch_value"))
+    assert high_water(back) == 5.0
+
+
+def test_changed_parent_replaces_the_older_version_and_its_children(spark):
+    snap = trips_df(spark, [trip(1, effort=5.0, dnum=10.0), trip(2, dnum=11.0)])
+    src = trips_df(spark, [trip(1, effort=9.0, dnum=10.5), trip(2, dnum=11.0)])
+    old, new = landings_df(spark, [landing(1, weight=1.0), landing(2)]), landings_df(spark, [landing(1, weight=2.0), landing(2)])
+    t, lnd = refresh_tables(snap, old, src, new, "trip_id", lookback=2.0)
+    assert {r.trip_id: r.trip_effort for r in t.collect()} == {1: 9.0, 2: 10.0}
+    assert sorted((r.trip_id, r.weight_g) for r in lnd.collect()) == [(1, 2.0), (2, 1000.0)]
+
+
+def test_database_source_options():
+    s = jdbc_source("jdbc:x://h/db", "trips", {"user": "u"})
+    assert s == {"format": "jdbc", "url": "jdbc:x://h/db", "dbtable": "trips", "pushDownPredicate": "true", "user": "u"}

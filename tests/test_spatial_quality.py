@@ -49,3 +49,13 @@ def test_cascade_delete_follows_two_levels(spark):
     assert [r.station_code for r in out["stations"].collect()] == [6]
     assert [r.PDS_trip for r in out["pds_trips"].collect()] == [3]
     assert [r.latlng for r in out["pds_points"].collect()] == ["w"]
+
+
+def test_cascade_reaches_tracked_trips_by_both_edges(spark):
+    trips = spark.createDataFrame([(1,), (2,), (3,)], "trip_id long")
+    pds = spark.createDataFrame([(10, 1, None), (11, None, 1), (12, 2, None)], "PDS_trip long, trip_id long, donor_tripid long")
+    pts = spark.createDataFrame([(10, "a"), (11, "b"), (12, "c")], "PDS_trip long, latlng string")
+    out = cascade_delete({"pds_points": pts, "pds_trips": pds, "trips": trips}, "trips",
+                         spark.createDataFrame([(1,)], "trip_id long"))
+    assert [r.PDS_trip for r in out["pds_trips"].collect()] == [12]
+    assert [r.latlng for r in out["pds_points"].collect()] == ["c"]
