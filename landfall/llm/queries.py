@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landfall.llm import language_id, license_scan, mixing, neighbours, packing, pitman_yor, quality_hosts, secret_scan, simhash, suffix_dedup
+from landfall.llm.oracle import SQL  # noqa: F401
 from landfall.llm.text import documents, id_crc, table
 
 PACK_TOKENS = 1024
@@ -82,4 +83,3 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_hosts, op3_suffix_dedup, op4_secret_scan, op5_mixing, op6_pitman_yor, op7_simhash, op8_language_id, op9_packing,
     op10_neighbours)}
-SQL: dict[str, str] = {}

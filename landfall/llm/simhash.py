@@ -111,11 +111,14 @@ def bucketed(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
     """table, key and fp of each row of (table, fp) under the masks of its table, with
     the number of fingerprints of the bucket; buckets of one are left out."""
     per = len(masks[0])
-    spark = rows.sparkSession
-    flat = spark.range(1).select(F.posexplode(F.array(*[F.lit(signed(m)) for ms in masks for m in ms])).alias("n", "mask"))
-    flat = flat.select(F.floor(F.col("n") / per).cast("int").alias("table"), F.col("n").alias("next"), "mask")
-    keyed = rows.join(F.broadcast(flat), "table").select(     # at most 6,000 fixed rows
-        F.col("next").alias("table"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct()
+    all_masks = F.array(*[F.lit(signed(m)) for ms in masks for m in ms])
+    if len(masks) == 1:
+        masked = rows.select("fp", F.posexplode(all_masks).alias("next", "mask"))
+    else:
+        flat = rows.sparkSession.range(1).select(F.posexplode(all_masks).alias("next", "mask"))
+        flat = flat.withColumn("table", F.floor(F.col("next") / per).cast("int"))
+        masked = rows.join(F.broadcast(flat), "table")        # at most 6,000 fixed rows
+    keyed = masked.select(F.col("next").alias("table"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct()
     size = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return keyed.join(size, ["table", "key"])
 
