@@ -1,5 +1,11 @@
 """DuckDB SQL of the queries that SQL can express, written from their rules."""
 
+import re
+import string
+
+from landfall.llm.license_scan import NOTICE_K, NOTICES, PHRASE_K, PHRASES
+from landfall.llm.secret_scan import RULES
+
 WORD = r"'[^\x20\x09-\x0D]+'"
 
 QUALITY = rf"""
@@ -52,4 +58,72 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(COALESCE(x.n, 0) * q.size
 FROM q LEFT JOIN x ON x.doc_id IS NOT DISTINCT FROM q.doc_id AND x.source IS NOT DISTINCT FROM q.source
 """
 
-SQL = {"op2_quality_hosts": QUALITY, "op5_mixing": MIXING}
+LICENSE_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+LOWER = f"translate(COALESCE(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def gram_rows() -> str:
+    """Template grams as rows: label, is_phrase, n_grams, t_at, gram."""
+    out = []
+    for templates, k, phrase in ((PHRASES, PHRASE_K, "TRUE"), (NOTICES, NOTICE_K, "FALSE")):
+        for label, text in templates:
+            w = re.findall("[a-z0-9]+", text)
+            out += [f"({quoted(label)}, {phrase}, {len(w) - k + 1}, {i}, {quoted(' '.join(w[i:i + k]))})"
+                    for i in range(len(w) - k + 1)]
+    return ", ".join(out)
+
+
+def gram(k: int) -> str:
+    return " || ' ' || ".join(f"ws[i + {n}]" for n in range(1, k + 1))
+
+
+LICENSES = f"""
+WITH tpl(label, is_phrase, n_grams, t_at, gram) AS (VALUES {gram_rows()}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, {LICENSE_WORD}) AS ws FROM documents),
+g AS (SELECT rid, i, {gram(PHRASE_K)} AS g2, {gram(NOTICE_K)} AS g5
+      FROM (SELECT rid, ws, unnest(range(len(ws))) AS i FROM d) x),
+hit AS (SELECT rid, i, t.* FROM g JOIN tpl t ON t.gram = CASE WHEN t.is_phrase THEN g2 ELSE g5 END),
+dia AS (SELECT DISTINCT rid, label, i - t_at AS d FROM hit),
+isl AS (SELECT *, SUM(CASE WHEN step IS NULL OR step > CASE WHEN label IN ({', '.join(quoted(x) for x, _ in PHRASES)}) THEN 0 ELSE 4 END
+                      THEN 1 ELSE 0 END) OVER (PARTITION BY rid, label ORDER BY d) AS span
+        FROM (SELECT *, d - lag(d) OVER (PARTITION BY rid, label ORDER BY d) AS step FROM dia) x),
+spn AS (SELECT h.rid, h.label, is_phrase, n_grams, span, COUNT(DISTINCT t_at) / n_grams AS share, MIN(i) AS lo, MAX(i) AS hi
+        FROM hit h JOIN isl ON isl.rid = h.rid AND isl.label = h.label AND isl.d = h.i - h.t_at
+        GROUP BY h.rid, h.label, is_phrase, n_grams, span),
+ok AS (SELECT * FROM spn WHERE CASE WHEN is_phrase THEN share = 1 ELSE share >= 0.8 AND hi - lo < n_grams * 1.5 + 4 END)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, COUNT(CASE WHEN is_phrase THEN 1 END) AS n_base,
+       MIN(CASE WHEN is_phrase THEN lo END) AS first_word, MAX(CASE WHEN is_phrase THEN lo END) AS last_word,
+       COALESCE(string_agg(DISTINCT CASE WHEN is_phrase THEN label END, ',' ORDER BY CASE WHEN is_phrase THEN label END), '') AS base_labels,
+       COALESCE(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, COALESCE(MAX(share), 0.0) AS score
+FROM d LEFT JOIN ok ON ok.rid = d.rid GROUP BY d.rid, d.doc_id, ws
+"""
+
+
+def rule_matches(number: int, rule) -> str:
+    """Matches of one rule with the lengths before them."""
+    p = quoted(rule.pattern)
+    return f"""SELECT rid, {number} AS kind, {quoted(rule.kind)} AS name, {rule.least} AS least, {rule.least_value} AS least_value,
+        regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS b,
+        regexp_extract_all(t, {p}, {2 if rule.least_value else 0}) AS v FROM d"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS t FROM documents),
+r AS ({' UNION ALL '.join(rule_matches(i, x) for i, x in enumerate(RULES))}),
+x AS (SELECT rid, kind, name, least, least_value, unnest(range(len(m))) AS i, unnest(m) AS m, unnest(b[:len(m)]) AS b, unnest(v) AS v FROM r),
+y AS (SELECT rid, kind, name, length(m) AS n, length(m) >= least AND length(v) >= least_value AS holds,
+             SUM(length(b) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM x),
+s AS (SELECT rid, kind, name, CAST(e - n AS BIGINT) AS a, name || ':' || CAST(e - n AS BIGINT) || ':' || CAST(e AS BIGINT) AS said
+      FROM y WHERE holds)
+SELECT d.doc_id, COUNT(CASE WHEN name = 'assign' THEN 1 END) AS n_assign, COUNT(CASE WHEN name = 'access' THEN 1 END) AS n_access,
+       COUNT(CASE WHEN name = 'hex' THEN 1 END) AS n_hex,
+       sha256(COALESCE(string_agg(said, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256,
+       COALESCE(string_agg(said, ',' ORDER BY a, kind), '') AS spans
+FROM d LEFT JOIN s ON s.rid = d.rid GROUP BY d.rid, d.doc_id
+"""
+
+SQL = {"op1_license_scan": LICENSES, "op4_secret_scan": SECRETS, "op2_quality_hosts": QUALITY, "op5_mixing": MIXING}
