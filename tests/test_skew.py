@@ -63,3 +63,18 @@ def test_hot_trip_is_exact_under_skew_splitting(spark):
     kg, species = skewed
     assert kg[0] == sum(10.0 + i for i in range(3000)) / 1000
     assert len(kg) == 50
+
+
+def test_hot_trip_join_is_split(spark):
+    """The join of landings with the stored per-trip decisions runs with skew splitting."""
+    hot = [landing(0, species=1 + i % 7, weight=10.0 + i) for i in range(20_000)]
+    lnd = landings_df(spark, hot + [landing(i) for i in range(1, 400)]).repartition(16)
+    decision = spark.range(400).selectExpr("id AS trip_id", "repeat('x', 50) AS pad").repartition(8)
+
+    def run():
+        j = lnd.join(decision, "trip_id", "inner")
+        n = len(j.collect())
+        return n, j._jdf.queryExecution().executedPlan().toString()
+
+    n, plan = _with_conf(spark, SKEW_CONF, run)
+    assert n == 20_399 and "skew=true" in plan
