@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from landfall import fixtures
 from landfall.config import Labels, Params, Selection
-from landfall.functions.columns import clip_low, log_axis
+from landfall.functions.columns import clip_low, log_axis, nan_to_null
 from landfall.functions.dates import default_window_cols, month_floor
 from landfall.operators.aggregates import (boat_cpue, fleet_size, monthly_cpue, national_catch,
                                            species_catch, species_share)
@@ -34,8 +34,8 @@ from landfall.plans.reports import (daily, daily_chart, dashboard, monthly_chart
 from landfall.plans.slicing import slice_tables
 from landfall.refresh import dedupe, high_water, read_delta, read_delta_child, refresh_tables
 from landfall.session import checkpoint_dir
-from landfall.sources.snapshot import (backup_tables, export_summary_csv, nan_to_null, read_snapshot,
-                                       read_table, write_snapshot)
+from landfall.sources.snapshot import (backup_tables, export_summary_csv, read_snapshot, read_table,
+                                       write_snapshot)
 from landfall.tables import Tables
 
 # Test parameters (FIXTURES.md): labels follow the test tables' place names.

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfall.sources.snapshot import nan_to_null, read_table
+from landfall.functions.columns import nan_to_null
+from landfall.sources.snapshot import read_table
 from landfall.tables import Tables
 
 

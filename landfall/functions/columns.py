@@ -15,6 +15,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN is a missing value in every double column. Done where tables are read, and
+    again (at no cost to speak of) where rules would misread a NaN as a large number."""
+    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles}) if doubles else df
+
+
 def parse_date(df: DataFrame, col: str = "date") -> DataFrame:
     """Text to date; text with a time part keeps its day, unparseable text is NULL."""
     return df.withColumn(col, F.expr(f"try_cast(`{col}` AS DATE)"))
@@ -31,9 +38,9 @@ def recode(df: DataFrame, col: str, mapping: Mapping[int, int]) -> DataFrame:
 
 def clamp(df: DataFrame, col: str, zero_to: float, upper: float) -> DataFrame:
     """0 becomes ``zero_to``, values above ``upper`` become ``upper``; negatives
-    and NULL are left alone."""
-    c = F.col(col)
+    and NULL are left alone, NaN becomes NULL."""
     t = df.schema[col].dataType
+    c = F.nanvl(F.col(col), F.lit(None)) if t.typeName() in ("double", "float") else F.col(col)
     return df.withColumn(col, F.when(c == 0, F.lit(zero_to)).when(c > upper, F.lit(upper))
                          .otherwise(c).cast(t))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landfall.config import Params
-from landfall.functions.columns import clamp, parse_date, patch, recode
+from landfall.functions.columns import clamp, nan_to_null, parse_date, patch, recode
 from landfall.functions.dates import month_floor
 from landfall.operators.discards import cpue_ok, landing_trip_flags, valid_date
 from landfall.operators.joins import latest, lookup
@@ -33,7 +33,7 @@ TRIP_REQUIRED = ("municipality_code", "habitat_code", "gear_code", "trip_effort"
 def prepare_trips(trips: DataFrame, stations: DataFrame, params: Params) -> DataFrame:
     """Row-level steps on trips: parse the date, station -> municipality,
     clamp hours and effort, recode habitats, patch the IMEI."""
-    t = parse_date(trips)
+    t = parse_date(nan_to_null(trips))
     t = lookup(t, stations, "station_code", "municipality_code")
     t = clamp(t, "trip_hours", params.hours_zero_to, params.hours_max)
     t = clamp(t, "trip_effort", params.effort_zero_to, params.effort_max)
@@ -101,7 +101,7 @@ def clean_trips(trips: DataFrame, landings: DataFrame, stations: DataFrame, para
 
 def trip_flags(landings: DataFrame, params: Params) -> DataFrame:
     """Per trip id of the landings: incomplete, bad_flag and KG."""
-    return landing_trip_flags(landings, LANDING_REQUIRED, params.ok_flags)
+    return landing_trip_flags(nan_to_null(landings), LANDING_REQUIRED, params.ok_flags)
 
 
 def band_flags(pds_points: DataFrame, params: Params) -> DataFrame:
@@ -115,7 +115,7 @@ def judge_pds(pds_trips: DataFrame, band: DataFrame, params: Params
     """Kept tracked trips (with ``month``) and the point decision: one row per
     tracked trip id whose points stay, with the trip's month and slice
     attributes (NULL for an unknown tracked trip)."""
-    p = recode(parse_date(pds_trips), "habitat_code", dict(params.habitat_recode))
+    p = recode(parse_date(nan_to_null(pds_trips)), "habitat_code", dict(params.habitat_recode))
     p = latest(p, "PDS_trip", "date_numeric" if "date_numeric" in p.columns else "date")
     p = p.join(band, "PDS_trip", "left").withColumns({
         "_keep": F.col("boat_code").isNotNull() & ~F.coalesce(F.col("_band"), F.lit(False)),

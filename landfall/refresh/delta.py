@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def high_water(df: DataFrame, col: str = "date_numeric") -> float | None:
-    """Largest ``col`` in the snapshot, NULLs ignored; ``None`` for an empty
+    """Largest ``col`` in the snapshot, NULL and NaN ignored; ``None`` for an empty
     snapshot (then the delta is a full load). Only this scalar reaches the driver,
     so the delta filter below is a literal that Parquet/JDBC scans push down."""
-    row = df.agg(F.max(col).alias("m")).first()
+    row = df.agg(F.max(F.nanvl(F.col(col).cast("double"), F.lit(None))).alias("m")).first()
     return None if row is None or row["m"] is None else float(row["m"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landfall.functions.columns import nan_to_null
 from landfall.schema import SCHEMAS
 
 # Display headings of the monthly summary, in column order (must match).
@@ -19,12 +20,6 @@ HEADINGS = (
 SUMMARY_COLUMNS = ("month", "fishing_days", "trips", "trip_effort", "KG", "CPUE", "natcatch")
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN is a missing value in every double column; done once, where tables are read."""
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles}) if doubles else df
-
-
 def jdbc_source(url: str, table: str, options: dict | None = None) -> dict:
     """The ``source`` of :func:`read_table` for a database table. Filters on its
     columns (the high-water mark) are pushed into the database's query."""

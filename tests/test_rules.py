@@ -236,3 +236,13 @@ def test_landings_of_a_trip_in_two_versions_are_not_multiplied(spark):
 def test_sums_have_no_ceiling_of_64_bits(spark):
     lnd = landings_df(spark, [landing(1, weight=4e15), landing(1, weight=7e15)])
     assert lnd.groupBy().agg(kg_sum("weight_g").alias("KG")).first().KG == pytest.approx(1.1e13)
+
+
+def test_nan_is_missing_in_the_rules(spark):
+    stations = spark.createDataFrame([(1, "S1", 1)], "station_code int, station_name string, municipality_code int")
+    nan = float("nan")
+    trips = trips_df(spark, [trip(1, effort=nan), trip(2, effort=100.0), trip(3, effort=100.0)])
+    lnd = landings_df(spark, [landing(1), landing(2, weight=nan), landing(3)])
+    t, kept = clean_trips(trips, lnd, stations, Params(as_of=dt.date(2021, 1, 1)))
+    assert [r.trip_id for r in t.collect()] == [3] and [r.trip_id for r in kept.collect()] == [3]
+    assert [r.trip_effort for r in clamp(trips, "trip_effort", 3.0, 144.0).orderBy("trip_id").collect()] == [None, 100.0, 100.0]
