@@ -108,17 +108,19 @@ def top_species(catch: DataFrame, species: DataFrame, n: int = 9, other: int = 3
 
     Ranked by KG descending, ties by code. With more than ``n`` species the tail
     is summed: if ``other`` is among the first ``n`` the sum is added to it in
-    place (``n`` rows), else a row ``other`` is appended at rank ``n + 1``. The
-    window runs over the per-species aggregate (one row per species, bounded by
-    the species list), not over landings.
+    place (``n`` rows), else a row ``other`` is appended at rank ``n + 1``. The first
+    ``n`` are a distributed top-n, and the window numbers only those ``n`` rows, so the
+    number of species codes in the landings does not matter.
     """
-    w = Window.orderBy(F.desc("KG"), F.asc("species_code"))
-    r = (catch.withColumn("rank", F.row_number().over(w))
-         .withColumn("n_species", F.count(F.lit(1)).over(Window.partitionBy())))
-    folded = F.when((F.col("n_species") > n) & (F.col("rank") > n), F.lit(other)) \
-        .otherwise(F.col("species_code"))
-    g = (r.withColumn("species_code", folded.cast("int")).groupBy("species_code")
-         .agg(exact_sum("KG").alias("KG"), F.min("rank").alias("rank")))
+    order = [F.desc("KG"), F.asc("species_code")]
+    head = (catch.orderBy(*order).limit(n)
+            .withColumn("rank", F.row_number().over(Window.orderBy(*order))))
+    codes = head.select(F.col("species_code").alias("_code"))
+    tail = (catch.join(F.broadcast(codes), F.col("species_code").eqNullSafe(F.col("_code")), "left_anti")
+            .agg(exact_sum("KG").alias("KG"), F.count(F.lit(1)).alias("_n")).filter("_n > 0")
+            .select(F.lit(other).cast("int").alias("species_code"), "KG", F.lit(n + 1).alias("rank")))
+    g = (head.select(F.col("species_code").cast("int").alias("species_code"), "KG", "rank").unionByName(tail)
+         .groupBy("species_code").agg(exact_sum("KG").alias("KG"), F.min("rank").alias("rank")))
     sp = species.groupBy("species_code").agg(
         F.min(species_label()).alias("species"))
     return (g.join(sp, "species_code", "left")
