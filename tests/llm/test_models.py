@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from landfall.llm import language_id, mixing, neighbours, packing, pitman_yor
 from landfall.llm.text import id_crc
 from tests.llm.cases import TEXTS, by_row, frame, low, words
+from tests.llm.rules import fair_queue
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -63,6 +64,16 @@ def test_mix(spark, rows_per_range):
     assert by_row(again, columns) == sorted(((g["doc_id"], g["size"], g["taken"]) for g in got), key=repr)
 
 
+def test_mix_is_the_fair_queue(spark):
+    r = random.Random(9)
+    rows = [(i, "w " * r.randint(0, 40), "en", r.choice(["a", "b", "b", None])) for i in range(150)]
+    got = {g["doc_id"]: g["taken"] for g in mixing.mix(frame(spark, rows), rows_per_range=11).collect()}
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(words(t))
+    assert got == fair_queue([(i, t, s) for i, t, _, s in rows], fair_targets(sizes))
+
+
 def test_mixed_rows_stand_as_often_as_taken(spark):
     docs = frame(spark)
     mixed = mixing.mix(docs)
@@ -75,7 +86,10 @@ def test_mixed_rows_stand_as_often_as_taken(spark):
     assert Counter(x["doc_id"] for x in out.collect()) == +want
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("run_tokens", [1_500_000, 50])
+def test_language_model(spark, monkeypatch, run_tokens):
+    monkeypatch.setattr(pitman_yor, "RUN_TOKENS", run_tokens)
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 1 << 16)      # several buckets
     r = random.Random(1)
     rows = TEXTS + [(i, " ".join(r.choice(["the", "of", "a", f"w{r.randint(0, 50)}"]) for _ in range(r.randint(0, 80))), "en", "a")
                     for i in range(100, 220)]
