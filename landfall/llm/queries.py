@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfall.llm import language_id, license_scan, mixing, neighbours, packing, pitman_yor, quality_hosts, secret_scan, simhash, suffix_dedup
+from landfall.llm import (language_id, license_scan, mixing, neighbours, packing, pitman_yor, quality_hosts,
+                          secret_scan, simhash, suffix_dedup)
 from landfall.llm.oracle import SQL  # noqa: F401
 from landfall.llm.text import documents, id_crc, table
 

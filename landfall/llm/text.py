@@ -46,10 +46,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
-    """Rows with a 96-bit key of all their columns; equal rows have equal keys."""
-    plain = [F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() or f.dataType.typeName() == "variant"
-             else docs[f.name] for f in docs.schema.fields]
-    return docs.withColumns({"_llm_k1": F.xxhash64(*plain), "_llm_k2": F.hash(F.lit(7), *plain)})
+    """Rows with a 96-bit key of all their columns; equal rows have equal keys. Hashes pass
+    over nulls, so whether a column is null is hashed, too; nested columns as JSON."""
+    parts = []
+    for f in docs.schema.fields:
+        c = docs[f"`{f.name}`"]
+        nested = f.dataType.typeName() in ("array", "map", "struct", "variant")
+        parts += [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if nested else c, c.isNull()]
+    return docs.withColumns({"_llm_k1": F.xxhash64(*parts), "_llm_k2": F.hash(F.lit(7), *parts)})
 
 
 def distinct_rows(keyed: DataFrame, columns: list[str]) -> DataFrame:

@@ -70,6 +70,12 @@ def test_secret_documents_go(spark):
     assert by_row(left, ["doc_id", "text"]) == clean
 
 
+def test_rows_that_differ_in_which_column_is_null_stay_apart(spark):
+    rows = [(1, "clean", "x", None), (1, "clean", None, "x"), (1, "clean", None, "x")]
+    left = secret_scan.drop_documents(frame(spark, rows))
+    assert by_row(left, ["lang", "source"]) == sorted([("x", None), (None, "x"), (None, "x")], key=repr)
+
+
 @pytest.mark.parametrize("pattern, clauses", [
     ("abcd", [{"abc", "bcd"}]), ("ab(cd|EF)", [{"abc", "bcd"}, {"abe", "bef"}]), ("api_?key", [{"api", "pik", "ike", "key"}, {"api", "pi_", "i_k", "_ke", "key"}]),
     ("[0-9a-f]+", []), ("ab?", []), ("abc|[xy]", []), ("abc[0-9]+xyz", [{"abc", "xyz"}]), ("(?i:ABC)", [{"abc"}]), ("abc+d", [{"abc"}])])
