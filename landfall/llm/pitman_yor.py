@@ -48,6 +48,7 @@ CONTEXTS = 4096
 EXACT = 64
 BUCKET_BYTES = 12 << 20              # text whose tokens make a bucket
 PART_TOKENS = 3_000_000              # tokens of a bucket that are scored at once
+RUN_TOKENS = 1_500_000               # tokens of a batch that are sorted at once
 
 
 @dataclass
@@ -91,6 +92,18 @@ def tokens_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, (before & np.uint64(CONTEXTS - 1)).astype(np.int64), np.diff(offsets)
 
 
+def runs(lists: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about RUN_TOKENS tokens and where they start; bounds the memory
+    that sorting takes, whatever the batch."""
+    offsets = np.asarray(lists.offsets)
+    start = 0
+    while start < len(lists):
+        end = int(np.searchsorted(offsets, offsets[start] + RUN_TOKENS, "right")) - 1
+        end = min(max(end, start + 1), len(lists))
+        yield start, lists.slice(start, end - start)
+        start = end
+
+
 def bucket_of(w: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of the hash, so sorted words lie in sorted buckets."""
     return ((w >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -129,10 +142,8 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def counts(train: DataFrame, buckets: int) -> DataFrame:
     """One row per bucket: packed pair counts and a few sums."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w, ctx, _ = tokens_of(b.column(0))
-            if not len(w):
-                continue
+        for part in (part for b in batches for _, part in runs(b.column(0))):
+            w, ctx, _ = tokens_of(part)
             u, key, c = merged(w, ctx, None)
             of = bucket_of(u, buckets)
             present = np.unique(of)
@@ -329,11 +340,9 @@ def score(docs: DataFrame, held_out: Column, table: DataFrame, model: Model, buc
     split = np.array([max(1, -(-tokens.get(b, 0) // PART_TOKENS)) for b in range(buckets)])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w, ctx, n = tokens_of(b.column(1))
-            if not len(n):
-                continue
-            first = b.column(0)[0].as_py()
+        for b, start_at, part_lists in ((b, *r) for b in batches for r in runs(b.column(1))):
+            w, ctx, n = tokens_of(part_lists)
+            first = b.column(0)[start_at].as_py()
             doc = np.repeat(np.arange(len(n)), n)
             order = np.argsort(w, kind="stable")
             w, ctx, doc = w[order], ctx[order], doc[order]
