@@ -134,22 +134,38 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+MORE = np.dtype([("pos", "<i8"), ("reach", "<i4")])
+
+
 def anchors(texts: DataFrame, length: int) -> DataFrame:
-    """key, h1, h2 (the text), pos, near and far of every needed suffix."""
+    """key, h1, h2 (the text), pos, reach (near and far) of every needed suffix. Suffixes
+    of one text with equal keys (periodic text has very many) are one row: n counts them,
+    ``more`` packs the others' places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_bytes(b.column(2))
             for t, a, e in pieces(offsets, length):
                 buf = np.concatenate([data[x:y] for x, y in zip(a, e)])
                 ends = np.cumsum(e - a)
-                n, pos, near, far, key = suffixes(buf, ends - (e - a), ends, length)
-                which = pa.array(t[n])
+                text, pos, near, far, key = suffixes(buf, ends - (e - a), ends, length)
+                place = np.empty(len(pos), MORE)
+                place["pos"], place["reach"] = pos + (a - offsets[t])[text], near << 16 | far
+                text = t[text]
+                order = np.lexsort((place["pos"], key, text))
+                text, key, place = text[order], key[order], place[order]
+                first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])]) \
+                    if len(key) else np.zeros(0, np.int64)
+                n = np.diff(np.r_[first, len(key)])
+                more = [None] * len(first)
+                for i in np.flatnonzero(n > 1):
+                    more[i] = place[first[i] + 1:first[i] + n[i]].tobytes()
+                which = pa.array(text[first])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), b.column(0).take(which), b.column(1).take(which),
-                     pa.array((pos + (a - offsets[t])[n]).astype(np.int64)),
-                     pa.array((near << 16 | far).astype(np.int32))], names=["key", "h1", "h2", "pos", "reach"])
+                    [pa.array(key[first]), b.column(0).take(which), b.column(1).take(which),
+                     pa.array(place["pos"][first]), pa.array(place["reach"][first]), pa.array(n.astype(np.int32)),
+                     pa.array(more, pa.binary())], names=["key", "h1", "h2", "pos", "reach", "n", "more"])
 
-    return texts.mapInArrow(run, "key long, h1 long, h2 int, pos long, reach int")
+    return texts.mapInArrow(run, "key long, h1 long, h2 int, pos long, reach int, n int, more binary")
 
 
 def tie_break(h1: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -176,7 +192,7 @@ RECORD = ("bucket long, cut boolean, h1 long, h2 int, pos long, near int, far in
 def records(texts: DataFrame, split: np.ndarray, length: int) -> DataFrame:
     """One row per wanted suffix: its bucket, the bytes after and (reversed) before it.
 
-    ``texts``: h1, h2, text, at (array of pos and reach). Suffixes of one text that are alike
+    ``texts``: h1, h2, text, at (array of pos, reach and more). Suffixes of one text that are alike
     in all their bytes are sent once, with their number n; the first keeps n = 1 if alone."""
     half = length // 2
 
@@ -191,10 +207,14 @@ def records(texts: DataFrame, split: np.ndarray, length: int) -> DataFrame:
             values = lists.values
             pos_all = np.asarray(values.field(0), np.int64)
             reach_all = np.asarray(values.field(1), np.int64)
+            more_all = values.field(2)
             rows: list[tuple] = []
             size = 0
             for t in range(b.num_rows):
-                pos, reach = pos_all[list_at[t]:list_at[t + 1]], reach_all[list_at[t]:list_at[t + 1]]
+                mine = slice(list_at[t], list_at[t + 1])
+                more = [np.frombuffer(m, MORE) for m in more_all[mine].drop_null().to_pylist()]
+                pos = np.concatenate([pos_all[mine], *[m["pos"] for m in more]])
+                reach = np.concatenate([reach_all[mine], *[m["reach"].astype(np.int64) for m in more]])
                 text = data[offsets[t]:offsets[t + 1]]
                 raw = text.tobytes()
                 h1, h2 = b.column(0)[t].as_py(), b.column(1)[t].as_py()
@@ -359,9 +379,10 @@ def repeated_ranges(docs: DataFrame, length: int = 400, bucket_rows: int = 32_76
     """h1, h2, start, stop: byte ranges of texts (h1, h2, text) covered by repeated strings;
     ranges of one text may overlap."""
     a = anchors(docs.where(F.octet_length("text") >= length).select("h1", "h2", "text"), length)
-    often = a.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # stored on its own, so that a hot key's partition of the join can be split
+    often = store(a.groupBy("key").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("key"), "suffix-keys")
     wanted = store(a.join(often, "key"), "suffixes")
-    total = wanted.count()
+    total = wanted.agg(F.sum("n")).first()[0] or 0
     share = min(1.0, sample / max(total, 1))
     some = wanted.where(F.pmod(F.xxhash64("h1", "pos"), F.lit(1 << 30)) < int(share * (1 << 30))).select(
         "key", "h1", "pos").limit(2 * sample).toPandas()
@@ -374,7 +395,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, bucket_rows: int = 32_76
         at = order[np.unique(np.arange(1, buckets) * len(order) // buckets)]
         split = np.stack([key[at], tie[at]], axis=1)
 
-    places = wanted.groupBy("h1", "h2").agg(F.collect_set(F.struct("pos", "reach")).alias("at"))
+    places = wanted.groupBy("h1", "h2").agg(F.collect_set(F.struct("pos", "reach", "more")).alias("at"))
     texts = distinct_texts(docs).join(places, ["h1", "h2"]).select("h1", "h2", "text", "at")
     r = records(texts, split, length).withColumn("bucket", F.when(
         F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
