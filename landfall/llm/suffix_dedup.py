@@ -186,20 +186,31 @@ def bucket_of(key: np.ndarray, tie: np.ndarray, split: np.ndarray) -> tuple[np.n
     return out, cut
 
 
-RECORD = ("bucket long, cut boolean, h1 long, h2 int, pos long, near int, far int, n int, after binary, before binary")
+RECORD = ("bucket long, cut boolean, h1 long, h2 int, pos long, near int, far int, n int, after binary, before binary, "
+          "ranges binary")
+
+
+def merged_ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Ranges in order, those that touch or overlap made one: rows of start and stop."""
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], np.maximum.accumulate(stop[order])
+    new = np.flatnonzero(np.r_[True, start[1:] > stop[:-1]])
+    return np.stack([start[new], stop[np.r_[new[1:] - 1, len(stop) - 1]]], axis=1)
+
 
 
 def records(texts: DataFrame, split: np.ndarray, length: int) -> DataFrame:
     """One row per wanted suffix: its bucket, the bytes after and (reversed) before it.
 
     ``texts``: h1, h2, text, at (array of pos, reach and more). Suffixes of one text that are alike
-    in all their bytes are sent once, with their number n; the first keeps n = 1 if alone."""
+    in all their bytes are sent once, with their number n; if there are several, all their
+    windows repeat, and ``ranges`` packs the bytes that those cover."""
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(),
-                 pa.binary(), pa.binary()]
+                 pa.binary(), pa.binary(), pa.binary()]
         for b in batches:
             data, offsets = text_bytes(b.column(2))
             lists = b.column(3)
@@ -220,20 +231,19 @@ def records(texts: DataFrame, split: np.ndarray, length: int) -> DataFrame:
                 h1, h2 = b.column(0)[t].as_py(), b.column(1)[t].as_py()
                 key = lead_keys(text, pos, half)
                 bucket, cut = bucket_of(key, tie_break(np.full(len(pos), h1, np.int64), pos), split)
-                near, far = reach >> 16, reach & 0xFFFF
+                near_of, far_of = reach >> 16, reach & 0xFFFF
                 alike: dict = {}
                 for i in range(len(pos)):
                     p = int(pos[i])
-                    after, before = raw[p:p + length - int(near[i])], raw[p - int(far[i]):p][::-1]
-                    alike.setdefault((after, before, int(near[i])), []).append(i)
+                    after, before = raw[p:p + length - int(near_of[i])], raw[p - int(far_of[i]):p][::-1]
+                    alike.setdefault((after, before, int(near_of[i])), []).append(i)
                 for (after, before, _), same in alike.items():
-                    for i in same[:1]:
-                        rows.append((int(bucket[i]), bool(cut[i]), h1, h2, int(pos[i]), int(near[i]), int(far[i]),
-                                     len(same), after, before))
-                        size += len(after) + len(before)
-                    for i in same[1:]:               # its windows repeat: no bytes are needed
-                        rows.append((-1 - int(bucket[i]), False, h1, h2, int(pos[i]), int(near[i]), int(far[i]),
-                                     len(same), None, None))
+                    i, ranges = same[0], None
+                    if len(same) > 1:
+                        ranges = merged_ranges(pos[same] - far_of[same], pos[same] - near_of[same] + length).tobytes()
+                    rows.append((int(bucket[i]), bool(cut[i]), h1, h2, int(pos[i]), int(near_of[i]), int(far_of[i]),
+                                 len(same), after, before, ranges))
+                    size += len(after) + len(before)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
                     rows, size = [], 0
@@ -313,10 +323,8 @@ def search_bucket(length: int):
     across buckets: their hash and number; start is -1 unless the bucket has it once."""
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        known = rows["after"].isna().to_numpy()
-        for r in rows[known].itertuples():
-            out.append((r.h1, r.h2, r.pos - r.far, r.pos - r.near + length, 0, 0, 0))
-        rows = rows[~known]
+        for r in rows[rows["ranges"].notna()].itertuples():
+            out += [(r.h1, r.h2, a, b, 0, 0, 0) for a, b in np.frombuffer(r.ranges, np.int64).reshape(-1, 2)]
         if len(rows):
             near, far, pos = (rows[c].to_numpy(np.int64) for c in ("near", "far", "pos"))
             h1, h2 = rows["h1"].to_numpy(), rows["h2"].to_numpy()
@@ -397,9 +405,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, bucket_rows: int = 32_76
 
     places = wanted.groupBy("h1", "h2").agg(F.collect_set(F.struct("pos", "reach", "more")).alias("at"))
     texts = distinct_texts(docs).join(places, ["h1", "h2"]).select("h1", "h2", "text", "at")
-    r = records(texts, split, length).withColumn("bucket", F.when(
-        F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
-    found = store(r.groupBy("bucket").applyInPandas(search_bucket(length), FOUND), "suffix-windows")
+    found = store(records(texts, split, length).groupBy("bucket").applyInPandas(search_bucket(length), FOUND), "suffix-windows")
     across = found.where("n > 0")
     again = across.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
     return found.where("n = 0").select("h1", "h2", "start", "stop").unionByName(
