@@ -49,7 +49,9 @@ def timed(fn):
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus), extra={
+        "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     times: dict[str, float] = {}
 
     def prepare():
