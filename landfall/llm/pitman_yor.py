@@ -334,7 +334,9 @@ def bucket_scores(row, model: Model, parts: pd.DataFrame) -> Iterator[tuple]:
 
 
 def score(docs: DataFrame, held_out: Column, table: DataFrame, model: Model, buckets: int) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row.
+
+    The driver holds one number per bucket (of 12 MB of text): how many parts it has."""
     spark = docs.sparkSession
     tokens = {r["bucket"]: r["tokens"] for r in table.select("bucket", "tokens").collect()}  # one number a bucket
     split = np.array([max(1, -(-tokens.get(b, 0) // PART_TOKENS)) for b in range(buckets)])
@@ -389,7 +391,7 @@ def score(docs: DataFrame, held_out: Column, table: DataFrame, model: Model, buc
         send, "bucket long, part long, first long, w binary, n binary, ctx binary, doc binary")
     copies = spark.createDataFrame(pd.DataFrame({"bucket": np.repeat(np.arange(buckets), split),
                                                  "part": np.concatenate([np.arange(s) for s in split])}))
-    known = table.select("bucket", *PACKED).join(F.broadcast(copies), "bucket")
+    known = table.select("bucket", *PACKED).join(copies, "bucket")
     sums = known.groupBy("bucket", "part").cogroup(sent.groupBy("bucket", "part")).applyInPandas(
         meet, "first long, doc binary, score binary, base binary, known binary")
     per_row = sums.groupBy("first").applyInPandas(gather, "row long, score double, base double, n_known long")
