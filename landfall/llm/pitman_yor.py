@@ -125,10 +125,12 @@ PACKED = ("w", "n", "ctx", "c")
 
 
 def pack(u: np.ndarray, key: np.ndarray, c: np.ndarray) -> dict[str, bytes]:
-    """Words, pairs of each word, contexts and counts as bytes."""
+    """Words, pairs of each word, contexts and counts as bytes; counts are 64 bits wide
+    where one of them does not fit in 32."""
     per = np.bincount(key // CONTEXTS, minlength=len(u))
+    wide = len(c) and int(c.max()) >> 32
     return {"w": u.tobytes(), "n": per.astype(np.uint16).tobytes(),
-            "ctx": (key % CONTEXTS).astype(np.uint16).tobytes(), "c": c.astype(np.uint32).tobytes()}
+            "ctx": (key % CONTEXTS).astype(np.uint16).tobytes(), "c": c.astype(np.uint64 if wide else np.uint32).tobytes()}
 
 
 def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +138,8 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     u = np.frombuffer(row["w"], np.uint64)
     per = np.frombuffer(row["n"], np.uint16).astype(np.int64)
     ctx = np.frombuffer(row["ctx"], np.uint16).astype(np.int64)
-    return u, np.repeat(np.arange(len(u)), per) * CONTEXTS + ctx, np.frombuffer(row["c"], np.uint32).astype(np.int64)
+    kind = np.uint32 if len(row["c"]) == 4 * len(ctx) else np.uint64
+    return u, np.repeat(np.arange(len(u)), per) * CONTEXTS + ctx, np.frombuffer(row["c"], kind).astype(np.int64)
 
 
 def counts(train: DataFrame, buckets: int) -> DataFrame:

@@ -138,6 +138,14 @@ def test_predictions_of_a_context_sum_to_one(spark):
         assert total == pytest.approx(1.0)
 
 
+def test_counts_above_32_bits_keep_their_value():
+    for c in ([1, (1 << 32) + 5, 7], [1, 2, (1 << 32) - 1]):
+        u, key, n = pitman_yor.merged(np.array([9, 4, 4], np.uint64), np.array([3, 2, 1]), np.array(c))
+        got = pitman_yor.unpack(pitman_yor.pack(u, key, n))
+        assert [x.tolist() for x in got] == [u.tolist(), key.tolist(), n.tolist()]
+        assert got[2].sum() == sum(c)
+
+
 def test_table_draws_follow_the_exact_distribution():
     d, a, c = 0.6, 0.8, 6
     s = pitman_yor.log_stirling(d, 64)
