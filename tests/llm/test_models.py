@@ -140,10 +140,44 @@ def test_predictions_of_a_context_sum_to_one(spark):
 
 def test_counts_above_32_bits_keep_their_value():
     for c in ([1, (1 << 32) + 5, 7], [1, 2, (1 << 32) - 1]):
-        u, key, n = pitman_yor.merged(np.array([9, 4, 4], np.uint64), np.array([3, 2, 1]), np.array(c))
-        got = pitman_yor.unpack(pitman_yor.pack(u, key, n))
-        assert [x.tolist() for x in got] == [u.tolist(), key.tolist(), n.tolist()]
-        assert got[2].sum() == sum(c)
+        u, x, word, ctx, n = pitman_yor.merged([np.array([9, 4, 4], np.uint64)], [np.array([3, 2, 1], np.uint64)], [np.array(c)])
+        got = pitman_yor.unpack(pitman_yor.pack(u, x, word, ctx, n))
+        assert [g.tolist() for g in got] == [u.tolist(), x.tolist(), word.tolist(), ctx.tolist(), n.tolist()]
+        assert got[4].sum() == sum(c)
+
+
+def test_every_context_has_its_own_restaurant(spark, monkeypatch):
+    """Customers of 6,000 contexts are those of the texts, and a context's predictions over
+    all words, met by their buckets or not, sum to one."""
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 1 << 15)
+    r = random.Random(4)
+    texts = [" ".join(f"v{r.randint(0, 6000)}" if r.random() < 0.7 else "the" for _ in range(400)) for _ in range(60)]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    table, model, places = pitman_yor.fit(docs)
+    want = Counter(x for t in texts for x in ["\n", *words(t)])
+    hashed = dict(spark.createDataFrame([(x,) for x in want], "w string").select("w", F.xxhash64("w")).collect())
+    rows = [x.asDict() for x in table.collect()]
+    assert len(places.parts) > 3 and len(want) > 4096
+    customers = {}
+    for row in rows:
+        customers |= dict(zip(pitman_yor.unpack(row)[1].view(np.int64).tolist(), pitman_yor.shown(row)[0].tolist()))
+    assert customers == {hashed[x]: n for x, n in want.items()}
+    back = {x["ctx"]: (x["back0"], x["back1"]) for x in places.contexts.collect()}
+    assert set(back) == set(customers)
+    import pandas as pd
+    for ctx in [hashed["the"], hashed["\n"], hashed["v1"], hashed["v77"]]:
+        total = 0.0
+        for row in [*rows, None]:
+            w = pitman_yor.unpack(row)[0] if row else np.array([1], np.uint64)
+            part = pd.DataFrame([{"first": 0, "w": w.tobytes(), "n": pitman_yor.narrow(np.ones(len(w), int)),
+                                  "x": np.array([ctx]).tobytes(), "ctx": pitman_yor.narrow(np.zeros(len(w), int)),
+                                  "doc": pitman_yor.narrow(np.arange(len(w)))}])
+            opened = []
+            (_, _, s, _, _), = pitman_yor.bucket_scores(row, model, part, opened)
+            (_, doc, x, p), = opened
+            assert set(x.view(np.int64).tolist()) <= {ctx}
+            total += (10 ** np.delete(s, doc)).sum() + (np.array(back[ctx])[:, None] * p).mean(axis=0).sum()
+        assert total == pytest.approx(1.0)
 
 
 def test_table_draws_follow_the_exact_distribution():
