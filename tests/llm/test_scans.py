@@ -1,5 +1,6 @@
 """License, secret and quality scans against plain-Python versions."""
 
+import random
 import re
 
 import pytest
@@ -35,6 +36,43 @@ def test_license_notices_with_changed_words(spark):
     assert len(got[4]["spans"]) == 2 and got[4]["n_base"] == 0
 
 
+def common_words(a, b):
+    """Longest common subsequence, by the book."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(old[j + 1], row[-1]))
+    return row[-1]
+
+
+def edited(w, places, r):
+    w = list(w)
+    for at in sorted(places, reverse=True):             # added, changed, left out; many: changed
+        w[at:at + 1] = r.choice([["zq", w[at]], ["zq"], []]) if len(places) < 3 else ["zq"]
+    return w
+
+
+def test_every_notice_is_found_with_one_and_two_edits(spark):
+    r = random.Random(8)
+    rows, want = [], {}
+    for label, notice in license_scan.NOTICES:
+        w = notice.split()
+        edits = [[i] for i in range(len(w))] + [r.sample(range(len(w)), 2) for _ in range(25)]
+        edits += [range(0, len(w), 3), range(0, len(w), 2)]      # far too many
+        for places in edits:
+            text = ["start", "zz"] + edited(w, places, r) + ["zz", "end"]
+            share = common_words(w, text) / len(w)
+            assert len(places) > 2 or share >= 0.8
+            want[len(rows)] = label if share >= 0.8 else ""
+            rows.append((len(rows), " ".join(text), None, None))
+    got = {x["doc_id"]: (x["labels"], x["score"], x["base_labels"]) for x in license_scan.scan(frame(spark, rows)).collect()}
+    for i, label in want.items():
+        assert label in got[i][0].split(",") if label else "notice" not in got[i][0], rows[i]
+        assert got[i][1] > 0.6 if label else got[i][1] in (0.0, 1.0)
+
+
 RULES = (("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII),
           lambda m: len(m[2]) >= 8),
          ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
