@@ -63,7 +63,8 @@ def trigram_query(pattern: str, widest: int = 16) -> list[frozenset[str]]:
     folded to lower case; an empty list if some match needs none.
 
     Runs of literals are followed through groups, alternatives, optional parts and small
-    classes; anything else ends a run. More than ``widest`` alternatives end all runs.
+    classes; anything else ends a run. A part that would give more than ``widest``
+    alternatives asks for nothing and ends the runs before it, which are kept.
     """
     def add(ways, letters):
         return [(runs, run + letters) for runs, run in ways]
@@ -73,6 +74,7 @@ def trigram_query(pattern: str, widest: int = 16) -> list[frozenset[str]]:
 
     def follow(tokens, ways):
         for op, arg in tokens:
+            before = ways
             if op is c.LITERAL:
                 ways = add(ways, chr(arg).lower() if arg < 128 else chr(arg))
             elif op is c.SUBPATTERN:
@@ -89,7 +91,7 @@ def trigram_query(pattern: str, widest: int = 16) -> list[frozenset[str]]:
                 ways = end(ways)
             ways = list(dict.fromkeys(ways))
             if len(ways) > widest:
-                ways = [((), "")]
+                ways = end(before)
         return ways
 
     clauses = [frozenset(run[i:i + 3] for run in (*runs, last) for i in range(len(run) - 2))

@@ -121,6 +121,14 @@ def test_trigram_queries(pattern, clauses):
     assert set(secret_scan.trigram_query(pattern)) == {frozenset(c) for c in clauses}
 
 
+def test_trigram_query_of_the_main_rule_holds_its_keywords():
+    rule = next(r for r in secret_scan.RULES if r.kind == "assign")
+    of = lambda k: frozenset(k[i:i + 3] for i in range(len(k) - 2))
+    assert set(secret_scan.trigram_query(rule.pattern)) == set(
+        map(of, ("password", "passwd", "secret", "token", "apikey", "api_key")))
+    assert [r.kind for r in secret_scan.RULES if not secret_scan.trigram_query(r.pattern)] == ["hex"]
+
+
 def quality_row(doc_id, text):
     w = words(text)
     seen = {}
