@@ -14,7 +14,7 @@ n-grams, from 0 to 1. Documents are predicted where they are read; nothing is sh
 The filter has a fixed size (``1 << bits`` slots) and is sent to the tasks.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; so is any
-text if nothing was learned; ties go to the language that sorts first; null languages
+text none of whose n-grams was learned; ties go to the language that sorts first; null languages
 are not learned; repeated rows are predicted each; other columns are ignored by
 :func:`predict` and kept by :func:`keep_known`.
 """
@@ -32,6 +32,7 @@ from landfall.llm.text import id_crc
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
+ENOUGH = 20_000                      # n-grams of a language for each time that one must stand
 CHUNK = 1 << 20                      # characters worked on at once
 
 
@@ -133,7 +134,7 @@ class Filter:
                     scores.append(0.0)
                 else:
                     best = int(np.argmax(share[i]))
-                    names.append(self.names[best])
+                    names.append(self.names[best] if share[i, best] > 0 else UNKNOWN)
                     scores.append(float(share[i, best]))
         return names, scores
 
@@ -142,9 +143,10 @@ def learn(docs: DataFrame, per_language: int = 2000, bits: int = 20, common: flo
           least: int = 5, seed: int = 0) -> Filter:
     """Learn from the labelled rows of ``docs`` (doc_id, text, lang).
 
-    At most about ``per_language`` documents of each language are read; an n-gram that
-    the sample holds fewer than ``least`` times is left out; it belongs to a language
-    whose rate is at least ``common`` times the highest.
+    At most about ``per_language`` documents of each language are read. A language leaves
+    out n-grams that the sample holds less than once in ``ENOUGH`` of the language's own, but
+    none that stands ``least`` times; an n-gram belongs to a language whose rate is at least
+    ``common`` times the highest.
     """
     labelled = docs.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -177,9 +179,10 @@ def learn(docs: DataFrame, per_language: int = 2000, bits: int = 20, common: flo
     totals = counted.groupBy("lang").agg(F.sum("n").alias("all"))
     rated = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all"))
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.sum("n").alias("seen"),
-                                    F.collect_list(F.struct("lang", "rate")).alias("in"))
-    used = top.where(F.col("seen") >= least).select("gram", "top", F.explode("in").alias("x")).where(
-        F.col("x.rate") >= F.lit(common) * F.col("top"))
+                                    F.collect_list(F.struct("lang", "rate", "all")).alias("in"))
+    used = top.select("gram", "top", "seen", F.explode("in").alias("x")).where(
+        (F.col("seen") >= F.least(F.lit(least), F.greatest(F.lit(1), F.floor(F.col("x.all") / ENOUGH))))
+        & (F.col("x.rate") >= F.lit(common) * F.col("top")))
     u = F.col("gram")
     low, high = u.bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned(u, 32).bitwiseAND(F.lit((1 << bits) - 1))
     slots = used.select(F.explode(F.array(low, high)).alias("slot"), F.col("x.lang").alias("lang")).groupBy(
@@ -204,8 +207,9 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
         run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Filter, least_score: float = 0.3) -> DataFrame:
-    """The rows whose language is known with at least ``least_score``, all columns kept."""
+def keep_known(docs: DataFrame, model: Filter, least_score: float = 0.0) -> DataFrame:
+    """The rows whose language is known (with at least ``least_score``), all columns kept:
+    only texts without a letter or of no learnt language go."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

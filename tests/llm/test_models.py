@@ -210,6 +210,23 @@ def test_language_id(spark):
     assert {x["lang_pred"] for x in language_id.predict(docs, unknowing).collect()} == {"und"}
 
 
+def test_languages_of_few_documents(spark):
+    three = [(1, "the cat sat here", "en", "a"), (2, "der hund schläft", "de", "a"), (3, "où est la clé", "fr", "a")]
+    model = language_id.learn(frame(spark, three))
+    got = {x["doc_id"]: x for x in language_id.predict(frame(spark, three), model).collect()}
+    assert all(got[i]["lang_pred"] == k and got[i]["score"] > 0.5 for i, _, k, _ in three)
+    assert language_id.keep_known(frame(spark, three), model).count() == 3
+    foreign = frame(spark, [(4, "Ж" * 9, "ru", "a")])
+    assert language_id.predict(foreign, model).first()["lang_pred"] == "und"
+    assert language_id.keep_known(foreign, model).count() == 0
+    r = random.Random(6)
+    many = [(i, " ".join(r.choices(["the", "thing", "of", "shall", "which"], k=4000)), "en", "a") for i in range(10, 40)]
+    rare = (50, "þetta er íslenska og hún er falleg", "is", "a")
+    model = language_id.learn(frame(spark, [*many, rare]))
+    got = language_id.predict(frame(spark, [rare, (51, "hún er íslenska", None, "a")]), model).collect()
+    assert {x["lang_pred"] for x in got} == {"is"}
+
+
 def test_grams_stay_in_words_and_texts():
     letter = language_id.letters_table()
     assert len(language_id.grams(["", "1 2"], letter)[0]) == 0
