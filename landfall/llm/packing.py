@@ -1,9 +1,10 @@
 """Packing by power-of-two decomposition.
 
 A document of n tokens (its ids, then the end id) is cut into pieces whose lengths are
-the powers of two of n in binary, whole sequences of ``limit`` tokens first. Pieces of
-equal length form a bucket; each piece is a sequence of its own, so no sequence crosses
-documents, none is padded, and a batch is filled from one bucket.
+the powers of two of n in binary, whole sequences of ``limit`` tokens first. Each piece
+is a sequence of its own, so no sequence crosses documents and none is padded. Only this
+decomposition is done: pieces come in reading order, and neither are they stored by
+length nor batches filled from pieces of one length.
 
 Documents are tokenized where they are read and nothing is shuffled. Sequence numbers
 are the read task's number and the piece's place in it, so a lost task that runs again
