@@ -126,4 +126,61 @@ SELECT d.doc_id, COUNT(CASE WHEN name = 'assign' THEN 1 END) AS n_assign, COUNT(
 FROM d LEFT JOIN s ON s.rid = d.rid GROUP BY d.rid, d.doc_id
 """
 
-SQL = {"op1_license_scan": LICENSES, "op4_secret_scan": SECRETS, "op2_quality_hosts": QUALITY, "op5_mixing": MIXING}
+FILL_MIDDLE = """
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, sha256('1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+x AS (SELECT *, CAST(length(t) AS BIGINT) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+             ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+y AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+z AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM y)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM z
+"""
+
+
+def assignment(n: int) -> str:
+    """Nearest of the centroids c{n} per vector, by all components anew."""
+    return f"""f{n} AS (SELECT rid, j, SUM((e.x - c.x) * (e.x - c.x)) AS d FROM e JOIN c{n} c ON c.i = e.i GROUP BY rid, j),
+a{n} AS (SELECT rid, j, d FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, j) AS o FROM f{n}) x WHERE o = 1)"""
+
+
+def moved(n: int) -> str:
+    """Centroids c{n + 1}: floor of the mean, or the old one if empty."""
+    return f"""m{n} AS (SELECT j, i, SUM(x) AS s, COUNT(*) AS n FROM a{n} JOIN e ON e.rid = a{n}.rid GROUP BY j, i),
+c{n + 1} AS (SELECT c.j, c.i, CASE WHEN s IS NULL THEN c.x ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS x
+       FROM c{n} c LEFT JOIN m{n} m ON m.j = c.j AND m.i = c.i)"""
+
+
+CENTROIDS = f"""
+WITH k AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding::DOUBLE[], lambda x: isfinite(x))) = 64),
+e AS (SELECT rid, unnest(range(64)) AS i, CAST(floor(64 * unnest(v)) AS BIGINT) AS x FROM k),
+c0 AS (SELECT j, i, x FROM e JOIN (SELECT rid, row_number() OVER (ORDER BY sha256('1:' || COALESCE(CAST(vec_id AS VARCHAR), '')),
+           vec_id NULLS LAST, list_transform(v, lambda x: floor(64 * x))) - 1 AS j FROM k) s ON s.rid = e.rid WHERE j < 16),
+{assignment(0)}, {moved(0)}, {assignment(1)}, {moved(1)}, {assignment(2)}, {moved(2)}, {assignment(3)},
+g AS (SELECT j, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c3 GROUP BY j)
+SELECT vec_id, CAST(a3.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(SUM(d) OVER (PARTITION BY a3.j) AS BIGINT) AS cluster_inertia,
+       CAST(SUM(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a3 JOIN k ON k.rid = a3.rid JOIN g ON g.j = a3.j
+"""
+
+MINHASH = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORD}) AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+             ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM d),
+k AS (SELECT g, min(doc_id) AS id, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT id, n, unnest(g) AS g FROM k),
+p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.g = b.g AND a.id < b.id
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * COUNT(*) >= 80 * (a.n + b.n - COUNT(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT id AS a, id AS b FROM k UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS id, min(b) AS component_id FROM r GROUP BY a),
+f AS (SELECT s.doc_id, len(s.g) AS n, COALESCE(c.component_id, s.doc_id) AS component_id
+      FROM s LEFT JOIN k ON k.g = s.g LEFT JOIN c ON c.id = k.id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM f
+"""
+
+SQL = {"op11_minhash": MINHASH, "op12_centroids": CENTROIDS, "op13_fill_middle": FILL_MIDDLE, "op1_license_scan": LICENSES, "op4_secret_scan": SECRETS, "op2_quality_hosts": QUALITY, "op5_mixing": MIXING}

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfall.llm import (language_id, license_scan, mixing, neighbours, packing, pitman_yor, quality_hosts,
-                          secret_scan, simhash, suffix_dedup)
+from landfall.llm import (centroids, fill_middle, language_id, license_scan, minhash, mixing, neighbours, packing,
+                          pitman_yor, quality_hosts, secret_scan, simhash, suffix_dedup)
 from landfall.llm.oracle import SQL  # noqa: F401
 from landfall.llm.text import documents, id_crc, table
 
@@ -81,6 +81,24 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=10)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates by word pairs: component of every document."""
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every row of embeddings after three rounds, with the inertia."""
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings"), clusters=16, rounds=3))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, with digests of its output and of the text rebuilt from that."""
+    t = fill_middle.transform(documents(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return t.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                    digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_hosts, op3_suffix_dedup, op4_secret_scan, op5_mixing, op6_pitman_yor, op7_simhash, op8_language_id, op9_packing,
-    op10_neighbours)}
+    op10_neighbours, op11_minhash, op12_centroids, op13_fill_middle)}

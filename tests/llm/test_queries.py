@@ -37,7 +37,8 @@ def test_against_sql(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     con = duckdb.connect()
     con.execute("SET memory_limit = '2GB'")
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     norm = lambda df: sorted(
