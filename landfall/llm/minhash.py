@@ -10,15 +10,20 @@ similarity as probability, and the share of agreeing coordinates keeps Chernoff'
 
 Sets that are equal count once (a class). Classes that agree in a whole band of rows
 meet in a bucket: at similarity 0.8, 32 bands of 4 miss a pair with probability 5e-8.
-Links come in two steps, and each one is verified on the full sets:
+Links come in three steps, and each one is verified on the full sets:
 
 1. Every class of a bucket is compared with the bucket's first one (an aggregate and
    joins, no group in a task). Most copies of one text are connected then.
-2. Buckets that still hold several components are searched for pairs across components
-   whose sketches agree in at least ``share`` of the coordinates (at similarity 0.8 a
-   pair falls below 0.55 with probability 2e-9). A bucket with more than ``most`` classes
-   is banded again on a finer sketch (128 bands of 8, missing 6e-11); if it is still too
-   large its pairs are searched block by block. No bucket is cut or left out.
+2. In buckets that still hold several components, each class is compared with the one of
+   another component whose sketch agrees best with its own, in ROUNDS rounds. Components
+   merge fast, as in Boruvka's spanning trees, and groups of near copies are one by then.
+3. What is left is searched for all pairs across components whose sketches agree in at
+   least ``share`` of the coordinates (at similarity 0.8 a pair falls below 0.55 with
+   probability 2e-9), so no link between components is left out.
+
+A bucket with more than ``most`` classes is banded again on a finer sketch (128 bands of
+8, missing 6e-11); if it is still too large, 2 and 3 search it block by block. No bucket is
+cut or left out.
 
 Sets are not stored for all documents: those of candidates are taken from their texts again.
 
@@ -43,6 +48,7 @@ from landfall.llm.components import components
 from landfall.llm.text import lower_ascii, store, words
 
 LEVELS = ((128, 4), (1024, 8))       # coordinates and rows a band, first and finer sketch
+ROUNDS = 2                           # of best partners
 RUN = 1 << 19                        # elements worked on at once
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -186,21 +192,28 @@ def agreeing(pairs: DataFrame, classes: DataFrame, least: int, percent: int) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def across(least: int, percent: int):
-    """Pairs of different components in the groups of a partition sorted by group."""
+def across(least: int, percent: int, best: bool):
+    """Pairs of different components in the groups of a partition sorted by group: all, or
+    each class's ``best``."""
     def search(side, label, n, sig, ids):
         for at in range(0, len(ids), 64):
             part = slice(at, at + 64)
             may = (label[part, None] != label[None, :]) & (np.minimum(n[part, None], n) * 100 >= np.maximum(n[part, None], n) * percent)
             if side.min() != side.max():             # two blocks: each one's own pairs are searched elsewhere
-                may &= side[part, None] < side[None, :]
-            else:
+                may &= side[part, None] < side[None, :] if not best else side[part, None] != side[None, :]
+            elif not best:
                 may &= np.arange(at, at + len(may))[:, None] < np.arange(len(ids))[None, :]
             i, j = np.nonzero(may)
             if len(i):
-                good = np.concatenate([(sig[at + i[k:k + 65536]] == sig[j[k:k + 65536]]).sum(axis=1) >= least
+                same = np.concatenate([(sig[at + i[k:k + 65536]] == sig[j[k:k + 65536]]).sum(axis=1)
                                        for k in range(0, len(i), 65536)])
-                i, j = i[good] + at, j[good]
+                good = same >= least
+                i, j, same = i[good] + at, j[good], same[good]
+                if best:
+                    order = np.lexsort((j, -same, i))
+                    i, j = i[order], j[order]
+                    first = np.append(True, i[1:] != i[:-1])[:len(i)]
+                    i, j = i[first], j[first]
                 yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +246,8 @@ def across(least: int, percent: int):
     return run
 
 
-def searched(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame:
-    """Pairs across components in the buckets of ``rows`` (bucket, id, n, label, size, sig):
+def searched(rows: DataFrame, least: int, percent: int, most: int, best: bool) -> DataFrame:
+    """Pairs (all, or each class's ``best``) across components in the buckets of ``rows`` (bucket, id, n, label, size, sig):
     a bucket is dealt over blocks of about ``most`` classes, and each two blocks meet in one group."""
     blocks = F.ceil(F.col("n") / F.lit(most)).cast("int")
     r = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -242,7 +255,8 @@ def searched(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame:
     r = r.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
                  "block", "id", "label", "size", "sig")
     group = ["bucket", "x", "y"]
-    return r.repartition(*group).sortWithinPartitions(*group).mapInArrow(across(least, percent), "a long, b long").distinct()
+    return r.repartition(*group).sortWithinPartitions(*group).mapInArrow(
+        across(least, percent, best), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, share: float = 0.55,
@@ -258,35 +272,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, share:
     def sets_of(ids: DataFrame) -> DataFrame:
         return full_sets(docs, classes.select("id", "key", "rep").join(ids, "id", "left_semi"), shingle)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = store(pairs, "minhash-pairs")
-        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         of = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"s{k}"))
         common = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - F.col("common")
         both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("common", common)
         return store(both.where(F.col("common") * 100 >= union * percent).select("a", "b"), "minhash-links")
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+        """The buckets of ``rows`` that hold several components, with their classes' labels."""
+        named = rows.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        several = named.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u < v")
+        return named.join(several.select("bucket"), "bucket")
+
     members = bucketed(classes.select("id", "bands"))
     stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(agreeing(stars, classes, least, percent))
+    stars = store(agreeing(stars, classes, least, percent), "minhash-pairs")
+    links = linked(stars, sets_of(ends(stars)))
     label = store(components(links), "minhash-labels")
 
-    found = None
-    for level in range(len(LEVELS)):
-        named = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        several = named.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u < v").select("bucket")
-        open_ = store(named.join(several, "bucket"), "minhash-open")
-        last = level == len(LEVELS) - 1
-        small = open_ if last else open_.where(F.col("n") <= most)
-        pairs = searched(small.join(classes.select("id", F.col("n").alias("size"), "sig"), "id"), least, percent, most)
-        found = pairs if found is None else found.unionByName(pairs)
-        crowd = open_.where(F.col("n") > most).select("id").distinct()
-        if last or crowd.isEmpty():
+    rows = members.where(F.col("n") <= most)
+    for level in LEVELS[1:]:
+        crowd = labelled(members.where(F.col("n") > most), label).select("id").distinct()
+        if not crowd.isEmpty():
+            rows = rows.unionByName(bucketed(finer(sets_of(crowd), *level)))
+    rows = rows.join(classes.select("id", F.col("n").alias("size"), "sig"), "id")
+    sets = None
+    for best in (True,) * ROUNDS + (False,):
+        open_ = store(labelled(rows, label), "minhash-open")
+        if open_.isEmpty():
             break
-        members = bucketed(finer(sets_of(crowd), *LEVELS[level + 1]))
-    links = links.unionByName(verified(found.distinct()))
-    label = components(links)
+        pairs = store(searched(open_, least, percent, most, best), "minhash-pairs")
+        # labels only merge, so whatever can still be linked has a best partner in the first round
+        sets = sets_of(ends(pairs)) if sets is None else sets
+        links = links.unionByName(linked(pairs, sets))
+        label = store(components(links), "minhash-labels")
     named = classes.select("id", "key", "rep").join(label.withColumnRenamed("node", "id"), "id", "left").select(
         "key", "rep", F.coalesce("label", "id").alias("label"))
     group = named.groupBy("label").agg(F.min("rep").alias("component_id"))
