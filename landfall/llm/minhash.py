@@ -84,7 +84,7 @@ def sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 def band_keys(s: np.ndarray, rows: int) -> np.ndarray:
     """One number per sketch and band of ``rows`` coordinates."""
-    parts = s.reshape(len(s), -1, rows)
+    parts = s.reshape(len(s), s.shape[1] // rows, rows)
     key = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2])
     for i in range(rows):
         key = scatter(key ^ parts[:, :, i], i)
