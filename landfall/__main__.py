@@ -1,6 +1,6 @@
 """Command line: refresh, clean, slice and write every dashboard result.
 
-    python -m landfall --tables DIR [--source DIR] --start 2019-01-01 --end 2019-12-31 \
+    python -m landfall --tables DIR [--source DIR] [--store DIR] --start 2019-01-01 --end 2019-12-31 \
         [--sites Dili Baucau ...] [--habitats ...] [--gears ...] [--boats Canoe Motor] \
         [--spar 0.5] [--as-of 2020-01-01] [--min-date 2016-09-01] --out DIR
 
@@ -8,8 +8,10 @@
 municipalities, stations, species, and optionally shape) as Parquet folders in
 the declared schemas; ``--source`` holds the newer full tables whose rows
 above the snapshot's high-water mark are added: a folder of Parquet tables or a
-``jdbc:`` URL (``--jdbc-option user=... --jdbc-option password=...``). Folders may be
-on any file system that Spark reads. Results are written as Parquet folders under
+``jdbc:`` URL (``--jdbc-option user=... --jdbc-option password=...``), whose tables are
+read by ranges of their keys. With ``--store`` the fact tables live in a versioned store
+by month: it is made from ``--tables`` once, and later runs write only the months that
+``--source`` changes. Folders may be on any file system that Spark reads. Results are written as Parquet folders under
 ``--out`` plus ``summary_csv``; tables written on the way are removed at the end.
 Master, memory and shuffle partitions are set by spark-submit.
 """
@@ -25,7 +27,8 @@ from landfall.config import Params, Selection
 from landfall.plans.clean import persist_clean
 from landfall.plans.reports import dashboard
 from landfall.plans.slicing import slice_tables
-from landfall.refresh import dedupe, refresh_tables
+from landfall.refresh import (create_store, dedupe, latest_version, read_version, refresh_store,
+                              refresh_tables)
 from landfall.schema import SCHEMAS
 from landfall.session import drop_materialized, get_spark, materialize, materialized
 from landfall.sources.snapshot import export_summary_csv, jdbc_source, read_snapshot, read_table
@@ -36,18 +39,30 @@ DIMS = ("municipalities", "stations", "species")
 
 
 def read_source(spark, source: str, table: str, options: dict):
-    """A newer table from a folder or a database."""
+    """A newer table from a folder or a database, as it is stored there."""
     if source.startswith("jdbc:"):
-        return read_table(spark, jdbc_source(source, table, options), SCHEMAS[table])
-    return read_snapshot(spark, source, table)
+        split = next(key for parent, child, key in FACTS if table in (parent, child))
+        return read_table(spark, jdbc_source(source, table, options, split), SCHEMAS[table], raw=True)
+    return read_snapshot(spark, source, table, raw=True)
 
 
-def load(spark, base: str, source: str | None, options: dict | None = None) -> Tables:
+def load_store(spark, store: str, base: str, source: str | None, options: dict) -> dict:
+    """The fact tables of a versioned store, made from the snapshot if there is none yet and
+    refreshed if there is a newer source. Its files are read as they are."""
+    names = [n for parent, child, _ in FACTS for n in (parent, child)]
+    version = latest_version(spark, store) or create_store(
+        spark, store, {n: read_snapshot(spark, base, n, raw=True) for n in names})
+    if source:
+        version = refresh_store(spark, store, lambda n: read_source(spark, source, n, options))
+    return {n: read_version(spark, store, n, version) for n in names}
+
+
+def load(spark, base: str, source: str | None, options: dict | None = None, store: str | None = None) -> Tables:
     """Refreshed tables. A snapshot without a newer source is deduplicated as it is first
-    taken; the large tables are stored once, so cleaning does not refresh them again.
-    A missing dimension table is an error, a missing shape is not."""
-    t = {}
-    for parent, child, key in FACTS:
+    taken; without a store the large tables are written once, so cleaning does not refresh
+    them again. A missing dimension table is an error, a missing shape is not."""
+    t = load_store(spark, store, base, source, options or {}) if store else {}
+    for parent, child, key in () if store else FACTS:
         p, c = read_snapshot(spark, base, parent), read_snapshot(spark, base, child)
         if source:
             p, c = refresh_tables(p, c, read_source(spark, source, parent, options or {}),
@@ -77,7 +92,7 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
                     spar=args.spar)
     before = materialized()
     options = dict(o.split("=", 1) for o in args.jdbc_option or ())
-    cleaned = persist_clean(load(spark, args.tables, args.source, options), params)
+    cleaned = persist_clean(load(spark, args.tables, args.source, options, args.store), params)
     sliced, spine = slice_tables(cleaned, sel, params)
     out, held, base = {}, [], args.out.rstrip("/")
     results = dashboard(sliced, spine, sel, params, held=held)
@@ -98,6 +113,7 @@ def parse(argv=None) -> argparse.Namespace:
     day = dt.date.fromisoformat
     ap.add_argument("--tables", required=True)
     ap.add_argument("--source")
+    ap.add_argument("--store")
     ap.add_argument("--jdbc-option", action="append", dest="jdbc_option", metavar="NAME=VALUE")
     ap.add_argument("--start", type=day, required=True)
     ap.add_argument("--end", type=day, required=True)

@@ -25,14 +25,16 @@ from landfall.operators.discards import cutoff
 from landfall.operators.donor import (donate_attributes, donor_accuracy, nearest_donor,
                                       train_split, validate_donor)
 from landfall.operators.joins import attach_catch, landing_dates
-from landfall.operators.quality import cascade_delete, check_fk, check_fks, check_pk, check_pks
+from landfall.operators.quality import (cascade_delete, check_fk, check_fk_new, check_fks, check_pk,
+                                        check_pk_new, check_pks)
 from landfall.operators.smooth import smooth_series
 from landfall.operators.spatial import cell_boxes, heat, heat_classes
 from landfall.plans.clean import clean, persist_clean, prepare_trips
 from landfall.plans.reports import (daily, daily_chart, dashboard, monthly_chart, monthly_summary,
                                     summary_table, top, with_headings)
 from landfall.plans.slicing import slice_tables
-from landfall.refresh import dedupe, high_water, read_delta, read_delta_child, refresh_tables
+from landfall.refresh import (Facts, create_store, dedupe, high_water, read_delta, read_delta_child,
+                              read_version, refresh_store, refresh_tables)
 from landfall.session import checkpoint_dir
 from landfall.sources.snapshot import (backup_tables, export_summary_csv, read_snapshot, read_table,
                                        write_snapshot)
@@ -58,6 +60,8 @@ FEW_DAYS = Selection(start=dt.date(1998, 3, 1), end=dt.date(1998, 3, 5), sites=M
                      habitats=MAIN.habitats, gears=MAIN.gears, boats=MAIN.boats)
 SMOOTH = Selection(start=MAIN.start, end=MAIN.end, sites=MAIN.sites, habitats=MAIN.habitats,
                    gears=MAIN.gears, boats=MAIN.boats, spar=0.5)
+SHORT = Selection(start=dt.date(1998, 3, 1), end=dt.date(1998, 4, 10), sites=MAIN.sites, habitats=MAIN.habitats,
+                  gears=MAIN.gears, boats=MAIN.boats, spar=0.5)
 SNAPSHOT_MARK = 10800.0   # snapshot = trips with date_numeric <= this
 LOOKBACK_DAYS = 30.0      # refresh re-reads this margin below the high-water mark
 CUTOFF = dt.date(1998, 1, 1)
@@ -179,6 +183,30 @@ def q_clean_changed_landings(spark, sf):
     return clean(t, PARAMS).landings
 
 
+def _store(spark, sf):
+    """The changed refresh as a versioned store by month: schemas, folder and version."""
+    snap, src = _snapshot_source(spark, sf)
+    lnd = fixtures.landings(spark, sf)
+    facts = [Facts("trips", "landings", "trip_id")]
+    base = _scratch(spark, "store")
+    create_store(spark, base, {"trips": snap, "landings": lnd.join(snap.select("trip_id"), "trip_id", "left_semi")}, facts)
+    newer = {"landings": lnd, "trips": src.withColumn("trip_effort", F.when(
+        F.col("trip_id") % 7 == 0, F.col("trip_effort") + 1).otherwise(F.col("trip_effort")))}
+    schemas = {n: df.schema for n, df in newer.items()}
+    return schemas, base, refresh_store(spark, base, newer.get, facts, LOOKBACK_DAYS, schemas)
+
+
+def q_refresh_stored(spark, sf):
+    """Trips of a store whose refresh rewrote only the months that the delta touches."""
+    schemas, base, version = _store(spark, sf)
+    return read_version(spark, base, "trips", version, schemas["trips"])
+
+
+def q_refresh_stored_landings(spark, sf):
+    schemas, base, version = _store(spark, sf)
+    return read_version(spark, base, "landings", version, schemas["landings"])
+
+
 # --- row-level steps -------------------------------------------------------------------
 def _prepared(spark, sf):
     r = refreshed(spark, sf)
@@ -378,9 +406,9 @@ def q_log_axis(spark, sf):
     return daily_chart(daily(sliced(spark, sf)[0], "site", MAIN, PARAMS, PARAMS.min_days))
 
 
-def _smooth(dim):
+def _smooth(dim, sel=SMOOTH):
     def run(spark, sf):
-        return daily(sliced(spark, sf, SMOOTH)[0], dim, SMOOTH, PARAMS, PARAMS.min_days)
+        return daily(sliced(spark, sf, sel)[0], dim, sel, PARAMS, PARAMS.min_days)
     return run
 
 
@@ -456,7 +484,9 @@ def q_cascade_delete(spark, sf):
 
 
 def _all_tables(spark, sf) -> dict[str, DataFrame]:
-    return {**fixtures.dimensions(spark, sf), **dict(refreshed(spark, sf).items())}
+    t = dict(refreshed(spark, sf).items())
+    return {**fixtures.dimensions(spark, sf), **t, "trips": fixtures.keyed_trips(t["trips"]),
+            "pds_trips": fixtures.keyed_tracks(t["pds_trips"])}
 
 
 def q_cascade_delete_tracks(spark, sf):
@@ -476,6 +506,27 @@ def q_check_fk_all(spark, sf):
     return check_fks(_all_tables(spark, sf))
 
 
+def _new_rows(spark, sf):
+    """The snapshot's trips and the rows that a refresh would add, some of them again."""
+    snap, src = _snapshot_source(spark, sf)
+    return snap, read_delta(src, high_water(snap), lookback=LOOKBACK_DAYS)
+
+
+def q_check_pk_delta(spark, sf):
+    snap, delta = _new_rows(spark, sf)
+    again = delta.filter(F.col("trip_id") % 100 == 0)
+    return check_pk_new(delta.unionByName(again), snap, "trip_id")
+
+
+def q_check_fk_delta(spark, sf):
+    """Landings of newer trips whose species is unknown, and landings of no trip among the newer ones."""
+    _, delta = _new_rows(spark, sf)
+    lnd = fixtures.landings(spark, sf).filter(F.col("trip_id") % 3 == 0)
+    few = fixtures.species(spark, sf).filter(F.col("species_code") % 17 != 0)
+    bad = check_fk_new(read_delta_child(lnd, delta, "trip_id"), "species_code", few).select("trip_id", "species_code", F.lit("species").alias("parent"))
+    return bad.unionByName(check_fk_new(lnd, "trip_id", delta).select("trip_id", "species_code", F.lit("trips").alias("parent")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_snapshot": q_scan_snapshot,
     "scan_dimension": q_scan_dimension,
@@ -484,6 +535,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "refresh_union": q_refresh_union,
     "refresh_changed_trip": q_refresh_changed_trip,
     "clean_changed_landings": q_clean_changed_landings,
+    "refresh_stored": q_refresh_stored,
+    "refresh_stored_landings": q_refresh_stored_landings,
     "write_snapshot": q_write_snapshot,
     "backup": q_backup,
     "export_csv": q_export_csv,
@@ -498,6 +551,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cascade_delete_tracks": q_cascade_delete_tracks,
     "check_pk_all": q_check_pk_all,
     "check_fk_all": q_check_fk_all,
+    "check_pk_delta": q_check_pk_delta,
+    "check_fk_delta": q_check_fk_delta,
     "parse_date": q_parse_date,
     "recode_habitat": q_recode_habitat,
     "clamp_effort": q_clamp_effort,
@@ -544,6 +599,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "smooth_site": q_smooth_site,
     "smooth_habitat": _smooth("habitat"),
     "smooth_gear": _smooth("gear"),
+    "smooth_short": _smooth("site", SHORT),
     "check_pk": q_check_pk,
     "check_fk": q_check_fk,
     "cascade_delete": q_cascade_delete,

@@ -189,4 +189,33 @@ def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("k").cast("int").alias(name))
     return {"boat_types": codes("boat_code", 2), "gear_types": codes("gear_code", 9),
             "habitat_types": codes("habitat_code", 6),
-            "flags": part.filter(F.col("k").isin(0, 4, 5)).select(F.col("k").cast("int").alias("flag_code"))}
+            "flags": part.filter(F.col("k").isin(0, 4, 5)).select(F.col("k").cast("int").alias("flag_code")),
+            "rankings": codes("rank_code", 5), "boats": boats(spark, sf_dir), "vacs": vacs(spark, sf_dir)}
+
+
+def boats(spark, sf_dir) -> DataFrame:
+    """Every customer is a boat; one in 50 comes twice, one in 90 has no known boat type."""
+    c = _src(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    c = c.unionByName(c.filter(F.col("k") % 50 == 0))
+    return c.select(F.col("k").cast("int").alias("boat_id"),
+                    F.when(F.col("k") % 90 == 0, 7).otherwise(1 + F.col("k") % 2).cast("int").alias("boat_code"))
+
+
+def vacs(spark, sf_dir) -> DataFrame:
+    """Every supplier is a vessel activity coefficient; one in 20 has no code."""
+    s = F.col("s_suppkey")
+    return _src(spark, sf_dir, "supplier").select(
+        _null_every(s, 20, s).cast("int").alias("vac_code"), (1 + s % 3).cast("int").alias("boat_code"))
+
+
+def keyed_trips(trips: DataFrame) -> DataFrame:
+    """Trips with the columns that only the key checks look at."""
+    k = F.col("trip_id")
+    return trips.withColumns({"rank_code": _null_every(k, 59, 1 + k % 6).cast("int"),
+                              "flag_code": _null_every(k, 61, F.when(k % 30 == 0, 1).otherwise(4 * (k % 2))).cast("int")})
+
+
+def keyed_tracks(pds_trips: DataFrame) -> DataFrame:
+    """Tracked trips with the boat that only the key checks look at."""
+    k = F.col("PDS_trip")
+    return pds_trips.withColumn("boat_id", _null_every(k, 43, k % 2000).cast("int"))

@@ -52,10 +52,15 @@ def patch(df: DataFrame, col: str, cond: Column, value) -> DataFrame:
 
 def exact_sum(col) -> Column:
     """Sum of a double column in 38-digit decimals, nine of them after the point: it does
-    not depend on the order in which rows and partitions are added, and holds up to 1e29
-    units. Ratios of such sums often end on a half in the last printed digit, where a
-    double sum's last bit would show."""
-    return F.sum(_c(col).cast("decimal(28,9)")).cast("double")
+    not depend on the order in which rows and partitions are added. Ratios of such sums
+    often end on a half in the last printed digit, where a double sum's last bit would
+    show. Values of 1e18 or more and infinities, which no decimal holds, are added as
+    doubles; NaN is missing; parts below 5e-10 of a value are rounded off."""
+    c = _c(col).cast("double")
+    fits = F.abs(c) < F.lit(1e18)
+    exact = F.sum(F.when(fits, c.cast("decimal(28,9)"))).cast("double")
+    rest = F.sum(F.when(~fits & ~F.isnan(c), c))
+    return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)
 
 
 def kg_sum(grams) -> Column:

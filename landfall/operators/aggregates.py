@@ -12,6 +12,7 @@ from landfall.functions.dates import month_floor
 from landfall.operators.filters import min_points
 
 CANOE, MOTOR = 1, 2
+TOP_PARTS = 64
 
 
 def species_catch(landings: DataFrame) -> DataFrame:
@@ -84,14 +85,32 @@ def national_catch(monthly: DataFrame, fleet: DataFrame, params, enabled: bool)
     return monthly.withColumn("natcatch", part_c + part_m)
 
 
+def daily_sums(trips: DataFrame, dim_cols) -> DataFrame:
+    """KG and effort per (date, code) for every column of ``dim_cols`` in one pass over the
+    trips: date, dim (the column's name), code, KG and trip_effort. Each column is one
+    grouping set."""
+    dims = list(dim_cols)
+    sets = [[F.col("date"), F.col(d)] for d in dims]
+    g = trips.select("date", *dims, "KG", "trip_effort").groupingSets(sets, "date", *dims).agg(
+        exact_sum("KG").alias("KG"), exact_sum("trip_effort").alias("trip_effort"),
+        *[F.grouping(d).alias(f"_not_{d}") for d in dims])
+    pick = lambda value: F.coalesce(*[F.when(F.col(f"_not_{d}") == 0, value(d)) for d in dims])
+    return g.select("date", pick(F.lit).alias("dim"), pick(F.col).alias("code"), "KG", "trip_effort")
+
+
 def daily_cpue(trips: DataFrame, dim_col: str, labels, min_days: int = 5,
                spar: float = 0.0) -> DataFrame:
-    """Daily series per code of ``dim_col``: KG and effort per (date, code);
-    series with fewer than ``min_days`` days dropped; CPUE; label from the fixed
-    list; ``fit`` = CPUE or its weighted smoothing spline; negative fits to 0."""
+    """Daily series per code of ``dim_col``: see :func:`daily_series`."""
     d = trips.groupBy("date", F.col(dim_col).alias("code")).agg(
         exact_sum("KG").alias("KG"), exact_sum("trip_effort").alias("trip_effort"))
-    d = min_points(d, "code", min_days)
+    return daily_series(d, labels, min_days, spar)
+
+
+def daily_series(sums: DataFrame, labels, min_days: int = 5, spar: float = 0.0) -> DataFrame:
+    """Daily series from KG and effort per (date, code): series with fewer than
+    ``min_days`` days dropped; CPUE; label from the fixed list; ``fit`` = CPUE or its
+    weighted smoothing spline; negative fits to 0."""
+    d = min_points(sums.select("date", "code", "KG", "trip_effort"), "code", min_days)
     d = d.withColumn("CPUE", F.try_divide(F.col("KG"), F.col("trip_effort")))
     d = d.withColumn("label", F.try_element_at(F.array(*[F.lit(x) for x in labels]),
                                                F.col("code")))
@@ -108,18 +127,21 @@ def top_species(catch: DataFrame, species: DataFrame, n: int = 9, other: int = 3
 
     Ranked by KG descending, ties by code. With more than ``n`` species the tail
     is summed: if ``other`` is among the first ``n`` the sum is added to it in
-    place (``n`` rows), else a row ``other`` is appended at rank ``n + 1``. The first
-    ``n`` are a distributed top-n, and the window numbers only those ``n`` rows, so the
-    number of species codes in the landings does not matter.
+    place (``n`` rows), else a row ``other`` is appended at rank ``n + 1``. ``catch`` is
+    read once: each of ``TOP_PARTS`` parts of the codes keeps its first ``n`` species and
+    the sum of its others, and one window numbers those few rows, so the number of
+    species codes in the landings does not matter.
     """
     order = [F.desc("KG"), F.asc("species_code")]
-    head = (catch.orderBy(*order).limit(n)
-            .withColumn("rank", F.row_number().over(Window.orderBy(*order))))
-    codes = head.select(F.col("species_code").alias("_code"))
-    tail = (catch.join(F.broadcast(codes), F.col("species_code").eqNullSafe(F.col("_code")), "left_anti")
-            .agg(exact_sum("KG").alias("KG"), F.count(F.lit(1)).alias("_n")).filter("_n > 0")
-            .select(F.lit(other).cast("int").alias("species_code"), "KG", F.lit(n + 1).alias("rank")))
-    g = (head.select(F.col("species_code").cast("int").alias("species_code"), "KG", "rank").unionByName(tail)
+    part = F.pmod(F.xxhash64("species_code"), F.lit(TOP_PARTS)).alias("_part")
+    ranked = catch.select("species_code", "KG", part).withColumn(
+        "_first", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) <= n)
+    few = ranked.groupBy("_part", "_first", F.when(F.col("_first"), F.col("species_code")).alias("species_code")).agg(
+        exact_sum("KG").alias("KG"))
+    rank = F.row_number().over(Window.orderBy(F.desc("_first"), *order))
+    few = few.withColumn("rank", F.least(rank, F.lit(n + 1)))
+    head = F.col("rank") <= F.lit(n)
+    g = (few.withColumn("species_code", F.when(F.col("_first") & head, F.col("species_code")).otherwise(F.lit(other)).cast("int"))
          .groupBy("species_code").agg(exact_sum("KG").alias("KG"), F.min("rank").alias("rank")))
     sp = species.groupBy("species_code").agg(
         F.min(species_label()).alias("species"))

@@ -29,14 +29,21 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, value: str, out: str | None =
 def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     """One row per key: the one with the largest ``by`` (NULL smallest), ties to the
     largest row. Partial aggregation keeps one row per key and task before the shuffle,
-    and the shuffle is by ``key``, as the joins on it need anyway. NULL keys are kept."""
+    and the shuffle is by ``key``, as the joins on it need anyway. Rows with a NULL key
+    are no versions of each other and leave here: see :func:`without_key`."""
     rest = [c for c in df.columns if c not in (key, by)]
     order = F.struct(F.col(by).alias("_by"), *rest)
-    one = df.groupBy(key).agg(F.max(order).alias("_l"))
+    one = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(order).alias("_l"))
     picked = {by: F.col("_l._by"), **{c: F.col(f"_l.{c}") for c in rest}, key: F.col(key)}
     return one.select(*[picked[c].alias(c) for c in df.columns])
 
 
+def without_key(df: DataFrame, key: str) -> DataFrame:
+    """The rows with a NULL key, all of them. The filter reaches the scan, whose null counts
+    skip row groups without such rows."""
+    return df.where(F.col(key).isNull())
+
+
 def keep_with(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None
               ) -> DataFrame:
     """Child rows whose key is among the parent keys (left semi join)."""

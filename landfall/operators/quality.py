@@ -28,29 +28,64 @@ def check_fk(child: DataFrame, key: str, parent: DataFrame, parent_key: str | No
             .join(parent.select(F.col(pk).alias(key)), key, "left_anti"))
 
 
+def check_pk_new(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Key values of ``new`` rows that repeat among them, are NULL, or stand among the
+    ``known`` rows, with the number of their rows in both. Of the known rows only the key
+    is scanned, against the distinct new keys: they are not shuffled while those are
+    small enough to broadcast, and only new rows are grouped."""
+    per = new.groupBy(key).agg(F.count(F.lit(1)).alias("_new"))
+    again = known.select(key).join(per.select(key), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("_old"))
+    n = F.col("_new") + F.coalesce("_old", F.lit(0))
+    return per.join(again, key, "left").select(key, n.alias("n")).filter((F.col("n") > 1) | F.col(key).isNull())
+
+
+def check_fk_new(new: DataFrame, key: str, parent: DataFrame, parent_key: str | None = None) -> DataFrame:
+    """``new`` rows whose non-NULL key has no parent row. The parents' keys are scanned
+    against the distinct new keys first, so the parents are not shuffled for a small delta."""
+    pk = parent_key or key
+    held = new.filter(F.col(key).isNotNull())
+    found = parent.select(F.col(pk).alias(key)).join(held.select(key).distinct(), key, "left_semi").distinct()
+    return held.join(found, key, "left_anti")
+
+
 def check_pks(tables: dict[str, DataFrame], pks=PRIMARY_KEYS) -> DataFrame:
-    """Per table with a key: how many key values repeat or are NULL."""
+    """Per table with a key: how many key values repeat or are NULL; NULL for a table
+    that is not given or lacks a key column, which is not checked."""
     out = None
     for name, key in pks.items():
-        if key and name in tables:
-            one = check_pk(tables[name], key).agg(F.count(F.lit(1)).alias("violations")).select(
-                F.lit(name).alias("table"), "violations")
-            out = one if out is None else out.unionByName(one)
+        if not key:
+            continue
+        df = tables.get(name)
+        if df is not None and set(key) <= set(df.columns):
+            one = check_pk(df, key).agg(F.count(F.lit(1)).alias("violations"))
+        else:
+            one = unchecked(tables, "violations")
+        one = one.select(F.lit(name).alias("table"), "violations")
+        out = one if out is None else out.unionByName(one)
     return out
 
 
 def check_fks(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
-    """Per foreign key whose two tables are given and hold its columns: its orphans."""
+    """Per foreign key its orphans; NULL for a key whose tables or columns are not given,
+    which is not checked."""
     out = None
     for child, ckey, parent, pkey in fks:
-        if child in tables and parent in tables and ckey in tables[child].columns:
-            one = check_fk(tables[child], ckey, tables[parent], pkey).agg(
-                F.count(F.lit(1)).alias("orphans")).select(
-                F.lit(child).alias("child"), F.lit(ckey).alias("column"), F.lit(parent).alias("parent"), "orphans")
-            out = one if out is None else out.unionByName(one)
+        c, p = tables.get(child), tables.get(parent)
+        if c is not None and p is not None and ckey in c.columns and pkey in p.columns:
+            one = check_fk(c, ckey, p, pkey).agg(F.count(F.lit(1)).alias("orphans"))
+        else:
+            one = unchecked(tables, "orphans")
+        one = one.select(F.lit(child).alias("child"), F.lit(ckey).alias("column"), F.lit(parent).alias("parent"), "orphans")
+        out = one if out is None else out.unionByName(one)
     return out
 
 
+def unchecked(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """One row that says that nothing was counted."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.range(1).select(F.lit(None).cast("long").alias(name))
+
+
 def children_first_last(tables, root: str, fks) -> list[str]:
     """The tables that deletes from ``root`` can reach, every parent before its children."""
     reach, todo = {root}, [root]

@@ -427,6 +427,123 @@ SQL["smooth_moments"] = w(*BASE, MAIN, daily_sql("municipality_code", SITES, 5))
       / SUM(trip_effort * DATEDIFF('day', DATE '1996-12-31', date)) AS slope_fit
     FROM daily WHERE CPUE IS NOT NULL AND trip_effort > 0 GROUP BY code"""
 
+# The smoothed series: a penalised cubic B-spline per series, solved as a banded system. Splines
+# are built from the order below, value by value; the system's factors L D L' and the solution
+# follow row by row. Nothing of it is shared with the fit that the queries run.
+
+
+def spline_step(name: str, source: str, order: int) -> str:
+    """B-splines of ``order`` at the points of ``source``, which has those of the order below."""
+    return f"""{name} AS MATERIALIZED (SELECT s.code, s.pid, s.x, s.j - o AS j,
+    SUM(v * CASE o WHEN 0 THEN (s.x - a.t) ELSE (b.t - s.x) END / (b.t - a.t)) AS v
+  FROM {source} s JOIN kn a ON a.code = s.code AND a.k = s.j JOIN kn b ON b.code = s.code AND b.k = s.j + {order - 1}, range(2) r(o)
+  GROUP BY s.code, s.pid, s.x, s.j - o)"""
+
+
+def slope_step(name: str, source: str, order: int) -> str:
+    """Derivatives of B-splines of ``order`` from values (or derivatives) of the order below."""
+    return f"""{name} AS MATERIALIZED (SELECT s.code, s.pid, s.j - o AS j, SUM(v * (1 - 2 * o) * {order - 1} / (b.t - a.t)) AS v
+  FROM {source} s JOIN kn a ON a.code = s.code AND a.k = s.j JOIN kn b ON b.code = s.code AND b.k = s.j + {order - 1}, range(2) r(o)
+  GROUP BY s.code, s.pid, s.j - o)"""
+
+
+SMOOTH_POINTS = """
+us AS MATERIALIZED (SELECT code, date, CPUE AS y, trip_effort AS w0, DATEDIFF('day', DATE '1970-01-01', date) AS day,
+         row_number() OVER (PARTITION BY code ORDER BY date) - 1 AS i
+       FROM daily WHERE CPUE IS NOT NULL AND trip_effort >= 0),
+sz AS MATERIALIZED (SELECT code, COUNT(*) AS n, MIN(day) AS lo, MAX(day) AS hi, COUNT(CASE WHEN w0 > 0 THEN 1 END) / SUM(w0) AS scale FROM us GROUP BY code
+       HAVING COUNT(*) >= 4 AND SUM(w0) > 0),
+xs AS MATERIALIZED (SELECT us.code, i, date, y, w0 * scale AS w, (day - lo) / CAST(hi - lo AS DOUBLE) AS x, n FROM us JOIN sz ON sz.code = us.code)"""
+
+
+# Solves the systems of ``mat`` (row r, its diagonal e0 and the values e1 to e3 left of it, right
+# side b): factors downwards, solution c1 of each row upwards.
+BANDED = """fw AS (
+  SELECT code, CAST(-1 AS BIGINT) AS r, 1.0::DOUBLE AS p1, 1.0::DOUBLE AS p2, 1.0::DOUBLE AS p3, 0.0::DOUBLE AS z1, 0.0::DOUBLE AS z2, 0.0::DOUBLE AS z3,
+         0.0::DOUBLE AS l1, 0.0::DOUBLE AS l2, 0.0::DOUBLE AS l3, 0.0::DOUBLE AS l1_before FROM nk
+  UNION ALL
+  SELECT code, r, e0 - m1 * m1 * p1 - m2 * m2 * p2 - m3 * m3 * p3, p1, p2, b - m1 * z1 - m2 * z2 - m3 * z3, z1, z2, m1, m2, m3, l1
+  FROM (SELECT *, (e1 - m3 * p3 * l2 - m2 * p2 * l1) / p1 AS m1
+        FROM (SELECT *, (e2 - m3 * p3 * l1_before) / p2 AS m2
+              FROM (SELECT fw.code, mat.r, e0, e1, e2, b, p1, p2, p3, z1, z2, z3, l1, l2, l1_before, e3 / p3 AS m3
+                    FROM fw JOIN mat ON mat.code = fw.code AND mat.r = fw.r + 1) x) y) z),
+ld AS MATERIALIZED (SELECT code, r, z1 / p1 AS q, COALESCE(lead(l1, 1) OVER w, 0) AS u1, COALESCE(lead(l2, 2) OVER w, 0) AS u2, COALESCE(lead(l3, 3) OVER w, 0) AS u3
+       FROM fw WHERE r >= 0 WINDOW w AS (PARTITION BY code ORDER BY r)),
+bw AS (
+  SELECT code, MAX(r) + 1 AS r, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3 FROM mat GROUP BY code
+  UNION ALL
+  SELECT bw.code, ld.r, q - u1 * c1 - u2 * c2 - u3 * c3, c1, c2 FROM bw JOIN ld ON ld.code = bw.code AND ld.r = bw.r - 1),"""
+
+
+def smoothed(daily: str, spar: float = 0.5) -> str:
+    """The series of a ``daily`` part with their fit; series of fewer than 4 points as they are."""
+    ramp = lambda a, b, lo, hi: f"2 ** (log2({a}) + (log2({b}) - log2({a})) * (n - {lo}) / {float(hi - lo)})"
+    return daily + "," + SMOOTH_POINTS + f""",
+nk AS MATERIALIZED (SELECT code, n, CAST(CASE WHEN n < 50 THEN n WHEN n < 200 THEN trunc({ramp(50, 100, 50, 200)})
+         WHEN n < 800 THEN trunc({ramp(100, 140, 200, 800)}) WHEN n < 3200 THEN trunc({ramp(140, 200, 800, 3200)})
+         ELSE trunc(200 + (n - 3200) ** 0.2) END AS BIGINT) AS k FROM sz),
+kn AS MATERIALIZED (SELECT nk.code, r.k, xs.x AS t FROM nk, range(0, 400) r(k), xs
+       WHERE r.k < nk.k + 6 AND xs.code = nk.code
+         AND xs.i = CAST(floor(1 + (nk.n - 1) * least(greatest(r.k - 3, 0), nk.k - 1) / CAST(nk.k - 1 AS DOUBLE)) AS BIGINT) - 1),
+iv AS MATERIALIZED (SELECT a.code, a.k AS j, a.t AS lo, b.t - a.t AS h FROM kn a JOIN kn b ON b.code = a.code AND b.k = a.k + 1 WHERE b.t > a.t),
+spt AS MATERIALIZED (SELECT code, i AS pid, x FROM xs
+       UNION ALL SELECT code, 100000 + 2 * j + g, lo + h / 2 + (2 * g - 1) * h / (2 * sqrt(3)) FROM iv, range(2) q(g)),
+b1 AS MATERIALIZED (SELECT spt.code, pid, spt.x, MAX(j) AS j, 1.0::DOUBLE AS v FROM spt JOIN iv ON iv.code = spt.code AND iv.lo <= spt.x GROUP BY spt.code, pid, spt.x),
+{spline_step('b2', 'b1', 2)}, {spline_step('b3', '(SELECT * FROM b2 WHERE pid < 100000)', 3)}, {spline_step('b4', 'b3', 4)},
+{slope_step('d1', '(SELECT * FROM b2 WHERE pid >= 100000)', 3)}, {slope_step('d2', 'd1', 4)},
+gram AS (SELECT a.code, a.j, b.j - a.j AS d, SUM(w * a.v * b.v) AS v FROM b4 a JOIN b4 b ON b.code = a.code AND b.pid = a.pid AND b.j >= a.j
+         JOIN xs ON xs.code = a.code AND xs.i = a.pid GROUP BY a.code, a.j, b.j - a.j),
+rough AS (SELECT a.code, a.j, b.j - a.j AS d, SUM(h / 2 * a.v * b.v) AS v FROM d2 a JOIN d2 b ON b.code = a.code AND b.pid = a.pid AND b.j >= a.j
+          JOIN iv ON iv.code = a.code AND iv.j = (a.pid - 100000) // 2 GROUP BY a.code, a.j, b.j - a.j),
+inner_rows AS (SELECT code, j FROM nk, range(2, 400) r(j) WHERE j < k - 1),
+lam AS MATERIALIZED (SELECT g.code, SUM(g.v) / SUM(o.v) * 256.0 ** (3 * {spar} - 1) AS lam FROM inner_rows n JOIN gram g ON g.code = n.code AND g.j = n.j AND g.d = 0
+        JOIN rough o ON o.code = n.code AND o.j = n.j AND o.d = 0 GROUP BY g.code),
+bnd AS MATERIALIZED (SELECT code, j + d AS r, d, SUM(v) AS v FROM (SELECT * FROM gram UNION ALL
+         SELECT o.code, j, d, lam * v FROM rough o JOIN lam ON lam.code = o.code) x GROUP BY code, j + d, d),
+mat AS MATERIALIZED (SELECT bnd.code, r, SUM(CASE d WHEN 0 THEN v ELSE 0 END) AS e0, SUM(CASE d WHEN 1 THEN v ELSE 0 END) AS e1,
+         SUM(CASE d WHEN 2 THEN v ELSE 0 END) AS e2, SUM(CASE d WHEN 3 THEN v ELSE 0 END) AS e3, ANY_VALUE(b.b) AS b
+       FROM bnd JOIN (SELECT b4.code, j, SUM(w * y * v) AS b FROM b4 JOIN xs ON xs.code = b4.code AND xs.i = pid GROUP BY b4.code, j) b
+         ON b.code = bnd.code AND b.j = r GROUP BY bnd.code, r),
+{BANDED}
+sf AS (SELECT b4.code, pid, SUM(c1 * v) AS fit FROM b4 JOIN bw ON bw.code = b4.code AND bw.r = b4.j GROUP BY b4.code, pid),
+smooth AS (SELECT d.* REPLACE (CASE WHEN COALESCE(sf.fit, d.CPUE) < 0 THEN 0.0 ELSE COALESCE(sf.fit, d.CPUE) END AS fit)
+           FROM daily d LEFT JOIN us ON us.code = d.code AND us.date = d.date LEFT JOIN sf ON sf.code = us.code AND sf.pid = us.i)
+"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def reinsch(daily: str, spar: float = 0.5) -> str:
+    """The same fit for series of 4 to 49 points by another method: with a knot at each point
+    it is the natural cubic spline, whose second derivatives at the inner points solve
+    (R + lam Q' W^-1 Q) g = Q' y, and the fit is y - lam W^-1 Q g."""
+    whole = smoothed(daily, spar)
+    return whole[:whole.index("bnd AS MATERIALIZED")] + f"""
+hs AS MATERIALIZED (SELECT *, lead(x) OVER o - x AS h, x - lag(x) OVER o AS g, lag(y) OVER o AS ya, lead(y) OVER o AS yz, lag(w) OVER o AS wa, lead(w) OVER o AS wz
+       FROM xs WINDOW o AS (PARTITION BY code ORDER BY i)),
+qs AS MATERIALIZED (SELECT hs.*, lam, 1 / g AS qa, -1 / g - 1 / h AS q0, 1 / h AS qz FROM hs JOIN lam ON lam.code = hs.code WHERE g IS NOT NULL AND h IS NOT NULL),
+mat AS MATERIALIZED (SELECT code, i - 1 AS r, (g + h) / 3 + lam * (qa * qa / wa + q0 * q0 / w + qz * qz / wz) AS e0,
+         COALESCE(g / 6 + lam * (lag(q0, 1) OVER o * qa / wa + lag(qz, 1) OVER o * q0 / w), 0) AS e1,
+         COALESCE(lam * lag(qz, 2) OVER o * qa / wa, 0) AS e2, 0.0::DOUBLE AS e3, qa * ya + q0 * y + qz * yz AS b
+       FROM qs WINDOW o AS (PARTITION BY code ORDER BY i)),
+{BANDED}
+sol AS (SELECT code, r + 1 AS i, c1 FROM bw),
+part AS (SELECT qs.code, qs.i - 1 + k AS i, c1 * CASE k WHEN 0 THEN qa WHEN 1 THEN q0 ELSE qz END AS v
+         FROM qs JOIN sol ON sol.code = qs.code AND sol.i = qs.i, range(3) s(k)),
+sf AS (SELECT xs.code, xs.i, xs.y - lam / xs.w * SUM(v) AS fit FROM xs JOIN lam ON lam.code = xs.code JOIN part p ON p.code = xs.code AND p.i = xs.i
+       GROUP BY xs.code, xs.i, xs.y, lam, xs.w),
+smooth AS (SELECT d.* REPLACE (CASE WHEN COALESCE(sf.fit, d.CPUE) < 0 THEN 0.0 ELSE COALESCE(sf.fit, d.CPUE) END AS fit)
+           FROM daily d LEFT JOIN us ON us.code = d.code AND us.date = d.date LEFT JOIN sf ON sf.code = us.code AND sf.i = us.i)
+"""
+
+
+SHORT = slice_sql(start="1998-03-01", end="1998-04-10")
+SQL["smooth_short"] = recursive(w(*BASE, SHORT, reinsch(daily_sql("municipality_code", SITES, 5))) + "SELECT * FROM smooth")
+for _dim, _col, _labels in DAILIES:
+    SQL[f"smooth_{_dim}"] = recursive(w(*BASE, MAIN, smoothed(daily_sql(_col, _labels, 5))) + "SELECT * FROM smooth")
+
 # A refresh in which trips of the margin come in a second version.
 CHANGED = DELTA + """, src AS (
   SELECT * REPLACE (CASE WHEN trip_id % 7 = 0 THEN trip_effort + 1 ELSE trip_effort END AS trip_effort) FROM f_trips),
@@ -435,6 +552,8 @@ x_trips AS (SELECT DISTINCT * FROM snap WHERE trip_id NOT IN (SELECT trip_id FRO
 x_landings AS (SELECT DISTINCT * FROM f_landings WHERE trip_id IN (SELECT trip_id FROM x_trips))
 """
 SQL["refresh_changed_trip"] = w(FIX, CHANGED) + "SELECT * FROM x_trips"
+SQL["refresh_stored"] = SQL["refresh_changed_trip"]
+SQL["refresh_stored_landings"] = w(FIX, CHANGED) + "SELECT * FROM x_landings"
 SQL["clean_changed_landings"] = w(FIX, CHANGED, REFRESHED.replace("FROM f_trips", "FROM x_trips").replace(
     "FROM f_landings", "FROM x_landings"), CLEAN) + "SELECT * FROM c_landings"
 
@@ -442,7 +561,14 @@ DIMENSIONS = """
 f_boat_types AS (SELECT CAST(p_partkey AS INTEGER) AS boat_code FROM part WHERE p_partkey BETWEEN 1 AND 2),
 f_gear_types AS (SELECT CAST(p_partkey AS INTEGER) AS gear_code FROM part WHERE p_partkey BETWEEN 1 AND 9),
 f_habitat_types AS (SELECT CAST(p_partkey AS INTEGER) AS habitat_code FROM part WHERE p_partkey BETWEEN 1 AND 6),
-f_flags AS (SELECT CAST(p_partkey AS INTEGER) AS flag_code FROM part WHERE p_partkey IN (0, 4, 5))
+f_flags AS (SELECT CAST(p_partkey AS INTEGER) AS flag_code FROM part WHERE p_partkey IN (0, 4, 5)),
+f_rankings AS (SELECT CAST(p_partkey AS INTEGER) AS rank_code FROM part WHERE p_partkey BETWEEN 1 AND 5),
+f_boats AS (SELECT c_custkey AS boat_id, CASE WHEN c_custkey % 90 = 0 THEN 7 ELSE 1 + c_custkey % 2 END AS boat_code
+            FROM customer, range(2) r(again) WHERE again = 0 OR c_custkey % 50 = 0),
+f_vacs AS (SELECT CASE WHEN s_suppkey % 20 <> 0 THEN s_suppkey END AS vac_code, 1 + s_suppkey % 3 AS boat_code FROM supplier),
+k_trips AS (SELECT *, CASE WHEN trip_id % 59 <> 0 THEN 1 + trip_id % 6 END AS rank_code,
+                   CASE WHEN trip_id % 61 = 0 THEN NULL WHEN trip_id % 30 = 0 THEN 1 ELSE 4 * (trip_id % 2) END AS flag_code FROM r_trips),
+k_pds_trips AS (SELECT *, CASE WHEN PDS_trip % 43 <> 0 THEN PDS_trip % 2000 END AS boat_id FROM r_pds_trips)
 """
 SQL["cascade_delete_tracks"] = w(*BASE) + """SELECT * FROM r_pds_points WHERE PDS_trip NOT IN (
     SELECT PDS_trip FROM r_pds_trips WHERE
@@ -452,7 +578,8 @@ KEYED = (("trips", "trip_id", "(SELECT * FROM r_trips UNION ALL SELECT * FROM r_
          ("pds_trips", "PDS_trip", "r_pds_trips"), ("municipalities", "municipality_code", "f_municipalities"),
          ("stations", "station_code", "f_stations"), ("species", "species_code", "f_species"),
          ("boat_types", "boat_code", "f_boat_types"), ("gear_types", "gear_code", "f_gear_types"),
-         ("habitat_types", "habitat_code", "f_habitat_types"), ("flags", "flag_code", "f_flags"))
+         ("habitat_types", "habitat_code", "f_habitat_types"), ("flags", "flag_code", "f_flags"),
+         ("boats", "boat_id", "f_boats"), ("rankings", "rank_code", "f_rankings"), ("vacs", "vac_code", "f_vacs"))
 SQL["check_pk_all"] = w(*BASE, DIMENSIONS) + " UNION ALL ".join(
     f"""SELECT '{t}' AS "table", COUNT(*) AS violations FROM (SELECT {k} FROM {f} x GROUP BY {k}
         HAVING COUNT(*) > 1 OR {k} IS NULL) y""" for t, k, f in KEYED)
@@ -463,13 +590,26 @@ REFERS = (("stations", "municipality_code", "municipalities", "municipality_code
           ("pds_trips", "habitat_code", "habitat_types", "habitat_code"), ("pds_trips", "trip_id", "trips", "trip_id"),
           ("pds_trips", "station_code", "stations", "station_code"), ("pds_trips", "donor_tripid", "trips", "trip_id"),
           ("pds_points", "PDS_trip", "pds_trips", "PDS_trip"), ("landings", "trip_id", "trips", "trip_id"),
-          ("landings", "species_code", "species", "species_code"), ("landings", "flag_code", "flags", "flag_code"))
-_VIEW = {t: f"r_{t}" if t in ("trips", "landings", "pds_trips", "pds_points") else f"f_{t}"
+          ("landings", "species_code", "species", "species_code"), ("landings", "flag_code", "flags", "flag_code"),
+          ("boats", "boat_code", "boat_types", "boat_code"), ("vacs", "boat_code", "boat_types", "boat_code"),
+          ("trips", "flag_code", "flags", "flag_code"), ("trips", "rank_code", "rankings", "rank_code"),
+          ("pds_trips", "boat_id", "boats", "boat_id"))
+_VIEW = {t: f"r_{t}" if t in ("landings", "pds_points") else f"k_{t}" if t in ("trips", "pds_trips") else f"f_{t}"
          for r in REFERS for t in (r[0], r[2])}
 SQL["check_fk_all"] = w(*BASE, DIMENSIONS) + " UNION ALL ".join(
     f"""SELECT '{c}' AS child, '{ck}' AS "column", '{p}' AS parent, COUNT(*) AS orphans FROM {_VIEW[c]} x
         WHERE {ck} IS NOT NULL AND {ck} NOT IN (SELECT {pk} FROM {_VIEW[p]})""" for c, ck, p, pk in REFERS)
 
+NEWER = DELTA + ", newer AS (SELECT * FROM f_trips WHERE date_numeric > (SELECT m FROM mark) - 30)"
+SQL["check_pk_delta"] = w(FIX, NEWER) + """SELECT trip_id, COUNT(*) AS n FROM (
+    SELECT * FROM newer UNION ALL SELECT * FROM newer WHERE trip_id % 100 = 0
+    UNION ALL SELECT * FROM snap WHERE trip_id IN (SELECT trip_id FROM newer)) x GROUP BY trip_id HAVING COUNT(*) > 1 OR trip_id IS NULL"""
+SQL["check_fk_delta"] = w(FIX, NEWER) + """SELECT trip_id, species_code, 'species' AS parent FROM f_landings
+    WHERE trip_id % 3 = 0 AND trip_id IN (SELECT trip_id FROM newer) AND species_code IS NOT NULL
+      AND species_code NOT IN (SELECT species_code FROM f_species WHERE species_code % 17 <> 0)
+    UNION ALL SELECT trip_id, species_code, 'trips' FROM f_landings
+    WHERE trip_id % 3 = 0 AND trip_id NOT IN (SELECT trip_id FROM newer)"""
+
 VALIDATE = w(FIX) + """, rr AS (SELECT s.*, r.rep FROM f_sig s, range(100) r(rep)),
     tr AS (SELECT * FROM rr WHERE (('0x' || substr(md5(CAST(trip_id AS VARCHAR) || '-' || CAST(rep AS VARCHAR)), 1, 8))::BIGINT % 10) < 8),
     qu AS (SELECT * FROM rr WHERE NOT ((('0x' || substr(md5(CAST(trip_id AS VARCHAR) || '-' || CAST(rep AS VARCHAR)), 1, 8))::BIGINT % 10) < 8)),

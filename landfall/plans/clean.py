@@ -16,7 +16,7 @@ from landfall.config import Params
 from landfall.functions.columns import clamp, nan_to_null, parse_date, patch, recode
 from landfall.functions.dates import month_floor
 from landfall.operators.discards import cpue_ok, landing_trip_flags, valid_date
-from landfall.operators.joins import latest, lookup
+from landfall.operators.joins import latest, lookup, without_key
 from landfall.session import materialize
 from landfall.tables import Tables
 
@@ -48,13 +48,17 @@ def judge_trips(trips: DataFrame, flags: DataFrame, stations: DataFrame, params:
     """Kept trips (with ``KG`` and ``month``) and the landing decision: one row
     per trip id whose landings stay, with the trip's month and slice attributes
     (NULL for a trip id that is not among the trips). Of a trip id that stands in
-    several versions the newest counts, so landings are never multiplied."""
-    t = latest(prepare_trips(trips, stations, params), "trip_id", "date_numeric")
+    several versions the newest counts, so landings are never multiplied; trips without
+    an id are all judged, as trips without landings."""
+    p = prepare_trips(trips, stations, params)
+    t = latest(p, "trip_id", "date_numeric")
     j = t.join(flags, "trip_id", "left").withColumns({
         "incomplete": F.coalesce("incomplete", F.lit(False)),
         "bad_flag": F.coalesce("bad_flag", F.lit(False)),
         "KG": F.coalesce("KG", F.lit(0.0)),
     })
+    j = j.unionByName(without_key(p, "trip_id").withColumns(
+        {"incomplete": F.lit(False), "bad_flag": F.lit(False), "KG": F.lit(0.0)}))
     complete = None
     for c in TRIP_REQUIRED:
         complete = F.col(c).isNotNull() if complete is None else complete & F.col(c).isNotNull()
@@ -64,7 +68,7 @@ def judge_trips(trips: DataFrame, flags: DataFrame, stations: DataFrame, params:
     kept = j.filter("_keep").drop("_keep", "incomplete", "bad_flag")
     attrs = [F.col(c).alias(a) for a, c in TRIP_ATTRS.items()]
     decision = flags.select("trip_id", (F.col("incomplete") | F.col("bad_flag")).alias("_bad")).join(
-        j.select("trip_id", "_keep", "month", *attrs), "trip_id", "left")
+        j.where(F.col("trip_id").isNotNull()).select("trip_id", "_keep", "month", *attrs), "trip_id", "left")
     decision = (decision.filter(F.coalesce(F.col("_keep"), ~F.col("_bad")))
                 .select("trip_id", "month", *TRIP_ATTRS))
     return kept, decision
@@ -116,14 +120,15 @@ def judge_pds(pds_trips: DataFrame, band: DataFrame, params: Params
     tracked trip id whose points stay, with the trip's month and slice
     attributes (NULL for an unknown tracked trip)."""
     p = recode(parse_date(nan_to_null(pds_trips)), "habitat_code", dict(params.habitat_recode))
-    p = latest(p, "PDS_trip", "date_numeric" if "date_numeric" in p.columns else "date")
-    p = p.join(band, "PDS_trip", "left").withColumns({
+    newest = latest(p, "PDS_trip", "date_numeric" if "date_numeric" in p.columns else "date")
+    p = newest.join(band, "PDS_trip", "left").unionByName(
+        without_key(p, "PDS_trip").withColumn("_band", F.lit(False)).select(*newest.columns, "_band")).withColumns({
         "_keep": F.col("boat_code").isNotNull() & ~F.coalesce(F.col("_band"), F.lit(False)),
         "month": month_floor("date")})
     kept = p.filter("_keep").drop("_keep", "_band")
     attrs = [F.col(c).alias(a) for a, c in PDS_ATTRS.items()]
-    decision = band.join(p.select("PDS_trip", F.col("_keep").alias("_tk"), "month", *attrs),
-                         "PDS_trip", "left")
+    decision = band.join(p.where(F.col("PDS_trip").isNotNull()).select(
+        "PDS_trip", F.col("_keep").alias("_tk"), "month", *attrs), "PDS_trip", "left")
     decision = (decision.filter(F.coalesce(F.col("_tk"), ~F.col("_band")))
                 .select("PDS_trip", "month", *PDS_ATTRS))
     return kept, decision

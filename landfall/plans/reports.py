@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from landfall.config import Params, Selection
 from landfall.functions.columns import log_axis, to_tonnes
-from landfall.operators.aggregates import (daily_cpue, fleet_size, monthly_cpue,
-                                           national_catch, species_catch, species_share,
-                                           top_species, with_total)
+from landfall.operators.aggregates import (daily_cpue, daily_series, daily_sums, fleet_size,
+                                           monthly_cpue, national_catch, species_catch,
+                                           species_share, top_species, with_total)
 from landfall.operators.spatial import cell_boxes, heat, heat_classes
 from landfall.tables import Tables
 
@@ -80,6 +80,14 @@ def daily(sliced: Tables, dim: str, sel: Selection, params: Params,
                       params.min_days if min_days is None else min_days, sel.spar)
 
 
+def daily_all(sliced: Tables, sel: Selection, params: Params, hold=lambda df: df) -> dict[str, DataFrame]:
+    """The three daily series from one pass over the trips. ``hold`` may keep the sums
+    (at most one row per day and code of each dimension) for the three."""
+    sums = hold(daily_sums(sliced.trips, [col for col, _ in DIMENSIONS.values()]))
+    return {name: daily_series(sums.where(F.col("dim") == col), getattr(params.labels, lab), params.min_days, sel.spar)
+            for name, (col, lab) in DIMENSIONS.items()}
+
+
 def daily_chart(series: DataFrame) -> DataFrame:
     """Log-scaled chart position of each fitted value."""
     return series.withColumn("y", log_axis("fit"))
@@ -110,9 +118,7 @@ def dashboard(sliced: Tables, spine: DataFrame, sel: Selection, params: Params,
         "monthly": summary,
         "table": with_headings(summary_table(summary, sel, params)),
         "chart": monthly_chart(summary),
-        "site": daily(sliced, "site", sel, params),
-        "habitat": daily(sliced, "habitat", sel, params),
-        "gear": daily(sliced, "gear", sel, params),
+        **daily_all(sliced, sel, params, hold),
         "species": sp,
         "share": species_share(sp),
     }

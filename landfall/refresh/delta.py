@@ -1,10 +1,16 @@
-"""Snapshot + delta refresh (high-water mark, parent delta, child delta, union, dedupe)."""
+"""Snapshot + delta refresh (high-water mark, parent delta, child delta, union, dedupe).
+
+Sources are given as they are read (``raw`` readers): the mark is compared with the stored
+column itself, so the filter reaches Parquet statistics or the database's query, and NaN
+becomes NULL only in the rows that come through."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landfall.functions.columns import nan_to_null
+
 
 def high_water(df: DataFrame, col: str = "date_numeric") -> float | None:
     """Largest ``col`` in the snapshot, NULL and NaN ignored; ``None`` for an empty
@@ -16,20 +22,22 @@ def high_water(df: DataFrame, col: str = "date_numeric") -> float | None:
 
 def read_delta(source: DataFrame, mark: float | None, col: str = "date_numeric",
                lookback: float = 0.0) -> DataFrame:
-    """Rows strictly newer than the mark (``col > mark - lookback``).
+    """Rows strictly newer than the mark (``col > mark - lookback``), NaN as NULL. A NaN
+    mark column is greater than any number, so such rows are dropped after the scan.
 
     With the default ``lookback=0`` a row that arrives with a value at or below
     the mark is never picked up, as in the original; a lookback re-reads a margin
     and :func:`refresh` replaces what the snapshot already holds of it.
     """
     if mark is None:
-        return source
-    return source.filter(F.col(col) > F.lit(mark - lookback))
+        return nan_to_null(source)
+    newer = source.filter(F.col(col) > F.lit(mark - lookback))
+    return nan_to_null(newer).filter(F.col(col).isNotNull())
 
 
 def read_delta_child(child: DataFrame, delta_parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose parent is in the delta (``key IN (SELECT key FROM delta)``)."""
-    return child.join(delta_parent.select(key), key, "left_semi")
+    return nan_to_null(child).join(delta_parent.select(key), key, "left_semi")
 
 
 def dedupe(df: DataFrame) -> DataFrame:
@@ -60,6 +68,6 @@ def refresh_tables(snap_parent: DataFrame, snap_child: DataFrame, source_parent:
     tracked trips + points); the children of a replaced parent are replaced with it."""
     mark = high_water(snap_parent, col)
     dp = read_delta(source_parent, mark, col, lookback)
-    dc = source_child if mark is None else read_delta_child(source_child, dp, key)
+    dc = nan_to_null(source_child) if mark is None else read_delta_child(source_child, dp, key)
     return (refresh(snap_parent, dp, key, dedupe_rows),
             refresh(snap_child, dc, key, dedupe_rows, changed=dp))

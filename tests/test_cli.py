@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from landfall import fixtures
 from landfall.__main__ import load, parse, run
 from landfall.config import GEARS, HABITATS, SITES
+from landfall.refresh import latest_version
 from landfall.session import get_spark, materialized
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +38,27 @@ def test_cli_writes_every_result(spark, scratch):
     assert materialized() == before                              # nothing is left behind
 
 
+def test_cli_with_a_store(spark, scratch):
+    """Two runs on one store: the second writes only what the source changes, and both
+    give what a run without a store gives."""
+    base, src, store = (os.path.join(scratch, d) for d in ("snap", "src", "store"))
+    t = fixtures.load(spark, SF)
+    for name, df in t.items():
+        df.write.parquet(os.path.join(src, name))
+        if name == "trips":
+            df = df.filter(F.col("date_numeric") <= 10800)
+        df.dropDuplicates().write.parquet(os.path.join(base, name))      # a snapshot holds no repeats
+    common = ["--tables", base, "--start", "1996-12-31", "--end", "1999-07-01", "--as-of", "2001-07-01",
+              "--min-date", "1996-01-01", "--sites", *SITES[:9], "--habitats", *HABITATS, "--gears", *GEARS]
+    run(parse([*common, "--store", store, "--out", os.path.join(scratch, "one")]), spark)
+    rows = {}
+    for name, more in (("stored", ["--store", store]), ("plain", [])):
+        paths = run(parse([*common, *more, "--source", src, "--out", os.path.join(scratch, name)]), spark)
+        rows[name] = sorted(map(repr, spark.read.parquet(paths["monthly"]).collect()))
+    assert rows["stored"] == rows["plain"]
+    assert latest_version(spark, store).number == 2
+
+
 def test_a_missing_dimension_table_is_an_error(spark, scratch):
     t = fixtures.load(spark, SF)
     for name, df in t.items():

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landfall.config import Labels, Params, Selection
@@ -246,3 +247,58 @@ def test_nan_is_missing_in_the_rules(spark):
     t, kept = clean_trips(trips, lnd, stations, Params(as_of=dt.date(2021, 1, 1)))
     assert [r.trip_id for r in t.collect()] == [3] and [r.trip_id for r in kept.collect()] == [3]
     assert [r.trip_effort for r in clamp(trips, "trip_effort", 3.0, 144.0).orderBy("trip_id").collect()] == [None, 100.0, 100.0]
+
+
+def test_sums_keep_infinite_and_very_large_values(spark):
+    from landfall.functions.columns import exact_sum
+    nan, inf = float("nan"), float("inf")
+    cases = {"inf": ([inf, 1.0], inf), "large": ([1e20, 1.0, 2e19], 1.2e20), "nan": ([nan, 2.5], 2.5), "none": ([None, nan], None),
+             "small": ([0.1] * 10, 1.0), "both": ([inf, -inf], nan), "edge": ([1e18, -1e18], 0.0)}
+    df = spark.createDataFrame([(k, v) for k, (vs, _) in cases.items() for v in vs], "k string, v double")
+    got = {r.k: r.s for r in df.groupBy("k").agg(exact_sum("v").alias("s")).collect()}
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, (_, v) in cases.items()}
+
+
+def test_an_infinite_landing_removes_its_trip(spark):
+    stations = spark.createDataFrame([(1, 1)], "station_code int, municipality_code int")
+    trips = trips_df(spark, [trip(1), trip(2)])
+    lnd = landings_df(spark, [landing(1, weight=float("inf")), landing(2)])
+    kept, left = clean_trips(trips, lnd, stations, Params(as_of=dt.date(2020, 1, 1)))
+    assert [r.trip_id for r in kept.collect()] == [2] and [r.trip_id for r in left.collect()] == [2]
+
+
+def test_trips_without_an_id_are_not_versions_of_each_other(spark):
+    stations = spark.createDataFrame([(1, 1)], "station_code int, municipality_code int")
+    trips = trips_df(spark, [trip(None, effort=1.0), trip(None, effort=2.0), trip(None, effort=2.0), trip(7, dnum=1.0),
+                             trip(7, dnum=2.0, effort=9.0)])
+    kept, _ = clean_trips(trips, landings_df(spark, [landing(7), landing(None)]), stations, Params(as_of=dt.date(2020, 1, 1)))
+    assert sorted((r.trip_id or 0, r.trip_effort, r.KG) for r in kept.collect()) == [
+        (0, 1.0, 0.0), (0, 2.0, 0.0), (0, 2.0, 0.0), (7, 9.0, 1.0)]
+
+
+def test_daily_series_come_from_one_pass(spark):
+    from landfall.operators.aggregates import daily_cpue, daily_series, daily_sums
+    rows = [(dt.date(2019, 1, 1 + i % 9), i % 2 + 1 if i % 7 else None, i // 9 % 3 + 1, 1.0 + i, 2.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "date date, municipality_code int, habitat_code int, KG double, trip_effort double")
+    sums = daily_sums(df, ["municipality_code", "habitat_code"])
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
+    for dim in ("municipality_code", "habitat_code"):
+        one, other = daily_series(sums.where(F.col("dim") == dim), "abc"), daily_cpue(df, dim, "abc")
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, other.collect())) and other.count() > 0
+
+
+@pytest.mark.parametrize("species", [5, 9, 10, 400])
+@pytest.mark.parametrize("other", [300, 3])
+def test_top_species_reads_the_catch_once(spark, species, other):
+    from landfall.operators.aggregates import top_species
+    kg = {i: float((i * 37) % 50) for i in range(1, species + 1)}
+    catch = spark.createDataFrame([(c, v) for c, v in kg.items()], "species_code int, KG double")
+    names = spark.createDataFrame([(1, "a", "b")], "species_code int, category string, category_tetun string")
+    got = top_species(catch, names, 9, other)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2    # catch and names
+    order = sorted(kg, key=lambda c: (-kg[c], c))
+    want = {c: [r + 1, kg[c]] for r, c in enumerate(order[:9])}
+    if species > 9:
+        want.setdefault(other, [10, 0.0])[1] += sum(kg[c] for c in order[9:])
+    assert {r.species_code: [r["rank"], r.Tonnes * 1000] for r in got.collect()} == {
+        c: [r, pytest.approx(v)] for c, (r, v) in want.items()}
