@@ -14,18 +14,20 @@ with probability ``confidence``. It first searches its own cell; the distance fo
 bounds which other cells have to be searched by the same test. Queries of a shard are
 worked on in blocks of ``block``, so neither vectors nor queries of one task are unbounded.
 
-Equal vectors are searched once and share their smallest ids (more than k of one
+Equal vectors are searched once and share the ids of their first k + 1 rows (more of one
 vector can never be asked for), so a vector that a third of the rows hold is no hot cell.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
-take no part, nor do lengths other than the most frequent (longest of equally frequent);
-an id with several vectors counts with the first in array order; null ids take no
-part; fewer candidates than k are returned all; ties go to smaller ids; other columns
-are ignored.
+take no part; vectors of different lengths have no distance, so each length that a query
+has is searched by itself; rows count, not ids: an id with several rows is found (and, as
+a query, answered) as often; rows with a null id are found, last of equal distances, and
+ask nothing; fewer candidates than k are returned all; ties go to smaller ids; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import exp
 
 import numpy as np
@@ -151,12 +153,15 @@ def search_shard(vectors: np.ndarray, first: np.ndarray, queries: np.ndarray, bo
         yield got_rows, got
 
 
+NO_ID = (1 << 63) - 1                # stands for a null id, and sorts last
+
+
 def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """id and vec (doubles) of the rows that take part, one vector per id."""
+    """id and vec (doubles) of the rows that take part."""
     d = table.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    d = d.where("id is not null and vec is not null").where(~bad).where(F.exists("vec", lambda x: x != 0))
-    return d.groupBy("id").agg(F.min("vec").alias("vec"))
+    d = d.where("vec is not null").where(~bad).where(F.exists("vec", lambda x: x != 0))
+    return d.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "vec")
 
 
 def nearest(table: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding",
@@ -165,14 +170,24 @@ def nearest(table: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str =
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest vectors found
     for every row whose id is divisible by ``query_every``."""
     d = store(usable(table, vec_id, vector), "ann-vectors")
-    lengths = d.groupBy(F.size("vec").alias("length")).agg(F.count(F.lit(1)).alias("n"))
-    common = lengths.orderBy(F.desc("n"), F.desc("length")).first()
-    length, total = (common["length"], common["n"]) if common else (1, 0)
-    d = d.where(F.size("vec") == length)
+    asks = (F.col("id") % query_every == 0) & (F.col("id") != NO_ID)
+    lengths = d.groupBy(F.size("vec").alias("length")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(asks).alias("asked")).where("asked > 0").orderBy("length").collect()
+    if not lengths:
+        return d.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"),
+                        F.lit(0.0).alias("score")).limit(0)
+    return reduce(DataFrame.unionByName, [nearest_of_length(
+        d.where(F.size("vec") == x["length"]), asks, x["length"], x["n"], k, dims, confidence, sample, cell_rows, block, seed)
+        for x in lengths])
+
+
+def nearest_of_length(d: DataFrame, asks, length: int, total: int, k: int, dims: int, confidence: float, sample: int,
+                      cell_rows: int, block: int, seed: int) -> DataFrame:
+    """The nearest of the rows that ask among ``total`` vectors of one length."""
     matrix = projection(length, dims, seed)
     ratio = chi_square_quantile(confidence, dims)
 
-    # equal vectors once, with their k + 1 smallest ids (one may be the query's own)
+    # equal vectors once, with the ids of their first k + 1 rows (one may be the query's own)
     smallest = Window.partitionBy("vec").orderBy("id")
     distinct = store(d.withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1)
                      .groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann-distinct")
@@ -191,8 +206,8 @@ def nearest(table: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str =
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("shards"))
     vectors = store(placed.join(sizes, "cell").withColumn(
         "shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int")).drop("shards"), "ann-shards")
-    asked = d.where(F.col("id") % query_every == 0)
-    queries = store(asked.groupBy("vec").agg(F.min("id").alias("qid")), "ann-queries")
+    asked = d.where(asks).groupBy("id", "vec").agg(F.count(F.lit(1)).alias("rows"))
+    queries = store(asked.select("vec").distinct().withColumn("qid", F.monotonically_increasing_id()), "ann-queries")
 
     def search(wanted: DataFrame, name: str) -> DataFrame:
         """wanted: qid, vec, bound, cell. Returns qid, id, score: the k + 1 nearest ids."""
@@ -252,9 +267,12 @@ def nearest(table: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str =
     far = search(more.select("vec", "qid", "bound").mapInPandas(others, wanted), "others")
     top = store(best(near.select("qid", "score", "id").unionByName(far.select("qid", "score", "id")), k + 1), "ann-top")
 
-    # every query row with that vector, without itself
-    named = asked.withColumnRenamed("id", "query_id").join(queries, "vec").select("query_id", "qid")
-    rows = named.join(top, "qid").where("id <> query_id")
-    order = Window.partitionBy("query_id").orderBy("score", "id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    # every query row with that vector, without itself: one row of its id and vector goes
+    named = asked.withColumnRenamed("id", "query_id").join(queries, "vec").select("query_id", "qid", "rows")
+    rows = named.join(top.drop("rank"), "qid").withColumn("same", (F.col("id") == F.col("query_id")) & (F.col("score") == 0))
+    one = Window.partitionBy("query_id", "qid", "same").orderBy("score", "id")
+    rows = rows.withColumn("nth", F.row_number().over(one)).where(~F.col("same") | (F.col("nth") > 1))
+    order = Window.partitionBy("query_id", "qid").orderBy("score", "id")
+    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return rows.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), F.nullif("id", F.lit(NO_ID)).alias("vec_id"), "score")

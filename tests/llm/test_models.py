@@ -266,14 +266,17 @@ def test_vocabulary_is_the_file_s(tmp_path):
 
 
 def brute(rows, k, every):
-    ids = np.array([i for i, _ in rows])
-    x = np.array([v for _, v in rows], dtype=np.float64)
+    """By row: every row with a fitting id asks, every other row of its length may answer."""
     out = []
-    for q in sorted(set(ids[ids % every == 0])):
-        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
-        order = [o for o in np.lexsort((ids, d)) if ids[o] != q][:k]
-        out += [(int(q), n + 1, int(ids[o]), float(d[o])) for n, o in enumerate(order)]
-    return out
+    for length in sorted({len(v) for _, v in rows}):
+        part = [(i, v) for i, v in rows if len(v) == length]
+        ids = np.array([neighbours.NO_ID if i is None else i for i, _ in part])
+        x = np.array([v for _, v in part], dtype=np.float64)
+        for at in np.flatnonzero((ids % every == 0) & (ids != neighbours.NO_ID)):
+            d = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
+            order = [o for o in np.lexsort((ids, d)) if o != at][:k]
+            out += [(int(ids[at]), n + 1, None if ids[o] == neighbours.NO_ID else int(ids[o]), float(d[o])) for n, o in enumerate(order)]
+    return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("cell_rows, block", [(8192, 4096), (64, 3)])
@@ -285,15 +288,26 @@ def test_neighbours(spark, cell_rows, block):
            (2500, [float("inf")] + [1.0] * 15), (2600, [1.0] * 3), (None, [1.0] * 16), (0, vectors[0].tolist())]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<float>, rank int")
     got = neighbours.nearest(df, 10, query_every=20, cell_rows=cell_rows, block=block, sample=300)
-    got = [(g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got.orderBy("query_id", "rank").collect()]
-    want = brute(rows, 10, 20)
-    assert [g[:2] for g in got] == [w[:2] for w in want]
+    got = sorted(((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got.collect()), key=repr)
+    want = brute(rows + [o for o in odd if o[0] in (None, 0, 2600)], 10, 20)
+    assert sorted((g[:2] for g in got), key=repr) == sorted((w[:2] for w in want), key=repr)
     recall = len({(g[0], g[2]) for g in got} & {(w[0], w[2]) for w in want}) / len(want)
     assert recall >= 0.9
     same = {(w[0], w[2]): w[3] for w in want}
     assert all(g[3] == same.get((g[0], g[2]), g[3]) for g in got)
 
 
+def test_rows_count_and_not_ids(spark):
+    """An id with two vectors is found by both; lengths are searched apart; equal rows stand for themselves."""
+    rows = [(0, [9.0] * 8), (50, [-500.0] * 8), (50, [9.1] * 8), (7, [300.0] * 8), (100, [1.0, 2.0]), (3, [1.0, 2.5]), (None, [1.0, 2.0]),
+            (200, [4.0] * 8), (200, [4.0] * 8), (200, [5.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in neighbours.nearest(df, 3).collect()), key=repr)
+    want = brute(rows, 3, 100)
+    assert got == [(*w[:3], pytest.approx(w[3])) for w in want] and (0, 1, 50, pytest.approx(0.08 ** 0.5)) in got
+    assert [g[2] for g in got if g[0] == 100] == [None, 3]
+
+
 def test_few_and_no_candidates(spark):
     kind = "vec_id long, embedding array<float>"
     assert neighbours.nearest(spark.createDataFrame([], kind)).count() == 0
