@@ -26,10 +26,13 @@ j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
              word_chars / greatest(n_words, 1) AS mean FROM m),
 f AS (SELECT *, base_failed OR n_symbols > 0.2 * n_words OR n_dup_lines > 0.5 * n_lines
                 OR mean < 2 OR mean > 15 AS fails FROM j),
-h AS (SELECT source, COUNT(*) AS n, COUNT(CASE WHEN fails THEN 1 END) AS x FROM f GROUP BY source),
-a AS (SELECT SUM(x) / SUM(n) AS mean, var_samp(x / n) AS var, AVG(1 / n) AS inv FROM h),
-b AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(COALESCE(var, 0) - mean * (1 - mean) * inv, 1e-9) - 1, 1), 1e6) AS s FROM a),
-r AS (SELECT source, (x + s * mean) / (n + s) > 0.8 AS host_condemned FROM h, b)
+-- each document once for every rule: six rules, the last being any of the five
+e AS (SELECT source, rule, CASE rule WHEN 0 THEN n_words < 50 WHEN 1 THEN n_repeat_words > 0.5 * n_words WHEN 2 THEN n_symbols > 0.2 * n_words
+             WHEN 3 THEN n_dup_lines > 0.5 * n_lines WHEN 4 THEN mean < 2 OR mean > 15 ELSE fails END AS broken FROM f, range(6) r(rule)),
+h AS (SELECT source, rule, COUNT(*) AS n, COUNT(CASE WHEN broken THEN 1 END) AS x FROM e GROUP BY source, rule),
+a AS (SELECT rule, SUM(x) / SUM(n) AS mean, var_samp(x / n) AS var, AVG(1 / n) AS inv FROM h GROUP BY rule),
+b AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / greatest(COALESCE(var, 0) - mean * (1 - mean) * inv, 1e-9) - 1, 1), 1e6) AS s FROM a),
+r AS (SELECT source, bool_or((x + s * mean) / (n + s) > 0.8) AS host_condemned FROM h JOIN b ON b.rule = h.rule GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT fails AND NOT host_condemned AS kept, fails, host_condemned
 FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source

@@ -1,10 +1,12 @@
 """Quality rules with host verdicts.
 
 Each document is measured where it is read (one pass, no shuffle) and the measures are
-stored. Failures of each rule are summed per host (map-side first). A host's failure
-rate is shrunk towards the mean of all hosts by a beta prior whose mean and strength
-come from the hosts themselves (method of moments), so small hosts are not judged by a
-few documents. Host verdicts are joined back to the stored measures; the join is left to
+stored. Failures of each rule, and of any, are summed per host in one grouping (map-side
+first). A host's failure rate by each rule is shrunk towards the mean of all hosts by that
+rule's own beta prior, whose mean and strength come from the hosts themselves (method of
+moments), so small hosts are not judged by a few documents. A host is condemned if any of
+its shrunk rates is too high: by one rule that it always breaks, or by mixed failures.
+Host verdicts are joined back to the stored measures; the join is left to
 Spark, which broadcasts the hosts only below its size threshold and otherwise splits a
 skewed host.
 
@@ -38,7 +40,7 @@ class Limits:
     dup_line_share: float = 0.5      # repeated lines of all lines with a word
     short_word: float = 2.0          # mean letters a word
     long_word: float = 15.0
-    host_rate: float = 0.8           # shrunk share of failing documents that condemns a host
+    host_rate: float = 0.8           # shrunk share of documents failing a rule, or any, that condemns a host
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -88,30 +90,33 @@ def failures(limits: Limits) -> dict[str, F.Column]:
     }
 
 
-def host_rates(m: DataFrame, rule: str) -> DataFrame:
-    """host, its documents, failures of ``rule`` and the shrunk rate."""
-    per = store(m.groupBy("host").agg(F.count(F.lit(1)).alias("n"),
-                                      F.count_if(F.col(rule)).alias("failed")), "hosts")
-    rate = F.col("failed") / F.col("n")
-    a = per.agg(F.sum("failed").alias("f"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"),
-                F.var_samp(rate).alias("var"), F.avg(1 / F.col("n")).alias("inv")).first()
-    mean = (a["f"] or 0) / a["n"] if a["n"] else 0.0
-    noise = mean * (1 - mean) * (a["inv"] or 0.0)     # spread that equal hosts would show
-    between = max((a["var"] or 0.0) - noise, 1e-9)
-    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6)
-    return per.withColumn("rate", (F.col("failed") + F.lit(strength * mean)) / (F.col("n") + F.lit(strength)))
+def host_rates(m: DataFrame, rules: list[str]) -> DataFrame:
+    """host, its documents ``n``, and by rule (a boolean column of ``m``) its failures and its
+    shrunk rate ``rate_...``."""
+    per = store(m.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(r)).alias(r) for r in rules]), "hosts")
+    a = per.agg(F.sum("n").alias("n"), F.avg(1 / F.col("n")).alias("inv"), *[F.sum(r).alias(r) for r in rules],
+                *[F.var_samp(F.col(r) / F.col("n")).alias(f"var_{r}") for r in rules]).first()
+    for r in rules:
+        mean = (a[r] or 0) / a["n"] if a["n"] else 0.0
+        noise = mean * (1 - mean) * (a["inv"] or 0.0)     # spread that equal hosts would show
+        between = max((a[f"var_{r}"] or 0.0) - noise, 1e-9)
+        strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6)
+        per = per.withColumn(f"rate_{r}", (F.col(r) + F.lit(strength * mean)) / (F.col("n") + F.lit(strength)))
+    return per
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
-    """Measures of every document with base_failed, fails (any rule), host_rate (shrunk
-    share of its host's documents that fail), host_condemned and kept."""
-    rules = failures(limits)
-    m = measured(docs, host).withColumns({f"fails_{k}": v for k, v in rules.items()})
-    any_rule = F.greatest(*[F.col(f"fails_{k}").cast("int") for k in rules]) == 1
+    """Measures of every document with base_failed, fails (any rule), host_rate (the highest
+    shrunk rate of its host) and host_rule (whose rate that is), host_condemned and kept."""
+    rules = {f"fails_{k}": v for k, v in failures(limits).items()}
+    m = measured(docs, host).withColumns(rules)
+    any_rule = F.greatest(*[F.col(k).cast("int") for k in rules]) == 1
     m = store(m.withColumn("fails", any_rule).withColumn(
         "base_failed", F.col("fails_few_words") | F.col("fails_repeats")), "quality-measures")
-    hosts = store(host_rates(m, "fails"), "host-rates").select(
-        F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
+    rates = host_rates(m, [*rules, "fails"])
+    worst = F.array_max(F.array(*[F.struct(F.col(f"rate_{r}").alias("rate"), F.lit(r).alias("rule")) for r in (*rules, "fails")]))
+    hosts = store(rates.select(F.col("host").alias("_host"), worst.alias("_worst")), "host-rates").select(
+        "_host", F.col("_worst.rate").alias("host_rate"), F.col("_worst.rule").alias("host_rule"))
     j = m.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     return j.withColumn("host_condemned", F.col("host_rate") > limits.host_rate).withColumn(
         "kept", ~F.col("fails") & ~F.col("host_condemned"))

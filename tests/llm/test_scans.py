@@ -167,3 +167,19 @@ def test_empty_tables(spark):
                quality_hosts.judge(empty)):
         assert df.count() == 0
 
+
+
+def test_a_host_that_breaks_one_rule_is_condemned(spark):
+    """By rule: every rate has its own prior; the rule that condemns is named."""
+    good = " ".join(f"word{i}" for i in range(60))
+    symbols = good + " #" * 40
+    few = "too short"
+    rows = [(i, symbols if i % 40 else good, "en", "symbols") for i in range(200)]
+    rows += [(1000 + i, few if i % 2 else good, "en", "mixed") for i in range(200)]
+    rows += [(2000 + 10 * h + i, good, "en", f"good{h}") for h in range(30) for i in range(10)] + [(9000, symbols, "en", "one")]
+    got = {r["host"]: r for r in quality_hosts.judge(frame(spark, rows)).groupBy("host").agg(
+        F.first("host_condemned").alias("c"), F.first("host_rule").alias("rule"), F.first("host_rate").alias("rate")).collect()}
+    assert got["symbols"]["c"] and got["symbols"]["rate"] > 0.9 and got["symbols"]["rule"] in ("fails_symbols", "fails")
+    assert not got["mixed"]["c"] and not got["one"]["c"] and not got["good3"]["c"]
+    kept = quality_hosts.judge(frame(spark, rows)).where("host = 'symbols' and kept").count()
+    assert kept == 0                                     # the host's good documents go with it
