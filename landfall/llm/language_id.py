@@ -210,16 +210,17 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
 def keep_known(docs: DataFrame, model: Filter, least_score: float = 0.0) -> DataFrame:
     """The rows whose language is known (with at least ``least_score``), all columns kept:
     only texts without a letter or of no learnt language go."""
-    columns = docs.columns
+    # the rows travel as one struct, whatever their columns are called
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = letters_table()
         for b in batches:
-            texts = b.column(columns.index("text")).to_pylist()
+            texts = b.column(1).to_pylist()
             names, scores = model.decide(texts, letter)
-            yield b.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores)], pa.bool_()))
+            yield b.select([0]).filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return packed.mapInArrow(run, packed.select("row").schema).select("row.*")
 
 
 def held_out(mod: int, rest: int):

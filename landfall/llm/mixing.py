@@ -152,4 +152,4 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     kept = docs.join(ends, F.col("source").cast("string").eqNullSafe(F.col("_llm_source"))).where(has_word)
     return kept.withColumn("_llm_turn", F.explode(F.sequence(F.lit(1), F.greatest(turns, F.lit(1))))).where(
-        turns > 0).select(*[docs[c] for c in docs.columns])
+        turns > 0).select(*[docs[f"`{c}`"] for c in docs.columns])

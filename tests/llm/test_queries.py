@@ -144,6 +144,21 @@ def test_pipeline_stages(spark, scratch):
     assert kept["pack"].length.sum() == total and set(kept["pack"].doc_id.dropna().astype(int)) == {i for i, _ in rows_of("mix") if i is not None}
 
 
+def test_stages_keep_any_column(spark, scratch):
+    """Names with dots, blanks and the operators' own names come through every stage."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for name in ("a.b", "row", "copies", "x y", "_row"):
+        d = d.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, d, scratch)
+        if name != "pack":
+            assert out.columns == d.columns
+        out.write.parquet(f"{scratch}/{at}")
+        d = spark.read.parquet(f"{scratch}/{at}")
+        if name != "pack":
+            assert d.where("`a.b` <> concat('a.b', doc_id) or `x y` <> concat('x y', doc_id)").count() == 0 < d.count()
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.agg(F.sum("length")).first()[0] > 0 and not corpus_pipeline.ORACLE_SQL
