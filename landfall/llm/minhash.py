@@ -10,20 +10,21 @@ similarity as probability, and the share of agreeing coordinates keeps Chernoff'
 
 Sets that are equal count once (a class). Classes that agree in a whole band of rows
 meet in a bucket: at similarity 0.8, 32 bands of 4 miss a pair with probability 5e-8.
-Links come in three steps, and each one is verified on the full sets:
-
-1. Every class of a bucket is compared with the bucket's first one (an aggregate and
-   joins, no group in a task). Most copies of one text are connected then.
-2. In buckets that still hold several components, each class is compared with the one of
-   another component whose sketch agrees best with its own, in ROUNDS rounds. Components
-   merge fast, as in Boruvka's spanning trees, and groups of near copies are one by then.
-3. What is left is searched for all pairs across components whose sketches agree in at
-   least ``share`` of the coordinates (at similarity 0.8 a pair falls below 0.55 with
-   probability 2e-9), so no link between components is left out.
+Links are searched in crowds, and each one is verified on the full sets:
+
+1. Classes are candidates if they share a bucket and their sketches agree in at least
+   ``share`` of the coordinates (at similarity 0.8 a pair falls below 0.55 with probability
+   2e-9). A crowd is what candidates connect. It takes no list of all candidates: every
+   class is compared with its bucket's first one (an aggregate and joins), then rounds add
+   each class's best candidate outside its crowd, as in Boruvka's spanning trees, until
+   no bucket holds a candidate of another crowd.
+2. A crowd's full sets meet once, in blocks of bounded size, each two blocks in one group.
+   Sets that are linked are followed from set to set, each compared exactly with all that
+   are not reached yet, so a spanning forest comes out and not all pairs.
 
 A bucket with more than ``most`` classes is banded again on a finer sketch (128 bands of
-8, missing 6e-11); if it is still too large, 2 and 3 search it block by block. No bucket is
-cut or left out.
+8, missing 6e-11); if it is still too large, 1 searches it block by block. No bucket or
+crowd is cut or left out.
 
 Sets are not stored for all documents: those of candidates are taken from their texts again.
 
@@ -48,7 +49,8 @@ from landfall.llm.components import components
 from landfall.llm.text import lower_ascii, store, words
 
 LEVELS = ((128, 4), (1024, 8))       # coordinates and rows a band, first and finer sketch
-ROUNDS = 2                           # of best partners
+ROUNDS = 60                          # of best candidates; crowds at least halve in number in each
+BLOCK_ELEMENTS = 1 << 20             # shingles of a block of a crowd
 RUN = 1 << 19                        # elements worked on at once
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -192,75 +194,114 @@ def agreeing(pairs: DataFrame, classes: DataFrame, least: int, percent: int) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def across(least: int, percent: int, best: bool):
-    """Pairs of different components in the groups of a partition sorted by group: all, or
-    each class's ``best``."""
-    def search(side, label, n, sig, ids):
-        for at in range(0, len(ids), 64):
-            part = slice(at, at + 64)
-            may = (label[part, None] != label[None, :]) & (np.minimum(n[part, None], n) * 100 >= np.maximum(n[part, None], n) * percent)
-            if side.min() != side.max():             # two blocks: each one's own pairs are searched elsewhere
-                may &= side[part, None] < side[None, :] if not best else side[part, None] != side[None, :]
-            elif not best:
-                may &= np.arange(at, at + len(may))[:, None] < np.arange(len(ids))[None, :]
-            i, j = np.nonzero(may)
-            if len(i):
-                same = np.concatenate([(sig[at + i[k:k + 65536]] == sig[j[k:k + 65536]]).sum(axis=1)
-                                       for k in range(0, len(i), 65536)])
-                good = same >= least
-                i, j, same = i[good] + at, j[good], same[good]
-                if best:
-                    order = np.lexsort((j, -same, i))
-                    i, j = i[order], j[order]
-                    first = np.append(True, i[1:] != i[:-1])[:len(i)]
-                    i, j = i[first], j[first]
-                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+def by_group(keys: tuple[str, ...], work):
+    """Hands each group of a partition that is sorted by ``keys`` to ``work``, as a table."""
+    def changes(t: pa.Table) -> np.ndarray:
+        new = np.zeros(max(t.num_rows - 1, 0), bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new |= v[1:] != v[:-1]
+        return np.flatnonzero(new) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-
-        def done(t: pa.Table):
-            bucket, x, y, block = (t.column(k).to_numpy() for k in ("bucket", "x", "y", "block"))
-            new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-            label, n, ids = (t.column(k).to_numpy() for k in ("label", "size", "id"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            for a, b in zip(np.r_[0, new], np.r_[new, t.num_rows]):
-                if x[a] != y[a] and block[a:b].min() == block[a:b].max():
-                    continue                         # only one of the two blocks has rows
-                for p, q in search(block[a:b], label[a:b], n[a:b], sig[a:b], ids[a:b]):
-                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["a", "b"])
-
         for b in batches:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            if not t.num_rows:
-                continue
-            t = t.combine_chunks()
-            bucket, x, y = (t.column(k).to_numpy() for k in ("bucket", "x", "y"))
-            new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-            whole = int(new[-1]) if len(new) else 0  # the last group may go on
-            if whole:
-                yield from done(t.slice(0, whole).combine_chunks())
-            rest = t.slice(whole)
+            t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+            new = changes(t)
+            if len(new):                             # the last group may go on
+                t, rest = t.slice(0, new[-1]).combine_chunks(), t.slice(new[-1])
+                for x, y in zip(np.append(0, new[:-1]), new):
+                    yield from work(t.slice(x, y - x))
+            else:
+                rest = t
         if rest is not None and rest.num_rows:
-            yield from done(rest.combine_chunks())
+            yield from work(rest.combine_chunks())
     return run
 
 
-def searched(rows: DataFrame, least: int, percent: int, most: int, best: bool) -> DataFrame:
-    """Pairs (all, or each class's ``best``) across components in the buckets of ``rows`` (bucket, id, n, label, size, sig):
-    a bucket is dealt over blocks of about ``most`` classes, and each two blocks meet in one group."""
-    blocks = F.ceil(F.col("n") / F.lit(most)).cast("int")
-    r = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    r = r.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-                 "block", "id", "label", "size", "sig")
-    group = ["bucket", "x", "y"]
-    return r.repartition(*group).sortWithinPartitions(*group).mapInArrow(
-        across(least, percent, best), "a long, b long").distinct()
+def pair_batch(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def best_candidates(least: int, percent: int):
+    """Each class's best candidate of another crowd, in a bucket (or two blocks of it)."""
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, label, n, ids = (t.column(k).to_numpy() for k in ("block", "label", "size", "id"))
+        if label.min() == label.max():
+            return
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        for at in range(0, len(ids), 64):
+            part = slice(at, at + 64)
+            may = (label[part, None] != label) & (np.minimum(n[part, None], n) * 100 >= np.maximum(n[part, None], n) * percent)
+            if side.min() != side.max():             # two blocks: each one's own pairs are searched elsewhere
+                may &= side[part, None] != side
+            i, j = np.nonzero(may)
+            if not len(i):
+                continue
+            same = np.full(may.shape, -1, np.int16)
+            for k in range(0, len(i), 65536):
+                x, y = i[k:k + 65536], j[k:k + 65536]
+                same[x, y] = (sig[at + x] == sig[y]).sum(axis=1)
+            i, j = np.arange(len(may)), same.argmax(axis=1)
+            good = same[i, j] >= least
+            i, j = i[good] + at, j[good]
+            yield pair_batch(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
+    return by_group(("bucket", "x", "y"), work)
+
+
+def spanning_links(percent: int):
+    """Links that connect what is linked in a crowd (or, in two blocks, across them)."""
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, side = t.column("id").to_numpy(), t.column("block").to_numpy()
+        column = t.column("set").combine_chunks()
+        n = np.diff(np.asarray(column.offsets))
+        ends = np.append(0, np.cumsum(n))
+        element = np.unique(np.asarray(column.flatten()), return_inverse=True)[1]
+        of = np.repeat(np.arange(len(n)), n)
+        two = side.min() != side.max()
+        left, held = np.ones(len(n), bool), 0
+
+        def index():
+            stay = np.flatnonzero(left[of])
+            stay = stay[np.argsort(element[stay], kind="stable")]
+            return of[stay], np.searchsorted(element[stay], np.arange(element.max() + 2)), int(left.sum())
+
+        a, b = [], []
+        for seed in range(len(n)):
+            todo = [seed] if left[seed] else []
+            left[seed] = False
+            while todo and left.any():
+                at = todo.pop()
+                if 2 * left.sum() <= held or not held:
+                    owners, start, held = index()
+                e = element[ends[at]:ends[at + 1]]
+                per = start[e + 1] - start[e]
+                places = np.repeat(start[e] - np.append(0, np.cumsum(per)[:-1]), per) + np.arange(per.sum())
+                common = np.bincount(owners[places], minlength=len(n))
+                near = left & (common * 100 >= (n + n[at] - common) * percent)
+                if two:
+                    near &= side != side[at]
+                hit = np.flatnonzero(near)
+                left[hit] = False
+                todo += hit.tolist()
+                a += [ids[at]] * len(hit)
+                b += ids[hit].tolist()
+        if a:
+            yield pair_batch(a, b)
+    return by_group(("label", "x", "y"), work)
+
+
+def dealt(rows: DataFrame, group: str, blocks) -> DataFrame:
+    """Rows with their ``block`` of the group's ``blocks``, once for every two blocks x <= y
+    they are in, in partitions sorted by them."""
+    r = rows.withColumn("_blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    r = r.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    r = r.withColumn("x", F.least("block", "_other")).withColumn("y", F.greatest("block", "_other")).drop("_blocks", "_other")
+    return r.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, share: float = 0.55,
-                    most: int = 4096) -> DataFrame:
+                    most: int = 4096, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles (set size), component_id (the smallest doc_id reachable over links
     of at least ``percent`` similarity) and kept (doc_id is that one) of every row."""
     least = int(np.ceil(share * LEVELS[0][0]))
@@ -272,44 +313,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, share:
     def sets_of(ids: DataFrame) -> DataFrame:
         return full_sets(docs, classes.select("id", "key", "rep").join(ids, "id", "left_semi"), shingle)
 
-    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        of = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"s{k}"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - F.col("common")
-        both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("common", common)
-        return store(both.where(F.col("common") * 100 >= union * percent).select("a", "b"), "minhash-links")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
     def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
-        """The buckets of ``rows`` that hold several components, with their classes' labels."""
+        """The buckets of ``rows`` that hold several crowds, with their classes' labels."""
         named = rows.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         several = named.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u < v")
         return named.join(several.select("bucket"), "bucket")
 
     members = bucketed(classes.select("id", "bands"))
     stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    stars = store(agreeing(stars, classes, least, percent), "minhash-pairs")
-    links = linked(stars, sets_of(ends(stars)))
-    label = store(components(links), "minhash-labels")
-
+    edges = store(agreeing(stars, classes, least, percent), "minhash-pairs")
+    crowd = store(components(edges), "minhash-crowds")
     rows = members.where(F.col("n") <= most)
     for level in LEVELS[1:]:
-        crowd = labelled(members.where(F.col("n") > most), label).select("id").distinct()
-        if not crowd.isEmpty():
-            rows = rows.unionByName(bucketed(finer(sets_of(crowd), *level)))
+        large = labelled(members.where(F.col("n") > most), crowd).select("id").distinct()
+        if not large.isEmpty():
+            rows = rows.unionByName(bucketed(finer(sets_of(large), *level)))
     rows = rows.join(classes.select("id", F.col("n").alias("size"), "sig"), "id")
-    sets = None
-    for best in (True,) * ROUNDS + (False,):
-        open_ = store(labelled(rows, label), "minhash-open")
-        if open_.isEmpty():
+    for _ in range(ROUNDS):
+        open_ = store(labelled(rows, crowd), "minhash-open")
+        pairs = store(dealt(open_, "bucket", F.ceil(F.col("n") / most)).mapInArrow(
+            best_candidates(least, percent), "a long, b long").distinct(), "minhash-pairs")
+        if pairs.isEmpty():
             break
-        pairs = store(searched(open_, least, percent, most, best), "minhash-pairs")
-        # labels only merge, so whatever can still be linked has a best partner in the first round
-        sets = sets_of(ends(pairs)) if sets is None else sets
-        links = links.unionByName(linked(pairs, sets))
-        label = store(components(links), "minhash-labels")
+        edges = edges.unionByName(pairs)
+        crowd = store(components(edges), "minhash-crowds")
+        rows = open_.drop("label")                   # buckets of one crowd stay so
+    else:
+        raise RuntimeError("crowds did not settle")
+
+    sets = sets_of(crowd.select(F.col("node").alias("id"))).join(crowd.withColumnRenamed("node", "id"), "id")
+    size = crowd.join(classes.select(F.col("id").alias("node"), "n"), "node").groupBy("label").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
+    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("elements") / BLOCK_ELEMENTS))
+    links = dealt(sets.join(size, "label"), "label", blocks).select("label", "x", "y", "block", "id", "set").mapInArrow(
+        spanning_links(percent), "a long, b long")
+    label = store(components(links), "minhash-labels")
     named = classes.select("id", "key", "rep").join(label.withColumnRenamed("node", "id"), "id", "left").select(
         "key", "rep", F.coalesce("label", "id").alias("label"))
     group = named.groupBy("label").agg(F.min("rep").alias("component_id"))

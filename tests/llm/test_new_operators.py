@@ -55,10 +55,10 @@ def copies(seed, n, words_in, edits):
 COLUMNS = ["doc_id", "n_shingles", "component_id", "kept"]
 
 
-@pytest.mark.parametrize("most", [4096, 5])       # 5: crowded buckets, the finer sketch and blocks
-def test_near_duplicates(spark, most):
+@pytest.mark.parametrize("most, block", [(4096, 1024), (5, 7)])      # 5, 7: crowded buckets, the finer sketch and blocks
+def test_near_duplicates(spark, most, block):
     rows = TEXTS + copies(1, 60, 120, 9) + copies(2, 40, 30, 3) + copies(3, 30, 6, 1) + [(None, TEXTS[0][1], "en", "a")]
-    got = minhash.near_duplicates(frame(spark, rows), most=most)
+    got = minhash.near_duplicates(frame(spark, rows), most=most, block=block)
     assert by_row(got, COLUMNS) == near(rows)
 
 
