@@ -40,7 +40,8 @@ FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source
 
 MIXING = rf"""
 WITH d AS (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, {WORD})), 0) AS BIGINT) AS size,
-                  ('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS place FROM documents),
+                  ('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || md5(COALESCE(text, ''))), 1, 15))::BIGINT AS place,
+                  row_number() OVER (PARTITION BY doc_id, source, text) AS copy FROM documents),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
       FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][rank % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS lim FROM s),
@@ -51,14 +52,14 @@ l AS (SELECT *, (SUM(source_size) OVER () * 1.5::DOUBLE
 -- the first source, by limit over weight, that does not reach its limit fixes the level of all
 t AS (SELECT source, source_size, rank, least(lim, COALESCE(w * (SELECT arg_min(level, lim / w) FROM l WHERE level * w <= lim), lim)) AS target FROM l),
 q AS (SELECT d.*, t.source_size, t.rank, t.target,
-             SUM(size) OVER (PARTITION BY d.source ORDER BY place, doc_id) AS cum
+             SUM(size) OVER (PARTITION BY d.source ORDER BY place, doc_id NULLS FIRST, copy) AS cum
       FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
 e AS (SELECT q.*, turn, (cum + turn * source_size) / target AS finish FROM q, range(2) r(turn) WHERE size > 0 AND target > 0),
-c AS (SELECT *, SUM(size) OVER (ORDER BY finish, rank, place, doc_id, turn) AS served FROM e),
-x AS (SELECT doc_id, source, COUNT(DISTINCT turn) AS n FROM c
-      WHERE served <= (SELECT 1.5 * SUM(size) FROM d) GROUP BY doc_id, source)
+c AS (SELECT *, SUM(size) OVER (ORDER BY finish, rank, place, doc_id NULLS FIRST, copy, turn) AS served FROM e),
+x AS (SELECT source, place, doc_id, copy, COUNT(*) AS n FROM c
+      WHERE served <= (SELECT 1.5 * SUM(size) FROM d) GROUP BY source, place, doc_id, copy)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(COALESCE(x.n, 0) * q.size AS BIGINT) AS taken
-FROM q LEFT JOIN x ON x.doc_id IS NOT DISTINCT FROM q.doc_id AND x.source IS NOT DISTINCT FROM q.source
+FROM q LEFT JOIN x ON x.doc_id IS NOT DISTINCT FROM q.doc_id AND x.source IS NOT DISTINCT FROM q.source AND x.place = q.place AND x.copy = q.copy
 """
 
 LICENSE_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"

@@ -8,11 +8,12 @@ from tests.llm.cases import words
 
 def fair_queue(rows, target, share=1.5):
     """Per row the words taken: two turns of each source's queue, served by finish time.
-    ``rows``: (doc_id, text, source) with different ids."""
-    place = {i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16) for i, *_ in rows}
+    ``rows``: (doc_id, text, source); words taken are summed by id."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    place = lambda i, t: int(md5(("" if i is None else str(i)) + ":" + md5(t or ""))[:15], 16)
     by = defaultdict(list)
     for i, t, s in rows:
-        by[s].append((place[i], i, len(words(t))))
+        by[s].append((place(i, t), i, len(words(t))))
     rank = {s: n for n, s in enumerate(sorted(by, key=lambda s: (s is None, s)))}
     entries = []
     for s, queue in by.items():

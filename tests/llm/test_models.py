@@ -74,6 +74,36 @@ def test_mix_is_the_fair_queue(spark):
     assert got == fair_queue([(i, t, s) for i, t, _, s in rows], fair_targets(sizes))
 
 
+@pytest.mark.parametrize("chunk", [10_000, 7])
+def test_repeated_and_null_ids_keep_targets(spark, monkeypatch, chunk):
+    """A third of the rows without an id, one id in another third, and one row many times."""
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    r = random.Random(3)
+    text = lambda: "w " * r.randint(1, 30) + str(r.random())
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, text(), "en", f"s{i % 4 if i % 5 else 0}") for i in range(1200)]
+    rows += [(77, "one row that stands very often", "en", "s2")] * 400 + [(None, None, "en", "s1")] * 3
+    docs = frame(spark, rows).withColumn("n_chars", F.col("n_chars") + F.when(F.rand(1) < 0.5, 1).otherwise(0))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    mixed = mixing.mix(docs, rows_per_range=50)
+    got, sizes, taken = mixed.collect(), Counter(), Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(words(t))
+    for g in got:
+        taken[g["source"]] += g["taken"]
+    want = fair_targets(sizes)
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 70 for s in sizes)
+    per = Counter()
+    for g in got:
+        per[g["doc_id"]] += g["taken"]
+    assert per == Counter(fair_queue([(i, t, s) for i, t, _, s in rows], want))
+    out = Counter((x["doc_id"], x["text"], x["source"]) for x in mixing.apply_mix(docs, mixed).collect())
+    assert sum(n * len(words(t)) for (_, t, _), n in out.items()) == sum(taken.values())
+    times = Counter()
+    for g in got:
+        times[g["place"]] += g["taken"] // g["size"] if g["size"] else 0
+    assert sorted(out.values()) == sorted(v for v in times.values() if v)
+
+
 def test_mixed_rows_stand_as_often_as_taken(spark):
     docs = frame(spark)
     mixed = mixing.mix(docs)
