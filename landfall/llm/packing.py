@@ -2,13 +2,14 @@
 
 A document of n tokens (its ids, then the end id) is cut into pieces whose lengths are
 the powers of two of n in binary, whole sequences of ``limit`` tokens first. Each piece
-is a sequence of its own, so no sequence crosses documents and none is padded. Only this
-decomposition is done: pieces come in reading order, and neither are they stored by
-length nor batches filled from pieces of one length.
+is a sequence of its own, so no sequence crosses documents and none is padded. Pieces of
+equal length form a bucket: :func:`bucketed` brings them together, so that a batch is
+filled from one bucket, and :func:`write_buckets` stores a folder for each.
 
-Documents are tokenized where they are read and nothing is shuffled. Sequence numbers
-are the read task's number and the piece's place in it, so a lost task that runs again
-numbers alike.
+Documents are tokenized where they are read. Sequence numbers are the read task's number
+and the piece's place in it, so a lost task that runs again numbers alike. There are few
+buckets (log2 of ``limit``, and one) and some hold most pieces: the shuffle by bucket is a
+rebalance, whose large partitions adaptive execution splits, so a bucket is many tasks.
 
 Defined cases: null or empty text is the end id alone, one piece of length 1; repeated
 rows are packed like any others; an empty table gives no pieces.
@@ -81,8 +82,8 @@ def pieces(n: int, limit: int) -> list[tuple[int, int]]:
 def decompose(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int = 0,
               with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (null unless ``with_ids``),
-    ids_crc32 (of the ids as little-endian 32-bit numbers), doc_tokens, sequence_id and
-    offset (0: a piece is a sequence). ``limit`` must be a power of two."""
+    ids_crc32 (of the ids as little-endian 32-bit numbers), doc_tokens, sequence_id,
+    offset (0: a piece is a sequence) and bucket. ``limit`` must be a power of two."""
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
 
@@ -113,5 +114,16 @@ def decompose(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: i
                     rows, size = {k: [] for k in rows}, 0
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
-    return cut.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn(
-        "offset", F.lit(0).cast("long"))
+    return cut.withColumn("sequence_id", F.monotonically_increasing_id()).withColumns(
+        {"offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})
+
+
+def bucketed(pieces: DataFrame) -> DataFrame:
+    """The pieces with those of one bucket (the logarithm of their length) together; large
+    buckets are split over several partitions."""
+    return pieces.hint("rebalance", "bucket").sortWithinPartitions("bucket")
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Store pieces in a folder per bucket, from which batches of one length are read."""
+    bucketed(pieces).write.partitionBy("bucket").parquet(path)

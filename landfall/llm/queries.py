@@ -72,8 +72,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces of every document's tokens, one sequence each."""
-    return packing.decompose(documents(spark, sf_dir), tokenizer_path(), PACK_TOKENS, with_ids=False).drop("ids")
+    """Power-of-two pieces of every document's tokens, one sequence each, by bucket of length."""
+    return packing.bucketed(packing.decompose(documents(spark, sf_dir), tokenizer_path(), PACK_TOKENS, with_ids=False)).drop("ids")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

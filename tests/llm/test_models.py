@@ -288,6 +288,21 @@ def test_packing_round_trip(spark):
     assert len(seen) == sum(map(len, got.values()))
 
 
+def test_pieces_of_one_length_lie_together(spark, scratch):
+    """Batches come from one bucket; a bucket's folder holds its pieces, and none is lost."""
+    docs = frame(spark, TEXTS + [(100 + i, "word " * (i % 90 + 1), "en", "a") for i in range(300)])
+    pieces = packing.decompose(docs, PATH, 64)
+    rows = lambda df: by_row(df, ["doc_id", "start", "length", "ids_crc32", "sequence_id"])
+    assert rows(packing.bucketed(pieces)) == rows(pieces)
+    parts = packing.bucketed(pieces).withColumn("p", F.spark_partition_id()).select("p", "bucket", "length").collect()
+    order = [(r["p"], r["bucket"]) for r in parts]
+    assert order == sorted(order) and all(r["length"] == 1 << r["bucket"] for r in parts)
+    packing.write_buckets(pieces, f"{scratch}/pieces")
+    back = spark.read.parquet(f"{scratch}/pieces")
+    assert rows(back) == rows(pieces)
+    assert back.where("bucket = 3").select("length").distinct().collect()[0]["length"] == 8
+
+
 def test_vocabulary_is_the_file_s(tmp_path):
     encode, slow = packing.encoder(PATH), Tokenizer.from_file(PATH)
     for text in ("", "a  b\n\n c'll 123 ĂéÜ 😀", "\x00\x1f\x7f", "日本語 テスト\r\n\t  x", "<|endoftext|>"):
