@@ -43,8 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two sequences with their ids."""
-    return packing.decompose(docs, tokenizer_path(), PACK_TOKENS)
+    """Power-of-two sequences with their ids, by bucket of length."""
+    return packing.bucketed(packing.decompose(docs, tokenizer_path(), PACK_TOKENS))
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("secrets", secrets), ("mix", mix), ("pack", pack)]
