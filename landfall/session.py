@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "landfall", extra: dict | None = None) -> SparkSession:
     """Session with adaptive execution (runtime coalescing, skew-join splitting,
@@ -57,7 +60,8 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     Cuts lineage durably (survives lost executors, unlike a local checkpoint) and
-    lets later scans prune columns, push filters and prune ``partition_by`` folders.
+    lets later scans prune columns, push filters and prune ``partition_by`` folders. The
+    write's shuffle files are dropped when it is done: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/landfall/{name}-{uuid.uuid4().hex}"
@@ -68,7 +72,12 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        w.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     _written.append(path)
     return spark.read.parquet(path)
 

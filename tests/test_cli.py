@@ -75,3 +75,14 @@ def test_session_keeps_what_the_submitter_set(spark):
     assert s.conf.get("spark.sql.shuffle.partitions") == "123"
     assert s.sparkContext.master == "local[4]"
     spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """The shuffle of a finished write is dropped; the submitter's setting stays as it was."""
+    from landfall.session import SHUFFLE_CLEANUP, materialize
+    files = lambda: {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+                     for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    before, was = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    df = materialize(spark.range(10_000).repartition(7, "id"), "cleanup")
+    assert df.count() == 10_000 and spark.conf.get(SHUFFLE_CLEANUP) == was
+    assert not {f for f in files() - before if os.path.getsize(f) > 10_000}
