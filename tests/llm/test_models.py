@@ -146,28 +146,6 @@ def test_language_model(spark, monkeypatch, run_tokens):
     assert p[False]["perplexity"] < p[False]["base_perplexity"]
 
 
-def test_predictions_of_a_context_sum_to_one(spark):
-    """Over all known words and one unknown, whatever the context."""
-    docs = frame(spark, [(i, " ".join(random.Random(i).choices("abcdefgh", k=40)), "en", "a") for i in range(30)])
-    table, model, buckets = pitman_yor.fit(docs)
-    rows = [r.asDict() for r in table.collect()]
-    import pandas as pd
-    for ctx in (0, 17, 4095, *np.flatnonzero(model.customers)[:5]):
-        total = 0.0
-        for row in rows:
-            u = pitman_yor.unpack(row)[0]
-            part = pd.DataFrame([{"first": 0, "w": u.tobytes(), "n": np.ones(len(u), np.uint32).tobytes(),
-                                  "ctx": np.full(len(u), ctx, np.uint16).tobytes(),
-                                  "doc": np.arange(len(u), dtype=np.uint32).tobytes()}])
-            for _, _, s, _, _ in pitman_yor.bucket_scores(row, model, part):
-                total += (10 ** s).sum()
-        unseen = pd.DataFrame([{"first": 0, "w": np.array([1], np.uint64).tobytes(), "n": np.ones(1, np.uint32).tobytes(),
-                                "ctx": np.array([ctx], np.uint16).tobytes(), "doc": np.zeros(1, np.uint32).tobytes()}])
-        for _, _, s, _, _ in pitman_yor.bucket_scores(rows[0], model, unseen):
-            total += (10 ** s).sum()
-        assert total == pytest.approx(1.0)
-
-
 def test_counts_above_32_bits_keep_their_value():
     for c in ([1, (1 << 32) + 5, 7], [1, 2, (1 << 32) - 1]):
         u, x, word, ctx, n = pitman_yor.merged([np.array([9, 4, 4], np.uint64)], [np.array([3, 2, 1], np.uint64)], [np.array(c)])
