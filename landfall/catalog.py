@@ -35,7 +35,9 @@ from landfall.plans.reports import (daily, daily_chart, dashboard, monthly_chart
 from landfall.plans.slicing import slice_tables
 from landfall.refresh import (Facts, create_store, dedupe, high_water, read_delta, read_delta_child,
                               read_version, refresh_store, refresh_tables)
-from landfall.session import checkpoint_dir
+from landfall.operators.states import day_states, refresh_states
+from landfall.refresh.versions import NO_MONTH, read_months, read_manifest
+from landfall.session import checkpoint_dir, materialize
 from landfall.sources.snapshot import (backup_tables, export_summary_csv, read_snapshot, read_table,
                                        write_snapshot)
 from landfall.tables import Tables
@@ -202,6 +204,26 @@ def q_refresh_stored(spark, sf):
     return read_version(spark, base, "trips", version, schemas["trips"])
 
 
+def q_monthly_summary_states(spark, sf):
+    """Monthly summary from stored day states, of which a refresh summed only the months again
+    that it rewrote."""
+    schemas, base, new = _store(spark, sf)
+    old = read_manifest(spark, base, 1)
+    stations = fixtures.stations(spark, sf)
+
+    def trips(version, months=None):
+        t, lnd = (read_months(spark, base, n, version, schemas[n], months).drop("month") for n in ("trips", "landings"))
+        return clean(Tables(trips=t, landings=lnd, stations=stations), PARAMS).trips
+
+    states = materialize(day_states(trips(old)), "day-states", partition_by=["month"])
+    changed = [m for m, v in new.months["trips"].items() if v == new.number]
+    left = set(old.months["trips"]) - set(new.months["trips"])       # months that lost their last trip
+    states = refresh_states(states, trips(new, changed), [
+        None if m == NO_MONTH else dt.date.fromisoformat(f"{m}-01") for m in {*changed, *left}])
+    s, spine = slice_tables(Tables(trips=states, municipalities=fixtures.municipalities(spark, sf), stations=stations), MAIN, PARAMS)
+    return monthly_summary(s, spine, MAIN, PARAMS)
+
+
 def q_refresh_stored_landings(spark, sf):
     schemas, base, version = _store(spark, sf)
     return read_version(spark, base, "landings", version, schemas["landings"])
@@ -537,6 +559,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_changed_landings": q_clean_changed_landings,
     "refresh_stored": q_refresh_stored,
     "refresh_stored_landings": q_refresh_stored_landings,
+    "monthly_summary_states": q_monthly_summary_states,
     "write_snapshot": q_write_snapshot,
     "backup": q_backup,
     "export_csv": q_export_csv,

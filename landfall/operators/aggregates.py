@@ -27,17 +27,20 @@ def _cond_sum(cond, col):
 def monthly_cpue(trips: DataFrame, spine: DataFrame) -> DataFrame:
     """Per month of the spine: KG, effort, CPUE as a ratio of sums, trips and
     distinct fishing days, plus the same sums for canoes and motors (conditional
-    sums in the one grouping, no second scan). Empty months are 0."""
+    sums in the one grouping, no second scan). Empty months are 0. ``trips`` may be day
+    states, which stand for ``n_trips`` trips each."""
     b = F.col("boat_code")
+    one = F.col("n_trips") if "n_trips" in trips.columns else F.lit(1)
+    n_of = lambda c: F.coalesce(F.sum(F.when(c, one)), F.lit(0))
     g = (trips.withColumn("month", month_floor("date")).groupBy("month").agg(
         exact_sum("KG").alias("KG"), exact_sum("trip_effort").alias("trip_effort"),
-        F.count(F.lit(1)).alias("trips"), F.count_distinct("date").alias("fishing_days"),
+        F.sum(one).alias("trips"), F.count_distinct("date").alias("fishing_days"),
         _cond_sum(b == CANOE, "KG").alias("KG_canoe"),
         _cond_sum(b == CANOE, "trip_effort").alias("effort_canoe"),
-        F.count(F.when(b == CANOE, 1)).alias("trips_canoe"),
+        n_of(b == CANOE).alias("trips_canoe"),
         _cond_sum(b == MOTOR, "KG").alias("KG_motor"),
         _cond_sum(b == MOTOR, "trip_effort").alias("effort_motor"),
-        F.count(F.when(b == MOTOR, 1)).alias("trips_motor")))
+        n_of(b == MOTOR).alias("trips_motor")))
     m = spine.join(g, "month", "left")
     m = m.withColumns({
         "CPUE": F.try_divide(F.col("KG"), F.col("trip_effort")),

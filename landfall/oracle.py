@@ -553,6 +553,8 @@ x_landings AS (SELECT DISTINCT * FROM f_landings WHERE trip_id IN (SELECT trip_i
 """
 SQL["refresh_changed_trip"] = w(FIX, CHANGED) + "SELECT * FROM x_trips"
 SQL["refresh_stored"] = SQL["refresh_changed_trip"]
+SQL["monthly_summary_states"] = w(FIX, CHANGED, REFRESHED.replace("FROM f_trips", "FROM x_trips").replace(
+    "FROM f_landings", "FROM x_landings"), CLEAN, MAIN, summary_sql(True)) + "SELECT * FROM summary"
 SQL["refresh_stored_landings"] = w(FIX, CHANGED) + "SELECT * FROM x_landings"
 SQL["clean_changed_landings"] = w(FIX, CHANGED, REFRESHED.replace("FROM f_trips", "FROM x_trips").replace(
     "FROM f_landings", "FROM x_landings"), CLEAN) + "SELECT * FROM c_landings"

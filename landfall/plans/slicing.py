@@ -67,7 +67,9 @@ def slice_tables(clean: Tables, sel: Selection, params: Params) -> tuple[Tables,
         return clean.replace(**blank), empty_like(spine)
     guard = enough_rows(t, params.min_trips)
     t = t.filter(guard)
-    out = out.replace(trips=t, landings=children(clean.landings, t, "trip_id"))
+    out = out.replace(trips=t)
+    if clean.landings is not None:                   # day states come without
+        out = out.replace(landings=children(clean.landings, t, "trip_id"))
     if clean.pds_trips is not None:
         p = rows(clean.pds_trips, "date", "station_code", "habitat_code", "gear_code",
                  "boat_code", by_station=True).filter(guard)

@@ -66,6 +66,11 @@ def latest_version(spark: SparkSession, base: str) -> Version | None:
     return Version(**json.loads(rows["value"])) if rows else None
 
 
+def read_manifest(spark: SparkSession, base: str, number: int) -> Version:
+    """An earlier version, which still reads as it was."""
+    return Version(**json.loads(spark.read.text(f"{base.rstrip('/')}/versions/{number}").first()["value"]))
+
+
 def write_manifest(spark: SparkSession, base: str, version: Version) -> None:
     one = spark.createDataFrame([(json.dumps(version.__dict__),)], "value string").coalesce(1)
     one.write.mode("errorifexists").text(f"{base.rstrip('/')}/versions/{version.number}")

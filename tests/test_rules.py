@@ -302,3 +302,27 @@ def test_top_species_reads_the_catch_once(spark, species, other):
         want.setdefault(other, [10, 0.0])[1] += sum(kg[c] for c in order[9:])
     assert {r.species_code: [r["rank"], r.Tonnes * 1000] for r in got.collect()} == {
         c: [r, pytest.approx(v)] for c, (r, v) in want.items()}
+
+
+def test_day_states_stand_for_their_trips(spark):
+    """Months, daily series and the guard come out alike from trips and from their states, and
+    after a refresh of some months."""
+    from landfall.operators.aggregates import daily_cpue
+    from landfall.operators.filters import enough_rows
+    from landfall.operators.states import day_states, refresh_states
+    kind = "date date, municipality_code int, habitat_code int, gear_code int, boat_code int, KG double, trip_effort double"
+
+    def rows(shift=0):
+        return [(None if i % 50 == 0 else dt.date(2019, 1 + i % 4, 1 + i // 4 % 6), 1 + i % 3, 1, 1 if i % 9 else None, 1 + i % 2,
+                 0.1 * i + (shift if i % 4 == 2 or i % 50 == 0 else 0), 1.7) for i in range(400)]
+    spine = month_spine(spark, dt.date(2019, 1, 1), dt.date(2019, 5, 31))
+    old, new = (spark.createDataFrame(rows(x), kind) for x in (0, 5))
+    part = new.where("month(date) = 3 or date is null")
+    states = refresh_states(day_states(old), part, [dt.date(2019, 3, 1), None])
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert states.count() < new.count() / 2
+    assert plain(monthly_cpue(states, spine)) == plain(monthly_cpue(new, spine)) != plain(monthly_cpue(old, spine))
+    assert plain(daily_cpue(states, "municipality_code", "abc")) == plain(daily_cpue(new, "municipality_code", "abc"))
+    few = spark.createDataFrame([r for r in rows() if r[0] and r[0].month == 1][:29], kind)
+    for df, ok in ((few, False), (few.unionByName(few.limit(1)), True)):
+        assert [spark.range(1).select(enough_rows(x, 30).alias("ok")).first()["ok"] for x in (df, day_states(df))] == [ok, ok]
