@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from landfall.llm.text import lower_ascii
+from landfall.llm.text import lower_ascii, repeated
 
 # Phrases and their labels.
 PHRASES = (
@@ -179,5 +179,4 @@ def scan(docs: DataFrame, **how) -> DataFrame:
         joined(F.col("label")).alias("labels"), F.coalesce(F.max(F.when(
             F.col("label").isNotNull(), F.col("share"))), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(found)).alias("spans"), F.sum("copies").alias("copies"))
-    return per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(
-        "copy", "copies", "text_key")
+    return repeated(per).drop("text_key")

@@ -29,7 +29,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from landfall.llm.text import distinct_rows, lower_ascii, row_keys
+from landfall.llm.text import distinct_rows, lower_ascii, repeated, row_keys
 
 
 @dataclass(frozen=True)
@@ -185,11 +185,10 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
         ":", x["name"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     per = per.withColumn("spans_text", said(F.col("spans"))).withColumn(
         "base_text", said(F.filter("spans", lambda x: x["kind"] < base)))
-    return per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(
-        "copy", "copies", "_llm_k1", "_llm_k2")
+    return repeated(per).drop("_llm_k1", "_llm_k2")
 
 
 def drop_documents(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` without any span, with all their columns."""
     v = verified(docs, rules).where(~F.exists("matches", lambda m: m["holds"]))
-    return v.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    return repeated(v.select("row", "copies")).select("row.*")

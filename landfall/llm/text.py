@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from landfall.session import checkpoint_dir, materialize
 
 __all__ = ["WORD", "GAPS", "documents", "lower_ascii", "words", "id_crc", "store", "table",
-           "row_keys", "distinct_rows"]
+           "row_keys", "distinct_rows", "repeated"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAPS = r"[\x20\x09-\x0D]+"
@@ -60,3 +60,15 @@ def distinct_rows(keyed: DataFrame, columns: list[str]) -> DataFrame:
     """One row per key: the columns as a struct ``row`` and how often the row stands."""
     return keyed.groupBy("_llm_k1", "_llm_k2").agg(
         F.first(F.struct(*[f"`{c}`" for c in columns])).alias("row"), F.count(F.lit(1)).alias("copies"))
+
+
+def repeated(df: DataFrame, chunk: int = 8192) -> DataFrame:
+    """Each row as often as its column ``copies`` says, without that column. A row that stands
+    more than ``chunk`` times is cut into chunks that go to different tasks first."""
+    few = F.col("copies") <= chunk
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / chunk)))
+    many = df.where(~few).withColumn("_llm_part", part).repartition(tasks, "_llm_part").withColumn(
+        "copies", F.least(F.lit(chunk).cast("long"), F.col("copies") - F.col("_llm_part") * chunk)).drop("_llm_part")
+    every = df.where(few).unionByName(many)
+    return every.withColumn("_llm_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("_llm_copy", "copies")

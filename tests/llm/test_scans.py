@@ -183,3 +183,11 @@ def test_a_host_that_breaks_one_rule_is_condemned(spark):
     assert not got["mixed"]["c"] and not got["one"]["c"] and not got["good3"]["c"]
     kept = quality_hosts.judge(frame(spark, rows)).where("host = 'symbols' and kept").count()
     assert kept == 0                                     # the host's good documents go with it
+
+
+def test_many_equal_rows_are_spread_over_tasks(spark):
+    docs = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("mit license").alias("text"))
+    for out in (license_scan.scan(docs), secret_scan.scan(docs), secret_scan.drop_documents(docs)):
+        per_task = out.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in per_task) == 50_000
+        assert max(r["count"] for r in per_task) <= 25_000 and len(per_task) > 2
