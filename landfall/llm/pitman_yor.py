@@ -48,9 +48,9 @@ from pyspark.sql import functions as F
 from landfall.llm.text import lower_ascii, store, words
 
 EXACT = 64
-BUCKET_BYTES = 12 << 20              # text whose tokens make a bucket
-PART_TOKENS = 3_000_000              # tokens of a bucket that are scored at once
-RUN_TOKENS = 1_500_000               # tokens of a batch that are sorted at once
+BUCKET_BYTES = 6 << 20               # text whose tokens make a bucket
+PART_TOKENS = 1_500_000              # tokens of a bucket that are scored at once
+RUN_TOKENS = 750_000                 # tokens of a batch that are sorted at once
 
 
 @dataclass
@@ -391,7 +391,7 @@ def fit(train: DataFrame, samples: int = 2, burn_in: int = 1, strength: float =
     of each bucket with the table of contexts.
 
     Discounts follow from how many pairs (or words) stand once and twice. The driver holds
-    one number per bucket (of 12 MB of text): how many parts it has."""
+    one number per bucket (of 6 MB of text): how many parts it has."""
     size = train.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     table = store(counts(train, buckets), "lm-counts")
