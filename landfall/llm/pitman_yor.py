@@ -48,9 +48,9 @@ from pyspark.sql import functions as F
 from landfall.llm.text import lower_ascii, store, words
 
 EXACT = 64
-BUCKET_BYTES = 6 << 20               # text whose tokens make a bucket
-PART_TOKENS = 1_500_000              # tokens of a bucket that are scored at once
-RUN_TOKENS = 750_000                 # tokens of a batch that are sorted at once
+BUCKET_BYTES = 9 << 20               # text whose tokens make a bucket
+PART_TOKENS = 2_500_000              # tokens of a bucket that are scored at once
+RUN_TOKENS = 1_500_000               # tokens of a batch that are sorted at once
 
 
 @dataclass
@@ -76,14 +76,32 @@ class Places:
     contexts: DataFrame
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Numbers as bytes, the first bytes of all of them, then the second ones, and so on:
+    the high bytes of sorted or small numbers repeat, so shuffles and files compress them."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def numbers(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` unsigned numbers of :func:`planes`."""
+    if not n:
+        return np.zeros(0, np.uint64)
+    width = len(data) // n
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(f"u{width}").ravel()
+
+
+def hashes(data: bytes) -> np.ndarray:
+    return numbers(data, len(data) // 8)
+
+
 def narrow(a: np.ndarray) -> bytes:
     """Counts as bytes, as wide as the largest needs."""
-    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)).tobytes()
+    return planes(a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)))
 
 
 def widened(data: bytes, n: int) -> np.ndarray:
     """The ``n`` counts of :func:`narrow`."""
-    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+    return numbers(data, n).astype(np.int64)
 
 
 def token_hashes(text: Column) -> Column:
@@ -160,14 +178,14 @@ def pack(u: np.ndarray, x: np.ndarray, word: np.ndarray, ctx: np.ndarray, c: np.
     is sorted."""
     words_in, per = np.unique(word, return_counts=True)
     contexts_in, ctx = np.unique(ctx, return_inverse=True)
-    return {"w": u[words_in].tobytes(), "n": narrow(per), "x": x[contexts_in].tobytes(), "ctx": narrow(ctx),
+    return {"w": planes(u[words_in]), "n": narrow(per), "x": planes(x[contexts_in]), "ctx": narrow(ctx),
             "c": narrow(c)}
 
 
 def unpack(row) -> tuple[np.ndarray, ...]:
     """Words, contexts, and of each pair the place of its word and of its context and its
     count."""
-    u, x = np.frombuffer(row["w"], np.uint64), np.frombuffer(row["x"], np.uint64)
+    u, x = hashes(row["w"]), hashes(row["x"])
     word = np.repeat(np.arange(len(u)), widened(row["n"], len(u)))
     return u, x, word, widened(row["ctx"], len(word)), widened(row["c"], len(word))
 
@@ -326,7 +344,7 @@ def sweep_totals(table: DataFrame, rounds: list[DataFrame], model: Model, bucket
         cut = list(zip(np.r_[0, ends[:-1]], ends))
         head = np.arange(len(present)) == 0
         return pd.DataFrame({
-            "bucket": row["bucket"], "range": present, "x": [x[a:z].tobytes() for a, z in cut],
+            "bucket": row["bucket"], "range": present, "x": [planes(x[a:z]) for a, z in cut],
             "tables": [narrow(tables[a:z]) for a, z in cut],
             "customers": [narrow(customers[a:z]) if sweep == 0 else None for a, z in cut],
             "parent": head * int(m.sum()), "parent_tables": head * int(mt.sum())})
@@ -341,7 +359,7 @@ def sweep_totals(table: DataFrame, rounds: list[DataFrame], model: Model, bucket
 
     def add_up(key, rows: pd.DataFrame) -> pd.DataFrame:
         n = [len(x) // 8 for x in rows["x"]]
-        u, at = np.unique(np.frombuffer(b"".join(rows["x"]), np.uint64), return_inverse=True)
+        u, at = np.unique(np.concatenate([hashes(d) for d in rows["x"]]), return_inverse=True)
         ends = np.cumsum(n)
         back = {}
         for k in ("tables", "customers"):
@@ -353,7 +371,7 @@ def sweep_totals(table: DataFrame, rounds: list[DataFrame], model: Model, bucket
             np.add.at(total, at, v)
             back[k] = [narrow(total[at[z - size:z]]) for z, size in zip(ends, n)] + [narrow(total)]
         return pd.DataFrame({"bucket": [*rows["bucket"], -1], "range": key[0], "n": [*n, len(u)],
-                             "x": [None] * len(n) + [u.tobytes()], **back,
+                             "x": [None] * len(n) + [planes(u)], **back,
                              "parent": [0] * len(n) + [int(rows["parent"].sum())],
                              "parent_tables": [0] * len(n) + [int(rows["parent_tables"].sum())]})
 
@@ -376,7 +394,7 @@ def all_contexts(rounds: list[DataFrame], model: Model) -> DataFrame:
 
     def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in (row for b in batches for row in b.to_dict("records")):
-            x = np.frombuffer(row["x"], np.int64)
+            x = hashes(row["x"]).view(np.int64)
             room = model.strength + widened(row["customers"], len(x))
             yield pd.DataFrame({"ctx": x, **{
                 f"back{i}": (model.strength + model.discount * widened(row[f"t{i}"], len(x))) / room
@@ -391,7 +409,7 @@ def fit(train: DataFrame, samples: int = 2, burn_in: int = 1, strength: float =
     of each bucket with the table of contexts.
 
     Discounts follow from how many pairs (or words) stand once and twice. The driver holds
-    one number per bucket (of 6 MB of text): how many parts it has."""
+    one number per bucket (of 9 MB of text): how many parts it has."""
     size = train.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     table = store(counts(train, buckets), "lm-counts")
@@ -447,11 +465,11 @@ def bucket_scores(row, model: Model, parts: pd.DataFrame, opened: list | None =
     base = np.log10(count + 0.1)
     key = word * (len(x) + 1) + ctx
     for part in parts.to_dict("records"):
-        w = np.frombuffer(part["w"], np.uint64)
+        w = hashes(part["w"])
         n = widened(part["n"], len(w))
         size = int(n.sum())
         of, doc = widened(part["ctx"], size), widened(part["doc"], size)
-        asked, of = (np.frombuffer(part["x"], np.uint64), of) if "x" in part else (of.view(np.uint64), np.arange(size))
+        asked, of = (hashes(part["x"]), of) if "x" in part else (of.view(np.uint64), np.arange(size))
         at = np.repeat(place(u, w), n)
         spot = place(x, asked)[of]
         p = np.zeros(size)
@@ -492,7 +510,7 @@ def score(docs: DataFrame, held_out: Column, table: DataFrame, model: Model, pla
             a = p = 0
             for z, y in zip(ends, token_ends):
                 x, ctx = np.unique(before[p:y], return_inverse=True)
-                for k, v in zip(packed, (u[a:z].tobytes(), narrow(per[a:z]), u[x].tobytes(), narrow(ctx),
+                for k, v in zip(packed, (planes(u[a:z]), narrow(per[a:z]), planes(u[x]), narrow(ctx),
                                          narrow(doc[p:y]))):
                     rows[k].append(v)
                 a, p = z, y

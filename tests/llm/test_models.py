@@ -177,8 +177,8 @@ def test_every_context_has_its_own_restaurant(spark, monkeypatch):
         total = 0.0
         for row in [*rows, None]:
             w = pitman_yor.unpack(row)[0] if row else np.array([1], np.uint64)
-            part = pd.DataFrame([{"first": 0, "w": w.tobytes(), "n": pitman_yor.narrow(np.ones(len(w), int)),
-                                  "x": np.array([ctx]).tobytes(), "ctx": pitman_yor.narrow(np.zeros(len(w), int)),
+            part = pd.DataFrame([{"first": 0, "w": pitman_yor.planes(w), "n": pitman_yor.narrow(np.ones(len(w), int)),
+                                  "x": pitman_yor.planes(np.array([ctx])), "ctx": pitman_yor.narrow(np.zeros(len(w), int)),
                                   "doc": pitman_yor.narrow(np.arange(len(w)))}])
             opened = []
             (_, _, s, _, _), = pitman_yor.bucket_scores(row, model, part, opened)
