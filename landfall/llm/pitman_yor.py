@@ -22,7 +22,7 @@ context is no hot group), where they are added up and sent back to the buckets t
 asked. These sums are stored by sweep; draws are seeded by bucket and sweep, so later
 passes repeat them instead of storing states, and a lost task draws the same again.
 Scoring shuffles the documents' tokens to the buckets (the task's distinct words and
-contexts once) and sums of log probabilities back. Tokens whose context the bucket has
+contexts once) and sums of log probabilities back, a third of the documents at a time. Tokens whose context the bucket has
 never met join the stored table of contexts. A bucket with very many tokens (a very
 frequent word) is split by document range, its model being copied to the parts.
 
@@ -51,6 +51,7 @@ EXACT = 64
 BUCKET_BYTES = 9 << 20               # text whose tokens make a bucket
 PART_TOKENS = 2_500_000              # tokens of a bucket that are scored at once
 RUN_TOKENS = 1_500_000               # tokens of a batch that are sorted at once
+WAVES = 3                            # parts of the documents that are scored one after another
 
 
 @dataclass
@@ -490,8 +491,21 @@ def bucket_scores(row, model: Model, parts: pd.DataFrame, opened: list | None =
         yield part["first"], docs, add(np.log10(p)), add(base[at]), add(at < len(u))
 
 
-def score(docs: DataFrame, held_out: Column, table: DataFrame, model: Model, places: Places) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row."""
+def score(docs: DataFrame, held_out: Column, table: DataFrame, model: Model, places: Places,
+          waves: int = WAVES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row.
+
+    The rows are scored in ``waves`` of equal numbers of rows, whose scores are stored each,
+    so that the tokens of one wave lie in shuffle files at a time."""
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text",
+                           F.monotonically_increasing_id().alias("place"))
+    done = [store(score_wave(numbered.where(F.col("place") % waves == w), table, model, places), "lm-scores")
+            for w in range(waves)]
+    return reduce(DataFrame.unionAll, done)
+
+
+def score_wave(docs: DataFrame, table: DataFrame, model: Model, places: Places) -> DataFrame:
+    """The scores of the rows of one wave: doc_id, held_out, text."""
     split, buckets = places.parts, len(places.parts)
     packed = ("w", "n", "x", "ctx", "doc")
     shares = [f"p{i}" for i in range(model.samples)]
@@ -546,8 +560,7 @@ def score(docs: DataFrame, held_out: Column, table: DataFrame, model: Model, pla
                             **dict(zip(shares, p)), "score": 0.0, "base": 0.0, "n_known": 0})
         return pd.concat([whole, new], ignore_index=True)
 
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text",
-                           F.monotonically_increasing_id().alias("row"))
+    numbered = docs.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row"))
     sent = numbered.select("row", token_hashes(F.col("text")).alias("t")).mapInArrow(
         send, "bucket long, part long, first long, " + ", ".join(f"{k} binary" for k in packed))
     known = table.select("bucket", "part", *PACKED, "shown")
