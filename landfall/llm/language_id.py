@@ -33,7 +33,7 @@ from landfall.llm.text import id_crc
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
 ENOUGH = 20_000                      # n-grams of a language for each time that one must stand
-CHUNK = 1 << 20                      # characters worked on at once
+CHUNK = 1 << 18                      # characters worked on at once
 
 
 def letters_table() -> np.ndarray:
@@ -87,16 +87,29 @@ def grams(texts: list[str], letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about CHUNK characters; a longer text is a run of its own."""
-    start, size = 0, 0
+def chunks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Runs of about CHUNK characters: the places of their texts and the texts. A longer text
+    is cut at white space, which no n-gram holds inside; a word is never cut."""
+    owner, run, size = [], [], 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
+        at = 0
+        while True:
+            end = min(at + CHUNK, len(t))
+            if end < len(t):
+                cut = max(t.rfind(x, at + 1, end) for x in " \n")
+                after = [x for x in (t.find(" ", end), t.find("\n", end)) if x >= 0]
+                end = cut if cut > at else min(after, default=len(t))
+            if size and size + end - at > CHUNK:
+                yield owner, run
+                owner, run, size = [], [], 0
+            owner.append(i)
+            run.append(t[at:end])
+            size += end - at
+            if end == len(t):
+                break
+            at = end
+    if run:
+        yield owner, run
 
 
 class Filter:
@@ -122,20 +135,21 @@ class Filter:
 
     def decide(self, texts: list[str | None], letter: np.ndarray) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        for _, run in chunks([t or "" for t in texts]):
-            h, owner = grams(run, letter)
-            hits, total = self.counts(h, owner, len(run))
-            false = self.filled ** 2                     # both slots set by other n-grams
-            n = np.maximum(total, 1)[:, None]
-            share = np.clip((hits / n - false) / np.maximum(1 - false, 1e-9), 0, 1)
-            for i in range(len(run)):
-                if not total[i] or not self.names:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
-                    best = int(np.argmax(share[i]))
-                    names.append(self.names[best] if share[i, best] > 0 else UNKNOWN)
-                    scores.append(float(share[i, best]))
+        hits, total = np.zeros((len(texts), len(self.names))), np.zeros(len(texts), np.int64)
+        for of, run in chunks([t or "" for t in texts]):
+            some, n = self.counts(*grams(run, letter), len(run))
+            np.add.at(hits, of, some)
+            np.add.at(total, of, n)
+        false = self.filled ** 2                         # both slots set by other n-grams
+        share = np.clip((hits / np.maximum(total, 1)[:, None] - false) / np.maximum(1 - false, 1e-9), 0, 1)
+        for i in range(len(texts)):
+            if not total[i] or not self.names:
+                names.append(UNKNOWN)
+                scores.append(0.0)
+            else:
+                best = int(np.argmax(share[i]))
+                names.append(self.names[best] if share[i, best] > 0 else UNKNOWN)
+                scores.append(float(share[i, best]))
         return names, scores
 
 
@@ -163,9 +177,9 @@ def learn(docs: DataFrame, per_language: int = 2000, bits: int = 20, common: flo
         place = {n: i for i, n in enumerate(names)}
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for start, run in chunks(texts):
+            for at, run in chunks(texts):
                 h, owner = grams(run, letter)
-                of = np.array([place[x] for x in langs[start:start + len(run)]], dtype=np.int64)
+                of = np.array([place[langs[i]] for i in at], dtype=np.int64)
                 if not len(h):
                     continue
                 for l in np.unique(of):

@@ -353,3 +353,16 @@ def test_empty_tables(spark):
     some = frame(spark)
     table, model, buckets = pitman_yor.fit(empty)
     assert pitman_yor.score(some, F.lit(True), table, model, buckets).where("n_known > 0").count() == 0
+
+
+def test_long_texts_are_cut_without_changing_their_grams(monkeypatch):
+    letter = language_id.letters_table()
+    texts = ["", "one", "ab cd\nef  gh " * 40, "x" * 300 + " tail", "ΑΣ ΣΑΣ " * 50, " \n" * 100, "end " + "y" * 200]
+    whole = [sorted(language_id.grams([t], letter)[0].tolist()) for t in texts]
+    monkeypatch.setattr(language_id, "CHUNK", 50)
+    got = [[] for _ in texts]
+    for of, run in language_id.chunks(texts):
+        h, owner = language_id.grams(run, letter)
+        for x, o in zip(h.tolist(), owner.tolist()):
+            got[of[o]].append(x)
+    assert [sorted(x) for x in got] == whole
