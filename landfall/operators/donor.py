@@ -24,10 +24,13 @@ Plan, exact for every pair within ``cap``:
 * Inside a block numpy computes the distances of a chunk of queries to all
   donors and keeps each query's best; a final ``min`` over (distance, donor id)
   across blocks picks the nearest, ties to the smallest donor id.
+* The validation's repeats are bits of a row, not rows: distances are measured once for all
+  repeats, and a query keeps only the donors that are its nearest in some repeat.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -35,6 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from landfall.session import materialize
 
@@ -97,9 +101,9 @@ def grid(df: DataFrame, features: str, dims, radius: float) -> DataFrame:
                            for j, i in enumerate(dims)})
 
 
-def within(q: DataFrame, d: DataFrame, radius: float, by, block_dims, block_rows: int, dims: int,
-           d_extra, q_extra) -> DataFrame:
-    """Per query its nearest donor within ``radius``: by, _qid, _did, _dist, extras."""
+def blocks(q: DataFrame, d: DataFrame, radius: float, by, block_dims, block_rows: int, dims: int,
+           d_extra, q_extra):
+    """Both sides in blocks that hold every pair within ``radius``, and the blocks' keys."""
     cells = [f"_c{j}" for j in range(len(block_dims))]
     keys = by + cells
     d = grid(d, "_df", block_dims, radius)
@@ -130,6 +134,13 @@ def within(q: DataFrame, d: DataFrame, radius: float, by, block_dims, block_rows
                  *[F.col("_qf")[i].alias(f"_q{i}") for i in range(dims)])
     d = d.select(*gkeys, *by_only(by, gkeys), "_did", *d_extra,
                  *[F.col("_df")[i].alias(f"_d{i}") for i in range(dims)])
+    return q, d, gkeys
+
+
+def within(q: DataFrame, d: DataFrame, radius: float, by, block_dims, block_rows: int, dims: int,
+           d_extra, q_extra) -> DataFrame:
+    """Per query its nearest donor within ``radius``: by, _qid, _did, _dist, extras."""
+    q, d, gkeys = blocks(q, d, radius, by, block_dims, block_rows, dims, d_extra, q_extra)
     qs, ds = q.schema, d.schema
     out_schema = T.StructType(
         [qs[c] for c in by] + [T.StructField("_qid", qs["_qid"].dataType),
@@ -143,6 +154,16 @@ def within(q: DataFrame, d: DataFrame, radius: float, by, block_dims, block_rows
     return best.select(*by, "_qid", *[F.col(f"_b.{c}").alias(c) for c in ("_did", "_dist", *d_extra, *q_extra)])
 
 
+def radius_halvings(d: DataFrame, cap: float, by, block_dims, block_rows: int) -> int:
+    """How often ``cap`` is halved for the first radius, by the fullest cell of donors."""
+    cells = [f"_c{j}" for j in range(len(block_dims))]
+    fullest = grid(d, "_df", block_dims, cap).groupBy(*by, *cells).count().agg(F.max("count")).first()[0] or 0
+    halvings = 0
+    while fullest > block_rows << (halvings * len(block_dims)) and halvings < 16:
+        halvings += 1
+    return halvings
+
+
 def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id",
                   features: str = "features", carry=("gear_code", "habitat_code"),
                   query_carry=(), cap: float = 0.2, by=(), block_dims=(0, 1),
@@ -164,11 +185,7 @@ def nearest_donor(queries: DataFrame, donors: DataFrame, *, key: str = "trip_id"
     d = (donors.groupBy(*by, F.col(features).alias("_df"))
          .agg(F.min(F.struct(F.col(key).alias("_did"), *d_extra)).alias("_d"))
          .select(*by, "_df", "_d.*"))
-    cells = [f"_c{j}" for j in range(len(block_dims))]
-    fullest = grid(d, "_df", block_dims, cap).groupBy(*by, *cells).count().agg(F.max("count")).first()[0] or 0
-    halvings = 0
-    while fullest > block_rows << (halvings * len(block_dims)) and halvings < 16:
-        halvings += 1
+    halvings = radius_halvings(d, cap, by, block_dims, block_rows)
     if halvings:
         q, d = materialize(q, "donor-queries"), materialize(d, "donors")
     best = None
@@ -224,40 +241,197 @@ def donate_attributes(pds_trips: DataFrame, cap: float = 0.2, block_rows: int =
     }).drop("_g", "_h", "_dt", "_dd")
 
 
-def train_split(key: str, rep: str, of: int = 10, train: int = 8):
+def train_split(key, rep, of: int = 10, train: int = 8):
     """Repeatable hold-out split: a row is in the training part of repeat ``rep`` when a
     hash of both (the first 8 hex digits of the md5 of ``key-rep``) mod ``of`` is below
     ``train``. Every repeat draws another part."""
-    h = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.col(rep).cast("string")).cast("binary"))
+    key, rep = (F.col(c) if isinstance(c, str) else c for c in (key, rep))
+    h = F.md5(F.concat_ws("-", key.cast("string"), rep.cast("string")).cast("binary"))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % of < train
 
 
+WORD = 62       # repeats in one long
+
+
+def words(name: str, reps: int) -> list[str]:
+    """Columns that hold one bit for each repeat."""
+    return [f"{name}{w}" for w in range(-(-reps // WORD))]
+
+
+def train_bits(key: str, reps: int, split) -> dict:
+    """The repeats in whose training part a row is, as bits."""
+    def word(start: int):
+        def add(acc, rep):
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), rep - start)
+            return F.when(train_split(F.col(key), rep, *split), acc.bitwiseOR(bit)).otherwise(acc)
+        return F.aggregate(F.sequence(F.lit(start), F.lit(min(reps, start + WORD) - 1)), F.lit(0).cast("long"), add)
+    return {c: word(w * WORD) for w, c in enumerate(words("_t", reps))}
+
+
+def reps_of(cols, reps: int):
+    """The repeats whose bits are set, as an array."""
+    bits = F.array(*cols)
+    return F.filter(F.sequence(F.lit(0), F.lit(reps - 1)), lambda rep: F.call_function(
+        "shiftright", F.get(bits, F.floor(rep / WORD).cast("int")), rep % WORD).bitwiseAND(F.lit(1)) == 1)
+
+
+def any_bit(cols):
+    return functools.reduce(lambda a, b: a | b, [F.col(c) != 0 for c in cols])
+
+
+def first_bits(df: DataFrame, by, order, cols) -> DataFrame:
+    """Each bit stays with the first row of its group that has it; rows without a bit go."""
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    left = {c: F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or(c).over(before), F.lit(0).cast("long"))))
+            for c in cols}
+    return df.select(*[left[c].alias(c) if c in left else c for c in df.columns]).filter(any_bit(cols))
+
+
+def _first_in_block(radius: float, need, has, carry, dims: int, near: int = 8, cells: int = 1 << 22):
+    """Per query the donors that are the nearest of the block in a repeat that it needs."""
+    qcols = [f"_q{i}" for i in range(dims)]
+    dcols = [f"_d{i}" for i in range(dims)]
+    cols = ["_qid", "_did", "_dist", *carry, *need]
+
+    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or d.empty:
+            return pd.DataFrame({c: [] for c in cols})
+        d = d.sort_values(["_did", *carry], kind="stable", na_position="first")     # ties go to the smallest id
+        dm = np.column_stack([d[c].to_numpy(dtype=float) for c in dcols])
+        qm = np.column_stack([q[c].to_numpy(dtype=float) for c in qcols])
+        bits = np.column_stack([d[c].to_numpy(dtype=np.int64) for c in has])
+        open_ = np.column_stack([q[c].to_numpy(dtype=np.int64) for c in need])
+        dn = (dm * dm).sum(axis=1)
+        out = []
+
+        def take(at, qc, approx, limit, sure):
+            """Deal the open repeats of queries ``at`` to donors in order of distance, among
+            those below ``limit``; a pair counts if it is measured at ``sure`` at most."""
+            ii, jj = np.nonzero(approx <= limit[:, None])
+            diff = qc[ii] - dm[jj]
+            exact = np.einsum("ij,ij->i", diff, diff)
+            ok = (exact <= sure[ii]) & (np.sqrt(exact) <= radius)
+            ii, jj, exact = ii[ok], jj[ok], exact[ok]
+            order = np.lexsort((jj, exact, ii))
+            ii, jj, exact = ii[order], jj[order], exact[order]
+            n = np.bincount(ii, minlength=len(at))
+            start = np.cumsum(n) - n
+            for k in range(int(n.max(initial=0))):
+                has_k = np.nonzero((n > k) & open_[at].any(axis=1))[0]
+                if not len(has_k):
+                    break
+                e = start[has_k] + k
+                new = open_[at[has_k]] & bits[jj[e]]
+                open_[at[has_k]] &= ~new
+                hit = new.any(axis=1)
+                out.append((at[has_k[hit]], jj[e[hit]], np.sqrt(exact[e[hit]]), new[hit]))
+
+        step = max(1, cells // len(dm))
+        edges = np.arange(0, len(dm), max(1, len(dm) // 64))
+        for s in range(0, len(qm), step):
+            at = np.arange(s, min(s + step, len(qm)))
+            qc = qm[at]
+            qn = (qc * qc).sum(axis=1)
+            # Squared distances by one matrix product, wrong by far less than ``tol`` / 2:
+            # pairs that may count are measured exactly.
+            approx = qn[:, None] + dn[None, :] - 2.0 * (qc @ dm.T)
+            tol = 1e-12 * (qn + dn.max()) + 1e-300
+            whole = np.full(len(at), radius * radius * (1 + 1e-12)) + tol
+            # The ``near``-th least minimum of the stripes bounds the ``near`` nearest donors;
+            # queries that need more take all donors within the radius.
+            close = whole
+            if len(edges) > near:
+                least = np.minimum.reduceat(approx, edges, axis=1)
+                close = np.minimum(whole, np.partition(least, near - 1, axis=1)[:, near - 1] + tol)
+            take(at, qc, approx, close, close - tol / 2)
+            rest = np.nonzero(open_[at].any(axis=1) & (close < whole))[0]
+            if len(rest):
+                take(at[rest], qc[rest], approx[rest], whole[rest], np.full(len(rest), np.inf))
+        if not out:
+            return pd.DataFrame({c: [] for c in cols})
+        i, j, dist, new = (np.concatenate(x) for x in zip(*out))
+        res = {"_qid": q["_qid"].to_numpy()[i], "_did": d["_did"].to_numpy()[j], "_dist": dist}
+        res |= {c: d[c].to_numpy()[j] for c in carry}
+        res |= {c: new[:, w] for w, c in enumerate(need)}
+        return pd.DataFrame(res, columns=cols)
+    return run
+
+
+def first_within(q: DataFrame, d: DataFrame, radius: float, block_dims, block_rows: int, dims: int,
+                 need, has, carry) -> DataFrame:
+    """Per query and repeat that it needs the nearest donor within ``radius``, as one row for each
+    such donor with the repeats' bits: _qid, _did, _dist, carry, need."""
+    q, d, gkeys = blocks(q, d, radius, [], block_dims, block_rows, dims, [*carry, *has], need)
+    out_schema = T.StructType(
+        [q.schema["_qid"], d.schema["_did"], T.StructField("_dist", T.DoubleType())]
+        + [d.schema[c] for c in carry] + [T.StructField(c, T.LongType()) for c in need])
+    res = (q.groupBy(*gkeys).cogroup(d.groupBy(*gkeys))
+           .applyInPandas(_first_in_block(radius, need, has, carry, dims), schema=out_schema))
+    return first_bits(res, ["_qid"], ["_dist", "_did", *carry], need)
+
+
 def validate_donor(signatures: DataFrame, reps: int = 100, cap: float = 0.2, *,
                    key: str = "trip_id", features: str = "features", split=(10, 8),
-                   block_rows: int = 2048) -> DataFrame:
+                   block_rows: int = 16384, block_dims=(0, 1), dims: int = 20) -> DataFrame:
     """Per repeat: split the linked trips into training and query parts, match
     each query to its nearest training trip, drop queries farther than ``cap``
     or whose habitat or gear never occurs in the training part, and report the
-    kept count and the share of gear and of habitat matches."""
-    linked = signatures.filter(F.col(key).isNotNull())
-    r = linked.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    train = train_split(key, "rep", *split)
-    fresh = [F.col(c).alias(c) for c in r.columns]  # distinct lineage for each side
-    donors, queries = r.filter(train).select(*fresh), r.filter(~train).select(*fresh)
-    nn = nearest_donor(queries, donors, key=key, features=features,
-                       carry=("gear_code", "habitat_code"),
-                       query_carry=("gear_code", "habitat_code"), cap=cap, by=["rep"],
-                       block_rows=block_rows, keep_unmatched=False)
-    # Codes seen in each repeat's training part: one row per repeat, each set
-    # bounded by the closed gear and habitat code lists.
-    seen = donors.groupBy("rep").agg(F.collect_set("habitat_code").alias("_habs"),
-                                     F.collect_set("gear_code").alias("_gears"))
-    kept = (nn.join(seen, "rep", "inner")
-            .filter(F.array_contains("_habs", F.col("query_habitat_code"))
-                    & F.array_contains("_gears", F.col("query_gear_code")))
-            .drop("_habs", "_gears"))
+    kept count and the share of gear and of habitat matches.
+
+    A row is never repeated by the repeats: whether it is in the training part of each is a
+    bit, distances are measured once for all repeats, and a query keeps the few donors that are
+    its nearest in some repeat, with those repeats' bits. Equal signatures are searched once.
+    """
+    codes = ["gear_code", "habitat_code"]
+    need, has = words("_n", reps), words("_t", reps)
+    vector = F.transform(F.slice(F.col(features), 1, dims), lambda x: x.cast("double") + F.lit(0.0))   # -0.0 is 0.0
+    rows = signatures.filter(F.col(key).isNotNull()).select(F.col(key).alias("_id"), *codes, vector.alias("_f"))
+    two = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64("_f"), F.xxhash64(F.lit(1), "_f"))]
+    rows = rows.select("_id", *codes, "_f", F.unhex(F.concat(*two)).alias("_v"),
+                       *[c.alias(n) for n, c in train_bits("_id", reps, split).items()])
+    out_of = [F.bitwise_not(F.col(t)).bitwiseAND(F.lit((1 << min(WORD, reps - w * WORD)) - 1).cast("long")).alias(n)
+              for w, (t, n) in enumerate(zip(has, need))]
+    # Narrow rows, and each different signature once.
+    member = materialize(rows.select("_id", *codes, "_v", *has, *out_of), "donor-rows")
+    q = materialize(rows.filter(F.col("_f").isNotNull()).select("_v", "_f", *out_of).groupBy("_v").agg(
+        F.first("_f").alias("_qf"), *[F.bit_or(n).alias(n) for n in need])
+        .withColumnRenamed("_v", "_qid"), "donor-queries")
+    # Of equal signatures those stay that come first in a repeat's training part: by parts
+    # of their rows, so that one signature that stands very often is no single task, then all.
+    d = first_bits(member.select("_id", *codes, "_v", *has, F.pmod(F.xxhash64("_id"), F.lit(64)).alias("_part")),
+                   ["_v", "_part"], ["_id", *codes], has).drop("_part")
+    d = first_bits(d, ["_v"], ["_id", *codes], has)
+    d = d.join(q.select(F.col("_qid").alias("_v"), F.col("_qf").alias("_df")), "_v").drop("_v")
+    d = materialize(d.withColumnRenamed("_id", "_did"), "donors")
+
+    # What is shuffled grows as the rows squared over the block's size: larger tables take
+    # larger blocks, up to four times as large, so that a task's memory stays bounded.
+    block_rows = min(max(block_rows, d.count() // 8), 4 * block_rows)
+    every, parts = q.filter(any_bit(need)), []
+    for step in range(radius_halvings(d, cap, [], block_dims, block_rows), -1, -1):
+        found = materialize(first_within(every, d, cap / (1 << step), block_dims, block_rows, dims,
+                                         need, has, codes), "donor-found")
+        parts.append(found)
+        if step:
+            done = found.groupBy("_qid").agg(*[F.bit_or(n).alias(f"_m{n}") for n in need])
+            left = [F.col(n).bitwiseAND(F.bitwise_not(F.coalesce(F.col(f"_m{n}"), F.lit(0).cast("long")))).alias(n)
+                    for n in need]
+            every = materialize(every.join(done, "_qid", "left").select("_qid", "_qf", *left).filter(any_bit(need)),
+                                "donor-queries")
+    nn = functools.reduce(DataFrame.unionByName, parts)
+    nn = nn.select(F.col("_qid").alias("_v"), "_did", "_dist", *codes, *[F.col(n).alias(f"_m{n}") for n in need])
+    asks = member.select("_id", "_v", *[F.col(c).alias(f"query_{c}") for c in codes], *need)
+    shared = [F.col(n).bitwiseAND(F.col(f"_m{n}")) for n in need]
+    nn = (asks.join(nn, "_v").withColumn("rep", F.explode(reps_of(shared, reps)))
+          .groupBy("rep", "_id").agg(F.min(F.struct("_dist", "_did", *codes, *[f"query_{c}" for c in codes])).alias("_b"))
+          .select("rep", "_b.*"))
+    # Codes seen in each repeat's training part: bounded by the closed code lists.
+    for c in codes:
+        seen = (member.groupBy(c).agg(*[F.bit_or(t).alias(t) for t in has])
+                .select(F.col(c).alias(f"query_{c}"), F.explode(reps_of([F.col(t) for t in has], reps)).alias("rep")))
+        nn = nn.join(seen, ["rep", f"query_{c}"], "left_semi")
     hit = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    return kept.groupBy("rep").agg(
+    return nn.groupBy("rep").agg(
         F.count(F.lit(1)).alias("kept"),
         F.avg(hit("query_gear_code", "gear_code")).alias("gear_acc"),
         F.avg(hit("query_habitat_code", "habitat_code")).alias("habitat_acc"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from landfall import session
 from landfall.operators.donor import (donate_attributes, donor_accuracy, nearest_donor, train_split,
                                       validate_donor)
 
@@ -100,6 +101,60 @@ def test_validation_counts(spark):
     assert s.reps == 5 and 0 <= s.gear_mean <= 1
 
 
+def _brute_validation(ids, feats, gears, habs, reps, cap):
+    dist = np.sqrt(((feats[:, None, :] - feats[None, :, :]) ** 2).sum(-1))
+    out = {}
+    for rep in range(reps):
+        train = np.array([in_training(i, rep) for i in ids])
+        hits = []
+        for q in np.nonzero(~train)[0]:
+            near = min((dist[q, d], ids[d], d) for d in np.nonzero(train)[0])
+            if near[0] <= cap and gears[q] in gears[train] and habs[q] in habs[train]:
+                hits.append((gears[q] == gears[near[2]], habs[q] == habs[near[2]]))
+        if hits:
+            out[rep] = (len(hits), *np.mean(hits, axis=0))
+    return out
+
+
+@pytest.mark.parametrize("block_rows,cap", [(16384, 0.6), (7, 0.6), (30, 0.3), (16384, 0.3)])
+def test_validation_with_equal_signatures_and_two_words_of_repeats(spark, block_rows, cap):
+    rng = np.random.default_rng(5)
+    feats = np.vstack([rng.normal(0, 0.1, (120, 20)), np.tile(rng.normal(0, 0.1, 20), (40, 1)), np.full((3, 20), 9.0)])
+    ids = rng.permutation(len(feats))
+    gears, habs = rng.integers(0, 5, len(feats)), rng.integers(0, 3, len(feats))
+    gears[-1] = 77                                              # a code of one row
+    got = {r.rep: (r.kept, r.gear_acc, r.habitat_acc) for r in validate_donor(
+        _frame(spark, ids, feats, gears, habs), reps=70, cap=cap, block_rows=block_rows).collect()}
+    want = _brute_validation(ids, feats, gears, habs, 70, cap)
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_validation_takes_all_donors_where_the_nearest_do_not_serve_every_repeat(spark):
+    # 100 donors at the same few distances: one training part in ten leaves most of them out.
+    feats = np.zeros((200, 20))
+    feats[:, 3] = np.arange(200) * 1e-3
+    ids, codes = np.arange(200), np.arange(200) % 4
+    got = {r.rep: (r.kept, r.gear_acc) for r in validate_donor(
+        _frame(spark, ids, feats, codes, codes % 2), reps=40, cap=0.2, split=(10, 1)).collect()}
+    for rep in range(40):
+        train = np.array([int(hashlib.md5(f"{i}-{rep}".encode()).hexdigest()[:8], 16) % 10 < 1 for i in ids])
+        d = np.sqrt(((feats[~train][:, None] - feats[train][None]) ** 2).sum(-1))
+        near = ids[train][d.argmin(axis=1)]
+        kept = [(q % 4, n % 4) for q, n, x in zip(ids[~train], near, d.min(axis=1))
+                if x <= 0.2 and q % 4 in ids[train] % 4 and q % 2 in ids[train] % 2]
+        assert got[rep] == (len(kept), pytest.approx(np.mean([a == b for a, b in kept])))
+
+
+def test_validation_stores_no_row_for_each_repeat(spark):
+    rng = np.random.default_rng(2)
+    n = 60
+    sig = _frame(spark, np.arange(n), rng.normal(0, 0.05, (n, 20)), np.arange(n) % 4, np.arange(n) % 3)
+    since = session.materialized()
+    assert len(validate_donor(sig, reps=100, cap=1.0, block_rows=8).collect()) == 100
+    assert max(spark.read.parquet(p).count() for p in session._written[since:]) < 12 * n
+
+
 def test_donate_attributes_on_track_columns(spark):
     cols = ", ".join([f"lat{i} double" for i in range(1, 11)] + [f"lng{i} double" for i in range(1, 11)])
     schema = f"PDS_trip long, trip_id long, gear_code int, habitat_code int, {cols}"
