@@ -187,7 +187,9 @@ def q_clean_changed_landings(spark, sf):
 
 def _store(spark, sf):
     """The changed refresh as a versioned store by month: schemas, folder and version."""
-    snap, src = _snapshot_source(spark, sf)
+    # The trips of the source are joined once; four steps below read them.
+    src = materialize(fixtures.trips(spark, sf), "source-trips")
+    snap = src.filter(F.col("date_numeric") <= SNAPSHOT_MARK)
     lnd = fixtures.landings(spark, sf)
     facts = [Facts("trips", "landings", "trip_id")]
     base = _scratch(spark, "store")

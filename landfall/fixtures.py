@@ -102,9 +102,9 @@ def landings_from_lineitem(li: DataFrame) -> DataFrame:
 def twice(once: DataFrame) -> DataFrame:
     """One trip in twenty is reported twice: every other one word for word (repeats to
     remove), the others with another note (different rows to keep)."""
-    again = once.filter(F.col("trip_id") % 20 == 0)
-    return once.unionByName(again.withColumn("note", F.when(
-        F.col("trip_id") % 40 == 0, F.lit("counted again")).otherwise(F.col("note"))))
+    again = F.when(F.col("trip_id") % 40 == 0, F.lit("counted again")).otherwise(F.col("note"))
+    notes = F.when(F.col("trip_id") % 20 == 0, F.array("note", again)).otherwise(F.array("note"))
+    return once.select(*[c for c in once.columns if c != "note"], F.explode(notes).alias("note")).select(*once.columns)
 
 
 def landings(spark, sf_dir) -> DataFrame:

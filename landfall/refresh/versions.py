@@ -84,8 +84,11 @@ def with_month(parent: DataFrame, date: str) -> DataFrame:
 
 def with_parent_month(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Children with the month of their parent (the first, if a key stands twice)."""
-    of = parent.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("month").alias("month"))
-    return child.join(of, key, "left").withColumn("month", F.coalesce("month", F.lit(NO_MONTH))).select(*child.columns, "month")
+    # Months are compared as numbers (``none`` last): a least text would be found by sorting.
+    number = F.coalesce(F.try_to_number(F.replace(F.col("month"), F.lit("-"), F.lit("")), F.lit("999999")).cast("int"), F.lit(10 ** 6))
+    of = parent.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(number).alias("_m"))
+    month = F.when(F.col("_m") < 10 ** 6, F.format_string("%04d-%02d", F.floor(F.col("_m") / 100).cast("int"), F.col("_m") % 100))
+    return child.join(of, key, "left").withColumn("month", F.coalesce(month, F.lit(NO_MONTH))).select(*child.columns, "month")
 
 
 def write_months(df: DataFrame, base: str, table: str, number: int) -> list[str]:

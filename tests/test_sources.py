@@ -186,3 +186,20 @@ def test_two_refreshes_at_once_do_not_both_count(spark, scratch):
     assert latest_version(spark, f"{scratch}/nothing") is None
     with pytest.raises(Exception, match="exists"):
         write_manifest(spark, scratch, v)
+
+
+def test_the_stored_refresh_reads_its_landings_once(spark):
+    """Rows reported twice come from one scan, and the trips of the source are joined once."""
+    from landfall import catalog, fixtures
+    sf = "/root/testdata/sf0.001"
+    plan = fixtures.landings(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+    _, base, version = catalog._store(spark, sf)
+    assert version.number == 2
+
+
+def test_the_first_month_of_a_repeated_parent_counts(spark):
+    from landfall.refresh.versions import with_parent_month
+    parent = spark.createDataFrame([(1, "2001-02"), (1, "1999-12"), (1, "none"), (2, "none"), (3, "0987-01")], "k int, month string")
+    got = with_parent_month(spark.createDataFrame([(i,) for i in range(1, 5)], "k int"), parent, "k")
+    assert {r.k: r.month for r in got.collect()} == {1: "1999-12", 2: "none", 3: "0987-01", 4: "none"}
