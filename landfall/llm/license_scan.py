@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from landfall.llm.text import lower_ascii, repeated
+from landfall.llm.text import lower_ascii, repeated, store
 
 # Phrases and their labels.
 PHRASES = (
@@ -179,4 +179,5 @@ def scan(docs: DataFrame, **how) -> DataFrame:
         joined(F.col("label")).alias("labels"), F.coalesce(F.max(F.when(
             F.col("label").isNotNull(), F.col("share"))), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(found)).alias("spans"), F.sum("copies").alias("copies"))
-    return repeated(per).drop("text_key")
+    # Stored first: the rows that stand very often are a branch of their own below.
+    return repeated(store(per, "licenses")).drop("text_key")

@@ -191,3 +191,11 @@ def test_many_equal_rows_are_spread_over_tasks(spark):
         per_task = out.groupBy(F.spark_partition_id()).count().collect()
         assert sum(r["count"] for r in per_task) == 50_000
         assert max(r["count"] for r in per_task) <= 25_000 and len(per_task) > 2
+
+
+def test_texts_are_searched_for_licenses_once(spark):
+    """Rows that stand very often are a branch of the result, but not of the search."""
+    docs = spark.createDataFrame([(1, "the mit license"), (1, "the mit license"), (2, None)], "doc_id long, text string")
+    found = license_scan.scan(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") <= 1
+    assert sorted((r.doc_id, r.n_words, r.base_labels) for r in found.collect()) == [(1, 3, "mit"), (1, 3, "mit"), (2, 0, "")]
