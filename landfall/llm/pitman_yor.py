@@ -440,7 +440,7 @@ def place(known: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def bucket_scores(row, model: Model, parts: pd.DataFrame, opened: list | None = None) -> Iterator[tuple]:
     """For each packed run of tokens: first row, texts, their sums of log10 probability
-    and of log10(c + 0.1), and their numbers of known tokens.
+    and of log10(c + 0.1), and their numbers of known and of all tokens.
 
     Contexts are places in the run's list ``x``, without such a list hashes. Tokens whose
     context the bucket has not met count as those of a context without customers, or, if
@@ -486,9 +486,10 @@ def bucket_scores(row, model: Model, parts: pd.DataFrame, opened: list | None =
             p[new] = 1.0
             opened.append((part["first"], doc[new], asked[of[new]], parent[:, at[new]]))
         texts = int(doc.max()) + 1
-        docs = np.flatnonzero(np.bincount(doc, minlength=texts))
+        every = np.bincount(doc, minlength=texts)
+        docs = np.flatnonzero(every)
         add = lambda v: np.bincount(doc, weights=v, minlength=texts)[docs]
-        yield part["first"], docs, add(np.log10(p)), add(base[at]), add(at < len(u))
+        yield part["first"], docs, add(np.log10(p)), add(base[at]), (add(at < len(u)), every[docs])
 
 
 def score(docs: DataFrame, held_out: Column, table: DataFrame, model: Model, places: Places,
@@ -535,29 +536,31 @@ def score_wave(docs: DataFrame, table: DataFrame, model: Model, places: Places)
 
     def meet(key, known: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         out, opened = [], []
-        for first, d, s, b, k in bucket_scores(known.to_dict("records")[0] if len(known) else None, model, parts, opened):
+        for first, d, s, b, (k, every) in bucket_scores(known.to_dict("records")[0] if len(known) else None, model, parts, opened):
             _, doc, ctx, p = opened.pop()
             out.append({"first": first, "n": len(d), "doc": narrow(d), "score": s.tobytes(), "base": b.tobytes(),
-                        "known": narrow(k), "new_n": len(doc), "new_doc": narrow(doc), "new_ctx": ctx.tobytes(),
+                        "known": narrow(k), "tokens": narrow(every), "new_n": len(doc), "new_doc": narrow(doc), "new_ctx": ctx.tobytes(),
                         "new_p": p.tobytes()})
-        return pd.DataFrame(out, columns=["first", "n", "doc", "score", "base", "known", "new_n", "new_doc", "new_ctx",
+        return pd.DataFrame(out, columns=["first", "n", "doc", "score", "base", "known", "tokens", "new_n", "new_doc", "new_ctx",
                                           "new_p"])
 
     def gather(key, parts: pd.DataFrame) -> pd.DataFrame:
         rows = parts.to_dict("records")
         docs = [widened(r["doc"], r["n"]) for r in rows]
         size = max(int(d.max()) for d in docs) + 1
-        sums = np.zeros((3, size))
+        sums = np.zeros((4, size))
         for r, d in zip(rows, docs):
             sums[0, d] += np.frombuffer(r["score"])
             sums[1, d] += np.frombuffer(r["base"])
             sums[2, d] += widened(r["known"], r["n"])
+            sums[3, d] += widened(r["tokens"], r["n"])
         whole = pd.DataFrame({"row": key[0] + np.arange(size), "new": False, "ctx": 0, **dict.fromkeys(shares, 0.0),
-                              "score": sums[0], "base": sums[1], "n_known": sums[2].astype(np.int64)})
+                              "score": sums[0], "base": sums[1], "n_known": sums[2].astype(np.int64),
+                              "n_tokens": sums[3].astype(np.int64)})
         p = np.concatenate([np.frombuffer(r["new_p"]).reshape(len(shares), r["new_n"]) for r in rows], axis=1)
         new = pd.DataFrame({"row": key[0] + np.concatenate([widened(r["new_doc"], r["new_n"]) for r in rows]),
                             "new": True, "ctx": np.frombuffer(b"".join(r["new_ctx"] for r in rows), np.int64),
-                            **dict(zip(shares, p)), "score": 0.0, "base": 0.0, "n_known": 0})
+                            **dict(zip(shares, p)), "score": 0.0, "base": 0.0, "n_known": 0, "n_tokens": 0})
         return pd.concat([whole, new], ignore_index=True)
 
     numbered = docs.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row"))
@@ -565,21 +568,21 @@ def score_wave(docs: DataFrame, table: DataFrame, model: Model, places: Places)
         send, "bucket long, part long, first long, " + ", ".join(f"{k} binary" for k in packed))
     known = table.select("bucket", "part", *PACKED, "shown")
     sums = known.groupBy("bucket", "part").cogroup(sent.groupBy("bucket", "part")).applyInPandas(
-        meet, "first long, n long, doc binary, score binary, base binary, known binary, "
+        meet, "first long, n long, doc binary, score binary, base binary, known binary, tokens binary, "
               "new_n long, new_doc binary, new_ctx binary, new_p binary")
     found = sums.groupBy("first").applyInPandas(
         gather, "row long, new boolean, ctx long, " + ", ".join(f"{k} double" for k in shares)
-                + ", score double, base double, n_known long")
+                + ", score double, base double, n_known long, n_tokens long")
     # sums look for no context; their join key is spread, so that they make no hot group
     found = found.withColumn("ctx", F.when(F.col("new"), F.col("ctx")).otherwise(F.xxhash64("row")))
     met = found.join(places.contexts.withColumnRenamed("ctx", "known_ctx"),
                      F.col("new") & (F.col("ctx") == F.col("known_ctx")), "left")
     p = sum((F.col(k) * F.coalesce(f"back{i}", F.lit(1.0)) for i, k in enumerate(shares)), F.lit(0.0)) / len(shares)
     per_row = met.groupBy("row").agg(F.sum(F.when(F.col("new"), F.log10(p)).otherwise(F.col("score"))).alias("score"),
-                                     F.sum("base").alias("base"), F.sum("n_known").alias("n_known"))
-    size = numbered.select("row", "doc_id", "held_out", (F.size(words(F.col("text"))) + 1).cast("long").alias("n_tokens"))
+                                     F.sum("base").alias("base"), F.sum("n_known").alias("n_known"),
+                                     F.sum("n_tokens").alias("n_tokens"))
     floor = float(np.log10(model.tokens + 0.1 * (model.known + 1)))
-    return size.join(per_row, "row").select(
+    return numbered.select("row", "doc_id", "held_out").join(per_row, "row").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")
 

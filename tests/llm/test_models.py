@@ -366,3 +366,16 @@ def test_long_texts_are_cut_without_changing_their_grams(monkeypatch):
         for x, o in zip(h.tolist(), owner.tolist()):
             got[of[o]].append(x)
     assert [sorted(x) for x in got] == whole
+
+
+def test_texts_are_split_once_to_be_scored(spark):
+    """The number of a text's tokens comes with its sums, not from splitting the text again;
+    letters outside A-Z keep their case beside ASCII and other texts."""
+    from landfall.llm import pitman_yor
+    from landfall.llm.text import lower_ascii
+    docs = spark.createDataFrame([(1, "A b A"), (2, None), (3, ""), (4, "İ Ä B"), (5, "b  b\n")], "doc_id long, text string")
+    got = pitman_yor.score_wave(docs.withColumn("held_out", F.col("doc_id") == 1), *pitman_yor.fit(docs.where("doc_id > 1")))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {1: 4, 2: 1, 3: 1, 4: 4, 5: 3}
+    assert [r[0] for r in docs.orderBy("doc_id").select(lower_ascii(F.col("text"))).collect()] == \
+        ["a b a", None, "", "İ Ä b", "b  b\n"]
